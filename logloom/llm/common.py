@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = " \\t\\n\\x0B\\f\\r"  # a Java class of \x20 and \x09-\x0D
 WORD_RX = f"[^{SPACE}]+"
@@ -52,27 +53,51 @@ def crc_mod(col, m: int):
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % m
 
 
-def bounded_sample(docs: DataFrame, keys: DataFrame, most_rows: int, most_bytes: int, by: list[str]) -> list:
-    """Rows of docs (doc_id, text and the columns `by`) whose doc_id is in keys: at most most_rows for each value of `by` and most_bytes of text in all.
+def bounded_sample(docs: DataFrame, keys: DataFrame, by: str, most_rows: int, most_bytes: int) -> list:
+    """Rows (doc_id, text, by) of docs whose doc_id is in keys (doc_id, by): about most_rows for each of at most 1000 values of `by`, and most_bytes of text in all.
 
-    The choice is by a hash of doc_id, so it is the same on every run. Only ids and sizes, then the chosen texts, reach the driver; both are bounded.
+    Rows without text are passed over. The choice is by a hash of doc_id, so it is the same on every run and does not
+    follow the table's order. What reaches the driver, ids and sizes first and then the chosen texts, is bounded.
     """
     spark = docs.sparkSession
-    picked = []
-    values = [r[by[0]] for r in keys.select(by[0]).distinct().limit(1000).collect()]
-    for v in sorted(values):
-        picked += keys.where(F.col(by[0]) == v).orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(most_rows).collect()
-    if not picked:
+    keys = keys.select("doc_id", by).where(F.col("doc_id").isNotNull() & F.col(by).isNotNull())
+    counts = keys.groupBy(by).count().orderBy(F.desc("count"), by).limit(1000).collect()
+    if not counts:
         return []
-    chosen = F.broadcast(spark.createDataFrame(picked, keys.schema).dropDuplicates(["doc_id"]))
-    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).join(chosen, "doc_id").where("size > 0").select("doc_id", "size", F.xxhash64(F.lit(7), "doc_id").alias("h")).orderBy("h", "doc_id").limit(len(picked)).collect()
-    keep, total = [], 0
-    for r in sizes:
-        if total + r["size"] <= most_bytes:
-            keep.append((r["doc_id"],))
-            total += r["size"]
+    fine = 1 << 40
+    u = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id").cast("string")), F.lit(fine))
+    share = spark.createDataFrame([(r[by], min(fine, int(fine * 1.2 * most_rows / r["count"]))) for r in counts], keys.select(by).schema.add("_most", "long"))
+    ids = keys.join(F.broadcast(share), by).where(u < F.col("_most")).select("doc_id", by, u.alias("_u")).limit(2000 + 2 * most_rows * len(counts))
+    sizes = docs.select("doc_id", F.octet_length("text").alias("_size")).where("_size > 0").join(F.broadcast(ids), "doc_id").collect()
+    keep, total, of, seen = {}, 0, {}, set()
+    for r in sorted(sizes, key=lambda r: (r["_u"], str(r["doc_id"]), str(r[by]), r["_size"])):
+        if r["doc_id"] not in seen and of.get(r[by], 0) < most_rows and total + r["_size"] <= most_bytes:
+            seen.add(r["doc_id"])
+            keep[r["doc_id"]], of[r[by]], total = r[by], of.get(r[by], 0) + 1, total + r["_size"]
     if not keep:
         return []
-    ids = F.broadcast(spark.createDataFrame(keep, "doc_id long").dropDuplicates())
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").join(chosen, "doc_id").select("doc_id", "text", *by).limit(len(keep)).collect()
-    return sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
+    chosen = spark.createDataFrame(list(keep.items()), keys.schema)
+    rows = docs.select("doc_id", "text").where("octet_length(text) > 0").join(F.broadcast(chosen), "doc_id").limit(2 * len(keep)).collect()
+    return sorted(rows, key=lambda r: (str(r["doc_id"]), r["text"]))
+
+
+def new_columns(docs: DataFrame, new: list[T.StructField]) -> tuple[list[T.StructField], T.StructType]:
+    """The fields of docs that stay beside new ones of the given names, and the schema with both."""
+    kept = [f for f in docs.schema.fields if f.name not in {x.name for x in new}]
+    return kept, T.StructType(kept + new)
+
+
+def arrow_map(docs: DataFrame, new: list[T.StructField], make, text: str = "text") -> DataFrame:
+    """docs with new columns: make() gives, in each task, a function from a text column to a list of arrays, one for each new column."""
+    kept, schema = new_columns(docs, new)
+    names = [f.name for f in kept]
+
+    def run(batches):
+        import pyarrow as pa
+
+        f = make()
+        for b in batches:
+            cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+            yield pa.RecordBatch.from_arrays([cols[n] for n in names] + f(cols[text]), names=[*names, *(x.name for x in new)])
+
+    return docs.mapInArrow(run, schema)
