@@ -42,7 +42,7 @@ def written(df: DataFrame) -> DataFrame:
 def n_parts(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     """Groups to hash rows into: at least the shuffle partitions, and one for each bytes_each of input."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > 1 << 56:  # no statistics
         size = df.count() * 4096
     return max(least, -(-size // bytes_each))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, quality, tokencount, toxicity
+from . import decontam, langid, quality, substring_dedup, tokencount, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,5 +40,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.op10(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op6_language_id, op7_quality, op9_decontamination, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op6_language_id, op7_quality, op9_decontamination, op10_token_counts)}
 ORACLES: dict[str, str] = {}
