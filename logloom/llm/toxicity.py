@@ -70,7 +70,8 @@ class Bags:
         s = value[self.word].astype(np.float64)
         for n in GRAMS:
             c = np.concatenate(([0], np.cumsum(value[self.bucket[n]], dtype=np.float64)))
-            s += c[self.first + self.count[n]] - c[self.first]
+            lo = np.minimum(self.first, len(c) - 1)  # a short word at the very end has no n-gram to begin at
+            s += c[lo + self.count[n]] - c[lo]
         return s
 
 
