@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, minhash, mixing, quality, substring_dedup, tokencount, toxicity
+from . import decontam, langid, licenses, minhash, mixing, quality, substring_dedup, tokencount, toxicity
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op6(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.op10(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_source_mixing, op4_near_duplicates, op6_language_id, op7_quality, op9_decontamination, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_source_mixing, op4_near_duplicates, op5_license_scan, op6_language_id, op7_quality, op9_decontamination, op10_token_counts)}
 ORACLES: dict[str, str] = {}
