@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, licenses, minhash, mixing, quality, substring_dedup, tokencount, toxicity
+from . import decontam, langid, licenses, lm, minhash, mixing, quality, substring_dedup, tokencount, toxicity
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op8(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,5 +56,35 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.op10(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_source_mixing, op4_near_duplicates, op5_license_scan, op6_language_id, op7_quality, op9_decontamination, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+#: DuckDB's SQL for the operators that SQL can express whole.
+WORD_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+FOLDED_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, {WORD_SQL} AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+f AS (SELECT win, min(doc_id) AS least FROM g GROUP BY win),
+r AS (SELECT DISTINCT doc_id, i + k AS p FROM g JOIN f USING (win), (SELECT unnest(range(0, 13)) AS k) WHERE least < doc_id),
+a AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM r GROUP BY doc_id),
+e AS (SELECT doc_id, p, w[p] AS word FROM (SELECT d.doc_id, d.w, unnest(range(1, len(d.w) + 1)) AS p FROM d)),
+k AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.p) AS kept FROM e LEFT JOIN r ON r.doc_id = e.doc_id AND r.p = e.p WHERE r.p IS NULL GROUP BY e.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(a.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, {FOLDED_SQL} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {FOLDED_SQL} AS w FROM benchmark),
+p AS (SELECT item, least(13, len(w)) AS size, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS win
+      FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+s AS (SELECT DISTINCT size FROM p),
+g AS (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS win
+      FROM (SELECT d.doc_id, d.w, s.size, unnest(range(1, len(d.w) - s.size + 2)) AS i FROM d, s)),
+h AS (SELECT g.doc_id, g.i, g.size, p.item FROM g JOIN p ON p.size = g.size AND p.win = g.win),
+c AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS q FROM (SELECT DISTINCT doc_id, i, size FROM h)) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(t.items, '')) AS items_sha256,
+       coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_source_mixing, op4_near_duplicates, op5_license_scan, op6_language_id, op7_quality, op8_lm_scores, op9_decontamination, op10_token_counts)}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op9_decontamination": OP9_SQL}
