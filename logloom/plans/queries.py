@@ -278,16 +278,17 @@ def line_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT (l_orderkey % 64)::VARCHAR AS stream_id, count(*) FILTER (WHERE last) AS sessions, count(*) FILTER (WHERE last) AS ended, sum(CASE WHEN last THEN f ELSE 0 END)::BIGINT AS frames, count(*) AS blocks
-FROM (SELECT l_orderkey, l_linenumber * 100 + l_quantity::INT AS f, rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) = 1 AS last FROM lineitem) GROUP BY 1
+FROM (SELECT l_orderkey, l_linenumber * 100 + l_quantity::INT AS f, rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC) = 1 AS last FROM lineitem) GROUP BY 1
 """)
 def progress_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _table(spark, sf_dir, "lineitem")
-    last = li.groupBy("l_orderkey").agg(F.max(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("m"))
+    key = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    last = li.groupBy("l_orderkey").agg(F.max(F.struct(*key)).alias("m"))
     d = li.join(last, "l_orderkey")
-    end = F.struct("l_linenumber", "l_partkey", "l_suppkey") == F.col("m")
+    end = F.struct(*key) == F.col("m")
     parts = F.array(F.concat(F.lit("frame="), (F.col("l_linenumber") * 100 + F.col("l_quantity").cast("int")).cast("string")), F.concat(F.lit("[pod-1] speed="), F.col("l_quantity").cast("string"), F.lit("x")), F.concat(F.lit("progress="), F.when(end, "end").otherwise("continue")))
-    d = d.select((F.col("l_orderkey") % 64).alias("s"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.posexplode(parts).alias("p", "text"))
-    lines = lines_from_df(d, "text", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p"], "s")
+    d = d.select((F.col("l_orderkey") % 64).alias("s"), "l_orderkey", *key, F.posexplode(parts).alias("p", "text"))
+    lines = lines_from_df(d, "text", ["l_orderkey", *key, "p"], "s")
     p = sequence.structure(lines).where("line_type = 'progress'")
     return p.groupBy("stream_id").agg(F.count("*").alias("sessions"), F.sum(F.col("progress.ended").cast("int")).alias("ended"), F.sum("progress.frame").alias("frames"), F.sum("progress.block_count").alias("blocks"))
 
