@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from . import textcore as tc
 from .common import arrow_map, bounded_sample, crc_mod
 
-TRAIN_ROWS, TRAIN_BYTES = 1000, 6 << 20
+TRAIN_ROWS, TRAIN_BYTES = 1000, 5 << 20
 BITS, DIM, PASSAGE = 17, 8, 16
 GRAMS = (3, 4, 5)
 STEPS, RATE, DAMP, SOFT, SURE, PATIENCE, SEED = 48, 0.02, 0.03, 2.0, 1.0, 8, 20240
@@ -163,18 +163,22 @@ def fit(texts: list[str], labels: list[int], prior: float = 0.5) -> Model:
     of_doc = np.repeat(np.arange(len(counts)), np.diff(first))
     of_passage = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
     length = np.full(len(begin) - 1, PASSAGE, np.float32)
-    text_of_word = np.unique(np.repeat(np.arange(len(counts)), counts) * len(sizes) + ids)
-    per_bucket = np.unique((text_of_word // len(sizes)).repeat(sizes.astype(np.int64)[text_of_word % len(sizes)]) << BITS | flat[_ranges(starts, sizes, text_of_word % len(sizes))])
-    common = np.bincount(per_bucket & (1 << BITS) - 1, minlength=1 << BITS) >= max(3, LEAST_SHARE * len(y))
+    test = np.arange(len(y)) % 5 == 4
+    texts_of = np.zeros((3, 1 << BITS), np.int64)  # texts with a subword: label 0, label 1 (to learn from), all
+    off = np.concatenate(([0], np.cumsum(counts)))
+    for i in range(len(counts)):  # text by text, so that memory follows one text
+        own = np.unique(flat[_ranges(starts, sizes, np.unique(ids[off[i] : off[i + 1]]))])
+        texts_of[2, own] += 1
+        if not test[i]:
+            texts_of[int(y[i]), own] += 1
+    common = texts_of[2] >= max(3, LEAST_SHARE * len(y))
     stay = common[flat]
     flat, word_of = flat[stay], word_of[stay]
     starts = np.searchsorted(word_of, np.arange(len(sizes)))
     some = np.flatnonzero(np.diff(np.append(starts, len(flat))))  # words with a common subword
     rng = np.random.default_rng(SEED)
-    test = np.arange(len(y)) % 5 == 4
     # vectors begin along one axis, as far as a subword's texts of the two labels differ beyond chance
-    learn = ~test[per_bucket >> BITS]
-    df = [np.bincount((per_bucket & (1 << BITS) - 1)[learn & (y[per_bucket >> BITS] == k)], minlength=1 << BITS) + 1.0 for k in (0, 1)]
+    df = texts_of[:2] + 1.0
     odds = np.log(df[1] / (1 + (~test & (y == 1)).sum())) - np.log(df[0] / (1 + (~test & (y == 0)).sum()))
     odds = np.sign(odds) * np.maximum(0, np.abs(odds) - SURE * np.sqrt(1 / df[0] + 1 / df[1])) * common
     axis = rng.normal(size=DIM)
