@@ -104,7 +104,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most_
     Reruns agree. Columns of the new names are replaced; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    size = F.coalesce(F.expr(f"regexp_count(text, '{WORD_RX}')"), F.lit(0)).cast("long")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD_RX)), F.lit(0)).cast("long")
     d = docs.drop("size", "source_size", "target", "taken").withColumn("size", size).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
     bucket = F.shiftrightunsigned("_h", 64 - HASH_BITS).cast("int")
     rows = written(d.select("source", "size", "_h", bucket.alias("_b")))
