@@ -23,7 +23,7 @@ WEIGHTS, BUDGET, MOST_TIMES, SEED = (3, 1, 2), 1.5, 2, 11
 MOST_SOURCES = 100_000
 HASH_BITS = 10
 #: The dynamic program's table has at most so many sums.
-MOST_SUMS = 1 << 22
+MOST_SUMS = 1 << 18
 
 
 def targets(sizes: list[float], weights: list[float], budget: float, most_times: float = MOST_TIMES) -> list[float]:
@@ -52,14 +52,15 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.copy()
-    take = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
+    slack = min(budget, MOST_SUMS // 4, max(8 * int(lengths.max()), MOST_SUMS // 16))  # left to the table, so that it has room
+    take = np.array([int(c) * (budget - slack) // total for c in counts.tolist()], np.int64)
     left = budget - int((take * lengths).sum())
-    for i in np.argsort(-lengths, kind="stable"):  # long ones first, down to what the table holds
+    for i in np.argsort(-lengths, kind="stable"):  # what rounding left over: long ones first, down to what the table holds
         if left <= MOST_SUMS // 2:
             break
-        k = min(int(counts[i] - take[i]), (left - MOST_SUMS // 4) // int(lengths[i]))
-        take[i] += max(0, k)
-        left -= max(0, k) * int(lengths[i])
+        k = max(0, min(int(counts[i] - take[i]), (left - MOST_SUMS // 4) // int(lengths[i])))
+        take[i] += k
+        left -= k * int(lengths[i])
     free = np.minimum(counts - take, left // np.maximum(1, lengths) + 1)
     items = []  # (length x copies, index, copies): binary parts of each count
     for i in np.flatnonzero((free > 0) & (lengths > 0)):
