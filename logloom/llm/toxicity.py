@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from . import textcore as tc
 from .common import arrow_map, bounded_sample, crc_mod
 
-TRAIN_ROWS, TRAIN_BYTES = 1000, 5 << 20
+TRAIN_ROWS, TRAIN_BYTES = 1000, 4 << 20
 BITS, DIM, PASSAGE = 17, 8, 16
 GRAMS = (3, 4, 5)
 STEPS, RATE, DAMP, SOFT, SURE, PATIENCE, SEED = 48, 0.02, 0.03, 2.0, 1.0, 8, 20240
@@ -134,7 +134,7 @@ def fit(texts: list[str], labels: list[int], prior: float = 0.5) -> Model:
     if len(set(labels)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 6.0 if len(y) and y[0] else -6.0)
     flat, starts, sizes, ids, counts, known = [], [], [], [], [], {}
-    for p in tc.pieces(pa.array(texts, pa.string())):
+    for p in tc.pieces(pa.array(texts, pa.string()), 1 << 20):
         w = tc.Words(p, tc.SPACE_WORD)
         bags = Bags(w)
         low = tc.Words.__new__(tc.Words)
@@ -145,14 +145,14 @@ def fit(texts: list[str], labels: list[int], prior: float = 0.5) -> Model:
         f, s = bags.flat(at[new])
         base = sum(map(len, flat))
         order = np.argsort(no[new])
-        flat.append(f)
+        flat.append(f.astype(np.int32))
         starts += (s[order] + base).tolist()
         sizes += bags.size[at[new]][order].tolist()
         ids.append(no[inverse])
         counts.append(w.count)
     flat, ids, counts = np.concatenate(flat), np.concatenate(ids), np.concatenate(counts)
     sizes = np.array(sizes, np.float32)
-    word_of = np.repeat(np.arange(len(sizes)), sizes.astype(np.int64))
+    word_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes.astype(np.int64))
     if not (np.diff(starts) == sizes[:-1]).all():  # in the order of `starts`, for reduceat
         flat = flat[np.concatenate([np.arange(s, s + int(n)) for s, n in zip(starts, sizes, strict=True)])]
         starts = np.concatenate(([0], np.cumsum(sizes[:-1].astype(np.int64))))
@@ -193,7 +193,8 @@ def fit(texts: list[str], labels: list[int], prior: float = 0.5) -> Model:
     for t in range(1, STEPS + 1):
         e, soft, bias = par
         word = np.zeros((len(sizes), DIM), np.float32)
-        word[some] = np.add.reduceat(e[flat], starts[some]) / sizes[some, None]
+        for d in range(DIM):  # one dimension at a time: a gather of all would be the largest array
+            word[some, d] = np.add.reduceat(e[:, d][flat], starts[some]) / sizes[some]
         vec = np.add.reduceat(word[ids], begin[:-1]) / length[:, None]
         z = vec @ soft + bias
         q = np.exp(z - z.max(1, keepdims=True))
