@@ -270,7 +270,7 @@ def _cut(left: pa.Table, right: pa.Table, names: list[str], window: int) -> pa.T
 NEW = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chunk_bytes: int = 24 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chunk_bytes: int = 12 << 20) -> DataFrame:
     """docs with n_words, n_removed, kept_sha256 (of the kept words, joined by one blank) and kept_text (kept stretches as they stood, joined by newlines).
 
     A word goes where a window of `window` words that covers it also starts in a document of smaller doc_id; windows

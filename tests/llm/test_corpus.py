@@ -207,8 +207,8 @@ def test_licenses(spark):
         (5, "GNU General\nPublic License; general public license" + " x" * 3000 + " mit license", ""), (None, "All rights reserved.", ""), (1, "nothing here", ""), (6, "SPDX-License-Identifier: BSD-3-Clause", ""),
     ]
     out = {(r.doc_id, r.n_words): r for r in licenses.op5(frame(spark, rows)).collect()}
-    r = out[1, 9]
-    assert (r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == (2, 3, 7, "apache,mit", "apache,mit")
+    r = out[1, 10]
+    assert (r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == (2, 3, 8, "apache,mit", "apache,mit")
     assert out[2, 4].n_base == 0 and out[2, 4].first_word is None and out[3, 0].labels == "" and out[4, 0].score == 0
     r = out[5, 3009]
     assert (r.n_base, r.first_word, r.last_word, r.base_labels) == (3, 1, 3007, "gpl,mit") and out[None, 3].labels == "proprietary"
