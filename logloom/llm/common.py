@@ -26,14 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The frame written to the shared folder, so that later jobs neither repeat nor lose it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame) -> DataFrame:
-    """As settled(), but as Parquet: column pruning and statistics remain."""
+    """The frame written as Parquet to the shared folder and read again: later jobs neither repeat nor lose it."""
     path = f"{shared_dir(df.sparkSession)}/logloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
