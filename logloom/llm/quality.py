@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from . import textcore as tc
 from .common import arrow_map, bounded_sample
 
-TRAIN_ROWS, TRAIN_BYTES = 1500, 24 << 20
+TRAIN_ROWS, TRAIN_BYTES = 1500, 12 << 20
 WORD_BITS, CHAR_BITS = 16, 17
 #: Fixed limits: fewest words, most percent of words in repeated 3-word windows, least probability of quality 1.
 LEAST_WORDS, MOST_REPEAT_PERCENT, LEAST_PROBABILITY = 50, 50, 0.5
