@@ -13,6 +13,7 @@ sums for each document, which go back to it in packed rows. No table of words is
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import partial
 
 import numpy as np
@@ -272,8 +273,10 @@ def _joined(left: pa.Table, right: pa.Table) -> pa.Table:
     i, t, s, k = i[order], t[order], np.concatenate(([0], np.cumsum(s[order]))), np.concatenate(([0], np.cumsum(k[order], dtype=np.int64)))
     cut = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (t[1:] != t[:-1])))) if len(i) else np.zeros(0, np.int64)
     sums = {(x, y): (s[hi] - s[lo], k[hi] - k[lo]) for x, y, lo, hi in zip(i[cut].tolist(), t[cut].tolist(), cut, np.append(cut[1:], len(i)), strict=True)} if len(i) else {}
-    own = [sums.get(key, (0.0, 0)) for key in zip(left.column("_id").to_pylist(), left.column("_tag").to_pylist(), strict=True)]
-    return left.append_column("tail_logs", pa.array([float(x[0]) for x in own], pa.float64())).append_column("tail_known", pa.array([int(x[1]) for x in own], pa.int64()))
+    keys = list(zip(left.column("_id").to_pylist(), left.column("_tag").to_pylist(), strict=True))
+    copies = Counter(keys)  # equal rows share a key, and the sums are those of all of them
+    own = [(*sums.get(key, (0.0, 0)), copies[key]) for key in keys]
+    return left.append_column("tail_logs", pa.array([float(x) / n for x, _, n in own], pa.float64())).append_column("tail_known", pa.array([int(x) // n for _, x, n in own], pa.int64()))
 
 
 def score_texts(docs: DataFrame, folds: int = FOLDS, held: int = HELD, flush: int = 1 << 20) -> DataFrame:

@@ -185,6 +185,24 @@ def test_lm(spark):
     assert all(r.score < 0 for r in out)
 
 
+def test_lm_repeated_rows_outside_the_head(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 4)
+    rows = [(i, " ".join(VOCAB[i : i + 9]), "s") for i in range(40)]
+    rows += [(7, rows[7][1], "s")] * 2 + [(None, "w1 w2 unseen", "s")] * 3
+    out = lm.score_texts(frame(spark, rows), flush=50).collect()
+    counts, held = Counter(), lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    for i, t, _ in rows:
+        if not held(i):
+            counts.update([*t.split(), "\0end"])
+    n, v = sum(counts.values()), len(counts)
+    want = []
+    for i, t, _ in rows:
+        w = [*t.split(), "\0end"]
+        want.append((i, len(w), sum(counts[x] > 0 for x in w), round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), 6)))
+    assert ordered((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in out) == ordered(want)
+    assert len({round(r.score, 6) for r in out if r.doc_id == 7}) == 1
+
+
 def test_lm_is_normalised():
     m = lm.LogBilinear(np.array([5.0, 3, 9, 2, 1]))
     m.trainer()(np.array([1, 2, 3, 4, 0, 2, 3, 1] * 40), np.array([0, 100, 320]))
