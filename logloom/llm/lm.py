@@ -1,18 +1,22 @@
-"""Language-model scores: a log-bilinear model over a shortlist, and exact token counts over the whole corpus.
-
-Symbols are the SHORTLIST most frequent words of a sample, the text's end, and one class for all other words; a symbol's
-probability given the two before it is log-bilinear (context matrices times vectors, dotted with the symbol's vector,
-plus a bias), normalised over all symbols by batched matrix products. A word of the class has in it the share that its
-count has. Each task trains on all its training texts by noise-contrastive estimation from one common start; the
-parameters are averaged by tokens.
-
-Counts: the HEAD most frequent words of the sample are counted as sums by place, and are small enough to go to all
-tasks. Occurrences of all other words meet in buckets of their hash, where they are counted and turned at once into
-sums for each document, which go back to it in packed rows. No table of words is ever gathered.
+"""Language-model scores: a class-factored log-bilinear model of all words, and exact token counts over the whole corpus.
+
+Words are counted over all training rows first. Symbols are the text's end, the OWN most frequent words (as many as were
+seen LEAST times, SHORTLIST at least), and hashed symbols that share out all other words; both kinds grow with the corpus up
+to their bounds. A word of a hashed symbol has in it the share that its count has. The end and the shortlist are a class
+each, other symbols are classes by frequency; the probability of a class, and of a symbol in its class, given the two
+symbols before, is log-bilinear (context matrices times vectors, dotted with the class's or symbol's vector, plus a
+bias), normalised exactly by batched matrix products. Training is noise-contrastive, with exact shares as noise, over all
+training rows in ROUNDS parts: tasks begin each round with the averages of the round before, and a symbol's vector is
+averaged by how often each task has seen it.
+
+Counts: those of the HEAD most frequent words go to all tasks. Occurrences of all other words meet in buckets of their
+hash, where they are counted and turned at once into sums for each document, which go back to it in packed rows. No
+table of all words is ever gathered.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from functools import partial
 
@@ -27,9 +31,13 @@ from .substring_dedup import _batch, _delta, compressed, expanded
 
 FOLDS, HELD = 7, 2
 HEAD, SHORTLIST, DIM = 32_768, 254, 24
-#: Symbols: other words, the end of a text (also what stands before it), then the shortlist.
-OTHER, END = 0, 1
-SAMPLE_ROWS, BATCH, NOISE, RATE, SEED = 2000, 2048, 48, 0.05, 5
+#: Words with a symbol of their own: seen LEAST times, OWN of them at most; and hashed symbols, a REST-th as many.
+OWN, LEAST, REST = 12_288, 100, 4
+#: The end of a text (also what stands before it); then words by frequency, then hashed symbols.
+END = 0
+ROUNDS, BATCH, NOISE, INNER, RATE, SEED = 3, 2048, 48, 4, 0.05, 5
+#: Rows of parameters a record, tokens scored at once, words counted before a task hands them on.
+BLOCK, SCORED_AT_ONCE, COUNTED = 256, 512, 1 << 21
 _U = np.uint64
 END_HASH = _U(0x51AB1E0FD0C5E5D1)
 SCHEMA = "bucket int, part int, data binary"
@@ -46,22 +54,26 @@ def tokens(piece: tc.Piece) -> tuple[np.ndarray, np.ndarray]:
     return out, off
 
 
+def hashed(h: np.ndarray, rest: int) -> np.ndarray:
+    return ((h >> _U(32)) % _U(rest)).astype(np.int64)
+
+
 class Head:
-    """Places of the head words' hashes; the end and the shortlist come first."""
+    """Places of the head words' hashes; the end comes first. The first `own` places are symbols, `rest` hashed ones follow."""
 
-    def __init__(self, by_frequency: np.ndarray) -> None:
+    def __init__(self, by_frequency: np.ndarray, own: int, rest: int) -> None:
         self.words = np.concatenate(([END_HASH], by_frequency[by_frequency != END_HASH])).astype(_U)[: HEAD + 1]
         self.order = np.argsort(self.words)
         self.sorted = self.words[self.order]
+        self.own, self.rest = own, rest
 
     def places(self, h: np.ndarray) -> np.ndarray:
         """-1 for words outside."""
         at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
         return np.where(self.sorted[at] == h, self.order[at], -1)
 
-    @staticmethod
-    def symbols(places: np.ndarray) -> np.ndarray:
-        return np.where((places >= 0) & (places <= SHORTLIST), places + 1, OTHER)
+    def symbols(self, places: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return np.where((places >= 0) & (places < self.own), places, self.own + hashed(h, self.rest))
 
 
 def contexts(symbols: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,102 +88,178 @@ def contexts(symbols: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class LogBilinear:
-    def __init__(self, unigram: np.ndarray) -> None:
-        rng = np.random.default_rng(SEED)
-        n = len(unigram)
-        self.noise = ((unigram + 1) / (unigram + 1).sum()).astype(np.float32)
-        self.r = (rng.normal(size=(n, DIM)) * 0.1).astype(np.float32)
-        self.c = np.stack([np.eye(DIM), 0.5 * np.eye(DIM)]).astype(np.float32)
-        self.b = np.log(self.noise)
-
-    def parts(self) -> list[np.ndarray]:
-        return [self.r, self.c, self.b]
+    """Symbols in order of frequency; the first `singles` are a class each, the others classes of about the root of their number.
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.parts()])
+    Rows of parameters are those of symbols, of classes, and of the two context matrices: DIM values, a bias, and the
+    means of Adagrad's sums for both.
+    """
 
-    def load(self, flat: np.ndarray) -> None:
-        lo = 0
-        for x in self.parts():
-            x[...] = flat[lo : lo + x.size].reshape(x.shape)
-            lo += x.size
+    def __init__(self, unigram: np.ndarray, singles: int = SHORTLIST + 1) -> None:
+        rng = np.random.default_rng(SEED)
+        n = len(unigram)
+        self.singles = min(n, singles)
+        size = max(1, math.isqrt(max(0, n - self.singles)))
+        self.begin = np.concatenate((np.arange(self.singles), np.arange(self.singles, n, size), [n]))
+        self.k = len(self.begin) - 1
+        self.of = np.repeat(np.arange(self.k), np.diff(self.begin))
+        self.share = (unigram + 1) / (unigram + 1).sum()
+        self.classes = np.add.reduceat(self.share, self.begin[:-1])
+        self.inner = (self.share / self.classes[self.of]).astype(np.float32)
+        self.rows = np.zeros((n + self.k + 2 * DIM, DIM + 3), np.float32)
+        self.rows[: n + self.k, :DIM] = rng.normal(size=(n + self.k, DIM)) * 0.1
+        self.rows[n + self.k :, :DIM] = np.concatenate((np.eye(DIM), 0.5 * np.eye(DIM)))
+        self.rows[: n + self.k, DIM] = np.log(np.concatenate((self.inner, self.classes)))
+        self.rows[:, DIM + 1 :] = 1e-6
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        """Vectors and biases of symbols, then of classes, and the context matrices."""
+        n, k, x = len(self.of), self.k, self.rows
+        return x[:n, :DIM], x[:n, DIM], x[n : n + k, :DIM], x[n : n + k, DIM], x[n + k : n + k + DIM, :DIM], x[n + k + DIM :, :DIM]
 
     def trainer(self):
         """A function that makes one pass of NCE with Adagrad over given tokens."""
-        sums = [np.full(x.shape, 1e-6, np.float32) for x in self.parts()]
         rng = np.random.default_rng(SEED)
-        n = len(self.b)
-        log_noise = np.log(NOISE * self.noise)
-
-        def scatter(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-            return np.stack([np.bincount(at, rows[:, d], n) for d in range(DIM)], 1).astype(np.float32)
+        n = len(self.of)
+        sums = np.concatenate((np.repeat(self.rows[:, DIM + 1 : DIM + 2], DIM, 1), self.rows[:, DIM + 2 :]), 1)
+        within, between = np.concatenate(([0], np.cumsum(self.share))), np.cumsum(self.classes)
+        log_class, log_inner = np.log(NOISE * self.classes).astype(np.float32), np.log(INNER * self.inner)
+        r, b, s, sb, c0, c1 = self.parts()
+        c_rows = np.arange(n + self.k, len(self.rows))
+        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        with_bias = lambda v, g: np.concatenate((v, g[:, None]), 1)
 
         def step(w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-            r, c, b = self.parts()
-            rc = r @ c[0], r @ c[1]
-            q = rc[0][one] + rc[1][two]
-            noise = rng.choice(n, NOISE, p=self.noise.astype(np.float64) / self.noise.astype(np.float64).sum())
-            target = r[w]
-            gt = 1 / (1 + np.exp(-np.clip((q * target).sum(1) + b[w] - log_noise[w], -30, 30))) - 1
-            gn = 1 / (1 + np.exp(-np.clip(q @ r[noise].T + b[noise] - log_noise[noise], -30, 30)))
-            dq = gt[:, None] * target + gn @ r[noise]
-            dr = scatter(w, gt[:, None] * q)
-            np.add.at(dr, noise, gn.T @ q)
-            d1, d2 = scatter(one, dq), scatter(two, dq)
-            dr += d1 @ c[0].T + d2 @ c[1].T
-            dc = np.stack([r.T @ d1, r.T @ d2])
-            db = np.bincount(w, gt, n).astype(np.float32)
-            np.add.at(db, noise, gn.sum(0))
-            for x, s, g in zip((r, c, b), sums, (dr, dc, db), strict=True):
-                g = g / len(w)
-                s += g * g
-                x -= RATE * g / np.sqrt(s)
+            x1, x2, cls = r[one], r[two], self.of[w]
+            q = x1 @ c0 + x2 @ c1
+            noise = np.minimum(np.searchsorted(between, rng.random(NOISE) * between[-1], "right"), self.k - 1)
+            gt = sigmoid((q * s[cls]).sum(1) + sb[cls] - log_class[cls]) - 1
+            gn = sigmoid(q @ s[noise].T + sb[noise] - log_class[noise])
+            dq = gt[:, None] * s[cls] + gn @ s[noise]
+            at = [n + cls, n + noise]
+            grads = [with_bias(gt[:, None] * q, gt), with_bias(gn.T @ q, gn.sum(0))]
+            i = np.flatnonzero(cls >= self.singles)
+            if len(i):
+                wi, qi, lo, hi = w[i], q[i], self.begin[cls[i]], self.begin[cls[i] + 1]
+                z = within[lo][:, None] + (within[hi] - within[lo])[:, None] * rng.random((len(i), INNER))
+                z = np.clip(np.searchsorted(within, z, "right") - 1, lo[:, None], hi[:, None] - 1)
+                rz = r[z]
+                ht = sigmoid((qi * r[wi]).sum(1) + b[wi] - log_inner[wi]) - 1
+                hn = sigmoid(np.einsum("bkd,bd->bk", rz, qi) + b[z] - log_inner[z])
+                dq[i] += ht[:, None] * r[wi] + np.einsum("bk,bkd->bd", hn, rz)
+                at += [wi, z.ravel()]
+                grads += [with_bias(ht[:, None] * qi, ht), with_bias((hn[:, :, None] * qi[:, None, :]).reshape(-1, DIM), hn.ravel())]
+            none = np.zeros(len(w), np.float32)
+            at += [one, two, c_rows]
+            grads += [with_bias(dq @ c0.T, none), with_bias(dq @ c1.T, none), np.pad(np.concatenate((x1.T @ dq, x2.T @ dq)), ((0, 0), (0, 1)))]
+            at, g = np.concatenate(at), np.concatenate(grads)
+            order = np.argsort(at)
+            at = at[order]
+            cut = np.flatnonzero(np.diff(at, prepend=-1))
+            at, g = at[cut], np.add.reduceat(g[order], cut, axis=0) / np.float32(len(w))
+            new = sums[at] + g * g
+            sums[at] = new
+            self.rows[at, : DIM + 1] -= RATE * g / np.sqrt(new)
 
         def run(symbols: np.ndarray, off: np.ndarray) -> None:
             one, two = contexts(symbols, off)
             for lo in range(0, len(symbols), BATCH):
                 step(symbols[lo : lo + BATCH], one[lo : lo + BATCH], two[lo : lo + BATCH])
+            self.rows[:, DIM + 1], self.rows[:, DIM + 2] = sums[:, :DIM].mean(1), sums[:, DIM]
 
         return run
 
+    def scorer(self):
+        """A function of symbols and the ones before them: log10 P(symbol | two before, one before)."""
+        r, b, s, sb, c0, c1 = self.parts()
+        r1, r2 = r @ c0, r @ c1
+
+        def total(q: np.ndarray, v: np.ndarray, bias: np.ndarray) -> np.ndarray:
+            z = q @ v.T
+            z += bias
+            top = z.max(1, keepdims=True)
+            z -= top
+            return np.log(np.exp(z, out=z).sum(1)) + top[:, 0]
+
+        def score(w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+            # what all classes sum up to, once for each context
+            _, at, which = np.unique(one * len(r) + two, return_index=True, return_inverse=True)
+            q = r1[one[at]] + r2[two[at]]
+            sums = np.concatenate([total(q[lo : lo + SCORED_AT_ONCE], s, sb) for lo in range(0, len(at), SCORED_AT_ONCE)] or [np.zeros(0, np.float32)])
+            cls = self.of[w]
+            out = np.einsum("ij,ij->i", q[which], s[cls]) + sb[cls] - sums[which]
+            inner = np.flatnonzero(cls >= self.singles)
+            order = inner[np.argsort(cls[inner], kind="stable")]
+            edge = np.searchsorted(cls[order], np.arange(self.singles, self.k + 1))
+            for c, lo, hi in zip(range(self.singles, self.k), edge[:-1], edge[1:], strict=True):
+                begin, end = self.begin[c : c + 2]
+                for at in range(lo, hi, 4 * SCORED_AT_ONCE):
+                    i = order[at : min(hi, at + 4 * SCORED_AT_ONCE)]
+                    x = q[which[i]]
+                    out[i] += np.einsum("ij,ij->i", x, r[w[i]]) + b[w[i]] - total(x, r[begin:end], b[begin:end])
+            return out / np.float32(np.log(10))
+
+        return score
+
     def log10(self) -> np.ndarray:
-        """log10 P(symbol | two before, one before), for all contexts, in batches."""
-        n = len(self.b)
-        rc = self.r @ self.c[0], self.r @ self.c[1]
-        out = np.empty((n, n, n), np.float32)
-        for two in range(n):
-            s = (rc[0] + rc[1][two]) @ self.r.T + self.b
-            s -= s.max(1, keepdims=True)
-            out[two] = (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.float32(np.log(10))
-        return out
+        """log10 P(symbol | two before, one before), for all contexts."""
+        n = len(self.of)
+        two, one, w = (x.ravel() for x in np.indices((n, n, n)))
+        return self.scorer()(w, one, two).reshape(n, n, n)
 
 
 def _column(b: pa.RecordBatch, name: str) -> pa.Array:
     return b.column(b.schema.get_field_index(name))
 
 
-def _sampled(batches):
+def _counted(batches):
+    """(word, count), each word once for each COUNTED distinct words at least."""
+    held = [(np.zeros(0, _U), np.zeros(0, np.int64))]
+
+    def merged():
+        u, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        return u, np.bincount(at, np.concatenate([n for _, n in held]), len(u)).astype(np.int64)
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1], pa.int64())], names=["h", "n"])
+
     for b in batches:
-        h = [tokens(p)[0] for p in tc.pieces(_column(b, "text"))]
-        u, c = np.unique(np.concatenate(h), return_counts=True) if h else (np.zeros(0, _U), np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c, pa.int64())], names=["h", "n"])
+        for p in tc.pieces(_column(b, "text")):
+            held.append(np.unique(tokens(p)[0], return_counts=True))
+            if sum(len(x) for x, _ in held[1:]) > COUNTED // 4:
+                held = [merged()]
+                if len(held[0][0]) > COUNTED:
+                    yield rows()
+                    held = [(np.zeros(0, _U), np.zeros(0, np.int64))]
+    held = [merged()]
+    if len(held[0][0]):
+        yield rows()
 
 
 def _trained(batches, head: Head, model: LogBilinear):
-    """(place, value) sums: counts of the head, tokens in all, and parameters times tokens."""
-    counts, total, train, start = np.zeros(len(head.words), np.int64), 0, model.trainer(), model.flat()
+    """Blocks of the parameters' rows, with how often the task has seen what each stands for."""
+    seen, train, start = np.zeros(len(model.of), np.int64), model.trainer(), model.rows.copy()
     for b in batches:
         for p in tc.pieces(_column(b, "text")):
             h, off = tokens(p)
-            at = head.places(h)
-            counts += np.bincount(at[at >= 0], minlength=len(counts))
-            total += len(h)
-            train(head.symbols(at), off)
-    if total:
-        flat = model.flat().astype(np.float64) * total
-        model.load(start)
-        values = np.concatenate(([total], counts, flat))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values)], names=["place", "value"])
+            symbols = head.symbols(head.places(h), h)
+            seen += np.bincount(symbols, minlength=len(seen))
+            train(symbols, off)
+    rows = model.rows.copy()
+    model.rows[:] = start
+    if seen.any():
+        weight = np.concatenate((seen, np.add.reduceat(seen, model.begin[:-1]), np.full(2 * DIM, seen.sum())))
+        yield _batch([(lo, None, compressed(rows[lo : lo + BLOCK], weight[lo : lo + BLOCK])) for lo in range(0, len(rows), BLOCK)])
+
+
+def _averaged(table: pa.Table) -> pa.Table:
+    """The mean of a block over tasks, by what they have seen; plain for rows that none has seen."""
+    total, weights = 0.0, 0.0
+    for d in table.column("data"):
+        rows, seen = expanded(d.as_py())
+        weight = np.frombuffer(seen, "<i8") + 1e-3
+        total = total + np.frombuffer(rows, "<f4").reshape(len(weight), DIM + 3) * weight[:, None]
+        weights = weights + weight
+    return pa.Table.from_batches([_batch([(table.column("bucket")[0].as_py(), None, (total / weights[:, None]).astype("<f4").tobytes())])])
 
 
 def _tails(batches, head: Head, buckets: int, flush: int):
@@ -206,7 +294,7 @@ def _tails(batches, head: Head, buckets: int, flush: int):
 
 
 def _summed(table: pa.Table, parts: int) -> pa.Table:
-    """Counts of a bucket's words, as sums for each document; and, without a part, the number of its training words."""
+    """Counts of a bucket's words, as sums for each document."""
     h, ids, tag = ([] for _ in range(3))
     for d in table.column("data"):
         a, b, c = expanded(d.as_py())
@@ -230,33 +318,35 @@ def _summed(table: pa.Table, parts: int) -> pa.Table:
     order = np.argsort(to, kind="stable")
     edge = np.flatnonzero(np.diff(to[order], prepend=-1))
     bucket = table.column("bucket")[0].as_py()
-    out = [(bucket, None, int((n > 0).sum()).to_bytes(8, "little"))]
+    out = []
     for lo, hi in zip(edge, np.append(edge[1:], len(to)), strict=True):
         k = order[lo:hi]
         out.append((bucket, int(to[k[0]]), compressed(_delta(i[k]), t[k], logs[k], known[k])))
     return pa.Table.from_batches([_batch(out)])
 
 
-SCORED = "doc_id long, held_out boolean, _id long, _tag int, n_tokens long, head_known long, head_logs double, model_logs double, n_other long, other_logs double"
+SCORED = "doc_id long, held_out boolean, _id long, _tag int, n_tokens long, head_known long, head_logs double, model_logs double"
 
 
-def _scored(batches, head: Head, counts: np.ndarray, model: LogBilinear):
-    table = model.log10()
-    logs = np.log10(counts + 1.0)
+def _scored(batches, head: Head, counts: np.ndarray, model: LogBilinear, sizes: np.ndarray):
+    """sizes: log10 of what counts in each hashed symbol are divided by."""
+    score, logs = model.scorer(), np.log10(counts + 1.0)
     for b in batches:
-        out = [[] for _ in range(6)]
+        out = [[] for _ in range(4)]
         for p in tc.pieces(_column(b, "text")):
             h, off = tokens(p)
             at = head.places(h)
-            sym = head.symbols(at)
+            sym = head.symbols(at, h)
             one, two = contexts(sym, off)
             inside = at >= 0
             log = np.where(inside, logs[at], 0.0)
             lo, hi = off[:-1], off[1:]
-            other = sym == OTHER
-            for c, x in zip(out, (np.diff(off), tc.per_text(inside & (counts[at] > 0), lo, hi), tc.per_text(log, lo, hi), tc.per_text(table[two, one, sym].astype(np.float64), lo, hi), tc.per_text(other, lo, hi), tc.per_text(np.where(other, log, 0.0), lo, hi)), strict=True):
+            other = sym >= head.own
+            # what a hashed symbol's words outside the head have of it comes with the tails
+            model_log = score(sym, one, two) + np.where(other, log - sizes[np.maximum(sym - head.own, 0)], 0.0)
+            for c, x in zip(out, (np.diff(off), tc.per_text(inside & (counts[at] > 0), lo, hi), tc.per_text(log, lo, hi), tc.per_text(model_log, lo, hi)), strict=True):
                 c.append(x)
-        new = [pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()), strict=True)]
+        new = [pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
         yield pa.RecordBatch.from_arrays([_column(b, n) for n in ("doc_id", "held_out", "_id", "_tag")] + new, names=[x.split()[0] for x in SCORED.split(", ")])
 
 
@@ -289,34 +379,38 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, held: int = HELD, flush: in
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (crc_mod(F.col("doc_id"), folds) == held).alias("held_out"))
     learn = d.where(~F.col("held_out"))
     rows = learn.count()
-    share = min(1.0, SAMPLE_ROWS / max(1, rows))
-    some = d.where(~F.col("held_out")).where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 40)) < int(share * (1 << 40))).select("text")
-    top = some.mapInArrow(_sampled, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAD).collect()
-    head = Head(np.array([r["h"] for r in top], np.int64).view(_U))
-    seen = dict((r["h"], r["n"]) for r in top)
-    short = np.array([seen.get(int(x), 0) for x in head.words[: SHORTLIST + 1].view(np.int64)], np.float64)
-    model = LogBilinear(np.concatenate(([max(1.0, sum(seen.values()) - short.sum())], short)))
-    sums = learn.select("text").mapInArrow(partial(_trained, head=head, model=model), "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
-    n = 0
-    counts = np.zeros(len(head.words), np.int64)
-    if sums:
-        v = np.zeros(len(sums))
-        v[[r["place"] for r in sums]] = [r["value"] for r in sums]
-        n, counts = round(v[0]), v[1 : 1 + len(counts)].astype(np.int64)
-        model.load((v[1 + len(counts) :] / n).astype(np.float32))
+    counted = written(learn.select("text").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    top = counted.orderBy(F.desc("n"), "h").limit(HEAD).collect()
+    seen = {r["h"]: r["n"] for r in top} | {int(END_HASH.astype(np.int64)): rows}
+    own = min(OWN, max(SHORTLIST, sum(r["n"] >= LEAST for r in top)), len(top)) + 1
+    head = Head(np.array([r["h"] for r in top], np.int64).view(_U), own, 1 + own // REST)
+    own = head.own = min(own, len(head.words))
+    counts = np.array([seen[int(x)] for x in head.words.view(np.int64)], np.int64)
+    # hashed symbols: counts and kinds of all words, without those that have symbols of their own
+    to = hashed(head.words[:own], head.rest)
+    other_n, other_kinds = -np.bincount(to, counts[:own], head.rest), -np.bincount(to, counts[:own] > 0, head.rest)
+    n = kinds = 0
+    for r in counted.groupBy(F.pmod(F.shiftrightunsigned("h", 32), F.lit(head.rest)).cast("int").alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
+        other_n[r["s"]] += r["n"]
+        other_kinds[r["s"]] += r["k"]
+        n, kinds = n + r["n"], kinds + r["k"]
+    model = LogBilinear(np.concatenate((counts[:own], other_n)))
+    for turn in range(ROUNDS):
+        some = learn.where(F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(ROUNDS)) == turn).select("text")
+        for r in some.mapInArrow(partial(_trained, head=head, model=model), SCHEMA).groupBy("bucket").applyInArrow(_averaged, SCHEMA).collect():
+            x = np.frombuffer(r["data"], "<f4").reshape(-1, DIM + 3)
+            model.rows[r["bucket"] : r["bucket"] + len(x)] = x
     parts = n_parts(docs)
     keyed = d.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).withColumn("_tag", F.xxhash64("text").bitwiseAND(0x7FFF).cast("int"))
     tails = keyed.select("_id", "_tag", "text", (~F.col("held_out")).alias("_learn")).mapInArrow(partial(_tails, head=head, buckets=2 * parts, flush=flush), SCHEMA)
     tails = written(tails.groupBy("bucket").applyInArrow(lambda t: _summed(t, parts), SCHEMA))
-    kinds = sum(int.from_bytes(r["data"], "little") for r in tails.where("part is null").select("data").toLocalIterator()) + int((counts > 0).sum())
-    scored = keyed.select("doc_id", "held_out", "_id", "_tag", "text").mapInArrow(partial(_scored, head=head, counts=counts, model=model), SCORED)
-    back = tails.where("part is not null").select("part", "data")
+    scored = keyed.select("doc_id", "held_out", "_id", "_tag", "text").mapInArrow(partial(_scored, head=head, counts=counts, model=model, sizes=np.log10(other_n + other_kinds + 1)), SCORED)
+    back = tails.select("part", "data")
     out = scored.groupBy(F.pmod("_id", F.lit(parts)).cast("int").alias("_part")).cogroup(back.groupBy("part")).applyInArrow(lambda a, b: _joined(a, b), SCORED + ", tail_logs double, tail_known long")
-    other_n, other_kinds = n - int(counts[: SHORTLIST + 1].sum()), kinds - int((counts[: SHORTLIST + 1] > 0).sum())
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.col("tail_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("head_logs") + F.col("tail_logs") - F.col("n_tokens") * float(np.log10(n + kinds + 1))).alias("base_score"),
-        (F.col("model_logs") + F.col("other_logs") + F.col("tail_logs") - F.col("n_other") * float(np.log10(other_n + other_kinds + 1))).alias("score"),
+        (F.col("model_logs") + F.col("tail_logs")).alias("score"),
     )
 
 

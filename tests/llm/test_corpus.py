@@ -209,6 +209,26 @@ def test_lm_is_normalised():
     assert np.allclose((10.0 ** m.log10().astype(np.float64)).sum(-1), 1, atol=1e-4)
 
 
+def test_lm_classes_are_normalised():
+    m = lm.LogBilinear(np.arange(30, 0, -1.0), singles=4)
+    seq = np.random.default_rng(1).integers(0, 30, 5000)
+    m.trainer()(seq, np.array([0, 2000, 5000]))
+    assert m.k < 15 and np.allclose((10.0 ** m.log10().astype(np.float64)).sum(-1), 1, atol=1e-4)
+
+
+def test_lm_order_outside_the_shortlist(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHORTLIST", 2)
+    r = random.Random(11)
+    pairs = [(f"x{i}", f"y{i}") for i in range(12)]
+    say = lambda ps: " ".join(w for p in ps for w in p)
+    docs = [(i, say(r.choice(pairs) for _ in range(60)), "s") for i in range(600)]
+    swapped = [(a, pairs[(k + 5) % 12][1]) for k, (a, _) in enumerate(pairs)]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    out = {x.doc_id: x for x in lm.score_texts(frame(spark, [*docs, (held[0], say(pairs * 4), "s"), (held[1], say(swapped * 4), "s")])).collect()}
+    good, bad = out[held[0]], out[held[1]]
+    assert math.isclose(good.base_score, bad.base_score) and good.score > bad.score + 10
+
+
 def test_lm_learns_order():
     m = lm.LogBilinear(np.ones(6) * 100)
     seq = np.array([2, 3, 4, 5] * 4000)
