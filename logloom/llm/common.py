@@ -47,11 +47,17 @@ def crc_mod(col, m: int):
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % m
 
 
+#: A text is large from this part of its value's share of a sample's bytes on.
+LARGE = 16
+
+
 def bounded_sample(docs: DataFrame, keys: DataFrame, by: str, most_rows: int, most_bytes: int) -> list:
     """Rows (doc_id, text, by) of docs whose doc_id is in keys (doc_id, by): about most_rows for each of at most 1000 values of `by`, and most_bytes of text in all.
 
-    Rows without text are passed over. The choice is by a hash of doc_id, so it is the same on every run and does not
-    follow the table's order. What reaches the driver, ids and sizes first and then the chosen texts, is bounded.
+    Rows without text are passed over. Values have equal shares of most_bytes; what one does not need goes to those that
+    need more. Texts above a LARGE-th of their value's share come after all others of it, so that one does not crowd
+    them out. The choice is by a hash of doc_id, so it is the same on every run and does not follow the table's order.
+    What reaches the driver, ids and sizes first and then the chosen texts, is bounded.
     """
     spark = docs.sparkSession
     keys = keys.select("doc_id", by).where(F.col("doc_id").isNotNull() & F.col(by).isNotNull())
@@ -63,11 +69,19 @@ def bounded_sample(docs: DataFrame, keys: DataFrame, by: str, most_rows: int, mo
     share = spark.createDataFrame([(r[by], min(fine, int(fine * 1.2 * most_rows / r["count"]))) for r in counts], keys.select(by).schema.add("_most", "long"))
     ids = keys.join(F.broadcast(share), by).where(u < F.col("_most")).select("doc_id", by, u.alias("_u")).limit(2000 + 2 * most_rows * len(counts))
     sizes = docs.select("doc_id", F.octet_length("text").alias("_size")).where("_size > 0").join(F.broadcast(ids), "doc_id").collect()
-    keep, total, of, seen = {}, 0, {}, set()
+    of = {}
     for r in sorted(sizes, key=lambda r: (r["_u"], str(r["doc_id"]), str(r[by]), r["_size"])):
-        if r["doc_id"] not in seen and of.get(r[by], 0) < most_rows and total + r["_size"] <= most_bytes:
-            seen.add(r["doc_id"])
-            keep[r["doc_id"]], of[r[by]], total = r[by], of.get(r[by], 0) + 1, total + r["_size"]
+        of.setdefault(r[by], []).append(r)
+    need = {k: sum(r["_size"] for r in v[:most_rows]) for k, v in of.items()}
+    keep, left = {}, most_bytes
+    for turn, k in enumerate(sorted(of, key=lambda k: (need[k], str(k)))):
+        share = left // (len(of) - turn)
+        rows = total = 0
+        for r in sorted(of[k], key=lambda r: r["_size"] * LARGE > share):
+            if r["doc_id"] not in keep and rows < most_rows and total + r["_size"] <= share:
+                keep[r["doc_id"]] = k
+                rows, total = rows + 1, total + r["_size"]
+        left -= total
     if not keep:
         return []
     chosen = spark.createDataFrame(list(keep.items()), keys.schema)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.llm import decontam, langid, licenses, lm, minhash, mixing, quality, substring_dedup, tokencount, toxicity
+from logloom.llm import common, decontam, langid, licenses, lm, minhash, mixing, quality, substring_dedup, tokencount, toxicity
 
 VOCAB = [f"w{i}" for i in range(300)]
 
@@ -258,6 +258,14 @@ def test_licenses_suppress_contained(spark):
     assert [(x["lo"], x["hi"]) for x in d.detections] == [(0, 4)]
 
 
+def test_sample_shares_bytes(spark):
+    rows = [(i, "a" * 1000, "common") for i in range(4000)] + [(5000 + i, "b" * 1000, "rare") for i in range(20)] + [(6000 + i, "c" * 15_000, "common") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = common.bounded_sample(d, d.select("doc_id", "lang"), "lang", 100, 60_000)
+    n = Counter(r["lang"] for r in got)
+    assert n["rare"] == 20 and n["common"] >= 36 and sum(len(r["text"]) for r in got) <= 60_000
+
+
 EMPTY = "doc_id long, text string, source string, lang string"
 OPERATORS = {
     "op1": substring_dedup.op1, "op2": lambda d: toxicity.op2(d, d.sparkSession.createDataFrame([], "doc_id long, toxic int")), "op3": mixing.op3, "op4": minhash.op4, "op5": licenses.op5, "op6": langid.op6,
