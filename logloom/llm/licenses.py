@@ -8,13 +8,15 @@ words; one is suppressed where another of at least its priority contains it. All
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Phrases that always count, with their labels. Fixed values of the result's contract.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Names of licenses as their words stand after normalising, a keyword of each, and a label.
+#: Names of licenses as their words stand after normalising, a keyword of each, and a label. The keyword is `licen` where
+#: a name's alternatives share none; the form that may lack it has `under`.
 FAMILIES = [
     ("mit", "mit", "licen", r"(?:mit|expat|x11)(?: x11)?"),
     ("apache", "apache", "apache", r"apache(?: software)?(?: license)?(?: v(?:ersion)?)? ?(?:1 0|1 1|2 0|2)?"),
@@ -53,7 +55,7 @@ FAMILIES = [
     ("eupl", "eupl", "european", r"european union public licen[cs]e"),
     ("ms-pl", "ms-pl", "microsoft", r"microsoft public license"),
     ("ms-rl", "ms-rl", "microsoft", r"microsoft reciprocal license"),
-    ("python", "python", "python", r"(?:python(?: software foundation)?|psf)"),
+    ("python", "python", "licen", r"(?:python(?: software foundation)?|psf)"),
     ("postgresql", "postgresql", "postgresql", r"postgresql"),
     ("openssl", "openssl", "openssl", r"openssl"),
     ("ofl", "ofl", "font", r"(?:sil )?open font license"),
@@ -110,15 +112,17 @@ CLAUSES = [
     ("eula", "user", 2, r"end user licen[cs]e agreement"),
     ("noncommercial", "commercial", 1, r"(?:for )?non commercial use only"),
 ]
-#: A text is looked at if any of these stands in it in some case.
-GATES = ["licen", "copyright", "gpl", "reserved", "public domain", "warrant", "commons", "proprietary", "confidential", "wtfpl", "redistribut", "permission", "endorse", "misrepresented", "merchantab", "commercial use"]
+#: A text is looked at if any of these stands in it in some case, or `under` and one of the words before it. Each rule
+#: implies one of them: single words, as any punctuation may part two.
+GATES = ["licen", "copyright", "gpl", "reserved", "domain", "warrant", "commons", "proprietary", "confidential", "wtfpl", "redistribut", "permission", "substantial", "endorse", "misrepresented", "merchantab", "commercial"]
+BEFORE_UNDER = ["released", "distributed", "published", "available", "provided"]
 
 
 def rules() -> list[dict]:
     """All rules in order: clauses first, then each family in each form."""
     out = [{"rule": f"clause-{i:03d}", "label": lab, "kw": kw, "prio": p, "rx": rx} for i, (lab, kw, p, rx) in enumerate(CLAUSES)]
     for i, (_, lab, kw, name) in enumerate(FAMILIES):
-        out += [{"rule": f"family-{i:03d}-{form}", "label": lab, "kw": kw, "prio": p, "rx": rx.replace("@", f"(?:{name.strip()})")} for form, p, rx in FORMS]
+        out += [{"rule": f"family-{i:03d}-{form}", "label": lab, "kw": "under" if kw == "licen" and form == "released" else kw, "prio": p, "rx": rx.replace("@", f"(?:{name.strip()})")} for form, p, rx in FORMS]
     for r in out:
         r["rx"] = f"(?:^|(?<= ))(?:{r['rx']})(?= |$)"
     return out
@@ -155,10 +159,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     d = docs.drop("n_words", "base", "detections")
     low = F.lower("text")
-    gate = F.lit(False)
-    for g in GATES:
-        gate = gate | F.contains(low, F.lit(g))
-    # one blank may be several bytes of punctuation: a gate of two words is looked for by its rarer word
+    any_of = lambda words: reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in words])
+    gate = any_of(GATES) | (F.contains(low, F.lit("under")) & any_of(BEFORE_UNDER))
     d = d.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long"))
     d = d.withColumn("_norm", F.when(gate, F.array_join(F.regexp_extract_all(F.translate("text", _UPPER, _UPPER.lower()), F.lit(WORD), 0), " ")))
     base = [{"rule": k, "label": v, "kw": k, "prio": 9, "rx": f"(?:^|(?<= )){k}(?= |$)"} for k, v in BASE.items()]

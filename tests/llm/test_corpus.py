@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -253,6 +254,48 @@ def test_licenses(spark):
     assert "bsd" in out[6, 6].labels and 0 <= out[6, 6].score <= 1 and len(licenses.rules()) > 200
 
 
+def said(rx, r):
+    """A text that a pattern matches, alternatives and repeats chosen at random."""
+
+    def one(op, arg):
+        op = str(op)
+        if op == "LITERAL":
+            return chr(arg)
+        if op == "BRANCH":
+            return every(r.choice(arg[1]))
+        if op == "SUBPATTERN":
+            return every(arg[-1])
+        if op == "MAX_REPEAT":
+            return "".join(every(arg[2]) for _ in range(r.randint(arg[0], arg[1])))
+        if op == "IN":
+            return chr(r.choice([c for o, x in arg for c in (range(x[0], x[1] + 1) if str(o) == "RANGE" else [x])]))
+        assert op in ("ASSERT", "AT"), op
+        return ""
+
+    def every(p):
+        return "".join(one(*x) for x in p)
+
+    return every(re._parser.parse(rx)).strip()
+
+
+def test_licenses_gates_follow_from_rules(spark):
+    """Each of the rules finds its example, and finds it as well where other words open all gates."""
+    r = random.Random(12)
+    rows = []
+    for k, rule in enumerate(licenses.rules()):
+        for _ in range(6):
+            t = said(rule["rx"], r)
+            if re.search(rule["rx"], t):
+                rows.append((k, t if r.random() < 0.5 else t.upper().replace(" ", ",\n"), ""))
+    assert {k for k, _, _ in rows} == set(range(len(licenses.rules()))) and len(licenses.rules()) == 282
+    gated = licenses.scan_licenses(frame(spark, rows)).select("doc_id", "text", "detections")
+    opened = licenses.scan_licenses(frame(spark, [(k, t + " copyright licen under", "") for k, t, _ in rows])).select("detections")
+    for (k, t, found), (wide,) in zip(gated.collect(), opened.collect(), strict=True):
+        rule = licenses.rules()[k]
+        assert found == wide, t
+        assert any(x["label"] == rule["label"] or x["prio"] >= rule["prio"] for x in found), (rule, t)
+
+
 def test_licenses_suppress_contained(spark):
     d = licenses.scan_licenses(frame(spark, [(1, "licensed under the mit license", "")])).first()
     assert [(x["lo"], x["hi"]) for x in d.detections] == [(0, 4)]
