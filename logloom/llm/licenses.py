@@ -69,13 +69,13 @@ FAMILIES = [
     ("vim", "vim", "vim", r"vim"),
     ("php", "php", "php", r"php"),
 ]
-#: How a name is used: name of the form, priority, pattern around the name (@).
+#: How a name is used: name of the form, priority, pattern around the name (@); # makes the word before optional after names that end in license.
 FORMS = [
-    ("named", 1, r"@(?: licen[cs]e)(?: agreement)?"),
+    ("named", 1, r"@(?: licen[cs]e)#(?: agreement)?"),
     ("licensed", 2, r"(?:dual )?licen[cs]ed (?:to you )?under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?@(?: licen[cs]e)?(?:,? v(?:ersion)? ?[0-9](?: [0-9])?)?"),
     ("released", 2, r"(?:released|distributed|published|available|provided|made available) under (?:the )?(?:terms of )?(?:the )?@(?: licen[cs]e)?"),
     ("spdx", 3, r"spdx licen[cs]e identifier @"),
-    ("subject", 2, r"(?:subject to|governed by|according to|see) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?@ licen[cs]e"),
+    ("subject", 2, r"(?:subject to|governed by|according to|see) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?@(?: licen[cs]e)#"),
 ]
 #: Rules of their own: label, keyword, priority, pattern.
 CLAUSES = [
@@ -122,7 +122,8 @@ def rules() -> list[dict]:
     """All rules in order: clauses first, then each family in each form."""
     out = [{"rule": f"clause-{i:03d}", "label": lab, "kw": kw, "prio": p, "rx": rx} for i, (lab, kw, p, rx) in enumerate(CLAUSES)]
     for i, (_, lab, kw, name) in enumerate(FAMILIES):
-        out += [{"rule": f"family-{i:03d}-{form}", "label": lab, "kw": "under" if kw == "licen" and form == "released" else kw, "prio": p, "rx": rx.replace("@", f"(?:{name.strip()})")} for form, p, rx in FORMS]
+        more = "?" if name.endswith(("license", "licen[cs]e")) else ""
+        out += [{"rule": f"family-{i:03d}-{form}", "label": lab, "kw": "under" if kw == "licen" and form == "released" else kw, "prio": p, "rx": rx.replace("#", more).replace("@", f"(?:{name.strip()})")} for form, p, rx in FORMS]
     for r in out:
         r["rx"] = f"(?:^|(?<= ))(?:{r['rx']})(?= |$)"
     return out

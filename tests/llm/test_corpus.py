@@ -296,6 +296,16 @@ def test_licenses_gates_follow_from_rules(spark):
         assert any(x["label"] == rule["label"] or x["prio"] >= rule["prio"] for x in found), (rule, t)
 
 
+def test_licenses_names_that_end_in_license(spark):
+    r = random.Random(13)
+    names = [(lab, said(name, r)) for _, lab, _, name in licenses.FAMILIES if name.endswith(("license", "licen[cs]e"))]
+    assert len(names) == 17
+    rows = [(k, f"{before}{name} 2.0", "") for k, (_, name) in enumerate(names) for before in ("this is the ", "see the ")]
+    for x in licenses.op5(frame(spark, rows)).collect():
+        assert names[x.doc_id][0] in x.labels.split(","), names[x.doc_id]
+    assert licenses.op5(frame(spark, [(1, "Mozilla Public License 2.0", "")])).first().labels == "mpl"
+
+
 def test_licenses_suppress_contained(spark):
     d = licenses.scan_licenses(frame(spark, [(1, "licensed under the mit license", "")])).first()
     assert [(x["lo"], x["hi"]) for x in d.detections] == [(0, 4)]
