@@ -118,6 +118,9 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW) -> None:
         self.ids = sorted({i for i, _ in items})
+        self.vocab, self.lengths, self.rows, self.of, self.shortest = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, window), np.int64), [], 0
+        if not items:
+            return
         piece = next(tc.pieces(pa.array([t for _, t in items], pa.string()), 1 << 62))
         w = tc.Words(piece, tc.ALNUM_WORD, lower=True)
         self.vocab, symbol = np.unique(w.hashes(), return_inverse=True)

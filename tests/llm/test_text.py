@@ -157,6 +157,13 @@ def test_contamination(spark):
     assert decontam.op9(d, b.limit(0)).where("n_hit > 0").count() == 0 and decontam.op9(d.limit(0), b).count() == 0
 
 
+def test_no_benchmark(spark):
+    d = spark.createDataFrame([(1, "w1 w2"), (2, None), (1, "w1 w2")], "doc_id long, text string")
+    for items in ([], [(None, "w1 w2"), (3, None)]):
+        out = decontam.op9(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in out) == [(1, 2, 0, 0, False)] * 2 + [(2, 0, 0, 0, False)]
+
+
 def test_token_counts(spark):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
