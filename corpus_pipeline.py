@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import decontam, minhash, mixing, substring_dedup, toxicity
+from logloom.llm.common import written
 
 
 def _aside(docs: DataFrame, used: tuple[str, ...], stage: Callable[[DataFrame], DataFrame], new: tuple[str, ...] = ()) -> DataFrame:
@@ -58,7 +59,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each one's result is written as Parquet and read again as the next one's docs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = written(stage(spark, docs, sf_dir))
     return docs

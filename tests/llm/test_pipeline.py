@@ -60,6 +60,15 @@ def test_run_equals_stages(spark, made):
     assert a == b and a
 
 
+def test_run_writes_each_stage(spark, made, monkeypatch):
+    read = []
+    look = lambda name, stage: (name, lambda spark, docs, d: read.append(docs.inputFiles()) or stage(spark, docs, d))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [look(*x) for x in corpus_pipeline.STAGES])
+    files = [corpus_pipeline.run(spark, made).inputFiles()]
+    files += read[1:]
+    assert len(read) == 5 and all(f and not any(made in x for x in f) for f in files)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 def test_sql(spark):
     import duckdb
