@@ -68,36 +68,82 @@ def test_substring_dedup_keeps_columns(spark):
     assert untouched == 0 and out.count() == len(corpus())
 
 
-def test_near_duplicates(spark):
-    rows = corpus(2)
-    texts = {}
-    for d, t, _ in rows:
-        if d is not None:
-            texts.setdefault(tuple((t or "").split()), []).append(d)
-    keys = list(texts)
-    sets = [{w[j : j + 5] for j in range(len(w) - 4)} for w in keys]
-    root = list(range(len(keys)))
+def distance(a, b):
+    """Edit distance by the whole table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def classes(n, links):
+    root = list(range(n))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    links = 0
-    for i in range(len(keys)):
-        for j in range(i):
-            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                root[find(i)] = find(j)
-                links += 1
-    assert links
-    least = {}
-    for i, k in enumerate(keys):
-        least[find(i)] = min(texts[k] + [least.get(find(i), 1 << 60)])
-    want = {(d, least[find(i)]) for i, k in enumerate(keys) for d in texts[k]}
+    for i, j in links:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(n)]
+
+
+def test_near_duplicates(spark):
+    """Against all pairs: exact copies, and texts of five words at least of an edit similarity of 0.8."""
+    rows = corpus(2)
+    texts = {}
+    for d, t, _ in rows:
+        if d is not None:
+            texts.setdefault(tuple((t or "").split()), []).append(d)
+    keys = sorted(texts, key=lambda k: min(texts[k]))
+    near = [(i, j) for i, a in enumerate(keys) for j, b in enumerate(keys[:i]) if min(len(a), len(b)) >= 5 and distance(a, b) <= 0.2 * max(len(a), len(b))]
+    assert near
+    of = classes(len(keys), near)
+    want = {(d, min(texts[keys[of[i]]])) for i, k in enumerate(keys) for d in texts[k]}
     got = minhash.op4(frame(spark, rows).repartition(3)).collect()
     assert {(r.doc_id, r.class_id) for r in got if r.doc_id is not None} == want and len(got) == len(rows)
     kept = minhash.deduplicated(frame(spark, rows))
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(least.values()))
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for _, c in want})
+
+
+def test_recall_of_planted_edits(spark):
+    """Copies with 1 to 15 % of their words changed, half of them among texts that share a long passage: 0.9 of the links at least."""
+    r = random.Random(8)
+    vocab = [f"v{i}" for i in range(3000)]
+    passage = [r.choice(vocab) for _ in range(60)]
+    rows, pairs = [], {}
+    for share in (0.01, 0.05, 0.1, 0.15):
+        for i in range(60):
+            w = [r.choice(vocab) for _ in range(120)]
+            if i % 2:
+                w[30:90] = passage
+            copy = list(w)
+            for k in r.sample(range(120), round(120 * share)):
+                copy[k] = f"x{r.random()}"
+            pairs.setdefault(share, []).append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(w), "s"), (len(rows) + 1, " ".join(copy), "s")]
+    got = {x.doc_id: x.class_id for x in minhash.op4(frame(spark, rows)).collect()}
+    for share, ps in pairs.items():
+        assert sum(got[a] == got[b] for a, b in ps) >= 0.9 * len(ps), share
+    assert len(set(got.values())) >= len(rows) // 2  # texts that only share the passage stay apart
+
+
+def test_large_group_of_near_copies(spark):
+    """Hundreds of copies of one text, each edited by itself, beside texts that are not of them, are one class."""
+    r = random.Random(9)
+    base = [r.choice(VOCAB) for _ in range(150)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for k in r.sample(range(150), r.randrange(1, 12)):
+            w[k] = f"x{r.random()}"
+        rows.append((i, " ".join(w), "s"))
+    rows += [(1000 + i, " ".join(base[:20] + [r.choice(VOCAB) for _ in range(150)]), "s") for i in range(200)]
+    got = {x.doc_id: x.class_id for x in minhash.op4(frame(spark, rows)).collect()}
+    assert {got[i] for i in range(400)} == {0} and len({got[1000 + i] for i in range(200)}) == 200
 
 
 def test_chain_of_near_copies(spark):
@@ -115,14 +161,6 @@ def test_chain_of_near_copies(spark):
 def test_alignment():
     r = random.Random(4)
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
     for _ in range(400):
         a = [r.randrange(4) for _ in range(r.randrange(15))]
         b = [r.randrange(4) for _ in range(r.randrange(15))] if r.random() < 0.5 else [x for x in a if r.random() < 0.8]
