@@ -35,7 +35,7 @@ HEAD, SHORTLIST, DIM = 32_768, 254, 24
 OWN, LEAST, REST = 12_288, 100, 4
 #: The end of a text (also what stands before it); then words by frequency, then hashed symbols.
 END = 0
-ROUNDS, BATCH, NOISE, INNER, RATE, SEED = 3, 2048, 48, 4, 0.05, 5
+ROUNDS, BATCH, NOISE, INNER, RATE, SEED = 3, 2048, 48, 8, 0.05, 5
 #: Rows of parameters a record, tokens scored at once, words counted before a task hands them on.
 BLOCK, SCORED_AT_ONCE, COUNTED = 256, 512, 1 << 21
 _U = np.uint64
@@ -117,76 +117,116 @@ class LogBilinear:
         return x[:n, :DIM], x[:n, DIM], x[n : n + k, :DIM], x[n : n + k, DIM], x[n + k : n + k + DIM, :DIM], x[n + k + DIM :, :DIM]
 
     def trainer(self):
-        """A function that makes one pass of NCE with Adagrad over given tokens."""
+        """A function that makes one pass of NCE with Adagrad over given tokens.
+
+        Noise is shared: NOISE classes by all tokens of a batch, INNER symbols of a class by the batch's tokens of it.
+        """
         rng = np.random.default_rng(SEED)
         n = len(self.of)
+        p = np.ascontiguousarray(self.rows[:, : DIM + 1])  # vectors with their biases, which stand for a last 1 of the context
         sums = np.concatenate((np.repeat(self.rows[:, DIM + 1 : DIM + 2], DIM, 1), self.rows[:, DIM + 2 :]), 1)
         within, between = np.concatenate(([0], np.cumsum(self.share))), np.cumsum(self.classes)
         log_class, log_inner = np.log(NOISE * self.classes).astype(np.float32), np.log(INNER * self.inner)
-        r, b, s, sb, c0, c1 = self.parts()
-        c_rows = np.arange(n + self.k, len(self.rows))
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        with_bias = lambda v, g: np.concatenate((v, g[:, None]), 1)
+        of, begin = self.of.astype(np.int32), self.begin
+        c_rows = np.arange(n + self.k, len(p))
+        small = np.uint16 if len(p) < 1 << 16 else np.int32  # sorts faster
+        c = p[n + self.k :].reshape(2, DIM, DIM + 1)
+
+        def sigmoid(x: np.ndarray) -> np.ndarray:
+            np.negative(x, out=x)
+            with np.errstate(over="ignore"):
+                np.exp(x, out=x)
+            x += 1
+            return np.reciprocal(x, out=x)
 
         def step(w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-            x1, x2, cls = r[one], r[two], self.of[w]
-            q = x1 @ c0 + x2 @ c1
+            c0, c1 = c[0, :, :DIM].copy(), c[1, :, :DIM].copy()
+            cls = of[w]
+            order = np.argsort(cls.astype(small), kind="stable")
+            w, one, two, cls = w[order], one[order], two[order], cls[order]
+            x1, x2 = p[one, :DIM], p[two, :DIM]
+            q = np.ones((len(w), DIM + 1), np.float32)
+            q[:, :DIM] = x1 @ c0 + x2 @ c1
             noise = np.minimum(np.searchsorted(between, rng.random(NOISE) * between[-1], "right"), self.k - 1)
-            gt = sigmoid((q * s[cls]).sum(1) + sb[cls] - log_class[cls]) - 1
-            gn = sigmoid(q @ s[noise].T + sb[noise] - log_class[noise])
-            dq = gt[:, None] * s[cls] + gn @ s[noise]
-            at = [n + cls, n + noise]
-            grads = [with_bias(gt[:, None] * q, gt), with_bias(gn.T @ q, gn.sum(0))]
-            i = np.flatnonzero(cls >= self.singles)
-            if len(i):
-                wi, qi, lo, hi = w[i], q[i], self.begin[cls[i]], self.begin[cls[i] + 1]
-                z = within[lo][:, None] + (within[hi] - within[lo])[:, None] * rng.random((len(i), INNER))
+            cut = np.flatnonzero(np.diff(cls, prepend=-1))
+            sizes = np.diff(np.append(cut, len(cls)))
+            target, other = p[n + cls], p[n + noise]
+            gt = sigmoid(np.einsum("bd,bd->b", q, target) - log_class[cls]) - 1
+            gn = sigmoid(q @ other.T - log_class[noise])
+            target *= gt[:, None]
+            dq = target + gn @ other
+            at, grads = [n + cls[cut], n + noise], [np.add.reduceat(gt[:, None] * q, cut, axis=0), gn.T @ q]
+            i = int(np.searchsorted(cls, self.singles))
+            if i < len(w):
+                wi, qi = w[i:], q[i:]
+                g = np.searchsorted(cut, i)  # the first class with symbols of its own
+                own = cls[cut[g:]]
+                lo, hi = begin[own], begin[own + 1]
+                z = within[lo][:, None] + (within[hi] - within[lo])[:, None] * rng.random((len(own), INNER))
                 z = np.clip(np.searchsorted(within, z, "right") - 1, lo[:, None], hi[:, None] - 1)
-                rz = r[z]
-                ht = sigmoid((qi * r[wi]).sum(1) + b[wi] - log_inner[wi]) - 1
-                hn = sigmoid(np.einsum("bkd,bd->bk", rz, qi) + b[z] - log_inner[z])
-                dq[i] += ht[:, None] * r[wi] + np.einsum("bk,bkd->bd", hn, rz)
+                which = np.repeat(np.arange(len(own)), sizes[g:])
+                rz, ri = p[z], p[wi]
+                ht = sigmoid(np.einsum("bd,bd->b", qi, ri) - log_inner[wi]) - 1
+                near = rz[which]
+                hn = sigmoid(np.matmul(near, qi[:, :, None])[:, :, 0] - log_inner[z][which])
+                ri *= ht[:, None]
+                dq[i:] += ri + np.matmul(hn[:, None, :], near)[:, 0]
                 at += [wi, z.ravel()]
-                grads += [with_bias(ht[:, None] * qi, ht), with_bias((hn[:, :, None] * qi[:, None, :]).reshape(-1, DIM), hn.ravel())]
-            none = np.zeros(len(w), np.float32)
+                grads += [ht[:, None] * qi, np.add.reduceat(hn[:, :, None] * qi[:, None, :], cut[g:] - i, axis=0).reshape(-1, DIM + 1)]
+            dq = dq[:, :DIM]
+            back = np.zeros((2, len(w), DIM + 1), np.float32)
+            np.matmul(dq, c0.T, out=back[0, :, :DIM])
+            np.matmul(dq, c1.T, out=back[1, :, :DIM])
             at += [one, two, c_rows]
-            grads += [with_bias(dq @ c0.T, none), with_bias(dq @ c1.T, none), np.pad(np.concatenate((x1.T @ dq, x2.T @ dq)), ((0, 0), (0, 1)))]
+            grads += [back[0], back[1], np.pad(np.concatenate((x1.T @ dq, x2.T @ dq)), ((0, 0), (0, 1)))]
             at, g = np.concatenate(at), np.concatenate(grads)
-            order = np.argsort(at)
+            order = np.argsort(at.astype(small), kind="stable")
             at = at[order]
             cut = np.flatnonzero(np.diff(at, prepend=-1))
-            at, g = at[cut], np.add.reduceat(g[order], cut, axis=0) / np.float32(len(w))
+            at, g = at[cut], np.add.reduceat(g[order], cut, axis=0)
+            g *= np.float32(1 / len(w))
             new = sums[at] + g * g
             sums[at] = new
-            self.rows[at, : DIM + 1] -= RATE * g / np.sqrt(new)
+            g *= np.float32(RATE)
+            g /= np.sqrt(new)
+            p[at] -= g
 
         def run(symbols: np.ndarray, off: np.ndarray) -> None:
             one, two = contexts(symbols, off)
             for lo in range(0, len(symbols), BATCH):
                 step(symbols[lo : lo + BATCH], one[lo : lo + BATCH], two[lo : lo + BATCH])
+            self.rows[:, : DIM + 1] = p
             self.rows[:, DIM + 1], self.rows[:, DIM + 2] = sums[:, :DIM].mean(1), sums[:, DIM]
 
         return run
 
     def scorer(self):
         """A function of symbols and the ones before them: log10 P(symbol | two before, one before)."""
-        r, b, s, sb, c0, c1 = self.parts()
-        r1, r2 = r @ c0, r @ c1
-
-        def total(q: np.ndarray, v: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        r, _, _, _, c0, c1 = self.parts()
+        n = len(r)
+        r1, r2 = np.zeros((n, DIM + 1), np.float32), np.zeros((n, DIM + 1), np.float32)
+        r1[:, :DIM], r2[:, :DIM], r1[:, DIM] = r @ c0, r @ c1, 1
+        r, s = np.ascontiguousarray(self.rows[:n, : DIM + 1]), np.ascontiguousarray(self.rows[n : n + self.k, : DIM + 1])
+
+        def total(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+            """Logs of sums of exponentials; q ends in a 1, v in the biases."""
             z = q @ v.T
-            z += bias
-            top = z.max(1, keepdims=True)
-            z -= top
-            return np.log(np.exp(z, out=z).sum(1)) + top[:, 0]
+            with np.errstate(over="ignore"):
+                sums = np.exp(z) @ np.ones(z.shape[1], np.float32)
+            out = np.log(np.maximum(sums, 1e-37))
+            odd = np.flatnonzero(~((sums > 1e-30) & (sums < 1e30)))
+            if len(odd):  # beyond single precision's range
+                top = z[odd].max(1)
+                out[odd] = np.log(np.exp(z[odd] - top[:, None]).sum(1)) + top
+            return out
 
         def score(w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
             # what all classes sum up to, once for each context
             _, at, which = np.unique(one * len(r) + two, return_index=True, return_inverse=True)
             q = r1[one[at]] + r2[two[at]]
-            sums = np.concatenate([total(q[lo : lo + SCORED_AT_ONCE], s, sb) for lo in range(0, len(at), SCORED_AT_ONCE)] or [np.zeros(0, np.float32)])
+            sums = np.concatenate([total(q[lo : lo + SCORED_AT_ONCE], s) for lo in range(0, len(at), SCORED_AT_ONCE)] or [np.zeros(0, np.float32)])
             cls = self.of[w]
-            out = np.einsum("ij,ij->i", q[which], s[cls]) + sb[cls] - sums[which]
+            out = np.einsum("ij,ij->i", q[which], s[cls]) - sums[which]
             inner = np.flatnonzero(cls >= self.singles)
             order = inner[np.argsort(cls[inner], kind="stable")]
             edge = np.searchsorted(cls[order], np.arange(self.singles, self.k + 1))
@@ -195,7 +235,7 @@ class LogBilinear:
                 for at in range(lo, hi, 4 * SCORED_AT_ONCE):
                     i = order[at : min(hi, at + 4 * SCORED_AT_ONCE)]
                     x = q[which[i]]
-                    out[i] += np.einsum("ij,ij->i", x, r[w[i]]) + b[w[i]] - total(x, r[begin:end], b[begin:end])
+                    out[i] += np.einsum("ij,ij->i", x, r[w[i]]) - total(x, r[begin:end])
             return out / np.float32(np.log(10))
 
         return score
