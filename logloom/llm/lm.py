@@ -221,12 +221,10 @@ class LogBilinear:
             return out
 
         def score(w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-            # what all classes sum up to, once for each context
-            _, at, which = np.unique(one * len(r) + two, return_index=True, return_inverse=True)
-            q = r1[one[at]] + r2[two[at]]
-            sums = np.concatenate([total(q[lo : lo + SCORED_AT_ONCE], s) for lo in range(0, len(at), SCORED_AT_ONCE)] or [np.zeros(0, np.float32)])
+            q = r1[one] + r2[two]
+            sums = np.concatenate([total(q[lo : lo + SCORED_AT_ONCE], s) for lo in range(0, len(q), SCORED_AT_ONCE)] or [np.zeros(0, np.float32)])
             cls = self.of[w]
-            out = np.einsum("ij,ij->i", q[which], s[cls]) - sums[which]
+            out = np.einsum("ij,ij->i", q, s[cls]) - sums
             inner = np.flatnonzero(cls >= self.singles)
             order = inner[np.argsort(cls[inner], kind="stable")]
             edge = np.searchsorted(cls[order], np.arange(self.singles, self.k + 1))
@@ -234,7 +232,7 @@ class LogBilinear:
                 begin, end = self.begin[c : c + 2]
                 for at in range(lo, hi, 4 * SCORED_AT_ONCE):
                     i = order[at : min(hi, at + 4 * SCORED_AT_ONCE)]
-                    x = q[which[i]]
+                    x = q[i]
                     out[i] += np.einsum("ij,ij->i", x, r[w[i]]) - total(x, r[begin:end])
             return out / np.float32(np.log(10))
 
@@ -302,35 +300,30 @@ def _averaged(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch([(table.column("bucket")[0].as_py(), None, (total / weights[:, None]).astype("<f4").tobytes())])])
 
 
-def _tails(batches, head: Head, buckets: int, flush: int):
-    """Packed (word, document, training) records of the words outside the head, by bucket."""
-    cols, size = [[] for _ in range(4)], 0
+class Tails:
+    """Packed (word, document, training) records of the words outside the head, by bucket, handed on every `flush` words."""
 
-    def rows():
-        h, ids, tag, learn = (np.concatenate(c) for c in cols)
-        to = (h % _U(buckets)).astype(np.int64)
+    def __init__(self, buckets: int, flush: int) -> None:
+        self.buckets, self.flush, self.cols, self.size = buckets, flush, [[] for _ in range(4)], 0
+
+    def add(self, h: np.ndarray, ids: np.ndarray, tag: np.ndarray, learn: np.ndarray) -> None:
+        for c, x in zip(self.cols, (h, ids.astype("<i8"), tag.astype("<u2"), learn), strict=True):
+            c.append(x)
+        self.size += len(h)
+
+    def rows(self, end: bool = False) -> list[tuple[int, bytes]]:
+        if not self.size or not (end or self.size >= self.flush):
+            return []
+        h, ids, tag, learn = (np.concatenate(c) for c in self.cols)
+        self.cols, self.size = [[] for _ in range(4)], 0
+        to = (h % _U(self.buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         cut = np.flatnonzero(np.diff(to[order], prepend=-1))
         out = []
         for lo, hi in zip(cut, np.append(cut[1:], len(to)), strict=True):
             k = order[lo:hi]
-            out.append((int(to[k[0]]), None, compressed(h[k], _delta(ids[k]), tag[k] | learn[k].astype("<u2") << np.uint16(15))))
-        return _batch(out)
-
-    for b in batches:
-        ids, tags, learn = (_column(b, n).to_numpy(zero_copy_only=False) for n in ("_id", "_tag", "_learn"))
-        for p in tc.pieces(_column(b, "text")):
-            h, off = tokens(p)
-            out = np.flatnonzero(head.places(h) < 0)
-            doc = np.searchsorted(off, out, "right") - 1 + p.lo
-            for c, x in zip(cols, (h[out], ids[doc].astype("<i8"), tags[doc].astype("<u2"), learn[doc]), strict=True):
-                c.append(x)
-            size += len(out)
-            if size >= flush:
-                yield rows()
-                cols, size = [[] for _ in range(4)], 0
-    if size:
-        yield rows()
+            out.append((int(to[k[0]]), compressed(h[k], _delta(ids[k]), tag[k] | learn[k].astype("<u2") << np.uint16(15))))
+        return out
 
 
 def _summed(table: pa.Table, parts: int) -> pa.Table:
@@ -366,13 +359,22 @@ def _summed(table: pa.Table, parts: int) -> pa.Table:
 
 
 SCORED = "doc_id long, held_out boolean, _id long, _tag int, n_tokens long, head_known long, head_logs double, model_logs double"
+PASSED = SCORED + ", bucket int, data binary"
+
+
+def _scored(batches, head: Head, counts: np.ndarray, model: LogBilinear, sizes: np.ndarray, buckets: int, flush: int):
+    """Scores of each text, and (with a bucket) records of its words outside the head; sizes: log10 of what counts in each hashed symbol are divided by."""
+    score, logs, tails = model.scorer(), np.log10(counts + 1.0), Tails(buckets, flush)
+    names = [x.split()[0] for x in PASSED.split(", ")]
+    own = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
+    def records(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), t) for t in own), pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=names)
 
-def _scored(batches, head: Head, counts: np.ndarray, model: LogBilinear, sizes: np.ndarray):
-    """sizes: log10 of what counts in each hashed symbol are divided by."""
-    score, logs = model.scorer(), np.log10(counts + 1.0)
     for b in batches:
         out = [[] for _ in range(4)]
+        ids, tags = (_column(b, n).to_numpy(zero_copy_only=False) for n in ("_id", "_tag"))
+        learn = ~_column(b, "held_out").to_numpy(zero_copy_only=False)
         for p in tc.pieces(_column(b, "text")):
             h, off = tokens(p)
             at = head.places(h)
@@ -386,8 +388,15 @@ def _scored(batches, head: Head, counts: np.ndarray, model: LogBilinear, sizes:
             model_log = score(sym, one, two) + np.where(other, log - sizes[np.maximum(sym - head.own, 0)], 0.0)
             for c, x in zip(out, (np.diff(off), tc.per_text(inside & (counts[at] > 0), lo, hi), tc.per_text(log, lo, hi), tc.per_text(model_log, lo, hi)), strict=True):
                 c.append(x)
-        new = [pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-        yield pa.RecordBatch.from_arrays([_column(b, n) for n in ("doc_id", "held_out", "_id", "_tag")] + new, names=[x.split()[0] for x in SCORED.split(", ")])
+            beyond = np.flatnonzero(~inside)
+            doc = np.searchsorted(off, beyond, "right") - 1 + p.lo
+            tails.add(h[beyond], ids[doc], tags[doc], learn[doc])
+            if rows := tails.rows():
+                yield records(rows)
+        new = [pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, own[4:], strict=True)]
+        yield pa.RecordBatch.from_arrays([_column(b, n) for n in names[:4]] + new + [pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.binary())], names=names)
+    if rows := tails.rows(end=True):
+        yield records(rows)
 
 
 def _joined(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -418,10 +427,11 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, held: int = HELD, flush: in
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (crc_mod(F.col("doc_id"), folds) == held).alias("held_out"))
     learn = d.where(~F.col("held_out"))
-    rows = learn.count()
     counted = written(learn.select("text").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    top = counted.orderBy(F.desc("n"), "h").limit(HEAD).collect()
-    seen = {r["h"]: r["n"] for r in top} | {int(END_HASH.astype(np.int64)): rows}
+    end = int(END_HASH.astype(np.int64))
+    top = counted.where(F.col("h") != end).orderBy(F.desc("n"), "h").limit(HEAD).collect()
+    rows = sum(r["n"] for r in counted.where(F.col("h") == end).collect())  # each row has one end
+    seen = {r["h"]: r["n"] for r in top} | {end: rows}
     own = min(OWN, max(SHORTLIST, sum(r["n"] >= LEAST for r in top)), len(top)) + 1
     head = Head(np.array([r["h"] for r in top], np.int64).view(_U), own, 1 + own // REST)
     own = head.own = min(own, len(head.words))
@@ -442,9 +452,11 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, held: int = HELD, flush: in
             model.rows[r["bucket"] : r["bucket"] + len(x)] = x
     parts = n_parts(docs)
     keyed = d.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).withColumn("_tag", F.xxhash64("text").bitwiseAND(0x7FFF).cast("int"))
-    tails = keyed.select("_id", "_tag", "text", (~F.col("held_out")).alias("_learn")).mapInArrow(partial(_tails, head=head, buckets=2 * parts, flush=flush), SCHEMA)
+    make = partial(_scored, head=head, counts=counts, model=model, sizes=np.log10(other_n + other_kinds + 1), buckets=2 * parts, flush=flush)
+    passed = written(keyed.select("doc_id", "held_out", "_id", "_tag", "text").mapInArrow(make, PASSED))
+    tails = passed.where("bucket is not null").select("bucket", F.lit(None).cast("int").alias("part"), "data")
     tails = written(tails.groupBy("bucket").applyInArrow(lambda t: _summed(t, parts), SCHEMA))
-    scored = keyed.select("doc_id", "held_out", "_id", "_tag", "text").mapInArrow(partial(_scored, head=head, counts=counts, model=model, sizes=np.log10(other_n + other_kinds + 1)), SCORED)
+    scored = passed.where("bucket is null").drop("bucket", "data")
     back = tails.select("part", "data")
     out = scored.groupBy(F.pmod("_id", F.lit(parts)).cast("int").alias("_part")).cogroup(back.groupBy("part")).applyInArrow(lambda a, b: _joined(a, b), SCORED + ", tail_logs double, tail_known long")
     return out.select(

@@ -168,13 +168,6 @@ def test_alignment():
             assert minhash.within(a, b, most) == (distance(a, b) <= most)
 
 
-def test_bitmaps_bound_differences():
-    r = np.random.default_rng(5)
-    a, b = (r.integers(0, 1 << 62, 300).astype(np.uint64) for _ in range(2))
-    b[:200] = a[:200]
-    m = minhash.bitmaps(np.concatenate((a, b)), np.repeat([0, 1], 300), 2)
-    assert sum(int(x).bit_count() for x in (m[0] ^ m[1]).view(np.uint64)) <= len(set(a.tolist()) ^ set(b.tolist()))
-
 
 def test_mixing(spark):
     rows = corpus(6, 300)
