@@ -8,11 +8,11 @@ Scoring is a batched product of presence rows with the landmarks' rows folded in
 
 from __future__ import annotations
 
-import re
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +23,7 @@ TRAIN_ROWS, TRAIN_BYTES = 250, 4 << 20
 LANDMARKS, RIDGE, BATCH = 160, 1e-3, 256
 SLOTS = 1 << 16
 ORDERS = (1, 2, 3)
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def present(text: str, mask: np.ndarray) -> None:

@@ -97,8 +97,8 @@ def test_langid():
     r = random.Random(6)
     made = {k: [" ".join(r.choice(v) for _ in range(30)) for _ in range(40)] for k, v in {"x": ["the", "then", "than"], "y": ["der", "die", "und"], "z": ["où", "là", "été"]}.items()}
     m = langid.fit([t for v in made.values() for t in v[:30]], [k for k, v in made.items() for _ in v[:30]])
-    said, score = langid._scored(m)(pa.array([v[30] for v in made.values()] + [None, "", "123 !!", "."], pa.string()))
-    assert said.to_pylist() == ["x", "y", "z", "und", "und", "und", "und"] and all(0 <= s <= 1 for s in score.to_pylist())
+    said, score = langid._scored(m)(pa.array([v[30] for v in made.values()] + [None, "", "123 !!", ".", "½ ²", "③ Ⅷ"], pa.string()))
+    assert said.to_pylist() == ["x", "y", "z"] + ["und"] * 6 and all(0 <= s <= 1 for s in score.to_pylist())
     assert langid._scored(langid.fit([], []))(pa.array(["abc"]))[0].to_pylist() == ["und"]
 
 
