@@ -9,12 +9,12 @@ is ranked, so no source and no length is gathered in one task.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WORD_RX, written
 
@@ -24,6 +24,10 @@ MOST_SOURCES = 100_000
 HASH_BITS = 10
 #: The dynamic program's table has at most so many sums.
 MOST_SUMS = 1 << 18
+#: Parts of the rows of one source and length, when the cuts are joined to them.
+SALTS = 32
+#: Names of columns in between.
+OWN = tuple(f"_mix_{x}" for x in ("src", "name", "whole", "rest", "h", "t", "b", "bcut", "hcut", "tcut", "salt"))
 
 
 def targets(sizes: list[float], weights: list[float], budget: float, most_times: float = MOST_TIMES) -> list[float]:
@@ -95,21 +99,34 @@ def _fit(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([t.column("_src"), t.column("size"), pa.array(take, pa.int64())], names=["_src", "size", "_take"])
 
 
+def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """docs with size (words) and _mix_h, a seeded hash of all columns; columns of mix's names go."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD_RX)), F.lit(0)).cast("long")
+    d = docs.drop("size", "source_size", "target", "taken", *OWN)
+    hashable = [F.col(f"`{f.name}`") for f in d.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return d.withColumn("size", size).withColumn("_mix_h", F.xxhash64(F.lit(seed), *hashable))
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most_times: int = MOST_TIMES, seed: int = SEED) -> DataFrame:
     """docs with size (words), source_size, target and taken (words, repeats counted).
 
     Sources by code point, null last, weigh `weights` in turn and share budget x all sizes; a source's target stops at
     most_times its size. Each document is taken a whole number of times, at most most_times. Null and empty texts have
-    size 0 and are never taken. Documents of one source and length are interchangeable: ties go by a seeded hash of
-    doc_id and text, and rows that are equal in both are taken alike.
-    Reruns agree. Columns of the new names are replaced; an empty table gives an empty result.
+    size 0 and are never taken. Texts of any length count whole. Documents of one source and length are
+    interchangeable: ties go by a seeded hash of all columns, and of rows that are equal in all of them any may be
+    taken, so that reruns give equal rows. Columns of the new names (and of OWN's) are replaced; an empty table gives an empty
+    result.
     """
-    spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD_RX)), F.lit(0)).cast("long")
-    d = docs.drop("size", "source_size", "target", "taken").withColumn("size", size).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    bucket = F.shiftrightunsigned("_h", 64 - HASH_BITS).cast("int")
-    rows = written(d.select("source", "size", "_h", bucket.alias("_b")))
-    narrow = written(rows.groupBy("source", "size", "_b").agg(F.count("*").alias("count")))
+    return mixed(written(sized(docs, seed)), weights, budget, most_times)
+
+
+def mixed(table: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most_times: int = MOST_TIMES) -> DataFrame:
+    """mix() of a written table that sized() has made."""
+    spark, columns = table.sparkSession, [c for c in table.columns if c != "_mix_h"]
+    # a row's place tells equal rows apart
+    d = table.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_mix_t"), F.shiftrightunsigned("_mix_h", 64 - HASH_BITS).cast("int").alias("_mix_b"))
+    rows = d.select("source", "size", "_mix_h", "_mix_t", "_mix_b")
+    narrow = written(rows.groupBy("source", "size", "_mix_b").agg(F.count("*").alias("count")))
     by_source = narrow.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("source_size")).limit(MOST_SOURCES + 1).collect()
     if len(by_source) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -120,22 +137,29 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most_
     for i, (r, t) in enumerate(zip(by_source, goal, strict=True)):
         whole = min(most_times, int(t // r["source_size"])) if r["source_size"] else 0
         plan.append((i, r["source"], r["source_size"], float(t), whole, round(t - whole * r["source_size"]) if whole < most_times else 0))
-    plan = F.broadcast(spark.createDataFrame(plan, "_src int, _name string, source_size long, target double, _whole long, _rest long"))
-    counted = narrow.join(plan, narrow["source"].eqNullSafe(plan["_name"])).where("size > 0")
-    take = counted.groupBy("_src", "size").agg(F.sum("count").alias("count"), F.max("_rest").alias("_rest")).groupBy("_src").applyInArrow(lambda t: _fit(t), "_src int, size long, _take long")
+    plan = F.broadcast(spark.createDataFrame(plan, "_mix_src int, _mix_name string, source_size long, target double, _mix_whole long, _mix_rest long"))
+    counted = narrow.join(plan, narrow["source"].eqNullSafe(plan["_mix_name"])).where("size > 0")
+    fit = counted.groupBy("_mix_src", "size").agg(F.sum("count").alias("count"), F.max("_mix_rest").alias("_rest")).withColumnRenamed("_mix_src", "_src")
+    take = fit.groupBy("_src").applyInArrow(lambda t: _fit(t), "_src int, size long, _take long").withColumnRenamed("_src", "_mix_src")
     # buckets of a length in order: the whole ones, the one to be ranked, none
-    order = Window.partitionBy("_src", "size").orderBy("_b")
-    cut = counted.select("_src", "_name", "size", "_b", "count").withColumn("_upto", F.sum("count").over(order)).join(take, ["_src", "size"])
-    cut = written(cut.withColumn("_k", F.col("_take") - F.col("_upto") + F.col("count")).where((F.col("_k") > 0) & (F.col("_k") <= F.col("count"))))
-    part = rows.join(cut.select("_name", "size", "_b", "_k"), rows["source"].eqNullSafe(F.col("_name")) & (rows["size"] == cut["size"]) & (rows["_b"] == cut["_b"])).select("source", rows["size"], rows["_b"], "_h", "_k")
-    last = part.withColumn("_r", F.row_number().over(Window.partitionBy("source", "size", "_b").orderBy("_h"))).where("_r = _k").select(F.col("source").alias("_name"), "size", F.col("_b").alias("_bcut"), F.col("_h").alias("_hcut"))
-    last = plan.select("_src", "_name").join(last, plan["_name"].eqNullSafe(last["_name"])).select("_src", "size", "_bcut", "_hcut")
-    d = d.join(plan, d["source"].eqNullSafe(plan["_name"])).drop("_name", "_rest").withColumn("_b", bucket).join(last, ["_src", "size"], "left")
-    once = (F.col("_b") < F.col("_bcut")) | ((F.col("_b") == F.col("_bcut")) & (F.col("_h") <= F.col("_hcut")))
-    times = F.col("_whole") + F.when(once, 1).otherwise(0)
-    return d.withColumn("taken", F.when(F.col("size") > 0, F.col("size") * times).otherwise(F.lit(0)).cast("long")).drop("_src", "_b", "_h", "_bcut", "_hcut", "_whole")
+    order = Window.partitionBy("_mix_src", "size").orderBy("_mix_b")
+    cut = counted.select("_mix_src", "_mix_name", "size", "_mix_b", "count").withColumn("_upto", F.sum("count").over(order)).join(take, ["_mix_src", "size"])
+    cut = cut.withColumn("_k", F.col("_take") - F.col("_upto") + F.col("count")).where((F.col("_k") > 0) & (F.col("_k") <= F.col("count")))
+    cut = written(cut.select("_mix_src", F.col("_mix_name").alias("_name"), F.col("size").alias("_size"), F.col("_mix_b").alias("_bcut"), "_k"))
+    part = rows.join(cut, rows["source"].eqNullSafe(cut["_name"]) & (rows["size"] == cut["_size"]) & (rows["_mix_b"] == cut["_bcut"]))
+    rank = F.row_number().over(Window.partitionBy("_mix_src", "_size", "_bcut").orderBy("_mix_h", "_mix_t"))
+    last = part.withColumn("_r", rank).where("_r = _k").select("_mix_src", "size", F.col("_bcut").alias("_mix_bcut"), F.col("_mix_h").alias("_mix_hcut"), F.col("_mix_t").alias("_mix_tcut"))
+    # salted, so that no source and length is one task's
+    last = last.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_mix_salt"))
+    d = d.withColumn("_mix_salt", F.pmod(F.xxhash64("_mix_h", "_mix_t"), F.lit(SALTS)).cast("int"))
+    d = d.join(plan, d["source"].eqNullSafe(plan["_mix_name"])).join(last, ["_mix_src", "size", "_mix_salt"], "left")
+    b, h, t = ((F.col(f"_mix_{x}"), F.col(f"_mix_{x}cut")) for x in "bht")
+    once = (b[0] < b[1]) | ((b[0] == b[1]) & ((h[0] < h[1]) | ((h[0] == h[1]) & (t[0] <= t[1]))))
+    times = F.col("_mix_whole") + F.when(once, 1).otherwise(0)
+    taken = F.when(F.col("size") > 0, F.col("size") * times).otherwise(F.lit(0)).cast("long").alias("taken")
+    return d.select(*[F.col(f"`{c}`") for c in columns], "source_size", "target", taken)
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    return mix(docs.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
-
+    d = written(sized(docs.select("doc_id", "text", "source")).drop("text"))
+    return mixed(d).select("doc_id", "size", "source_size", "target", "taken")

@@ -189,6 +189,31 @@ def test_mixing(spark):
     assert ordered(mixing.op3(frame(spark, rows).repartition(7)).collect()) == ordered(out)
 
 
+def test_mixing_repeated_rows_and_clashing_columns(spark):
+    """Equal rows are taken one by one, so that the source comes to its target; columns of the operator's own names give way."""
+    rows = [(1, "a b c", "s0")] * 1000 + [(d, "x " * (d % 40 + 1), "s1") for d in range(2, 400)]
+    d = frame(spark, rows).withColumn("taken", F.lit("clash")).withColumn("_mix_b", F.lit(1)).withColumn("extra", F.lit(2))
+    out = mixing.mix(d).collect()
+    assert len(out) == len(rows) and "extra" in out[0].asDict()
+    for s, step in (("s0", 3), ("s1", 1)):
+        mine = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= step
+
+
+def test_mixing_fits_like_brute_force():
+    """The sum that is taken is as near to the budget as any choice of copies comes."""
+    r = random.Random(11)
+    for _ in range(40):
+        lengths = sorted(r.sample(range(3, 60), r.randrange(1, 5)))
+        counts = [r.randrange(1, 5) for _ in lengths]
+        sums = {0}
+        for n, c in zip(lengths, counts, strict=True):
+            sums = {x + n * k for x in sums for k in range(c + 1)}
+        budget = r.randrange(0, max(sums) + 1)
+        took = int((mixing.fit_counts(np.array(lengths), np.array(counts), budget) * np.array(lengths)).sum())
+        assert abs(took - budget) == min(abs(x - budget) for x in sums)
+
+
 def test_targets_and_fit():
     assert mixing.targets([10, 100, 100], [3, 1, 2], 315) == pytest.approx([20, 295 / 3, 590 / 3])
     r = random.Random(7)
