@@ -418,7 +418,7 @@ def _joined(left: pa.Table, right: pa.Table) -> pa.Table:
     return left.append_column("tail_logs", pa.array([float(x) / n for x, _, n in own], pa.float64())).append_column("tail_known", pa.array([int(x) // n for _, x, n in own], pa.int64()))
 
 
-def score_texts(docs: DataFrame, folds: int = FOLDS, held: int = HELD, flush: int = 1 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = FOLDS, held: int = HELD, flush: int = 1 << 19) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs.
 
     Learns from rows whose crc32(doc_id) modulo `folds` is not `held`. A null text is empty: its only token is the end.
