@@ -24,10 +24,8 @@ MOST_SOURCES = 100_000
 HASH_BITS = 10
 #: The dynamic program's table has at most so many sums.
 MOST_SUMS = 1 << 18
-#: Parts of the rows of one source and length, when the cuts are joined to them.
-SALTS = 32
 #: Names of columns in between.
-OWN = tuple(f"_mix_{x}" for x in ("src", "name", "whole", "rest", "h", "t", "b", "bcut", "hcut", "tcut", "salt"))
+OWN = tuple(f"_mix_{x}" for x in ("src", "name", "whole", "rest", "h", "t", "b", "bcut", "hcut", "tcut"))
 
 
 def targets(sizes: list[float], weights: list[float], budget: float, most_times: float = MOST_TIMES) -> list[float]:
@@ -149,10 +147,7 @@ def mixed(table: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, mo
     part = rows.join(cut, rows["source"].eqNullSafe(cut["_name"]) & (rows["size"] == cut["_size"]) & (rows["_mix_b"] == cut["_bcut"]))
     rank = F.row_number().over(Window.partitionBy("_mix_src", "_size", "_bcut").orderBy("_mix_h", "_mix_t"))
     last = part.withColumn("_r", rank).where("_r = _k").select("_mix_src", "size", F.col("_bcut").alias("_mix_bcut"), F.col("_mix_h").alias("_mix_hcut"), F.col("_mix_t").alias("_mix_tcut"))
-    # salted, so that no source and length is one task's
-    last = last.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_mix_salt"))
-    d = d.withColumn("_mix_salt", F.pmod(F.xxhash64("_mix_h", "_mix_t"), F.lit(SALTS)).cast("int"))
-    d = d.join(plan, d["source"].eqNullSafe(plan["_mix_name"])).join(last, ["_mix_src", "size", "_mix_salt"], "left")
+    d = d.join(plan, d["source"].eqNullSafe(plan["_mix_name"])).join(last, ["_mix_src", "size"], "left")
     b, h, t = ((F.col(f"_mix_{x}"), F.col(f"_mix_{x}cut")) for x in "bht")
     once = (b[0] < b[1]) | ((b[0] == b[1]) & ((h[0] < h[1]) | ((h[0] == h[1]) & (t[0] <= t[1]))))
     times = F.col("_mix_whole") + F.when(once, 1).otherwise(0)
