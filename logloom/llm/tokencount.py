@@ -1,16 +1,18 @@
 """Token counts by a public BPE vocabulary, without token ids.
 
-Texts are cut into pre-tokens; pieces are counted once for each distinct pre-token of a step (bounded memos carry
-counts over to later steps of the task), joined to each text's pre-tokens and summed. Pre-tokens are first joined
-to the distinct blank-led stretches that hold them, since most texts repeat those whole. No shuffle: a count
-depends on nothing but the vocabulary file.
+Texts are cut into blank-led stretches, which no pre-token crosses. In each step of some MB the distinct stretches are
+found, and cut into pre-tokens; pieces are counted once for each distinct pre-token (bounded memos carry counts over to
+later steps of the task). A document's frequencies of stretches are joined to these counts and summed up. All but the
+distinct stretches stay in Arrow and numpy. No shuffle: a count depends on nothing but the vocabulary file.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -19,6 +21,8 @@ from pyspark.sql import types as T
 
 #: The pre-token pattern of byte-level BPE vocabularies; its white space is Unicode's. Fixed value.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: White space before a blank, where a pre-token may cross the blank (RE2).
+CROSSING = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
 #: Entries, and longest key, of the memos that a task keeps from batch to batch.
 MEMO, MEMO_CHARS = 400_000, 64
 
@@ -72,11 +76,10 @@ def counter(vocabulary: str) -> Callable[[list[str]], list[int]]:
         tok = Tokenizer.from_file(vocabulary)
         tok.no_truncation()
         tok.no_padding()
-        return lambda texts: [len(e) for e in tok.encode_batch(texts, add_special_tokens=False)]
+        return lambda texts: [len(e) for e in tok.encode_batch(texts.to_pylist() if isinstance(texts, pa.Array) else texts, add_special_tokens=False)]
     find = regex.compile(PRE_TOKEN).findall
     names = [a["content"] for a in added]
     cut = regex.compile("|".join(regex.escape(a) for a in sorted(names, key=len, reverse=True))) if added else None
-    crossing = regex.compile(r"\s ").search
     pieces = Memo(pieces_of(vocabulary))
 
     def of_stretches(new: list[str]) -> list[int]:
@@ -86,28 +89,46 @@ def counter(vocabulary: str) -> Callable[[list[str]], list[int]]:
 
     stretches = Memo(of_stretches)
 
-    def split(text: str) -> list[str]:
-        """Stretches that no pre-token crosses: a blank and what follows to the next, where no other white space precedes a blank."""
-        if crossing(text):
-            return [text] if text else []
-        first, *rest = text.split(" ")
-        if rest and not rest[-1]:  # a blank that ends the text
-            rest[-1:], tail = [], [" "]
-        else:
-            tail = []
-        return ([first] if first else []) + [" " + x for x in rest] + tail
-
-    def count(texts: list[str]) -> list[int]:
-        fixed, parts = [], []
-        for t in texts:
-            if cut and any(a in t for a in names):
-                fixed.append(len(cut.findall(t)))
-                parts.append([x for s in cut.split(t) for x in split(s)])
-            else:
-                fixed.append(0)
-                parts.append(split(t))
-        stretches.fill(set().union(*parts))
-        return [n + sum(map(stretches.__getitem__, p)) for n, p in zip(fixed, parts, strict=True)]
+    def whole(text: str) -> int:
+        """A text whose pre-tokens may cross blanks, or that holds special strings: its own frequencies of pre-tokens."""
+        special = len(cut.findall(text)) if cut else 0
+        own = Counter(x for s in (cut.split(text) if cut else [text]) for x in find(s))
+        pieces.fill(set(own))
+        return special + sum(n * pieces[x] for x, n in own.items())
+
+    def plain(col: pa.Array) -> np.ndarray:
+        lists = pc.split_pattern(col, " ")
+        first = lists.offsets.to_numpy()
+        first = first - first[0]
+        parts = lists.flatten().dictionary_encode()
+        at, distinct = parts.indices.to_numpy(), parts.dictionary.to_pylist()
+        leads = np.zeros(len(at), bool)  # what begins a text has no blank before it
+        leads[first[:-1]] = True
+        out = np.zeros(len(col), np.int64)
+        for side, blank in ((leads, ""), (~leads, " ")):
+            where = np.flatnonzero(side)
+            doc = np.searchsorted(first, where, "right") - 1
+            key, freq = np.unique(doc * len(distinct) + at[where], return_counts=True)
+            doc, i = np.divmod(key, max(1, len(distinct)))
+            used, i = np.unique(i, return_inverse=True)
+            names = [blank + distinct[k] for k in used]
+            stretches.fill({x for x in names if x})
+            pieces_each = np.array([stretches[x] if x else 0 for x in names], np.int64)
+            np.add.at(out, doc, freq * pieces_each[i])
+        return out
+
+    def count(texts: list[str] | pa.Array) -> list[int]:
+        col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(col, CROSSING)
+        for a in names:
+            odd = pc.or_(odd, pc.match_substring(col, a))
+        odd = odd.to_numpy(zero_copy_only=False).astype(bool)
+        out = np.zeros(len(col), np.int64)
+        if not odd.all():
+            out[~odd] = plain(col.filter(pa.array(~odd)))
+        for i in np.flatnonzero(odd):
+            out[i] = whole(col[int(i)].as_py())
+        return out.tolist()
 
     return count
 
@@ -136,7 +157,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", into: str
                 while hi < len(col) and (hi == lo or size + sizes[hi] <= step_bytes):
                     size += sizes[hi]
                     hi += 1
-                out += count(col.slice(lo, hi - lo).to_pylist())
+                out += count(col.slice(lo, hi - lo))
                 lo = hi
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in names] + [pa.array(out, pa.int64())], names=[*names, into])
 
