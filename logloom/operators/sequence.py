@@ -1,14 +1,15 @@
 """The fold over DataFrames: streams are cut where nothing can reach across, and each stretch is folded by itself.
 
-A line may begin a stretch if the line before it leaves every machine idle (plain text without columns, braces, diff or
-progress marks) and no brace stands in the 200 lines before it. Chunks of CHUNK lines look for one such line each, with
-the lines before the chunk as context, so a long stream is many tasks; a stream without such lines is one.
+A line may begin a stretch if the line before it leaves every machine idle (no columns, diff mark or open progress
+session) and no bracket of the 200 lines before it is still open, so that no later line can close a JSON group that
+begins before it. Whole JSON lines are balanced, so a stream of them may be cut at each line. Chunks of CHUNK lines look
+for one such line each, with the lines before the chunk as context, so a long stream is many tasks.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +18,10 @@ from ..functions.clean import clean_lines
 from .fold import LOOK_BACK, Ids, Row, fold
 
 CHUNK = 8192
+#: A progress pair (a known key right before the line's first `=`), and one that ends its session.
+_KEYS = "|".join([*rx.PROGRESS_KEYS, "stream_q", "stream_[A-Za-z0-9_]*_q"])
+PAIR = rf"(?U)^[^=]*(?<![A-Za-z0-9_])(?:{_KEYS})=\s*\S"
+SESSION_END = r"(?U)^[^=]*(?<![A-Za-z0-9_])progress=\s*end\s*$"
 _S, _I, _L, _B = T.StringType(), T.IntegerType(), T.LongType(), T.BooleanType()
 _GAPS = T.ArrayType(T.StructType([T.StructField("start", _I), T.StructField("end", _I)]))
 _PROGRESS = T.StructType([T.StructField(n, t) for n, t in (
@@ -28,20 +33,49 @@ LINES = T.StructType([T.StructField(n, t) for n, t in (
     ("is_header", _B), ("tab_gaps", _GAPS), ("progress", _PROGRESS), ("styles", T.ArrayType(_S)), ("status", _I), ("lines", _I))])
 
 
+def _open_brackets(raw: Column, opening: str, closing: str) -> Column:
+    """struct<closes, opens>: brackets of a line that have no partner in it, in order."""
+    marks = F.split(F.translate(F.regexp_replace(raw, rf"[^\{opening}\{closing}]", ""), opening + closing, "()"), "")
+    none = F.struct(F.lit(0).alias("closes"), F.lit(0).alias("opens"))
+
+    def step(acc: Column, c: Column) -> Column:
+        closes, opens = acc["closes"], acc["opens"]
+        met = (c == ")") & (opens > 0)
+        return F.struct((closes + F.when((c == ")") & ~met, 1).otherwise(0)).alias("closes"), (opens + F.when(c == "(", 1).when(met, -1).otherwise(0)).alias("opens"))
+
+    return F.when(F.contains(raw, F.lit(opening)) | F.contains(raw, F.lit(closing)), F.aggregate(marks, none, step)).otherwise(none)
+
+
 def cut_points(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """lines with first_line, the first line of the stretch of each."""
     raw = F.col("raw")
     has = lambda p: F.regexp_like(raw, F.lit(rx.java(p)))
     columns = F.regexp_like(raw, F.lit(r"(?U)\s{2}")) | (F.size("tab_gaps") > 0)
-    idle = (raw != "") & ~F.regexp_like(raw, F.lit(r"^[-+@ \t\x{A0}]")) & ~columns & ~has(rx.DIFF_OLD) & ~F.contains(raw, F.lit("=")) & ~has(rx.GOTEST_BARE) & ~has(rx.GOTEST_PACKAGE_OK) & ~has(rx.GOTEST_PACKAGE_FAIL)
-    brace = F.when(F.regexp_like(raw, F.lit(r"[{}\[\]]")), F.col("line_no"))
+    pair = F.contains(raw, F.lit("=")) & F.regexp_like(raw, F.lit(PAIR))
+    ends = F.regexp_like(raw, F.lit(SESSION_END))
+    idle = (raw != "") & ~F.regexp_like(raw, F.lit(r"^[-+@ \t\x{A0}]")) & ~columns & ~has(rx.DIFF_OLD) & ~has(rx.GOTEST_BARE) & ~has(rx.GOTEST_PACKAGE_OK) & ~has(rx.GOTEST_PACKAGE_FAIL)
     home = F.expr(f"line_no div {chunk}")
-    seen = lines.select("stream_id", "line_no", idle.alias("_idle"), brace.alias("_brace"), F.explode(F.when((F.col("line_no") % chunk) >= chunk - LOOK_BACK - 1, F.array(home, home + 1)).otherwise(F.array(home))).alias("_chunk"))
+    near_end = (F.col("line_no") % chunk) >= chunk - LOOK_BACK - 1
+    seen = lines.select(
+        "stream_id", "line_no", F.when(~pair, idle).alias("_idle"), (pair & ends).alias("_ends"), _open_brackets(raw, "{", "}").alias("_b0"), _open_brackets(raw, "[", "]").alias("_b1"),
+        F.explode(F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))).alias("_chunk"))
     order = Window.partitionBy("stream_id", "_chunk").orderBy("line_no")
-    ok = F.lag("_idle").over(order) & (F.coalesce(F.max("_brace").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-LOOK_BACK * 2)) < F.col("line_no") - LOOK_BACK - 1)
-    firsts = seen.withColumn("_ok", ok & (F.expr(f"line_no div {chunk}") == F.col("_chunk"))).groupBy("stream_id", "_chunk").agg(F.min(F.when(F.col("_ok"), F.col("line_no"))).alias("_cut"))
-    upto = Window.partitionBy("stream_id").orderBy("_chunk")
-    firsts = firsts.withColumn("_before", F.coalesce(F.max("_cut").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    for k in (0, 1):
+        seen = seen.withColumn(f"_c{k}", F.sum(F.col(f"_b{k}.opens") - F.col(f"_b{k}.closes")).over(upto))
+    for k in (0, 1):  # brackets still open after the line, counted back to any line
+        seen = seen.withColumn(f"_o{k}", F.max(F.col(f"_b{k}.opens") - F.col(f"_c{k}")).over(upto) + F.col(f"_c{k}"))
+    # a pair passes the other machines by: after one that ends its session they are as the last other line left them,
+    # which may stand in an earlier chunk
+    left = F.last("_idle", True).over(upto)
+    seen = seen.withColumn("_left", left).withColumn("_safe", (F.col("_o0") <= 0) & (F.col("_o1") <= 0) & (F.col("_idle").isNotNull() | F.col("_ends")))
+    own = F.expr(f"line_no div {chunk}") == F.col("_chunk")
+    seen = seen.withColumn("_if_busy", own & F.lag(F.col("_safe") & F.coalesce("_left", F.lit(False))).over(order)).withColumn("_if_idle", own & F.lag(F.col("_safe") & F.coalesce("_left", F.lit(True))).over(order))
+    firsts = seen.groupBy("stream_id", "_chunk").agg(
+        *[F.min(F.when(F.col(c), F.col("line_no"))).alias(c) for c in ("_if_busy", "_if_idle")], F.max_by("_idle", F.when(own & F.col("_idle").isNotNull(), F.col("line_no"))).alias("_last"))
+    earlier = Window.partitionBy("stream_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.withColumn("_cut", F.when(F.coalesce(F.last("_last", True).over(earlier), F.lit(True)), F.col("_if_idle")).otherwise(F.col("_if_busy")))
+    firsts = firsts.select("stream_id", "_chunk", "_cut", F.coalesce(F.max("_cut").over(earlier), F.lit(0)).alias("_before"))
     d = lines.withColumn("_chunk", home).join(firsts, ["stream_id", "_chunk"])
     return d.withColumn("first_line", F.when(F.col("line_no") >= F.col("_cut"), F.col("_cut")).otherwise(F.col("_before"))).drop("_chunk", "_cut", "_before")
 

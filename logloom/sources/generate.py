@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The mix of outcomes of access-log lines, as (status, level, weight).
@@ -12,6 +12,8 @@ STATUS_MIX = [(200, "info", 55), (206, "info", 15), (204, "info", 5), (404, "war
 # End of fixed values.
 METHODS, BUCKETS, TENANTS = ["GET", "PUT", "HEAD", "DELETE", "POST"], ["media", "backup", "logs", "models"], ["alpha", "beta", "gamma"]
 EPOCH_US = 1_704_067_200_000_000
+#: Ticks of a block of a schedule's sums.
+BLOCK = 1 << 16
 
 
 class Fields:
@@ -96,7 +98,11 @@ def schedule(spark: SparkSession, rate, seconds: float, tick_ms: int = 1) -> Dat
     """(tick, t, due): lines due by each tick, the trapezoidal integral of the rate."""
     n = int(seconds * 1000 / tick_ms)
     t = lambda k: k * (tick_ms / 1000)
-    d = spark.range(n).select(F.col("id").alias("tick"), t(F.col("id")).alias("t"), ((rate(t(F.col("id") - 1)) + rate(t(F.col("id")))) / 2 * (tick_ms / 1000)).alias("_part"))
-    from pyspark.sql import Window
-
-    return d.select("tick", "t", F.floor(F.sum(F.when(F.col("tick") > 0, F.col("_part")).otherwise(0.0)).over(Window.orderBy("tick"))).alias("due"))
+    part = (rate(t(F.col("id") - 1)) + rate(t(F.col("id")))) / 2 * (tick_ms / 1000)
+    d = spark.range(n).select(F.col("id").alias("tick"), F.expr(f"id div {BLOCK}").alias("_block"), t(F.col("id")).alias("t"), F.when(F.col("id") > 0, part).otherwise(0.0).alias("_part"))
+    # in two levels: within blocks of ticks, and over the blocks' sums
+    sums = d.groupBy("_block").agg(F.sum("_part").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    within = F.sum("_part").over(Window.partitionBy("_block").orderBy("tick"))
+    d = d.withColumn("_within", within).join(sums.select("_block", before.alias("_before")), "_block")
+    return d.select("tick", "t", F.floor(F.col("_before") + F.col("_within")).alias("due"))

@@ -7,6 +7,7 @@ long as the open stretch, and no row that was handed out changes.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import rx
 from ..functions.clean import clean_lines
-from ..operators.fold import LOOK_BACK, Ids, fold, gotest, space_columns
+from ..operators.fold import LOOK_BACK, Ids, fold, gotest, key_value, space_columns
 from ..operators.sequence import LINES, to_frame
 
 STATE = "next bigint, first bigint, raws array<string>, gaps array<array<int>>"
@@ -24,18 +25,42 @@ _OLD = rx.python(rx.DIFF_OLD)
 
 
 def idle_after(raw: str, gaps: list) -> bool:
-    """Whether every machine is idle after a line, whatever came before it, braces apart."""
-    return bool(raw) and raw[0] not in "-+@ \t\xa0" and not gaps and len(space_columns(raw)) < 2 and "=" not in raw and not _OLD.search(raw) and gotest(raw) is None
+    """Whether every machine is idle after a line that is no progress pair, whatever came before it, brackets apart."""
+    return bool(raw) and raw[0] not in "-+@ \t\xa0" and not gaps and len(space_columns(raw)) < 2 and not _OLD.search(raw) and gotest(raw) is None
+
+
+class OpenBrackets:
+    """Greatest number of brackets still open, counted back from the last line to any of the 200 before it."""
+
+    def __init__(self, opening: str, closing: str) -> None:
+        self.marks, self.sum, self.tops = (opening, closing), 0, deque()
+
+    def feed(self, at: int, raw: str) -> int:
+        opens = 0
+        if self.marks[0] in raw or self.marks[1] in raw:
+            for c in raw:
+                if c == self.marks[0]:
+                    opens, self.sum = opens + 1, self.sum + 1
+                elif c == self.marks[1]:
+                    opens, self.sum = max(0, opens - 1), self.sum - 1
+        top = opens - self.sum
+        while self.tops and self.tops[-1][1] <= top:
+            self.tops.pop()
+        self.tops.append((at, top))
+        while self.tops[0][0] < at - LOOK_BACK:
+            self.tops.popleft()
+        return self.tops[0][1] + self.sum
 
 
 def last_cut(raws: list[str], gaps: list) -> int:
     """Index of the last line that may begin a stretch, or 0."""
-    cut, brace = 0, -2 * LOOK_BACK
+    cut, idle, curly, square = 0, True, OpenBrackets("{", "}"), OpenBrackets("[", "]")
     for i, (r, g) in enumerate(zip(raws, gaps, strict=True)):
-        if i and i - brace > LOOK_BACK + 1 and idle_after(raws[i - 1], gaps[i - 1]):
-            cut = i
-        if any(c in r for c in "{}[]"):
-            brace = i
+        still = max(curly.feed(i, r), square.feed(i, r))
+        pair = key_value(r)
+        idle = idle if pair else idle_after(r, g)  # a pair passes the other machines by
+        if still <= 0 and idle and i + 1 < len(raws) and (not pair or pair == ("progress", "end")):
+            cut = i + 1
     return cut
 
 
