@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import jsonx, rx
+from . import jsonview, jsonx, rx
 from .spans import spans
 
 _S, _B, _I = T.StringType(), T.BooleanType(), T.IntegerType()
@@ -40,7 +40,46 @@ def detect_json(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["raw", "summary", "keys", "level", "inline"])
 
 
-@F.udtf(returnType=_struct(key=_S, shown=_S, kind=_S, expandable=_B, value=_S))
+def _each(f):
+    """A pandas series of f of the values, null for null."""
+    return lambda *cols: pd.Series([None if any(x is None for x in v) else f(*v) for v in zip(*cols, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(_struct(start=_I, end=_I, text=_S, style=_S)))
+def json_segments(raw: pd.Series) -> pd.Series:
+    """Segments of lines with embedded JSON, empty for others."""
+    return _each(lambda r: [{"start": a, "end": b, "text": t, "style": y} for a, b, t, y in jsonview.segments(r)])(raw)
+
+
+@F.pandas_udf(_S)
+def json_compact(text: pd.Series, width: pd.Series) -> pd.Series:
+    """JSON on one line of at most `width` cells, in its own key order; null for what is no JSON."""
+    return _each(lambda t, w: jsonview.compact(t, int(w)))(text, width)
+
+
+@F.pandas_udf(T.ArrayType(_struct(key=_S, start=_I, end=_I, text=_S)))
+def json_slices(text: pd.Series) -> pd.Series:
+    """The values one level down as they stand in the text."""
+    return _each(lambda t: [{"key": str(k), "start": a, "end": b, "text": t[a:b]} for k, a, b in jsonview.slices(t)])(text)
+
+
+@F.pandas_udf(_struct(start=_I, end=_I))
+def json_level_range(text: pd.Series) -> pd.DataFrame:
+    """Where the level's value stands; nulls where there is none."""
+    return pd.DataFrame([(jsonview.level_range(t) if t is not None else None) or (None, None) for t in text], columns=["start", "end"])
+
+
+@F.pandas_udf(T.ArrayType(_S))
+def json_field_path(text: pd.Series, cursor: pd.Series) -> pd.Series:
+    """Keys on the way to a cursor of child numbers, or null."""
+    def one(t, c):
+        v = jsonx.parse(t)
+        return None if v is jsonx.MISSING else jsonview.field_path(v, [int(i) for i in c])
+
+    return _each(one)(text, cursor)
+
+
+@F.udtf(returnType=_struct(key=_S, shown=_S, kind=_S, expandable=_B, value=_S), useArrow=True)
 class JsonChildren:
     def eval(self, text: str):
         v = jsonx.parse(text) if text is not None else jsonx.MISSING
@@ -48,7 +87,7 @@ class JsonChildren:
             yield k, shown, jsonx.kind(x), jsonx.expandable(x), jsonx.label(x)
 
 
-@F.udtf(returnType=_struct(ord=_I, path=T.ArrayType(_S), depth=_I, shown=_S, kind=_S, value=_S))
+@F.udtf(returnType=_struct(ord=_I, path=T.ArrayType(_S), depth=_I, shown=_S, kind=_S, value=_S), useArrow=True)
 class JsonTree:
     def eval(self, text: str):
         v = jsonx.parse(text) if text is not None else jsonx.MISSING

@@ -157,7 +157,7 @@ def tree(v) -> Iterator[tuple[list[str], int, str, str, object]]:
         stack += [(p, d, x) for p, d, _, x in reversed(below)]
 
 
-_KEY, _SHELL, _FORMAT, _UNWRAPPED = (rx.python(p) for p in (rx.JSON_KEY, rx.SHELL_VAR, rx.FORMAT_PLACEHOLDER, rx.UNWRAPPED_JSON))
+_KEY, _UNWRAPPED = (rx.python(p) for p in (rx.JSON_KEY, rx.UNWRAPPED_JSON))
 
 
 def inline(raw: str) -> tuple[str, object] | None:
@@ -175,23 +175,36 @@ def inline(raw: str) -> tuple[str, object] | None:
     return None if v is MISSING else (t, v)
 
 
+def _closing(raw: str, at: int, opening: str, closing: str, seen: set[int], inside: bool = False) -> Iterator[tuple[int, int]]:
+    """Spans of the brackets outside of strings from a place on, in one pass with a stack; seen: takes their openings."""
+    stack, skip = [], False
+    for j in range(at, len(raw)):
+        c = raw[j]
+        if skip:
+            skip = False
+        elif c == '"':
+            inside = not inside
+        elif inside:
+            skip = c == "\\"
+        elif c == opening:
+            stack.append(j)
+            seen.add(j)
+        elif c == closing and stack:
+            yield stack.pop(), j + 1
+
+
 def _balanced(raw: str, opening: str, closing: str) -> Iterator[tuple[int, int]]:
-    """Spans from each opening bracket to the one that closes it, brackets in strings apart."""
-    for i in (k for k, c in enumerate(raw) if c == opening):
-        depth, quoted_, skip = 0, False, False
-        for j in range(i, len(raw)):
-            c = raw[j]
-            if skip:
-                skip = False
-            elif quoted_ and c == "\\":
-                skip = True
-            elif c == '"':
-                quoted_ = not quoted_
-            elif not quoted_ and c in (opening, closing):
-                depth += 1 if c == opening else -1
-                if not depth:
-                    yield i, j + 1
-                    break
+    """Spans from each opening bracket to the one that closes it, brackets in strings apart.
+
+    An opening bracket is outside of strings to its own reader. Two readings of the line, which begin outside and inside
+    of a string, have nearly all of them so; those that follow a backslash in both are read one by one.
+    """
+    seen: set[int] = set()
+    yield from _closing(raw, 0, opening, closing, seen)
+    if '"' in raw:
+        yield from _closing(raw, 0, opening, closing, seen, True)
+        for i in (k for k, c in enumerate(raw) if c == opening and k not in seen):
+            yield from (span for span in _closing(raw, i, opening, closing, set()) if span[0] == i)
 
 
 def embedded(raw: str) -> list[tuple[int, int, str, object]]:

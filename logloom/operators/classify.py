@@ -104,6 +104,21 @@ def human_bytes(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).otherwise(F.concat(F.format_string("%.1f", n / F.pow(F.lit(1024.0), step)), unit))
 
 
+def short_bytes(n: Column) -> Column:
+    """320B, 12KB, 320MB, 1.2GB: whole kilo- and megabytes, tenths of gigabytes."""
+    return (
+        F.when(n >= 1 << 30, F.concat(F.format_string("%.1f", n / F.lit(float(1 << 30))), F.lit("GB")))
+        .when(n >= 1 << 20, F.concat(F.shiftright(n, 20).cast("string"), F.lit("MB")))
+        .when(n >= 1 << 10, F.concat(F.shiftright(n, 10).cast("string"), F.lit("KB")))
+        .otherwise(F.concat(n.cast("string"), F.lit("B")))
+    )
+
+
 def truncated(text: Column, width: int) -> Column:
-    """At most `width` bytes, the last one an ellipsis where something was cut."""
-    return F.when(F.octet_length(text) <= width, text).otherwise(F.concat(F.substring(text, 1, max(0, width - 1)), F.lit("…")))
+    """At most `width` bytes; where something was cut from more than 3, an ellipsis follows width - 1 bytes. A character that was cut apart goes whole."""
+    if width <= 0:
+        return F.when(text.isNotNull(), F.lit(""))
+    most = width if width <= 3 else width - 1
+    begin = F.make_valid_utf8(F.substring(text.cast("binary"), 1, most).cast("string"))
+    begin = F.when(F.endswith(begin, F.lit("\ufffd")), F.regexp_replace(begin, "\ufffd+$", "")).otherwise(begin)
+    return F.when(F.octet_length(text) <= width, text).otherwise(begin if width <= 3 else F.concat(begin, F.lit("…")))

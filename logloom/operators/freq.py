@@ -102,31 +102,56 @@ def top(counts: DataFrame, k: int) -> DataFrame:
 
 
 def several(labelled: DataFrame, stats: dict[int, tuple[Column, list[Rule]]]) -> DataFrame:
-    """(stat_id, label, is_rule, cnt) of several statistics in one pass over the lines."""
-    each = []
+    """(stat_id, label, is_rule, rule_idx, cnt) of several statistics in one pass over the lines; rules that nothing matched too."""
+    each, titles = [], []
     for i, (label, rules) in stats.items():
-        idx = rule_index(label, list(rules))
-        title = F.element_at(F.array(*[F.lit(r.title) for r in rules]), idx + 1) if rules else label
-        each.append(F.struct(F.lit(i).alias("stat_id"), F.when(idx >= 0, title).otherwise(label).alias("label") if rules else label.alias("label"), (idx >= 0).alias("is_rule")))
-    d = labelled.select(F.explode(F.array(*each)).alias("s")).where("s.label is not null")
-    return d.groupBy("s.stat_id", "s.label", "s.is_rule").agg(F.count("*").alias("cnt"))
-
-
-def statistic(lines: DataFrame, stat: Stat, cutoff: int | None = None, include_multiline: bool = True, exact: bool = True) -> DataFrame:
-    """freq() of the JSON lines among the last_n before cutoff (all lines without one)."""
+        rules = list(rules)
+        idx = rule_index(label, rules)
+        titles += [(i, k, r.title) for k, r in enumerate(rules)]
+        each.append(F.struct(F.lit(i).alias("stat_id"), idx.alias("rule_idx"), F.when(idx < 0, label).alias("label"), label.isNotNull().alias("_found")))
+    d = labelled.select(F.explode(F.array(*each)).alias("s")).where("s._found")
+    counts = d.groupBy("s.stat_id", "s.rule_idx", "s.label").agg(F.count("*").alias("cnt"))
+    own = counts.where("rule_idx < 0").select("stat_id", "label", F.lit(False).alias("is_rule"), "rule_idx", "cnt")
+    if not titles:
+        return own
+    names = labelled.sparkSession.createDataFrame(titles, "stat_id int, rule_idx int, title string")
+    ruled = F.broadcast(names).join(counts.where("rule_idx >= 0").drop("label"), ["stat_id", "rule_idx"], "left")
+    return ruled.select("stat_id", F.col("title").alias("label"), F.lit(True).alias("is_rule"), "rule_idx", F.coalesce("cnt", F.lit(0)).alias("cnt")).unionByName(own)
+
+
+def totals(counts: DataFrame, by: tuple = ()) -> DataFrame:
+    """(total, dropped, pending) of a statistic's counts: all that was counted; Spark holds sources back, so nothing is dropped or waits."""
+    return counts.groupBy(*by).agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("total"), F.lit(0).cast("long").alias("dropped"), F.lit(0).cast("long").alias("pending"))
+
+
+def statistic(lines: DataFrame, stat: Stat, cutoff: int | None = None, include_multiline: bool = True, exact: bool = True, live: bool = False) -> DataFrame:
+    """freq() of the JSON lines among the last_n before cutoff (all lines without one); live: and of all from the cutoff on."""
     d = lines.where("line_type = 'json' and json is not null")
     if not include_multiline:
         d = d.where("group_id = 0")
     if cutoff is not None:
-        d = d.where((F.col("line_no") >= max(0, cutoff - stat.last_n)) & (F.col("line_no") < cutoff))
+        d = d.where(F.col("line_no") >= max(0, cutoff - stat.last_n))
+        d = d if live else d.where(F.col("line_no") < cutoff)
     label = (exact_label if exact else fast_label)(F.col("json"), stat.path)
     return freq(d.select(label.alias("label")), stat.rules)
 
 
+def merged(*counts: DataFrame) -> DataFrame:
+    """Counts of a statistic from several sources, such as history before a cutoff and a stream's from it on, as one."""
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out.groupBy("label", "is_rule", "rule_idx").agg(F.sum("cnt").cast("long").alias("cnt"))
+
+
+#: Accuracy of percentiles' sketch.
+ACCURACY = 100_000
+
+
 def numeric(labelled: DataFrame, label: str = "label") -> DataFrame:
-    """avg, p99, min and max of labels that are numbers (an extension)."""
+    """n, avg, p99, min and max of labels that are numbers (an extension). p99 is an element: a sketch's, of rank error below n / ACCURACY."""
     x = F.col(label).try_cast("double")
-    return labelled.agg(F.count(x).alias("n"), F.avg(x).alias("avg"), F.percentile(x, 0.99).alias("p99"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return labelled.agg(F.count(x).alias("n"), F.avg(x).alias("avg"), F.percentile_approx(x, 0.99, ACCURACY).alias("p99"), F.min(x).alias("min"), F.max(x).alias("max"))
 
 
 def bars(counts: DataFrame, width: int) -> DataFrame:

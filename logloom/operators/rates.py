@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEEPING_UP_MS = 100.0
+LAG_TAG = r"^\[LLB:(\d+)\] "
 
 
 def _at(sorted_lags: Column, q: float) -> Column:
@@ -19,7 +20,7 @@ def rate_windows(arrivals: DataFrame, seconds: float = 1.0, ts: str = "arrival_u
     ts is in microseconds, lag in nanoseconds or null. A bucket's lags are sorted together: they are bounded by its rate.
     """
     first = arrivals.groupBy(*by).agg(F.min(ts).alias("_first"))
-    d = arrivals.join(F.broadcast(first), list(by)) if by else arrivals.crossJoin(F.broadcast(first))
+    d = arrivals.join(first, list(by)) if by else arrivals.crossJoin(F.broadcast(first))
     width = int(seconds * 1e6)
     d = d.withColumn("bucket", F.expr(f"({ts} - _first) div {width}"))
     g = d.groupBy(*by, "bucket").agg(F.count("*").alias("lines"), F.count(lag).alias("tagged"), F.array_sort(F.collect_list(lag)).alias("_lags"))
@@ -33,7 +34,32 @@ def run_totals(windows: DataFrame, by: tuple = ("stream_id",), keeping_up_ms: fl
     return windows.groupBy(*by).agg(F.sum("lines").alias("lines"), F.max("rate").alias("peak_rate"), F.coalesce(F.max(kept), F.lit(0.0)).alias("peak_sustained_rate"), F.coalesce(F.max("lag_max_ms"), F.lit(0.0)).alias("max_lag_ms"))
 
 
-def as_text(windows: DataFrame) -> DataFrame:
-    """One key=value line for each bucket."""
+def tagged_lines(lines: DataFrame, text: str = "text") -> DataFrame:
+    """(stream_id, arrival_us, lag_ns) of lines whose prefix tells when they were written, in nanoseconds since 1970; arrival is the column arrival_us, or now."""
+    written = F.regexp_extract(text, LAG_TAG, 1).try_cast("long")
+    now = F.col("arrival_us") if "arrival_us" in lines.columns else F.unix_micros(F.current_timestamp())
+    return lines.select("stream_id", now.alias("arrival_us"), written.alias("_written")).select("stream_id", "arrival_us", (F.col("arrival_us") * 1000 - F.col("_written")).alias("lag_ns"))
+
+
+def as_text(windows: DataFrame, seconds: float = 1.0) -> DataFrame:
+    """One key=value line for each bucket; t is its begin in seconds from the first arrival."""
     lag = F.format_string(" lag_p50_ms=%.3f lag_p95_ms=%.3f lag_p99_ms=%.3f lag_max_ms=%.3f", "lag_p50_ms", "lag_p95_ms", "lag_p99_ms", "lag_max_ms")
-    return windows.select(F.concat(F.format_string("rate_window bucket=%d lines=%d rate=%.0f tagged=%d", "bucket", "lines", "rate", "tagged"), F.when(F.col("tagged") > 0, lag).otherwise("")).alias("text"))
+    head = F.format_string("rate_window t=%.3f lines=%d rate=%.0f tagged=%d", F.col("bucket") * F.lit(float(seconds)), "lines", "rate", "tagged")
+    return windows.select(F.concat(head, F.when(F.col("tagged") > 0, lag).otherwise("")).alias("text"))
+
+
+def totals_text(arrivals: DataFrame, windows: DataFrame, ts: str = "arrival_us", by: tuple = ("stream_id",), keeping_up_ms: float = KEEPING_UP_MS) -> DataFrame:
+    """(by, ord, text): the key=value lines that end a run: lines, time from the first arrival to the last, throughput, and peaks."""
+    span = arrivals.groupBy(*by).agg(((F.max(ts) - F.min(ts)) / 1000.0).alias("_ms"))
+    d = run_totals(windows, by, keeping_up_ms).join(windows.groupBy(*by).agg(F.sum("tagged").alias("_tagged")), list(by)).join(span, list(by))
+    lagged = F.col("_tagged") > 0
+    texts = [
+        F.format_string("ingest_lines=%d", "lines"),
+        F.format_string("ingest_ms=%.3f", "_ms"),
+        F.when(F.col("_ms") > 0, F.format_string("ingest_throughput_lines_per_sec=%.0f", F.try_divide(F.col("lines") * 1000.0, "_ms"))),
+        F.format_string("peak_rate_per_sec=%.0f", "peak_rate"),
+        F.when(lagged, F.format_string("tagged_lines=%d", "_tagged")),
+        F.when(lagged, F.format_string("max_lag_ms=%.3f", "max_lag_ms")),
+        F.when(lagged, F.format_string(f"peak_sustained_rate_per_sec=%.0f sustained_p95_threshold_ms={keeping_up_ms:.1f}", "peak_sustained_rate")),
+    ]
+    return d.select(*by, F.posexplode(F.array_compact(F.array(*texts))).alias("ord", "text"))

@@ -129,3 +129,21 @@ def aligned_text(lines: DataFrame) -> DataFrame:
     d = d.withColumn("_cells", F.zip_with(begins, ends, lambda a, b: F.substring(F.col("raw"), a + 1, F.greatest(F.lit(0), b - a))))
     shown = F.filter(F.arrays_zip("_cells", "_w"), lambda x: x["_w"]["width"] > 0)
     return d.withColumn("text", F.array_join(F.transform(shown, lambda x: F.rpad(F.coalesce(x["_cells"], F.lit("")), x["_w"]["width"].cast("int"), F.lit(" "))), " │ ")).drop("_cells", "_w")
+
+
+def separated_text(lines: DataFrame) -> DataFrame:
+    """Lines of space-aligned tables with text: the gaps of two or more blanks that hold one of the header's columns end in a bar, right before the next column."""
+    d = lines.where((F.col("line_type") == "table") & (F.size("tab_gaps") == 0))
+    runs = F.regexp_extract_all("raw", F.lit("( {2,}|[^ ]+(?: [^ ]+)*| )"), F.lit(1))
+    # pieces of the line with the byte at which each begins
+    ends = F.aggregate(runs, F.expr("array(0)"), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.octet_length(p))))
+    d = d.withColumn("_runs", runs).withColumn("_ends", ends)
+    columns = F.slice("columns", 2, F.greatest(F.lit(0), F.size("columns") - 1))
+
+    def shown(p: Column, i: Column) -> Column:
+        lo, hi = F.get("_ends", i), F.get("_ends", i + 1)
+        gap = F.regexp_like(p, F.lit("^ {2,}$")) & (lo > 0) & F.exists(columns, lambda c: (c >= lo) & (c <= hi))
+        bar = F.concat(F.repeat(F.lit(" "), F.length(p) - 1), F.lit("│"))
+        return F.when(gap, bar).otherwise(p)
+
+    return d.withColumn("text", F.array_join(F.transform("_runs", shown), "")).drop("_runs", "_ends")

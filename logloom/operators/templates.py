@@ -6,6 +6,7 @@ merged, in their order of first appearance.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 
@@ -131,27 +132,55 @@ def merged_skeleton(a: str, b: str) -> str:
 def merge(clusters: list[tuple[str, list]], lines: int) -> list[tuple[str, list]]:
     """Merges the most alike pair (of equals the first) until none is alike enough; (skeleton, members) in order.
 
-    Similarities are kept in a table and only those of a merged cluster computed anew.
+    Pairs wait in a heap. Only those that share a word and whose numbers of words allow the least similarity asked for
+    are compared: of two empty skeletons there is one only. A merged cluster takes the first one's place.
     """
     target = max(2, math.ceil(math.sqrt(lines)))
     if len(clusters) <= target:
         return clusters
     items = {i: (s, m, Counter(s.split())) for i, (s, m) in enumerate(clusters)}
-    table = {(i, j): alike(items[i][2], items[j][2]) for i in items for j in items if i < j}
-    while len(items) > 1:
-        (i, j), sim = min(table.items(), key=lambda e: (-e[1], e[0]))
-        if sim <= (STRICT if len(items) <= target else LOOSE):
+    size = {i: c.total() for i, (_, _, c) in items.items()}
+    holders: dict[str, set[int]] = {}
+    for i, (_, _, c) in items.items():
+        for w in c:
+            holders.setdefault(w, set()).add(i)
+    version, heap = dict.fromkeys(items, 0), []
+
+    def offer(i: int, k: int) -> None:
+        i, k = min(i, k), max(i, k)
+        if min(size[i], size[k]) > LOOSE * max(size[i], size[k]) and (sim := alike(items[i][2], items[k][2])) > LOOSE:
+            heapq.heappush(heap, (-sim, i, k, version[i], version[k]))
+
+    for i, (_, _, c) in items.items():
+        for k in set().union(*(holders[w] for w in c)) if c else ():
+            if k < i:
+                offer(i, k)
+    while heap and len(items) > 1:
+        sim, i, k, vi, vk = heapq.heappop(heap)
+        if version.get(i) != vi or version.get(k) != vk:
+            continue
+        if -sim <= (STRICT if len(items) <= target else LOOSE):
             break
-        s = merged_skeleton(items[i][0], items[j][0])
-        items[i] = (s, sorted(items[i][1] + items[j][1]), Counter(s.split()))
-        del items[j]
-        table = {k: v for k, v in table.items() if j not in k}
-        for k in items:
-            if k != i:
-                table[min(i, k), max(i, k)] = alike(items[min(i, k)][2], items[max(i, k)][2])
+        s = merged_skeleton(items[i][0], items[k][0])
+        for n in (i, k):
+            for w in items[n][2]:
+                holders[w].discard(n)
+        items[i] = (s, sorted(items[i][1] + items[k][1]), Counter(s.split()))
+        del items[k], version[k]
+        size[i], version[i] = items[i][2].total(), version[i] + 1
+        for w in items[i][2]:
+            holders.setdefault(w, set()).add(i)
+        for n in set().union(*(holders[w] for w in items[i][2])) - {i} if items[i][2] else ():
+            offer(i, n)
     return [(s, m) for _, (s, m, _) in sorted(items.items())]
 
 
+def visible_windows(lines: DataFrame, size: int = 4096, first: int = 0) -> DataFrame:
+    """lines that are not hidden, with window_id: every `size` line numbers from `first` on make one window of a stream."""
+    d = lines.where(~F.coalesce("hidden", F.lit(False))) if "hidden" in lines.columns else lines
+    return d.where(F.col("line_no") >= first).withColumn("window_id", F.concat_ws("#", "stream_id", F.expr(f"(line_no - {first}) div {size}").cast("string")))
+
+
 def templates(lines: DataFrame, window: str = "window_id") -> DataFrame:
     """(window, template, skeleton, n, first_line, skeletons) after merging; skeletons: those that a template stands for."""
     found = skeletons(lines, window)

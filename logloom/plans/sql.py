@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def register(spark: SparkSession, lines: DataFrame | None = None) -> None:
-    """json_label, json_find, spans and the table functions json_children and json_tree; views `lines` and `templates` of given lines."""
+    """json_label, json_find, spans, json_segments, json_compact, json_slices, json_level_range, json_field_path and the table functions json_children and json_tree; views `lines` and `templates` of given lines."""
     from ..functions import columns
 
     spark.udf.register("json_label", columns.json_label)
     spark.udf.register("json_find", columns.detect_json)
     spark.udf.register("spans", columns.find_spans)
+    spark.udf.register("json_segments", columns.json_segments)
+    spark.udf.register("json_compact", columns.json_compact)
+    spark.udf.register("json_slices", columns.json_slices)
+    spark.udf.register("json_level_range", columns.json_level_range)
+    spark.udf.register("json_field_path", columns.json_field_path)
     spark.udtf.register("json_children", columns.JsonChildren)
     spark.udtf.register("json_tree", columns.JsonTree)
     if lines is not None:
@@ -20,5 +25,7 @@ def register(spark: SparkSession, lines: DataFrame | None = None) -> None:
         from ..operators.templates import templates
 
         lines.createOrReplaceTempView("lines")
-        templates(lines.withColumn("window_id", F.lit(0))).createOrReplaceTempView("templates")
+        # a window is 4096 lines of a stream: no task merges the templates of a whole one
+        windows = lines.withColumn("window_id", F.concat_ws("#", "stream_id", F.expr("line_no div 4096").cast("string")))
+        templates(windows).createOrReplaceTempView("templates")
         spark.sql("SELECT l.stream_id, l.line_no, t.* FROM lines l, LATERAL json_tree(l.json) t WHERE l.json IS NOT NULL").createOrReplaceTempView("json_nodes")

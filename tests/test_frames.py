@@ -179,3 +179,123 @@ def test_sql(spark):
 def test_table_text(spark):
     out = sequence.aligned_text(sequence.structure(lines(spark, ["a\tbbb\t\tc", "aaaa\tb\t\tcc"]))).orderBy("line_no").collect()
     assert len(out) == 2 and len({r.text.index("│") for r in out}) == 1
+
+
+def test_json_views():
+    from logloom.functions import jsonview as v
+
+    text = ' {"b" : [1, {"c":"}"}], "level":"ERR", "a\\"q": {"x":1.50}, "level": "info"} '
+    assert [(k, text[a:b]) for k, a, b in v.slices(text)] == [("b", '[1, {"c":"}"}]'), ("level", '"ERR"'), ('a"q', '{"x":1.50}'), ("level", '"info"')]
+    assert v.slices("[1, [2], ]") and v.slices("x") == [] and v.slices('{"a" 1}') == []
+    lo, hi = v.level_range(text)
+    assert text[lo:hi] == '"ERR"' and v.level_range('{"level":3}') is None and v.level_range('{"l\\u0065vel":"x"}') is None
+    assert v.compact('{"z":1,"a":[true,null,"é"],"n":{}}', 80) == '{"z": 1, "a": [true, null, "é"], "n": {}}'
+    assert v.compact('{"z":1,"a":2}', 8) == '{"z":...' and v.compact('{"z":1}', 2) == '{"' and v.compact("[1]", 0) == "" and v.compact("{", 9) is None
+    assert v.compact('["日本語"]', 8) == '["日...' and v.compact('["日本語"]', 10) == '["日本語"]'
+    from logloom.functions.jsonx import parse
+
+    value = parse('{"a":{"b":[1,{"c":2}]},"d\\"e":3}')
+    assert v.field_path(value, [0, 0]) == ["a", "b"] and v.field_path(value, [0, 0, 0]) is None and v.field_path(value, [1]) == ["d\\"] and v.field_path(value, [5]) is None
+    order, at = [], []
+    while (at := v.next_visible(value, at)) is not None:
+        order.append(at)
+    assert order == [[0], [0, 0], [0, 0, 0], [0, 0, 1], [0, 0, 1, 0], [1]]
+    assert [v.prev_visible(value, x) for x in order] == [None, *order[:-1]] and v.last_visible(value) == [1]
+    assert v.next_visible(value, [0], {()}) == [1] and v.prev_visible(value, [1], {(), (0,)}) == [0, 0] and v.last_visible(value, set()) is None
+    assert v.next_expandable(value, [0]) == [0, 0] and v.next_expandable(value, [0, 0, 1]) is None
+
+
+def test_json_segments(spark):
+    from logloom.functions import columns
+
+    raw = 'at 10.0.0.1 got {"level":"warn","k":[1]} and {"k":"v"} end'
+    d = spark.createDataFrame([(raw,), ("none",), (None,)], "raw string").select(columns.json_segments("raw").alias("s"))
+    got = [None if r.s is None else [(x.text, x.style) for x in r.s] for r in d.collect()]
+    assert got[0] == [("at ", "plain"), ("10.0.0.1", "ip"), (" got ", "plain"), ('{"level":', "json"), ('"warn"', "level-warn"), (',"k":[1]}', "json"), (" and ", "plain"), ('{"k":"v"}', "json"), (" end", "plain")]
+    assert got[1:] == [[], None]
+
+
+def test_pipe_and_command(spark, tmp_path):
+    import io
+    import sys
+
+    from logloom.plans import config
+    from logloom.sources import process
+
+    d = process.read_pipe(spark, io.BytesIO(b"a\r\nb\n\nc"), str(tmp_path / "p"))
+    assert [(r.line_no, r.text) for r in d.orderBy("line_no").collect()] == [(0, "a"), (1, "b"), (2, ""), (3, "c")]
+    assert list(process.split_lines([b"a\n" + b"x" * 10, b"y\nb\n"], 8)) == ["a"] and process.read_pipe(spark, io.BytesIO(b""), str(tmp_path / "e")).count() == 0
+    code = "import sys; print('out'); print('err', file=sys.stderr); sys.exit(3)"
+    d, exit_code = process.run_command(spark, [sys.executable, "-c", code], str(tmp_path / "c"))
+    assert exit_code == 3 and sorted((r.text, r.source) for r in d.collect()) == [("err", "stderr"), ("out", "stdout")]
+    c = process.Command([sys.executable, "-c", "import signal,time; signal.signal(signal.SIGTERM, signal.SIG_IGN); print('up', flush=True); time.sleep(60)"])
+    assert next(c.lines()) == ("up", "stdout") and c.exit_code == -1
+    c.stop(0.2)
+    assert c.process.wait(10) == -9 and c.exit_code == -1
+    o = config.parse(["--no-follow", "-x", "--max-disk", "2K", "--bench", str(tmp_path / "m"), "--odd", "--", "ls", "-l"])
+    assert (o.follow, o.exit_on_eof, o.max_disk, o.command, o.unknown, o.mode) == (False, True, 2048, ["ls", "-l"], ["--odd"], "command")
+    assert config.parse(["-v"]).mode == "version" and config.parse([]).mode == "pipe" and config.parse(["-h"]).mode == "help"
+    for bad in (["--bench"], ["--max-disk", "x"]):
+        with pytest.raises(ValueError):
+            config.parse(bad)
+    typed, code = config.run(spark, config.Options(bench=str(tmp_path / "m")), str(tmp_path / "r"), io.BytesIO(b'[LLB:5] {"a":1}\nplain\n'))
+    assert code == -1 and [r.line_type for r in typed.orderBy("line_no").collect()] == ["json", "plain"]
+    assert spark.read.text(str(tmp_path / "m")).first()[0].startswith("rate_window t=0.000 lines=2")
+
+
+def test_statistics_over_a_cutoff(spark):
+    d = spark.createDataFrame([(i, "json", f'{{"k":"{i % 3}"}}', 0) for i in range(30)], "line_no long, line_type string, json string, group_id long")
+    s = freq.Stat(["k"], [freq.Rule("2", "two"), freq.Rule("9", "nine")], last_n=9)
+    counts = lambda d: {(r.label, r.is_rule): r.cnt for r in d.collect()}
+    back, both = freq.statistic(d, s, 15), freq.statistic(d, s, 15, live=True)
+    assert counts(back) == {("two", True): 3, ("nine", True): 0, ("0", False): 3, ("1", False): 3}
+    on = freq.statistic(d.where("line_no >= 15"), s)
+    assert counts(freq.merged(back, on)) == counts(both) and freq.totals(both).first().total == 24
+    many = freq.several(d.select("json"), {1: (freq.fast_label(F.col("json"), ["k"]), s.rules), 2: (freq.fast_label(F.col("json"), ["z"]), [freq.Rule("a")])})
+    assert {(r.stat_id, r.label, r.is_rule): r.cnt for r in many.collect()} == {(1, "two", True): 10, (1, "nine", True): 0, (1, "0", False): 10, (1, "1", False): 10, (2, "a", True): 0}
+
+
+def test_cut_texts_and_sizes(spark):
+    from logloom.operators import classify
+
+    d = spark.createDataFrame([("abcdef",), ("éé",), ("abc",), (None,)], "t string")
+    f = lambda w: [r[0] for r in d.select(classify.truncated(F.col("t"), w)).collect()]
+    assert f(4) == ["abc…", "éé", "abc", None] and f(3) == ["abc", "é", "abc", None] and f(0)[:3] == ["", "", ""] and f(6)[0] == "abcdef"
+    sizes = spark.createDataFrame([(5,), (1536,), (3 << 20,), (3 << 29,)], "n long")
+    assert [r[0] for r in sizes.select(classify.short_bytes(F.col("n"))).collect()] == ["5B", "1KB", "3MB", "1.5GB"]
+
+
+def test_dates(spark):
+    from logloom.functions import dates
+
+    d = lines(spark, ["x 2024-01-02 03:04:05.5 y", "none", "2024/01/02 03:04:07 z", "2024-13-01 00:00:00"]).withColumnRenamed("text", "raw")
+    assert [r.seconds for r in dates.since_line_before(d).orderBy("line_no").collect()] == [None, None, 1.5, None]
+
+
+def test_separated_tables(spark):
+    d = sequence.structure(lines(spark, ["NAME    READY   STATUS", "a  b    1/1     Running", "long    0/1     Down"]))
+    out = [r.text for r in sequence.separated_text(d).orderBy("line_no").collect()]
+    assert out == ["NAME   │READY  │STATUS", "a  b   │1/1    │Running", "long   │0/1    │Down"]
+
+
+def test_merge_by_heap_is_merge_by_table():
+    """Against all pairs compared anew at each step."""
+    import math
+    from collections import Counter
+
+    def plain(clusters, n):
+        target, items = max(2, math.ceil(math.sqrt(n))), list(clusters)
+        while len(clusters) > target and len(items) > 1:
+            sims = [(-templates.alike(Counter(a[0].split()), Counter(b[0].split())), i, i + 1 + j) for i, a in enumerate(items) for j, b in enumerate(items[i + 1 :])]
+            sim, i, j = min(sims)
+            if -sim <= (templates.STRICT if len(items) <= target else templates.LOOSE):
+                break
+            items[i] = (templates.merged_skeleton(items[i][0], items[j][0]), sorted(items[i][1] + items[j][1]))
+            del items[j]
+        return items
+
+    r = random.Random(2)
+    for _ in range(60):
+        made = list(dict.fromkeys(" ".join(r.choice("abcdef*") for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(2, 30))))
+        clusters = [(s, [i]) for i, s in enumerate(made)]
+        assert templates.merge(clusters, len(made)) == plain(clusters, len(made))
