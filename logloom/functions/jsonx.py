@@ -91,7 +91,7 @@ def label(v) -> str:
     return v if isinstance(v, str) else number(v) if isinstance(v, float) else dumped(v)
 
 
-_LEVELS = {w: level for level, words in rx.LEVELS.items() for w in words.split()}
+_LEVELS = {w: level for level, words in rx.LEVELS.items() for w in words}
 
 
 def level(v) -> str:

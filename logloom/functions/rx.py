@@ -34,16 +34,23 @@ SOURCE_REF = r"\b([\w./-]+\.(?:go|py|js|ts|tsx|jsx|rs|java|rb|c|cpp|h|hpp|cs|swi
 K8S_GROUPED = r"\b([a-z]+(?:\.[a-z][a-z0-9.]*)+)/([a-zA-Z0-9._-]+)\b"
 K8S_SIMPLE = r"\b([a-z]+)/([a-zA-Z0-9._-]+)\b"
 K8S_KINDS = (
-    "pod pods deployment deployments service services svc configmap configmaps cm secret secrets namespace namespaces ns node nodes "
-    "daemonset daemonsets ds statefulset statefulsets sts replicaset replicasets rs job jobs cronjob cronjobs cj ingress ingresses ing "
-    "persistentvolume pv persistentvolumeclaim pvc serviceaccount sa role clusterrole rolebinding clusterrolebinding networkpolicy netpol "
-    "customresourcedefinition crd gateway gateways"
-).split()
+    "pod", "pods", "deployment", "deployments", "service", "services", "svc", "configmap", "configmaps", "cm", "secret", "secrets", "namespace",
+    "namespaces", "ns", "node", "nodes", "daemonset", "daemonsets", "ds", "statefulset", "statefulsets", "sts", "replicaset", "replicasets", "rs",
+    "job", "jobs", "cronjob", "cronjobs", "cj", "ingress", "ingresses", "ing", "persistentvolume", "pv", "persistentvolumeclaim", "pvc",
+    "serviceaccount", "sa", "role", "clusterrole", "rolebinding", "clusterrolebinding", "networkpolicy", "netpol", "customresourcedefinition", "crd",
+    "gateway", "gateways",
+)
 JSON_KEY = r'"[\w]+"\s*:'
 SHELL_VAR = r"\$\{[^}]+\}"
 FORMAT_PLACEHOLDER = r"\{[%\d]\w*\}"
 UNWRAPPED_JSON = r'^\s*"[\w.-]+":\s*[\[{"]'
-LEVELS = {"error": "error err", "fatal": "fatal panic crit critical alert emerg", "warn": "warn warning", "info": "info notice", "debug": "debug trace"}
+LEVELS = {
+    "error": ("error", "err"),
+    "fatal": ("fatal", "panic", "crit", "critical", "alert", "emerg"),
+    "warn": ("warn", "warning"),
+    "info": ("info", "notice"),
+    "debug": ("debug", "trace"),
+}
 #: Masks of a token in order; None stands for the mixed-run rule of templates.
 MASKS = [
     (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}(?::?\d{2})?)?", "*"),
@@ -70,7 +77,9 @@ MASKS = [
     (r"\"\d+\"", '"*"'),
     (r"\b\d{4,}\b", "*"),
 ]
-PROGRESS_KEYS = "frame fps bitrate total_size out_time_us out_time_ms out_time dup_frames drop_frames speed progress".split()
+PROGRESS_KEYS = [
+    "frame", "fps", "bitrate", "total_size", "out_time_us", "out_time_ms", "out_time", "dup_frames", "drop_frames", "speed", "progress",
+]
 # End of fixed values.
 
 #: CSI and OSC escapes, and two-byte ones. Ours: results on other escapes aren't fixed by anything.

@@ -50,7 +50,7 @@ def normal_level(word: Column) -> Column:
     w = F.lower(F.trim(word))
     out = F.lit("")
     for level, words in rx.LEVELS.items():
-        out = F.when(w.isin(*words.split()), level).otherwise(out)
+        out = F.when(w.isin(*words), level).otherwise(out)
     return F.coalesce(out, F.lit(""))
 
 

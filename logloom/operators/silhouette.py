@@ -39,12 +39,14 @@ def braille(marks: DataFrame, width: int) -> DataFrame:
     left, right = (0x01, 0x02, 0x04, 0x40), (0x08, 0x10, 0x20, 0x80)
     d = marks.groupBy("stream_id", "row").agg(F.max("status").alias("status"), F.collect_list(F.struct("sub_row", "beg", "end")).alias("_m"))
 
+    def covers(column, k):
+        return lambda m: (m["sub_row"] == k) & (column >= m["beg"]) & (column < m["end"])
+
     def dots(cell):
         total = F.lit(0)
         for k in range(4):
             for side, bits in ((0, left), (1, right)):
-                on = F.exists("_m", lambda m, k=k, side=side: (m["sub_row"] == k) & (cell * 2 + side >= m["beg"]) & (cell * 2 + side < m["end"]))
-                total = total + F.when(on, bits[k]).otherwise(0)
+                total = total + F.when(F.exists("_m", covers(cell * 2 + side, k)), bits[k]).otherwise(0)
         code = F.lit(0x2800) + total
         utf8 = F.concat(F.lit("E2"), F.hex(F.lit(0x80) + F.shiftright(F.shiftleft(code, 20), 26).bitwiseAND(0x3F)), F.hex(F.lit(0x80) + code.bitwiseAND(0x3F)))
         return F.decode(F.unhex(utf8), "UTF-8")

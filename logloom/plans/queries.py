@@ -77,7 +77,7 @@ UNION ALL SELECT 2, user_id::VARCHAR, false, count(*) FROM events GROUP BY 2
 """)
 def multi_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = F.col("json")
-    return freq.several(_event_lines(spark, sf_dir), {1: (freq.fast_label(j, ["type"]), RULES[:1]), 2: (freq.fast_label(j, ["user"]), [])})
+    return freq.several(_event_lines(spark, sf_dir), {1: (freq.fast_label(j, ["type"]), RULES[:1]), 2: (freq.fast_label(j, ["user"]), [])}).drop("rule_idx")
 
 
 @query("""
@@ -407,28 +407,51 @@ def k8s_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "nation").select("n_nationkey", classify.is_k8s_resource(ref).alias("likely"))
 
 
-@query("SELECT 2000 AS n, 2000 AS e")
+@query("""
+SELECT v.check_name, 2000 AS n FROM (VALUES ('level'), ('dd.trace_id'), ('dd.span_id'), ('http.method'), ('http.url'), ('http.headers'), ('error'), ('time'), ('app.tenant_name'), ('http.duration_ms')) v(check_name)
+UNION ALL SELECT 'status ' || s, 1 FROM (VALUES (200), (206), (204), (404), (403), (499), (500), (503)) w(s)
+""")
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = generate.access_log(spark, 2000, 7)
-    status = F.get_json_object("text", "$['http.status_code']").cast("int")
-    return d.agg(F.count("*").alias("n"), F.sum(((status >= 400) == F.get_json_object("text", "$.error").isNotNull()).cast("int")).alias("e"))
-
-
-@query("SELECT i AS tick, i * 0.001::DOUBLE AS t, CASE WHEN i = 0 THEN 0 ELSE i END::BIGINT AS due FROM range(0, 1000) r(i)")
+    """How many lines pass each check of a field; of each status, 1 if its share is within 5 standard deviations of its weight."""
+    n = 2000
+    d = generate.access_log(spark, n, 7)
+    field = lambda name: F.get_json_object("text", f"$['{name}']")
+    status = field("http.status_code").cast("int")
+    looks = lambda name, pattern: F.regexp_like(field(name), F.lit(pattern))
+    level = F.expr("case " + " ".join(f"when s = {s} then '{lev}'" for s, lev, _ in generate.STATUS_MIX) + " end")
+    checks = {
+        "level": field("level") == level, "dd.trace_id": looks("dd.trace_id", "^[0-9a-f]{16}$") | looks("dd.trace_id", "^[0-9a-f]{32}$"),
+        "dd.span_id": looks("dd.span_id", "^[0-9a-f]{8}$") | looks("dd.span_id", "^[0-9a-f]{16}$"), "http.method": field("http.method").isin(*generate.METHODS),
+        "http.url": looks("http.url", "^/[a-z]+/archive/%7B[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}%7D/[0-9a-f]+$"),
+        "http.headers": F.get_json_object("text", "$['http.headers']['X-Tenant-Name']") == field("app.tenant_name"), "error": (status >= 400) == field("error").isNotNull(),
+        "time": looks("time", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"), "app.tenant_name": field("app.tenant_name").isin(*generate.TENANTS), "http.duration_ms": field("http.duration_ms").cast("long").between(0, 180_000),
+    }
+    d = d.withColumn("s", status)
+    each = F.array(*[F.struct(F.lit(k).alias("check_name"), F.coalesce(c, F.lit(False)).cast("int").alias("ok")) for k, c in checks.items()])
+    fields = d.select(F.explode(each).alias("c")).groupBy("c.check_name").agg(F.sum("c.ok").cast("int").alias("n"))
+    total = sum(w for *_, w in generate.STATUS_MIX)
+    share = F.expr("case " + " ".join(f"when s = {s} then {w / total}D" for s, _, w in generate.STATUS_MIX) + " end")
+    near = F.abs(F.count("*") - n * F.max("p")) <= 5 * F.sqrt(n * F.max("p") * (1 - F.max("p")))
+    mix = d.withColumn("p", share).groupBy("s").agg(near.cast("int").alias("n"))
+    return fields.unionByName(mix.select(F.concat(F.lit("status "), F.col("s").cast("string")).alias("check_name"), "n"))
+
+
+@query("SELECT i AS tick, i * 0.001::DOUBLE AS t, i AS due FROM range(0, 1000) r(i)")
 def load_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = generate.schedule(spark, generate.stepped([1000.0], 10.0), 1.0)
-    return d.select("tick", "t", F.round("t", 3).alias("_"), F.floor(F.col("due") + F.when(F.col("due") < F.col("tick"), 1).otherwise(0)).alias("due")).drop("_")
+    return generate.schedule(spark, generate.stepped([1000.0], 10.0), 1.0)
 
 
 @query("SELECT event_type AS label, count(*) AS cnt FROM events GROUP BY 1")
 def stream_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A statistic over the events as a stream of files, run to its end."""
-    import tempfile
-
     from ..streaming.live import live_freq, run_available
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     _event_lines(spark, sf_dir).select("json").write.parquet(f"{base}/in")
     d = spark.readStream.schema("json string").parquet(f"{base}/in").select(freq.fast_label(F.col("json"), ["type"]).alias("label"))
     run_available(live_freq(d, F.lit(-1)), f"{base}/out", f"{base}/check", "complete")
     return spark.read.parquet(f"{base}/out").select("label", "cnt")
+
+
+from . import line_queries  # noqa: E402, F401  (adds its own)
