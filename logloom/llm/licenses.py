@@ -111,6 +111,153 @@ CLAUSES = [
     ("copyright", "copyright", 1, r"copyright(?: c)? (?:19|20)[0-9][0-9]"),
     ("eula", "user", 2, r"end user licen[cs]e agreement"),
     ("noncommercial", "commercial", 1, r"(?:for )?non commercial use only"),
+    ("mit", "sublicense", 3, r"rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "permission", 2, r"the above copyright notice and this permission notice shall be included in all copies"),
+    ("mit", "opensource", 3, r"opensource org licenses mit(?: license)?(?: php)?"),
+    ("mit", "attribution", 2, r"mit no attribution license"),
+    ("mit", "modern", 2, r"mit license modern variant"),
+    ("bsd", "endorse", 3, r"neither the name of(?: [a-z0-9]{1,20}){1,14} nor the names of (?:its|their) contributors may be used to endorse or promote products"),
+    ("bsd", "redistribution", 2, r"redistribution and use (?:of this software )?in source and binary forms"),
+    ("bsd", "redistributions", 2, r"redistributions must (?:retain|reproduce) the above copyright notice"),
+    ("bsd", "opensource", 3, r"opensource org licenses bsd (?:license(?: php)?|[23] clause)"),
+    ("bsd", "bsd", 2, r"bsd (?:style|like|type) licen[cs]e"),
+    ("bsd", "bsd", 3, r"bsd (?:zero|0|1|2|3|4) clause (?:patent |clear )?licen[cs]e"),
+    ("bsd", "redistribution", 2, r"redistribution and use in source and binary forms are permitted provided that"),
+    ("apache", "contributor", 3, r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache", "applicable", 3, r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache", "governing", 3, r"see the license for the specific language governing permissions and limitations under the license"),
+    ("apache", "endorse", 3, r"the names apache(?: server)? and apache (?:group|software foundation) must not be used to endorse"),
+    ("apache", "apache", 3, r"apache org licenses license (?:1 [01]|2 0)(?: txt| html)?"),
+    ("apache", "apache", 3, r"licensed under the apache license version 2 0 the license"),
+    ("gpl", "redistribute", 2, r"is free software you can redistribute it and or modify it"),
+    ("gpl", "useful", 2, r"is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "received", 3, r"you should have received a copy of the gnu general public license"),
+    ("gpl", "version", 2, r"either version [123] of the license or at your option any later version"),
+    ("gpl", "gnu", 3, r"gnu org (?:licenses|copyleft) gpl(?: [123] 0)?(?: html| txt)?"),
+    ("gpl", "gpl", 2, r"gpl [123] 0 (?:only|or later)"),
+    ("gpl", "gpl", 2, r"gpl ?v(?:ersion)? ?[123](?: or (?:later|newer|above)| only)?"),
+    ("gpl", "exception", 2, r"general public license(?: version [23])? with (?:the )?(?:classpath|linking|runtime library|font|bison|autoconf) exception"),
+    ("lgpl", "received", 3, r"you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "gnu", 3, r"gnu org licenses (?:lgpl|lesser)(?: [23] [01])?(?: html| txt)?"),
+    ("lgpl", "lgpl", 2, r"lgpl ?v(?:ersion)? ?(?:2 1|2|3)(?: or (?:later|newer|above)| only)?"),
+    ("lgpl", "redistribute", 3, r"you can redistribute it and or modify it under the terms of the gnu library general public license"),
+    ("lgpl", "lesser", 2, r"gnu library or lesser general public license"),
+    ("agpl", "received", 3, r"you should have received a copy of the gnu affero general public license"),
+    ("agpl", "gnu", 3, r"gnu org licenses agpl(?: 3 0)?(?: html| txt)?"),
+    ("agpl", "agpl", 2, r"agpl ?v(?:ersion)? ?[13](?: or (?:later|newer|above)| only)?"),
+    ("agpl", "remote", 2, r"remote network interaction use with the gnu general public license"),
+    ("gfdl", "document", 3, r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", "gnu", 3, r"gnu org licenses fdl(?: 1 [123])?(?: html| txt)?"),
+    ("mpl", "mozilla", 3, r"this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "mozilla", 3, r"the contents of this file are subject to the mozilla public license version 1 [01]"),
+    ("mpl", "basis", 2, r"software distributed under the license is distributed on an as is basis without warranty of any kind"),
+    ("mpl", "incompatible", 3, r"incompatible with secondary licenses as defined by the mozilla public license"),
+    ("mpl", "mozilla", 2, r"mozilla public license v(?:ersion)? ?(?:1 [01]|2 0)"),
+    ("epl", "accompanying", 3, r"accompanying materials are made available under the terms of the eclipse (?:public|distribution) license"),
+    ("epl", "eclipse", 2, r"eclipse public license v(?:ersion)? ?[12](?: 0)?"),
+    ("cpl", "common", 2, r"common public license(?: v(?:ersion)? ?(?:0 5|1 0))?"),
+    ("cddl", "development", 3, r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cddl", "cddl", 2, r"cddl license"),
+    ("zlib", "altered", 3, r"altered source versions must be plainly marked as such and must not be misrepresented"),
+    ("zlib", "zlib", 2, r"zlib libpng license(?: with acknowledgement)?"),
+    ("libpng", "png", 2, r"(?:png reference library|libpng) license"),
+    ("boost", "boost", 3, r"boost org license 1 0 txt"),
+    ("boost", "organization", 3, r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("boost", "boost", 2, r"boost software license(?: v(?:ersion)? ?1 0)?"),
+    ("unlicense", "unlicense", 2, r"unlicense org"),
+    ("unlicense", "dedicate", 3, r"dedicate any and all copyright interest in the software to the public domain"),
+    ("wtfpl", "want", 3, r"do what the f[a-z]{1,4} you want to public license"),
+    ("cc-by", "creativecommons", 3, r"creativecommons org licenses by [1234] [05]"),
+    ("cc-by-sa", "creativecommons", 3, r"creativecommons org licenses by sa [1234] [05]"),
+    ("cc-by-nc", "creativecommons", 3, r"creativecommons org licenses by nc [1234] [05]"),
+    ("cc-by-nd", "creativecommons", 3, r"creativecommons org licenses by nd [1234] [05]"),
+    ("cc-by-nc-sa", "creativecommons", 3, r"creativecommons org licenses by nc sa [1234] [05]"),
+    ("cc-by-nc-nd", "creativecommons", 3, r"creativecommons org licenses by nc nd [1234] [05]"),
+    ("cc0", "creativecommons", 3, r"creativecommons org publicdomain zero 1 0"),
+    ("public-domain", "creativecommons", 3, r"creativecommons org publicdomain mark 1 0"),
+    ("cc0", "waived", 3, r"waived all copyright and related or neighboring rights"),
+    ("cc", "creative", 2, r"licensed under a creative commons"),
+    ("cc-by-nc-sa", "noncommercial", 3, r"creative commons attribution noncommercial share ?alike(?: [1234] [05])?(?: international| unported)?"),
+    ("cc-by-nc-nd", "noderiv", 3, r"creative commons attribution noncommercial noderiv(?:s|atives)(?: [1234] [05])?(?: international| unported)?"),
+    ("cc-by-nd", "noderiv", 3, r"creative commons attribution noderiv(?:s|atives)(?: [1234] [05])?(?: international| unported)?"),
+    ("isc", "permission", 3, r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "isc", 2, r"internet (?:systems|software) consortium isc license"),
+    ("hpnd", "permission", 3, r"permission to use copy modify distribute and sell this software and its documentation for any purpose"),
+    ("hpnd", "historical", 2, r"historical permission notice and disclaimer"),
+    ("postgresql", "permission", 3, r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement"),
+    ("tcl", "authors", 3, r"the authors hereby grant permission to use copy modify distribute and license this software"),
+    ("ntp", "permission", 2, r"permission to use copy modify and distribute this software and its documentation for any purpose with or without fee"),
+    ("python", "licensee", 3, r"psf is making python available to licensee on an as is basis"),
+    ("python", "python", 3, r"python software foundation license version 2"),
+    ("python", "beopen", 3, r"beopen python open source license agreement"),
+    ("python", "cnri", 2, r"cnri (?:open source )?license agreement"),
+    ("ruby", "bsdl", 3, r"you can redistribute it and or modify it under either the terms of the 2 clause bsdl"),
+    ("php", "php", 3, r"the php license version [23] [0-9]{1,2}"),
+    ("openssl", "openssl", 3, r"openssl (?:and )?(?:original )?ssleay license"),
+    ("openssl", "whatsoever", 3, r"redistributions of any form whatsoever must retain the following acknowledge?ment"),
+    ("perl", "perl", 3, r"redistribute it and or modify it under the same terms as perl itself"),
+    ("artistic", "artistic", 2, r"the (?:clarified )?artistic license(?: v(?:ersion)? ?[12] ?0?)?"),
+    ("ofl", "font", 3, r"this font software is licensed under the sil open font license version 1 [01]"),
+    ("ofl", "font", 2, r"sil open font license(?: version)?(?: 1 [01])?"),
+    ("eupl", "eupl", 3, r"licensed under the eupl(?: version)? 1 [012]"),
+    ("ms-pl", "microsoft", 2, r"microsoft (?:limited )?public license(?: ms l?pl)?"),
+    ("proprietary", "microsoft", 2, r"microsoft software license terms"),
+    ("osl", "open", 3, r"open software license(?: v(?:ersion)? ?(?:1 [01]|2 [01]|3 0))?"),
+    ("afl", "academic", 3, r"licensed under the academic free license version [123] [0-2]"),
+    ("cecill", "cecill", 2, r"cecill(?: [abc])?(?: free software)? licen[cs]e(?: agreement)?"),
+    ("cecill", "cecill", 3, r"par la licence cecill(?: [bc])?"),
+    ("sleepycat", "sleepycat", 2, r"sleepycat license"),
+    ("beerware", "beer", 2, r"the beer ?ware license(?: revision [0-9]{1,2})?"),
+    ("json", "json", 2, r"the json license"),
+    ("ncsa", "illinois", 3, r"university of illinois (?:ncsa )?open source license"),
+    ("upl", "permissive", 2, r"universal permissive license(?: v(?:ersion)? ?1 0)?"),
+    ("busl", "business", 2, r"business source license(?: 1 [01])?"),
+    ("sspl", "side", 2, r"server side public license(?: v(?:ersion)? ?1)?"),
+    ("elastic", "elastic", 2, r"elastic license(?: 2 0| v2)?"),
+    ("commons-clause", "clause", 2, r"commons clause license condition"),
+    ("polyform", "polyform", 2, r"polyform (?:noncommercial|small business|strict|shield|perimeter|internal use) license(?: 1 0 [01])?"),
+    ("odbl", "odbl", 3, r"opendatacommons org licenses odbl(?: 1 0)?"),
+    ("odc-by", "odc", 2, r"open data commons attribution license(?: odc by)"),
+    ("pddl", "dedication", 2, r"public domain dedication and license(?: pddl)?"),
+    ("llama", "llama", 2, r"llama (?:[234] )?(?:[1-3] )?community license agreement"),
+    ("rail", "rail", 2, r"(?:bigscience|creativeml|bigcode) (?:open )?rail(?: m)? license"),
+    ("gemma", "gemma", 2, r"gemma (?:license|terms of use license)"),
+    ("w3c", "w3c", 2, r"w3c software(?: notice)? and(?: document)? license"),
+    ("unicode", "unicode", 2, r"unicode(?: inc)? license agreement"),
+    ("curl", "curl", 2, r"curl license"),
+    ("imagemagick", "imagemagick", 2, r"imagemagick license"),
+    ("ijg", "jpeg", 2, r"independent jpeg group s? ?license"),
+    ("ftl", "freetype", 2, r"(?:the )?freetype (?:project )?license"),
+    ("zpl", "zope", 2, r"zope public license(?: v(?:ersion)? ?[12] [01])?"),
+    ("qpl", "public", 2, r"q public license(?: version 1 0)?"),
+    ("nosl", "netizen", 2, r"netizen open source license"),
+    ("nasa", "nasa", 2, r"nasa open source agreement license"),
+    ("intel", "intel", 2, r"intel (?:simplified software|open source|sample source code) license"),
+    ("ecl", "educational", 2, r"educational community license(?: version)?(?: 2 0)?"),
+    ("rpl", "reciprocal", 2, r"reciprocal public license(?: 1 [15])?"),
+    ("cpal", "attribution", 2, r"common public attribution license(?: version)?(?: 1 0)?"),
+    ("apsl", "apple", 2, r"apple public source license(?: version)?(?: [12] [0-2])?"),
+    ("proprietary", "property", 2, r"licensed materials property of"),
+    ("proprietary", "sold", 2, r"this software is licensed not sold"),
+    ("proprietary", "permission", 2, r"without (?:the )?(?:express |prior ){1,2}(?:written )?(?:permission|consent and permission) of the (?:copyright )?(?:owner|publisher|author|holder)s?"),
+    ("proprietary", "confidential", 2, r"(?:strictly |company )?confidential do not (?:copy|distribute|disclose)"),
+    ("proprietary", "proprietary", 1, r"proprietary (?:and|or) trade secret"),
+    ("proprietary", "evaluation", 2, r"evaluation licen[cs]e(?: agreement)?"),
+    ("proprietary", "commercial", 1, r"commercial licen[cs]e(?: agreement)?"),
+    ("proprietary", "agreement", 1, r"software licen[cs]e agreement"),
+    ("eula", "agree", 3, r"by (?:installing|downloading|using|copying)(?: or [a-z]{2,11})? (?:the|this) software you agree to (?:be bound by )?the terms of this licen[cs]e"),
+    ("noncommercial", "commercial", 1, r"(?:for )?(?:personal |private |academic )?non ?commercial purposes(?: only)?"),
+    ("noncommercial", "commercial", 2, r"(?:may|must) not be used for commercial purposes"),
+    ("noncommercial", "commercial", 1, r"not for commercial use"),
+    ("copyright", "copyright", 1, r"copyright (?:c )?(?:by )?the (?:authors|contributors|original authors)"),
+    ("copyright", "copyright", 1, r"(?:the )?copyright holders? and contributors"),
+    ("copyright", "copyrighted", 1, r"copyrighted (?:material|work|software)"),
+    ("warranty-disclaimer", "warranty", 2, r"as is without warranty of any kind(?: either)? express(?:ed)? or implied"),
+    ("warranty-disclaimer", "warranties", 1, r"(?:disclaims? all|any express or implied|no express or implied) warranties"),
+    ("warranty-disclaimer", "warranty", 1, r"without even the implied warranty of"),
+    ("warranty-disclaimer", "warranty", 1, r"(?:absolutely no|there is no|no) warranty"),
+    ("multi-license", "licensed", 1, r"(?:dual|triple|multi) licensed"),
+    ("multi-license", "relicensed", 1, r"relicensed (?:under|from)"),
 ]
 #: A text is looked at if any of these stands in it in some case, or `under` and one of the words before it. Each rule
 #: implies one of them: single words, as any punctuation may part two.

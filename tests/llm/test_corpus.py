@@ -343,7 +343,7 @@ def test_licenses_gates_follow_from_rules(spark):
             t = said(rule["rx"], r)
             if re.search(rule["rx"], t):
                 rows.append((k, t if r.random() < 0.5 else t.upper().replace(" ", ",\n"), ""))
-    assert {k for k, _, _ in rows} == set(range(len(licenses.rules()))) and len(licenses.rules()) == 282
+    assert {k for k, _, _ in rows} == set(range(len(licenses.rules()))) and len(licenses.rules()) == 429
     gated = licenses.scan_licenses(frame(spark, rows)).select("doc_id", "text", "detections")
     opened = licenses.scan_licenses(frame(spark, [(k, t + " copyright licen under", "") for k, t, _ in rows])).select("detections")
     for (k, t, found), (wide,) in zip(gated.collect(), opened.collect(), strict=True):
@@ -352,6 +352,28 @@ def test_licenses_gates_follow_from_rules(spark):
         assert any(x["label"] == rule["label"] or x["prio"] >= rule["prio"] for x in found), (rule, t)
 
 
+def test_licenses_against_a_plain_loop(spark):
+    """All rules on all texts, without gates, keywords or priorities' arrays."""
+    r = random.Random(14)
+    rules = licenses.rules()
+    filler = ["the", "under", "license", "copyright", "mit", "gnu", "x", "general", "public", "domain", "é2"]
+    rows = [(None, None, "")]
+    for k in range(150):
+        parts = []
+        for _ in range(r.randrange(6)):
+            parts += [said(r.choice(rules)["rx"], r)] + [r.choice(filler) for _ in range(r.randrange(4))]
+        rows.append((k, r.choice([" ", ", ", "\n"]).join(parts), ""))
+    got = licenses.scan_licenses(frame(spark, rows)).collect()
+    for x in got:
+        norm = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in x.text or "")))
+        hits = [(norm[: m.start()].count(" "), norm[: m.end()].count(" "), q["prio"], q["label"], q["rule"]) for q in rules for m in re.finditer(q["rx"], norm)]
+
+        def hidden(a):
+            return any(b[0] <= a[0] and b[1] >= a[1] and b[2] >= a[2] and (b[:2] != a[:2] or b[2] > a[2] or b[4] < a[4]) for b in hits)
+
+        assert sorted(tuple(d) for d in x.detections) == sorted(h for h in hits if not hidden(h)), x.text
+
+
 def test_licenses_names_that_end_in_license(spark):
     r = random.Random(13)
     names = [(lab, said(name, r)) for _, lab, _, name in licenses.FAMILIES if name.endswith(("license", "licen[cs]e"))]
