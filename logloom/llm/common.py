@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,28 +18,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a folder of our own."""
+    """spark.checkpoint.dir; where it is unset, as in tests on one machine, a folder of our own. On a cluster it must be set."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         d = "/tmp/logloom-checkpoint"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """The frame written as Parquet to the shared folder and read again: later jobs neither repeat nor lose it."""
     path = f"{shared_dir(df.sparkSession)}/logloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that written() has made in this process; call it when no result that rests on them is needed."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def n_parts(df: DataFrame, bytes_each: int = 8 << 20) -> int:
-    """Groups to hash rows into: at least the shuffle partitions, and one for each bytes_each of input."""
+    """Groups to hash rows into: at least the shuffle partitions, and one for each bytes_each of input.
+
+    The plan's statistics tell the input's size, but for joins, whose sizes they multiply: there the texts are measured.
+    """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > 1 << 56:  # no statistics
-        size = df.count() * 4096
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    if size > 1 << 56 or "Join" in str(plan):
+        texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema.fields if f.dataType == T.StringType()]
+        each = reduce(lambda x, y: x + y, texts, F.lit(8 * len(df.columns)))
+        size = df.agg(F.sum(each.cast("long"))).first()[0] or 0
     return max(least, -(-size // bytes_each))
 
 
@@ -49,10 +71,12 @@ def crc_mod(col, m: int):
 
 #: A text is large from this part of its value's share of a sample's bytes on.
 LARGE = 16
+#: Labels or languages that a sample is drawn for, most frequent first; a classifier knows no others.
+MOST_VALUES = 1000
 
 
-def bounded_sample(docs: DataFrame, keys: DataFrame, by: str, most_rows: int, most_bytes: int) -> list:
-    """Rows (doc_id, text, by) of docs whose doc_id is in keys (doc_id, by): about most_rows for each of at most 1000 values of `by`, and most_bytes of text in all.
+def bounded_sample(docs: DataFrame, keys: DataFrame, by: str, most_rows: int, most_bytes: int, most_values: int = MOST_VALUES) -> list:
+    """Rows (doc_id, text, by) of docs whose doc_id is in keys (doc_id, by): about most_rows for each of the most_values most frequent values of `by`, and most_bytes of text in all.
 
     Rows without text are passed over. Values have equal shares of most_bytes; what one does not need goes to those that
     need more. Texts above a LARGE-th of their value's share come after all others of it, so that one does not crowd
@@ -61,13 +85,13 @@ def bounded_sample(docs: DataFrame, keys: DataFrame, by: str, most_rows: int, mo
     """
     spark = docs.sparkSession
     keys = keys.select("doc_id", by).where(F.col("doc_id").isNotNull() & F.col(by).isNotNull())
-    counts = keys.groupBy(by).count().orderBy(F.desc("count"), by).limit(1000).collect()
+    counts = keys.groupBy(by).count().orderBy(F.desc("count"), by).limit(most_values).collect()
     if not counts:
         return []
     fine = 1 << 40
     u = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id").cast("string")), F.lit(fine))
     share = spark.createDataFrame([(r[by], min(fine, int(fine * 1.2 * most_rows / r["count"]))) for r in counts], keys.select(by).schema.add("_most", "long"))
-    ids = keys.join(F.broadcast(share), by).where(u < F.col("_most")).select("doc_id", by, u.alias("_u")).limit(2000 + 2 * most_rows * len(counts))
+    ids = keys.join(F.broadcast(share), by).where(u < F.col("_most")).select("doc_id", by, u.alias("_u")).orderBy("_u", "doc_id").limit(2000 + 2 * most_rows * len(counts))
     sizes = docs.select("doc_id", F.octet_length("text").alias("_size")).where("_size > 0").join(F.broadcast(ids), "doc_id").collect()
     of = {}
     for r in sorted(sizes, key=lambda r: (r["_u"], str(r["doc_id"]), str(r[by]), r["_size"])):

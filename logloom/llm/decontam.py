@@ -10,6 +10,8 @@ carries the spans of earlier blocks along.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -226,7 +228,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     new = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType()))]
     old = [T.StructField(f"{f.name}_so_far", f.dataType) for f in new]
     out = docs.select(*[F.col(f"`{f.name}`") for f in kept])
-    for k, block in enumerate([*_blocks(items, block_bytes)] or [[]]):
+    blocks = _blocks(items, block_bytes)
+    for k, block in enumerate(chain([next(blocks, [])], blocks)):  # one block's texts in the driver at a time
         p = Phrases(block, window)
         if not k:
             out = _scan(out, p, [f.name for f in kept], T.StructType(kept + new))

@@ -276,7 +276,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     A word goes where a window of `window` words that covers it also starts in a document of smaller doc_id; windows
     are judged on the input. A document without a doc_id takes no part and keeps all; rows that share a doc_id don't
     count against one another; repeated rows get equal results. Null texts have no words and stay null; empty and short
-    ones stay as they are. Other columns stay, save those of the new names. An empty table gives an empty result.
+    ones stay as they are. Other columns stay, save those of the new names and _key and _part, which the operator uses. An empty table gives an empty result.
     """
     kept, schema = new_columns(docs.drop("_key", "_part"), NEW)
     names = [f.name for f in kept]

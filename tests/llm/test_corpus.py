@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.llm import common, decontam, langid, licenses, lm, minhash, mixing, quality, substring_dedup, tokencount, toxicity
+from logloom.llm import common, decontam, langid, licenses, lm, minhash, mixing, quality, substring_dedup, textcore as tc, tokencount, toxicity
 
 VOCAB = [f"w{i}" for i in range(300)]
 
@@ -286,6 +286,41 @@ def test_lm_order_outside_the_shortlist(spark, monkeypatch):
     assert math.isclose(good.base_score, bad.base_score) and good.score > bad.score + 10
 
 
+def test_lm_scores_by_plain_sums():
+    """log10 of the class's probability and the symbol's in its class, token by token."""
+    r = np.random.default_rng(3)
+    m = lm.LogBilinear(np.arange(40, 0, -1.0), singles=5)
+    m.rows[:, : lm.DIM + 1] = r.normal(size=m.rows[:, : lm.DIM + 1].shape) * 0.7
+    vec, bias, cvec, cbias, c0, c1 = (x.astype(np.float64) for x in m.parts())
+    w, one, two = (r.integers(0, 40, 200) for _ in range(3))
+    got = m.scorer()(w, one, two)
+    for k in range(200):
+        q = vec[one[k]] @ c0 + vec[two[k]] @ c1
+        z = cvec @ q + cbias
+        c = m.of[w[k]]
+        p = z[c] - np.log(np.exp(z).sum())
+        lo, hi = m.begin[c : c + 2]
+        if hi - lo > 1:
+            u = vec[lo:hi] @ q + bias[lo:hi]
+            p += u[w[k] - lo] - np.log(np.exp(u).sum())
+        assert abs(got[k] - p / np.log(10)) < 1e-4
+
+
+def test_lm_beats_its_unigrams(spark):
+    """Held-out texts of a source with order are likelier than under the counts alone."""
+    r = random.Random(31)
+    follow = {f"w{i}": [f"w{r.randrange(80)}" for _ in range(3)] for i in range(80)}
+
+    def say(k):
+        out = [f"w{r.randrange(80)}"]
+        while len(out) < k:
+            out.append(r.choice(follow[out[-1]]))
+        return " ".join(out)
+
+    out = lm.score_texts(frame(spark, [(d, say(200), "s") for d in range(500)])).where("held_out").collect()
+    assert sum(x.score for x in out) > sum(x.base_score for x in out) * 0.9
+
+
 def test_lm_learns_order():
     m = lm.LogBilinear(np.ones(6) * 100)
     seq = np.array([2, 3, 4, 5] * 4000)
@@ -404,6 +439,28 @@ OPERATORS = {
 }
 
 
+CLASH = {"n_words": "x", "score": "x", "_id": 1, "_tag": 2, "_h1": 3, "_bands": 4, "size": 5, "taken": 6, "_b": 7, "key": 8, "base": 9, "_norm": "y", "lang_pred": "z", "kept": "k", "probability": "p", "_text": "t", "bucket": 1, "data": "d", "_part": 1}
+
+
+def test_clashing_columns_and_long_texts(spark, monkeypatch):
+    """Columns that share a name with the operators' own change no result; nor do texts longer than a piece."""
+    monkeypatch.setattr(tc, "PIECE_BYTES", 300)
+    monkeypatch.setattr(tc.pieces, "__defaults__", (300,))
+    plain = frame(spark, [*corpus(9, 60), (900, "word " * 400 + "mit license", "s0")]).withColumn("lang", F.lit("en"))
+    odd = plain
+    for k, v in CLASH.items():
+        odd = odd.withColumn(k, F.lit(v))
+    labels = spark.createDataFrame([(d, d % 2, d % 2) for d in range(60)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, plain.where("doc_id = 5").first().text)], "item_id long, text string")
+    runs = {
+        "op1": substring_dedup.op1, "op2": lambda d: toxicity.op2(d, labels), "op3": mixing.op3, "op4": minhash.op4, "op5": licenses.op5, "op6": langid.op6,
+        "op7": lambda d: quality.op7(d, labels), "op8": lm.op8, "op9": lambda d: decontam.op9(d, items),
+    }
+    for name, run in runs.items():
+        rounded = lambda d: ordered(tuple(round(v, 4) if isinstance(v, float) else v for v in x) for x in d.collect())
+        assert rounded(run(plain)) == rounded(run(odd)), name
+
+
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_empty_and_null(spark, name):
     assert OPERATORS[name](spark.createDataFrame([], EMPTY)).count() == 0

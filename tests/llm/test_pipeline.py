@@ -55,6 +55,68 @@ def test_stages(spark, made, tmp_path):
             assert all(0 < r.taken <= 2 * r["size"] for r in rows) and docs.columns[-4:] == ["size", "source_size", "target", "taken"]
 
 
+def test_stages_by_brute_force(spark, made):
+    """What each stage keeps, by plain Python over all texts (scores come from the trained model, one text at a time)."""
+    import hashlib
+
+    import pyarrow as pa
+
+    from logloom.llm import mixing, textcore as tc, toxicity
+
+    docs = spark.read.parquet(f"{made}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{made}/labels.parquet"))
+    score = lambda t: model.scores(tc.Words(next(tc.pieces(pa.array([t or ""], pa.string()))), tc.SPACE_WORD))[0]
+    rows = {r.doc_id: r.text for r in docs.collect() if score(r.text) < 0.5}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    words = {d: (t or "").split() for d, t in rows.items()}
+    least = {d: d for d in rows}
+    for a in sorted(rows):
+        for b in sorted(rows):
+            if a < b and abs(len(words[a]) - len(words[b])) < 40 and len(set(words[a]) & set(words[b])) > 50 and distance(words[a], words[b]) <= 0.2 * max(len(words[a]), len(words[b])):
+                low = min(least[a], least[b])
+                least = {d: low if v in (least[a], least[b]) else v for d, v in least.items()}
+    rows = {d: t for d, t in rows.items() if least[d] == d}
+
+    first = {}
+    for d in sorted(rows):
+        for j in range(len(words[d]) - 12):
+            first.setdefault(tuple(words[d][j : j + 13]), d)
+    for d in list(rows):
+        gone = {k for j in range(len(words[d]) - 12) if first[tuple(words[d][j : j + 13])] < d for k in range(j, j + 13)}
+        words[d] = [w for k, w in enumerate(words[d]) if k not in gone]
+        if gone and not words[d]:
+            del rows[d]
+
+    item = spark.read.parquet(f"{made}/benchmark.parquet").first().text.split()
+    windows = {tuple(item[j : j + 13]) for j in range(len(item) - 12)}
+    for d in list(rows):
+        hit = {k for j in range(len(words[d]) - 12) if tuple(words[d][j : j + 13]) in windows for k in range(j, j + 13)}
+        if hit and 20 * len(hit) >= len(words[d]):
+            del rows[d]
+
+    out = corpus_pipeline.run(spark, made).collect()
+    assert {r.doc_id for r in out} <= set(rows) and all(r.text.split() == words[r.doc_id] for r in out)
+    sha = lambda d: hashlib.sha256(" ".join(words[d]).encode()).hexdigest()
+    source = {r.doc_id: r.source for r in docs.collect()}
+    left = spark.createDataFrame([(d, " ".join(words[d]), source[d]) for d in rows], "doc_id long, text string, source string")
+    want = {}
+    for r in mixing.mix(left).collect():
+        want.setdefault((r.source, r.source_size, round(r.target, 6)), []).append(r.taken)
+    got = {}
+    for r in out:
+        got.setdefault((r.source, r.source_size, round(r.target, 6)), []).append(r.taken)
+    assert got.keys() == {k for k, v in want.items() if sum(v)} and all(sum(got[k]) == sum(want[k]) for k in got)
+    assert len({sha(r.doc_id) for r in out}) == len(out)
+
+
 def test_run_equals_stages(spark, made):
     a, b = (sorted((r.doc_id or 0, r.text or "", r.taken) for r in corpus_pipeline.run(spark, made).collect()) for _ in range(2))
     assert a == b and a

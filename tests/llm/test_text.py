@@ -80,6 +80,49 @@ def test_quality_learns():
     assert (p[:20] > 0.5).all() and (p[20:] < 0.5).all()
 
 
+def test_quality_verdict_by_plain_sums():
+    """The probability from each word's and each four bytes' weight, text by text."""
+    r = random.Random(21)
+    word = [" ".join(r.choice(["lorem", "ipsum", "dolor", "AMET!!", "x"]) for _ in range(r.randrange(3, 70))) for _ in range(80)]
+    m = quality.fit(word, [int("AMET" not in t[:60]) for t in word])
+    ts = [*word[:20], "", "é", "ab", "lorem\n\tipsum  中文中文"]
+    got = quality._scored(m)(pa.array(ts, pa.string()))[5].to_pylist()
+    for t, p in zip(ts, got, strict=True):
+        b = t.encode()
+        own = [m.word[quality._words(tc.Words(pieces([w])[0], tc.SPACE_WORD), quality.WORD_BITS)[0]] for w in SPACE.findall(t)]
+        chars = [m.char[quality.chars4(np.frombuffer(b[i : i + 4], np.uint8), quality.CHAR_BITS)[0]] for i in range(len(b) - 3)]
+        z = m.bias + sum(map(float, own)) / max(1, len(own)) + sum(map(float, chars)) / max(1, len(chars))
+        assert abs(p - 1 / (1 + np.exp(-(m.scale * z + m.shift)))) < 1e-4
+
+
+def test_toxicity_by_plain_means():
+    """Scores from each word's bag of subwords, word by word and passage by passage."""
+    r = random.Random(22)
+    m = toxicity.Model(np.array([r.gauss(0, 1) for _ in range(1 << toxicity.BITS)], np.float32), -0.7)
+
+    def bucket(gram):
+        h = len(gram) * 0x9E3779B1 & 0xFFFFFFFF
+        h = (h + gram[0]) & 0xFFFFFFFF
+        for c in gram[1:]:
+            h = (h * 0x01000193 + c) & 0xFFFFFFFF
+        return ((h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - toxicity.BITS
+
+    def plain(t):
+        words, kept = [w.encode().lower() if w.isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in w.encode()) for w in SPACE.findall(t)], []
+        for i, w in enumerate(words):
+            if not i or words[i - 1] != w:
+                whole = int(tc.Words(pieces([w.decode()])[0], tc.SPACE_WORD).hashes()[0]) >> 64 - toxicity.BITS
+                padded = b" " + w + b" "
+                bag = [whole] + [bucket(padded[k : k + n]) for n in toxicity.GRAMS for k in range(len(padded) - n + 1)]
+                kept.append(sum(float(m.value[x]) for x in bag) / len(bag))
+        worst = max((sum(kept[k : k + toxicity.PASSAGE]) / toxicity.PASSAGE for k in range(0, len(kept), toxicity.PASSAGE)), default=0.0)
+        return 1 / (1 + np.exp(-(m.bias + worst)))
+
+    ts = [t for t in texts(40, 23) if "w w w" not in t]
+    got = [x for p in pieces(ts) for x in m.scores(tc.Words(p, tc.SPACE_WORD))]
+    assert np.allclose(got, [plain(t) for t in ts], atol=1e-5)
+
+
 def test_toxicity_learns_misspellings():
     r = random.Random(5)
     plain = ["".join(r.choice(["ka", "to", "mi", "re", "su"]) for _ in range(r.randrange(1, 4))) for _ in range(300)]
@@ -102,6 +145,39 @@ def test_langid():
     assert langid._scored(langid.fit([], []))(pa.array(["abc"]))[0].to_pylist() == ["und"]
 
 
+def test_langid_by_plain_kernels(monkeypatch):
+    """Kernel values by sets of n-grams, and ridge regression on Nystrom features, without folding anything."""
+    monkeypatch.setattr(langid, "LANDMARKS", 12)
+    r = random.Random(24)
+    pools = {"x": ["the", "then", "than"], "y": ["der", "die", "und"], "z": ["où", "là", "été"]}
+    ts, ls = zip(*[(" ".join(r.choice(pools[k]) for _ in range(r.randrange(1, 12))), k) for k in pools for _ in range(15)], strict=True)
+    m = langid.fit(list(ts), list(ls))
+
+    def grams(t):
+        t, out = t.lower(), []
+        for n in langid.ORDERS:
+            mask = np.zeros((len(langid.ORDERS), langid.SLOTS), bool)
+            langid.present(t, mask)
+            out.append(set(np.flatnonzero(mask[langid.ORDERS.index(n)])))
+        return out
+
+    def kernel(a, b):
+        return sum(len(x & y) / np.sqrt(len(x) * len(y)) for x, y in zip(grams(a), grams(b), strict=True) if x and y) / len(langid.ORDERS)
+
+    by = [[t for t, k in zip(ts, ls, strict=True) if k == n] for n in pools]
+    marks = [b[k] for k in range(15) for b in by][:12]
+    between = np.array([[kernel(a, b) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(between)
+    good = value > 1e-8 * value.max()
+    root = vector[:, good] / np.sqrt(value[good])
+    phi = np.array([[kernel(t, b) for b in marks] for t in ts]) @ root
+    y = np.array([[1.0 if k == n else -1.0 for n in pools] for k in ls])
+    w = np.linalg.solve(phi.T @ phi + langid.RIDGE * len(ts) * np.eye(phi.shape[1]), phi.T @ (y - y.mean(0)))
+    new = ["the und", "où", "xx yy", "t"]
+    want = np.array([[kernel(t, b) for b in marks] for t in new]) @ root @ w + y.mean(0)
+    assert np.allclose(m.decide(new), want, atol=2e-3)
+
+
 def test_wavelet_and_suffixes():
     r = np.random.default_rng(7)
     for n in (1, 2, 50, 400):
