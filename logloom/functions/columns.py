@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import jsonview, jsonx, rx
 from .spans import spans
@@ -79,20 +81,57 @@ def json_field_path(text: pd.Series, cursor: pd.Series) -> pd.Series:
     return _each(one)(text, cursor)
 
 
-@F.udtf(returnType=_struct(key=_S, shown=_S, kind=_S, expandable=_B, value=_S), useArrow=True)
+CHILD = _struct(key=_S, shown=_S, kind=_S, expandable=_B, value=_S)
+NODE = _struct(ord=_I, path=T.ArrayType(_S), depth=_I, shown=_S, kind=_S, value=_S)
+
+
+def _of_texts(rows, fields: T.StructType, text: pa.Array) -> pa.Array:
+    """Lists of structs, null for null; texts that are no JSON give none. Columns are filled flat, without an object for each struct."""
+    flat, ends = [[] for _ in fields.names], [0]
+    for t in text.to_pylist():
+        v = jsonx.parse(t) if t is not None else jsonx.MISSING
+        for r in rows(v) if v is not jsonx.MISSING else ():
+            for column, x in zip(flat, r, strict=True):
+                column.append(x)
+        ends.append(len(flat[0]))
+    made = pa.StructArray.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(flat, fields.fields, strict=True)], names=fields.names)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made, mask=text.is_null() if text.null_count else None)
+
+
+def _children(v):
+    for k, shown, x in jsonx.children(v):
+        yield k, shown, jsonx.kind(x), jsonx.expandable(x), jsonx.label(x)
+
+
+def _nodes(v):
+    for i, (path, depth, shown, k, x) in enumerate(jsonx.tree(v)):
+        yield i, path, depth, shown, k, jsonx.label(x)
+
+
+@F.arrow_udf(T.ArrayType(CHILD))
+def json_child_rows(text: pa.Array) -> pa.Array:
+    """What json_children gives, as an array to be exploded: Arrow batches, no call for each row."""
+    return _of_texts(_children, CHILD, text)
+
+
+@F.arrow_udf(T.ArrayType(NODE))
+def json_node_rows(text: pa.Array) -> pa.Array:
+    """What json_tree gives, as an array to be exploded."""
+    return _of_texts(_nodes, NODE, text)
+
+
+@F.udtf(returnType=CHILD, useArrow=True)
 class JsonChildren:
     def eval(self, text: str):
         v = jsonx.parse(text) if text is not None else jsonx.MISSING
-        for k, shown, x in jsonx.children(v) if v is not jsonx.MISSING else ():
-            yield k, shown, jsonx.kind(x), jsonx.expandable(x), jsonx.label(x)
+        yield from _children(v) if v is not jsonx.MISSING else ()
 
 
-@F.udtf(returnType=_struct(ord=_I, path=T.ArrayType(_S), depth=_I, shown=_S, kind=_S, value=_S), useArrow=True)
+@F.udtf(returnType=NODE, useArrow=True)
 class JsonTree:
     def eval(self, text: str):
         v = jsonx.parse(text) if text is not None else jsonx.MISSING
-        for i, (path, depth, shown, k, x) in enumerate(jsonx.tree(v) if v is not jsonx.MISSING else ()):
-            yield i, path, depth, shown, k, jsonx.label(x)
+        yield from _nodes(v) if v is not jsonx.MISSING else ()
 
 
 @F.pandas_udf(T.ArrayType(_struct(start=_I, end=_I, text=_S, style=_S)))

@@ -244,8 +244,8 @@ class Progress:
             m[key] = value
         return False
 
-    def text(self) -> str:
-        m = self.meta
+    def text(self, meta: dict | None = None) -> str:
+        m = meta or self.meta
         parts = ["[ffmpeg]"]
         if m["out_time"] or m["out_time_us"] > 0:
             parts.append("time=" + (m["out_time"] or duration(m["out_time_us"])))
@@ -282,28 +282,31 @@ def fold(lines: list[tuple[int, str, list[tuple[int, int]]]], ids: Ids | None =
 
     closed: nothing follows, so a session still open stays live (not frozen) with its text as of its last block.
     """
+    def close(progress: Progress, row: Row, shown: dict) -> None:
+        row.raw, row.progress = progress.text(shown), progress.meta
+
     ids = ids or Ids()
     diff, table, rows, session = Diff(ids), Table(ids), [], None
     for no, raw, gaps in lines:
         pair = key_value(raw) if progress else None
         if pair:
             if session is None:
-                session = (Progress(), Row(no, "", "progress"))
+                session = [Progress(), Row(no, "", "progress"), None]
                 rows.append(session[1])
                 opened = True
             else:
                 session[1].lines += 1
                 opened = False
-            block = session[0].add(*pair)
-            if block or opened:
-                session[1].raw = session[0].text()
-            session[1].progress = dict(session[0].meta)
+            if session[0].add(*pair) or opened:
+                session[2] = dict(session[0].meta)  # the row's text is of then
             if session[0].meta["ended"]:
+                close(*session)
                 session = None
             continue
         if session is not None:
             session[0].meta["frozen"] = True
-            session[1].raw, session[1].progress, session = session[0].text(), dict(session[0].meta), None
+            close(session[0], session[1], session[0].meta)
+            session = None
         row = Row(no, raw)
         rows.append(row)
         if found := gotest(raw):
@@ -329,4 +332,6 @@ def fold(lines: list[tuple[int, str, list[tuple[int, int]]]], ids: Ids | None =
             close_json(rows, ids)
             continue
         row.status = status(row)
+    if session is not None:
+        close(*session)
     return rows

@@ -80,13 +80,21 @@ def cut_points(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return d.withColumn("first_line", F.when(F.col("line_no") >= F.col("_cut"), F.col("_cut")).otherwise(F.col("_before"))).drop("_chunk", "_cut", "_before")
 
 
-def to_frame(stream_id: str, rows: list[Row]) -> pd.DataFrame:
-    names = [f.name for f in LINES.fields[1:]]
-    values = [[getattr(r, n) for n in names] for r in rows]
-    out = pd.DataFrame(values, columns=names)
-    out.insert(0, "stream_id", stream_id)
-    out["tab_gaps"] = [[{"start": a, "end": b} for a, b in g] for g in out["tab_gaps"]] if len(out) else []
-    return out
+def to_frame(stream_id: str, rows: list[Row], names: list[str] | None = None) -> pd.DataFrame:
+    """The named columns of LINES, all unless given."""
+    made = {}
+    for n in names or LINES.names:
+        if n == "stream_id":
+            made[n] = [stream_id] * len(rows)
+        elif n == "tab_gaps":
+            made[n] = [[{"start": a, "end": b} for a, b in r.tab_gaps] for r in rows]
+        else:
+            made[n] = [getattr(r, n) for r in rows]
+    return pd.DataFrame({n: pd.Series(v, dtype=None if n in NUMBERS else object) for n, v in made.items()})
+
+
+#: Columns without nulls, which pandas may hold as numbers.
+NUMBERS = {"line_no", "depth", "group_id", "status", "lines"}
 
 
 def fold_frame(pdf: pd.DataFrame, first: int, progress: bool) -> list[Row]:
@@ -99,15 +107,16 @@ def structure(lines: DataFrame, text: str = "text", detect_progress: bool = True
     """Typed lines of raw ones (stream_id, line_no, text): one row per line, one per progress session.
 
     Lines are numbered from 0 without gaps in each stream. Group ids count from 1 in a stream that is one stretch, and from
-    twice a stretch's first line otherwise, so they are unique in a stream.
+    twice a stretch's first line otherwise, so they are unique in a stream. columns: those of LINES to be made, all unless given.
     """
     d = cut_points(clean_lines(lines.select("stream_id", "line_no", text), text), chunk)
 
+    names = list(columns or LINES.names)
+
     def run(key, pdf):
-        return to_frame(key[0], fold_frame(pdf, int(key[1]), detect_progress))
+        return to_frame(key[0], fold_frame(pdf, int(key[1]), detect_progress), names)
 
-    out = d.groupBy("stream_id", "first_line").applyInPandas(run, LINES)
-    return out.select(*columns) if columns else out
+    return d.groupBy("stream_id", "first_line").applyInPandas(run, T.StructType([LINES[n] for n in names]))
 
 
 def group_widths(lines: DataFrame) -> DataFrame:

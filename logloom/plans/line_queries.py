@@ -11,7 +11,7 @@ from ..functions import clean, columns, dates
 from ..operators import classify, freq, rates, search, sequence, silhouette, templates, tree
 from ..sources import generate
 from ..sources.lines import lines_from_df, merged, write_chunked
-from .queries import _arrivals, _event_lines, _lateral, _table, query
+from .queries import _arrivals, _event_lines, _table, _trees, query
 
 
 def _shared(spark: SparkSession, name: str) -> str:
@@ -100,7 +100,7 @@ SELECT o_orderkey AS line_no, v.* FROM orders, (VALUES ('id', 'who', NULL, 'who'
 """)
 def tree_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moves with the tags collapsed."""
-    nodes = _lateral(spark, sf_dir, "json_tree", "t.ord, t.path, t.kind, t.value")
+    nodes = _trees(spark, sf_dir).select("line_no", F.inline(columns.json_node_rows("json"))).select("line_no", "ord", "path", "kind", "value")
     shut = nodes.where(F.array_join("path", ".") == "who.tags").select("line_no", "path")
     d = tree.moves(tree.visible(nodes, shut))
     return d.select("line_no", *[F.array_join(c, ".").alias(c) for c in ("path", "next_path", "prev_path", "next_expandable")], "is_last")

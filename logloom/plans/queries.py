@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean, rx
+from ..functions.columns import json_child_rows, json_node_rows
 from ..operators import classify, freq, rates, search, sequence, silhouette, templates
 from ..sources import generate
-from ..sources.lines import lines_from_df
+from ..sources.lines import lines_from_df, spread
 
 RULES = [freq.Rule("click|view", "browse"), freq.Rule("purch.*", "buy"), freq.Rule("refund", "refund")]
 QUERIES: dict = {}
@@ -192,7 +193,7 @@ WITH lines AS {_DOC_LINES}, s AS ({_duck_mask()})
 SELECT skeleton, count(*) AS n, min(stream_id) AS first_doc FROM s GROUP BY 1
 """)
 def template_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _doc_lines(spark, sf_dir).select("stream_id", templates.skeleton(F.col("raw")).alias("skeleton"))
+    d = spread(_doc_lines(spark, sf_dir)).select("stream_id", templates.skeleton(F.col("raw")).alias("skeleton"))
     return d.groupBy("skeleton").agg(F.count("*").alias("n"), F.min("stream_id").alias("first_doc"))
 
 
@@ -204,13 +205,13 @@ WITH lines AS (SELECT event_type AS stream_id, event_id AS line_no, {_LOG_LINE}
 SELECT stream_id AS window_id, skeleton, count(*) AS n, min(line_no) AS first_line FROM s GROUP BY 1, 2
 """)
 def mask_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "events").select(F.col("event_type").alias("window_id"), F.col("event_id").alias("line_no"), F.expr(_LOG_LINE).alias("raw"))
+    d = spread(_table(spark, sf_dir, "events").select(F.col("event_type").alias("window_id"), F.col("event_id").alias("line_no"), F.expr(_LOG_LINE).alias("raw")))
     return templates.skeletons(d)
 
 
 @query()
 def template_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "events").select(F.expr("event_id div 500").alias("window_id"), F.col("event_id").alias("line_no"), F.expr(_LOG_LINE).alias("raw"))
+    d = spread(_table(spark, sf_dir, "events")).select(F.expr("event_id div 500").alias("window_id"), F.col("event_id").alias("line_no"), F.expr(_LOG_LINE).alias("raw"))
     return templates.templates(d).drop("skeletons")
 
 
@@ -262,7 +263,7 @@ def _json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT (o_custkey % 16)::VARCHAR AS stream_id, CASE o_orderstatus WHEN 'F' THEN 'error' ELSE 'info' END AS level, count(*) AS groups FROM orders GROUP BY 1, 2
 """)
 def json_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = sequence.structure(_json_lines(spark, sf_dir), chunk=1024).where("line_type = 'json' and group_head and json_prefix = 'saved order '")
+    d = sequence.structure(_json_lines(spark, sf_dir), chunk=1024, columns=["stream_id", "line_type", "group_id", "group_head", "json_prefix", "level"]).where("line_type = 'json' and group_head and json_prefix = 'saved order '")
     return d.groupBy("stream_id", "level").agg(F.countDistinct("group_id").alias("groups"))
 
 
@@ -289,7 +290,7 @@ def progress_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.array(F.concat(F.lit("frame="), (F.col("l_linenumber") * 100 + F.col("l_quantity").cast("int")).cast("string")), F.concat(F.lit("[pod-1] speed="), F.col("l_quantity").cast("string"), F.lit("x")), F.concat(F.lit("progress="), F.when(end, "end").otherwise("continue")))
     d = d.select((F.col("l_orderkey") % 64).alias("s"), "l_orderkey", *key, F.posexplode(parts).alias("p", "text"))
     lines = lines_from_df(d, "text", ["l_orderkey", *key, "p"], "s")
-    p = sequence.structure(lines).where("line_type = 'progress'")
+    p = sequence.structure(lines, columns=["stream_id", "line_type", "progress"]).where("line_type = 'progress'")
     return p.groupBy("stream_id").agg(F.count("*").alias("sessions"), F.sum(F.col("progress.ended").cast("int")).alias("ended"), F.sum("progress.frame").alias("frames"), F.sum("progress.block_count").alias("blocks"))
 
 
@@ -302,7 +303,8 @@ SELECT o_orderkey AS line_no, v.path, v.depth, v.kind, CASE v.path WHEN 'id' THE
 FROM orders, (VALUES ('id', 1, 'number'), ('who', 1, 'object'), ('who.cust', 2, 'number'), ('who.tags', 2, 'array'), ('who.tags.0', 3, 'string'), ('who.tags.1', 3, 'string')) v(path, depth, kind)
 """)
 def json_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lateral(spark, sf_dir, "json_tree", "array_join(t.path, '.') AS path, t.depth, t.kind, t.value")
+    nodes = _trees(spark, sf_dir).select("line_no", F.inline(json_node_rows("json")))
+    return nodes.select("line_no", F.array_join("path", ".").alias("path"), "depth", "kind", "value")
 
 
 @query("""
@@ -310,18 +312,11 @@ SELECT o_orderkey AS line_no, v.k AS key, CASE v.k WHEN 'id' THEN '"id": ' || o_
 FROM (SELECT *, '{"cust":' || o_custkey || ',"tags":["' || o_orderstatus || '","' || o_orderpriority || '"]}' AS w FROM orders), (VALUES ('id'), ('who')) v(k)
 """)
 def json_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lateral(spark, sf_dir, "json_children", "t.key, t.shown, t.expandable")
+    return _trees(spark, sf_dir).select("line_no", F.inline(json_child_rows("json"))).select("line_no", "key", "shown", "expandable")
 
 
-def _lateral(spark: SparkSession, sf_dir: str, function: str, columns: str) -> DataFrame:
-    from .sql import register
-
-    register(spark)
-    view = f"_json_{uuid.uuid4().hex}"
-    _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line_no"), F.expr(_TREE).alias("json")).createOrReplaceTempView(view)
-    out = spark.sql(f"SELECT l.line_no, {columns} FROM {view} l, LATERAL {function}(l.json) t")
-    spark.catalog.dropTempView(view)
-    return out
+def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line_no"), F.expr(_TREE).alias("json")))
 
 
 @query(f"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def register(spark: SparkSession, lines: DataFrame | None = None) -> None:
-    """json_label, json_find, spans, json_segments, json_compact, json_slices, json_level_range, json_field_path and the table functions json_children and json_tree; views `lines` and `templates` of given lines."""
+    """json_label, json_find, spans, json_segments, json_compact, json_slices, json_level_range, json_field_path, json_child_rows, json_node_rows (arrays for inline()) and the table functions json_children and json_tree; views `lines` and `templates` of given lines."""
     from ..functions import columns
 
     spark.udf.register("json_label", columns.json_label)
@@ -17,6 +17,8 @@ def register(spark: SparkSession, lines: DataFrame | None = None) -> None:
     spark.udf.register("json_slices", columns.json_slices)
     spark.udf.register("json_level_range", columns.json_level_range)
     spark.udf.register("json_field_path", columns.json_field_path)
+    spark.udf.register("json_child_rows", columns.json_child_rows)
+    spark.udf.register("json_node_rows", columns.json_node_rows)
     spark.udtf.register("json_children", columns.JsonChildren)
     spark.udtf.register("json_tree", columns.JsonTree)
     if lines is not None:
@@ -28,4 +30,4 @@ def register(spark: SparkSession, lines: DataFrame | None = None) -> None:
         # a window is 4096 lines of a stream: no task merges the templates of a whole one
         windows = lines.withColumn("window_id", F.concat_ws("#", "stream_id", F.expr("line_no div 4096").cast("string")))
         templates(windows).createOrReplaceTempView("templates")
-        spark.sql("SELECT l.stream_id, l.line_no, t.* FROM lines l, LATERAL json_tree(l.json) t WHERE l.json IS NOT NULL").createOrReplaceTempView("json_nodes")
+        spark.sql("SELECT l.stream_id, l.line_no, t.* FROM lines l, LATERAL inline(json_node_rows(l.json)) t WHERE l.json IS NOT NULL").createOrReplaceTempView("json_nodes")

@@ -63,6 +63,12 @@ def lines_from_df(df: DataFrame, text: str | Column, order: list, stream: str |
     return d.select("stream_id", (F.col("_before") + F.col("_no")).cast("long").alias("line_no"), "text", F.lit(source).alias("source"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out over all cores if it comes in fewer partitions, such as one small file: for costly work on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def merged(*sources: DataFrame) -> DataFrame:
     """Several tagged sources as one; from_stderr follows the source."""
     out = sources[0]
