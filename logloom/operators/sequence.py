@@ -99,7 +99,8 @@ NUMBERS = {"line_no", "depth", "group_id", "status", "lines"}
 
 def fold_frame(pdf: pd.DataFrame, first: int, progress: bool) -> list[Row]:
     pdf = pdf.sort_values("line_no", kind="stable")
-    gaps = [[(g["start"], g["end"]) for g in (x if x is not None else ())] for x in pdf["tab_gaps"]]
+    pair = lambda g: tuple(map(int, g.split(":")))
+    gaps = [[pair(g) for g in x.split(",")] if x else [] for x in pdf["gaps"]]
     return fold(list(zip(pdf["line_no"].tolist(), pdf["raw"].tolist(), gaps, strict=True)), Ids(2 * first), progress)
 
 
@@ -112,6 +113,9 @@ def structure(lines: DataFrame, text: str = "text", detect_progress: bool = True
     d = cut_points(clean_lines(lines.select("stream_id", "line_no", text), text), chunk)
 
     names = list(columns or LINES.names)
+    # text, and null for most lines: lists of structs are slow to hand over
+    gaps = F.when(F.size("tab_gaps") > 0, F.array_join(F.transform("tab_gaps", lambda g: F.concat(g["start"], F.lit(":"), g["end"])), ","))
+    d = d.select("stream_id", "first_line", "line_no", "raw", gaps.alias("gaps"))
 
     def run(key, pdf):
         return to_frame(key[0], fold_frame(pdf, int(key[1]), detect_progress), names)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, columns, dates
 from ..operators import classify, freq, rates, search, sequence, silhouette, templates, tree
 from ..sources import generate
-from ..sources.lines import lines_from_df, merged, write_chunked
+from ..sources.lines import lines_from_df, merged, spread, write_chunked
 from .queries import _arrivals, _event_lines, _table, _trees, query
 
 
@@ -43,7 +43,7 @@ SELECT event_id, true AS inline, 'type,user,props' AS keys, CASE WHEN strlen(t)
 FROM (SELECT event_id, {_SHORT} AS t FROM events)
 """)
 def json_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _event_lines(spark, sf_dir).select(F.col("line_no").alias("event_id"), columns.detect_json(F.concat(F.lit("  "), "json", F.lit(" "))).alias("j"))
+    d = spread(_event_lines(spark, sf_dir)).select(F.col("line_no").alias("event_id"), columns.detect_json(F.concat(F.lit("  "), "json", F.lit(" "))).alias("j"))
     return d.select("event_id", "j.inline", F.array_join("j.keys", ",").alias("keys"), "j.summary", "j.level")
 
 
@@ -63,7 +63,7 @@ SELECT event_id, CASE event_type WHEN 'error' THEN 'plain json level-error json
 """)
 def json_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.expr("concat('event ', event_id, ' {\"k\":1,\"level\":\"', case event_type when 'error' then 'err' when 'click' then 'Warning' else 'odd' end, '\",\"z\":[2]} done')")
-    d = _table(spark, sf_dir, "events").select("event_id", columns.json_segments(raw).alias("s"))
+    d = spread(_table(spark, sf_dir, "events")).select("event_id", columns.json_segments(raw).alias("s"))
     level = F.element_at(F.filter("s", lambda s: F.startswith(s["style"], F.lit("level-"))), F.lit(1))
     return d.select("event_id", F.array_join(F.transform("s", lambda s: s["style"]), " ").alias("styles"), F.when(F.exists("s", lambda s: F.startswith(s["style"], F.lit("level-"))), level["text"]).alias("level_text"))
 
@@ -75,7 +75,7 @@ _FLAT = "'{\"z\": ' || o_orderkey || ', \"who\": {\"cust\": ' || o_custkey || ',
 @query(f"SELECT o_orderkey, {_FLAT} AS wide, CASE WHEN strlen(t) <= 40 THEN t ELSE t[:37] || '...' END AS narrow, t[:3] AS least FROM (SELECT *, {_FLAT} AS t FROM orders)")
 def json_one_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = lambda w: columns.json_compact(F.expr(_ORDER), F.lit(w))
-    return _table(spark, sf_dir, "orders").select("o_orderkey", shown(500).alias("wide"), shown(40).alias("narrow"), shown(3).alias("least"))
+    return spread(_table(spark, sf_dir, "orders")).select("o_orderkey", shown(500).alias("wide"), shown(40).alias("narrow"), shown(3).alias("least"))
 
 
 @query("""
@@ -84,14 +84,14 @@ FROM orders, (VALUES ('z'), ('who'), ('level')) v(key)
 """)
 def json_raw_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children as they stand in the text, and the place of the level among them."""
-    d = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_ORDER).alias("t")).select("o_orderkey", columns.json_level_range("t").alias("l"), F.explode(columns.json_slices("t")).alias("s"))
+    d = spread(_table(spark, sf_dir, "orders")).select("o_orderkey", F.expr(_ORDER).alias("t")).select("o_orderkey", columns.json_level_range("t").alias("l"), F.explode(columns.json_slices("t")).alias("s"))
     return d.select("o_orderkey", "s.key", "s.text", ((F.col("l.start") == F.col("s.start")) & (F.col("l.end") == F.col("s.end"))).alias("is_level"))
 
 
 @query("SELECT o_orderkey, 'who.tags' AS to_tags, 'z' AS to_z, true AS through_array, true AS nowhere FROM orders")
 def json_field_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda *c: columns.json_field_path(F.expr(_ORDER), F.array(*[F.lit(i) for i in c]))
-    return _table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(at(1, 1), ".").alias("to_tags"), F.array_join(at(0), ".").alias("to_z"), at(1, 1, 0).isNull().alias("through_array"), at(7).isNull().alias("nowhere"))
+    return spread(_table(spark, sf_dir, "orders")).select("o_orderkey", F.array_join(at(1, 1), ".").alias("to_tags"), F.array_join(at(0), ".").alias("to_z"), at(1, 1, 0).isNull().alias("through_array"), at(7).isNull().alias("nowhere"))
 
 
 @query("""
