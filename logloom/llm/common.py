@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from functools import reduce
 
@@ -49,6 +51,14 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def give_back() -> None:
+    """Hands memory that training has freed back to the system, where the C library can: the driver's process lives on."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def n_parts(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     """Groups to hash rows into: at least the shuffle partitions, and one for each bytes_each of input.
 

@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as tc
-from .common import arrow_map, bounded_sample, crc_mod
+from .common import arrow_map, bounded_sample, crc_mod, give_back
 
 TRAIN_ROWS, TRAIN_BYTES = 1000, 4 << 20
 BITS, DIM, PASSAGE = 17, 8, 16
 GRAMS = (3, 4, 5)
 STEPS, RATE, DAMP, SOFT, SURE, PATIENCE, SEED = 48, 0.02, 0.03, 2.0, 1.0, 8, 20240
+#: Subwords whose gradients are summed at once.
+AT_ONCE = 1 << 18
 #: A subword of fewer texts than this share of them takes no part in training.
 LEAST_SHARE = 0.003
 _FOLD = np.where(tc.SPACE_WORD, tc.LOWER, 32).astype(np.uint8)
@@ -134,7 +136,7 @@ def fit(texts: list[str], labels: list[int], prior: float = 0.5) -> Model:
     if len(set(labels)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 6.0 if len(y) and y[0] else -6.0)
     flat, starts, sizes, ids, counts, known = [], [], [], [], [], {}
-    for p in tc.pieces(pa.array(texts, pa.string()), 1 << 20):
+    for p in tc.pieces(pa.array(texts, pa.string()), 1 << 18):
         w = tc.Words(p, tc.SPACE_WORD)
         bags = Bags(w)
         low = tc.Words.__new__(tc.Words)
@@ -150,11 +152,12 @@ def fit(texts: list[str], labels: list[int], prior: float = 0.5) -> Model:
         sizes += bags.size[at[new]][order].tolist()
         ids.append(no[inverse])
         counts.append(w.count)
+    del known, w, bags, low  # memory follows the arrays that are trained on
     flat, ids, counts = np.concatenate(flat), np.concatenate(ids), np.concatenate(counts)
     sizes = np.array(sizes, np.float32)
     word_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes.astype(np.int64))
     if not (np.diff(starts) == sizes[:-1]).all():  # in the order of `starts`, for reduceat
-        flat = flat[np.concatenate([np.arange(s, s + int(n)) for s, n in zip(starts, sizes, strict=True)])]
+        flat = flat[_ranges(starts, sizes, np.arange(len(sizes)))]
         starts = np.concatenate(([0], np.cumsum(sizes[:-1].astype(np.int64))))
     off = np.concatenate(([0], np.cumsum(counts)))
     fresh = fresh_words(ids, off)
@@ -216,7 +219,7 @@ def fit(texts: list[str], labels: list[int], prior: float = 0.5) -> Model:
         grads = [np.empty_like(e), vec.T @ g, g.sum(0)]
         for d in range(DIM):
             dword = np.bincount(ids[tok], dvec[of_passage[tok], d], len(sizes)) / sizes
-            grads[0][:, d] = np.bincount(flat, dword[word_of], 1 << BITS) * common
+            grads[0][:, d] = sum(np.bincount(flat[lo : lo + AT_ONCE], dword[word_of[lo : lo + AT_ONCE]], 1 << BITS) for lo in range(0, len(flat), AT_ONCE)) * common
         for x, mv, dx in zip(par, mom, grads, strict=True):
             mv[0] = 0.9 * mv[0] + 0.1 * dx
             mv[1] = 0.98 * mv[1] + 0.02 * dx * dx
@@ -230,7 +233,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes
     """From labelled rows whose crc32(doc_id) modulo 5 is not 0: at most `rows` of each label and most_bytes of text."""
     keys = labels.where("toxic in (0, 1)").where(crc_mod(F.col("doc_id"), 5) != 0)
     sample = bounded_sample(docs, keys, "toxic", rows, most_bytes)
-    return fit([r["text"] for r in sample], [r["toxic"] for r in sample], keys.agg(F.avg("toxic")).first()[0] or 0.0)
+    model = fit([r["text"] for r in sample], [r["toxic"] for r in sample], keys.agg(F.avg("toxic")).first()[0] or 0.0)
+    give_back()
+    return model
 
 
 def _scored(model: Model):
