@@ -46,7 +46,7 @@ def repeated_words(w: tc.Words, hashes: np.ndarray, k: int = 3) -> np.ndarray:
     if not fits.any():
         return np.zeros(w.piece.n, np.int64)
     at = np.flatnonzero(fits)
-    key = tc.mix(h[at] ^ tc.mix(doc[at].astype(np.uint64) + np.uint64(1)))
+    key = tc.by_text(h[at], doc[at])
     order = np.argsort(key)
     s = key[order]
     same = s[1:] == s[:-1]
@@ -69,7 +69,7 @@ def duplicate_lines(w: tc.Words) -> np.ndarray:
     doc = np.searchsorted(p.begin, begin, "right") - 1
     pre = tc.prefix_sum(p.buf, tc.BYTE_POWERS)
     h = tc.mix(tc.range_hash(pre, begin, end, tc.BYTE_POWERS) ^ (end - begin).astype(np.uint64))
-    key = tc.mix(h ^ tc.mix(doc.astype(np.uint64) + np.uint64(1)))
+    key = tc.by_text(h, doc)
     order = np.argsort(key, kind="stable")
     again = order[1:][key[order][1:] == key[order][:-1]]
     return np.bincount(doc[again], minlength=p.n).astype(np.int64)

@@ -55,6 +55,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+def by_text(h: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Hashes that differ from text to text, too. Texts' numbers are moved far from what short words are hashed from."""
+    return mix(h ^ mix(text.astype(_U) + _U(_BASE)))
+
+
 def range_hash(prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray, powers: Powers) -> np.ndarray:
     """Hash of items lo..hi-1 for a prefix sum from prefix_sum()."""
     return (prefix[hi] - prefix[lo]) * powers.get(len(prefix))[1][lo]

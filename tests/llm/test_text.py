@@ -71,6 +71,12 @@ def test_quality_counts():
         assert [o[k].as_py() for o in out[:5]] == [len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in t), dup, len(repeated)]
 
 
+def test_quality_lines_of_one_letter():
+    ts = ["\n".join(map(chr, range(33, 127)))] * 140
+    out = quality._scored(quality.fit([], []))(pa.array(ts, pa.string()))
+    assert out[3].to_pylist() == [0] * len(ts) and out[4].to_pylist() == [0] * len(ts)
+
+
 def test_quality_learns():
     r = random.Random(4)
     good = [" ".join(r.choice(["lorem", "ipsum", "dolor", "amet"]) for _ in range(80)) for _ in range(60)]
