@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, licenses, lm, minhash, mixing, quality, substring_dedup, tokencount, toxicity
+from . import decontam, gam, langid, licenses, lm, minhash, mixing, quality, substring_dedup, tokencount, toxicity, vectorcodes, whitening
 from .common import table
 
 
@@ -56,6 +56,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.op10(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op11(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.op12(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.op13(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: DuckDB's SQL for the operators that SQL can express whole.
 WORD_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 FOLDED_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -86,5 +98,27 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_source_mixing, op4_near_duplicates, op5_license_scan, op6_language_id, op7_quality, op8_lm_scores, op9_decontamination, op10_token_counts)}
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op9_decontamination": OP9_SQL}
+
+def _op12_sql(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """One pair of steps for each round: nearest entries, then their means."""
+    d = "(list_dot_product(p.v, p.v) - 2 * list_dot_product(p.v, c.v) + list_dot_product(c.v, c.v))::BIGINT"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT n, part, best % {entries} AS entry, best // {entries} AS d FROM (SELECT n, part, min({d} * {entries} + c.entry) AS best FROM p JOIN c{r} c USING (part) GROUP BY n, part))")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT part, entry, list(x ORDER BY place) AS v FROM (SELECT part, entry, place, floor(sum(x) / count(*)) AS x FROM (SELECT p.part, a{r}.entry, unnest(p.v) AS x, unnest(range(len(p.v))) AS place FROM p JOIN a{r} USING (n, part)) GROUP BY part, entry, place) GROUP BY part, entry)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (part, entry))")
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS n, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT n, part, q[part * len(q) // {parts} + 1 : (part + 1) * len(q) // {parts}] AS v FROM k, (SELECT unnest(range({parts})) AS part)),
+c0 AS MATERIALIZED (SELECT part, n AS entry, v FROM p WHERE n < {entries}),
+{", ".join(steps)},
+e AS (SELECT n, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY n),
+s AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: x::BIGINT), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT k.vec_id, e.code, e.error, (sum(e.error) OVER (PARTITION BY k.label))::BIGINT AS label_error, s.codebooks_sha256 FROM k JOIN e USING (n), s
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_source_mixing, op4_near_duplicates, op5_license_scan, op6_language_id, op7_quality, op8_lm_scores, op9_decontamination, op10_token_counts, op11_embedding_whitening, op12_vector_codes, op13_quality_classifier)}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op9_decontamination": OP9_SQL, "op12_vector_codes": _op12_sql()}

@@ -138,7 +138,7 @@ def test_sql(spark):
     from logloom.llm import queries
 
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         assert sorted(map(tuple, queries.QUERIES[name](spark, SF).collect())) == sorted(c.sql(sql).fetchall())
