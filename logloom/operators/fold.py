@@ -1,11 +1,13 @@
 """The ordered fold of a stream's lines: types, diffs, tables, multi-line JSON and progress sessions. No Spark here.
 
 Structure is one left-to-right pass with bounded look-back; rows of earlier lines may be revised (a table's header, the
-lines of a JSON group, the live progress row), so rows are handed out when a stretch is complete.
+lines of a JSON group, the live progress row). A Machine can begin anywhere in a stream: what it must know of the rows before
+is the diff's state, and LOOK_BACK rows of context tell the rest, but for the header of a table that is longer than that.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from ..functions import jsonx, rx
@@ -38,6 +40,7 @@ class Row:
     styles: list[str] = field(default_factory=list)
     status: int = 0
     lines: int = 1
+    table_of: int = 0  # the table's group, which a JSON group may hide later
 
     @property
     def hidden(self) -> bool:
@@ -75,11 +78,20 @@ def indent(raw: str) -> str:
     return raw[: len(raw) - len(raw.lstrip(" \t"))]
 
 
+#: The group of what began before a machine's first row; its id isn't known there.
+EARLIER = -1
+
+
 class Diff:
     """idle -> old -> new -> body; a line that fits no state ends the block and is not tried as a new header."""
 
-    def __init__(self, ids: Ids) -> None:
-        self.ids, self.state, self.group, self.lead = ids, "idle", 0, ""
+    def __init__(self, ids: Ids, state: str = "idle") -> None:
+        self.ids, self.group = ids, EARLIER
+        self.state, _, self.lead = state.partition(":")
+
+    def snapshot(self) -> str:
+        """The state as text: a name, for a body with the indentation that its lines share."""
+        return f"body:{self.lead}" if self.state == "body" else self.state
 
     def _opens(self, raw: str) -> str | None:
         if not _RX["DIFF_OLD"].search(raw) or _RX["GOTEST_DASH"].search(raw):
@@ -142,14 +154,19 @@ class Table:
 
     LEAST = 3
 
-    def __init__(self, ids: Ids) -> None:
-        self.ids = ids
-        self.clear()
+    def __init__(self, ids: Ids, first: int | None = None) -> None:
+        """first: number of the first row of a machine that begins amid a stream. A run of agreeing rows from there on may be an earlier table's."""
+        self.ids, self.first, self.known = ids, first, first is None
+        self.reset()
 
-    def clear(self) -> None:
+    def reset(self) -> None:
         self.before: tuple[int, list[int], Row] | None = None
         self.count, self.group, self.header = 0, 0, None
 
+    def clear(self) -> None:
+        self.known = True
+        self.reset()
+
     def feed(self, at: int, row: Row, gaps: list[tuple[int, int]]) -> None:
         inner = [c for c in cells(row.raw, gaps)[1:-1]] if len(gaps) >= 2 else ["x"]
         columns = tab_columns(row.raw, gaps) if gaps else space_columns(row.raw)
@@ -162,15 +179,18 @@ class Table:
                 if self.count == 2:
                     self._begin()
                 if self.count >= 2:
-                    row.line_type, row.group_id, row.columns, row.tab_gaps = "table", self.group, self.header, gaps
+                    row.line_type, row.group_id, row.table_of, row.columns, row.tab_gaps = "table", self.group, self.group, self.header, gaps
             else:
                 self.clear()
         else:
-            self.count = 1
+            self.count, self.known = 1, self.known or at != self.first
         self.before = (at, columns, row)
         row.tab_gaps = gaps
 
     def _begin(self) -> None:
+        if not self.known:
+            self.group = EARLIER
+            return
         self.group = self.ids.next()
         _, self.header, head = self.before
         if head.line_type == "plain":
@@ -178,7 +198,7 @@ class Table:
 
 
 def close_json(rows: list[Row], ids: Ids) -> bool:
-    """Makes the last lines one JSON group if the last of them closes it."""
+    """Makes the last rows one JSON group if the last of them closes it."""
     closing = rows[-1].raw.strip()
     if closing not in ("}", "]"):
         return False
@@ -207,6 +227,74 @@ def close_json(rows: list[Row], ids: Ids) -> bool:
     return True
 
 
+class Machine:
+    """The pass over rows in order. rows: those it still holds; before: how many it has let go."""
+
+    def __init__(self, ids: Ids | None = None, diff: str = "idle", first: int | None = None) -> None:
+        """diff: state that the rows before the first one leave; first: its number, where rows stand before it."""
+        self.ids = ids or Ids()
+        self.diff, self.table, self.rows, self.before = Diff(self.ids, diff), Table(self.ids, first), [], first or 0
+
+    def pass_by(self, row: Row) -> None:
+        """A row that no machine reads: a progress session's."""
+        self.rows.append(row)
+
+    def feed(self, row: Row, gaps: list[tuple[int, int]], styled: bool = True) -> None:
+        """styled: whether the row's styles and status are wanted."""
+        raw, read = row.raw, []
+        self.rows.append(row)
+        if found := gotest(raw):
+            row.__dict__.update(found)
+            self.diff.gotest_seen()
+            read = [raw]
+        elif kind := self.diff.feed(raw):
+            row.line_type, row.diff_kind, row.group_id, row.group_head = "diff", kind, self.diff.group, kind == "header-old"
+            row.expandable = row.group_head
+        elif level := warning(raw):
+            row.line_type, row.level, read = "warning", level, [raw]
+        elif hit := jsonx.inline(raw):
+            row.line_type, row.json, row.level, row.expandable = "json", hit[0], jsonx.level(hit[1]), True
+        elif parts := jsonx.embedded(raw):
+            row.line_type, row.json, row.level, row.expandable = "json", parts[0][2], jsonx.level(parts[0][3]), True
+            ends = [0, *(x for p in parts for x in p[:2]), len(raw)]
+            read = [raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)]
+        else:
+            read = [raw]
+            self.table.feed(self.before + len(self.rows) - 1, row, gaps)
+        if styled:
+            row.styles = [s[3] for text in read for s in spans(text) or ()]
+            row.status = status(row)
+        if row.line_type in ("plain", "table"):
+            close_json(self.rows, self.ids)
+
+
+def diff_map(raws: list[str]) -> dict[str, str]:
+    """What state each state before the rows leads to.
+
+    The leads of a body before are told apart as far as the first row that the diff reads can: by the beginnings of its
+    indentation. `body:` and a null byte stands for any other lead; where no row is read it means that bodies stay.
+    """
+    read = next((r for r in raws if not gotest(r)), "")
+    now = {s: s for s in ["idle", "old", "new", "body:\0", *(f"body:{indent(read)[:n]}" for n in range(len(indent(read)) + 1))]}
+    for raw in raws:
+        seen = gotest(raw)
+        after = {}
+        for s in set(now.values()):
+            d = Diff(Ids(), s)
+            d.gotest_seen() if seen else d.feed(raw)
+            after[s] = d.snapshot()
+        now = {k: after[s] for k, s in now.items()}
+    return now
+
+
+def diff_after(state: str, found: dict[str, str]) -> str:
+    """The state after rows with this map."""
+    if state in found:
+        return found[state]
+    out = found["body:\0"]
+    return state if out == "body:\0" else out
+
+
 def key_value(raw: str) -> tuple[str, str] | None:
     """A progress pair: a known key right before the line's first `=`, and what follows."""
     left, eq, value = raw.strip().partition("=")
@@ -277,61 +365,185 @@ def status(row: Row) -> int:
     return 2 if {"level-error", "level-warn", "failed-step", "k8s-event-warning"} & set(row.styles) else 0
 
 
-def fold(lines: list[tuple[int, str, list[tuple[int, int]]]], ids: Ids | None = None, progress: bool = True, closed: bool = True) -> list[Row]:
-    """Rows of (line_no, raw, tab gaps) in order; progress pairs of a session share its first line's row.
+class Session:
+    """An open progress session and its row. shown: the session as of its last block, or its first pair."""
+
+    def __init__(self, row: Row, pair: tuple[str, str]) -> None:
+        self.row, self.progress, self.lines = row, Progress(), 0
+        row.line_type = "progress"
+        self.add(pair)
+
+    def add(self, pair: tuple[str, str]) -> bool:
+        """Whether the pair ended the session."""
+        self.lines += 1
+        if self.progress.add(*pair) or self.lines == 1:
+            self.shown = dict(self.progress.meta)
+        if self.progress.meta["ended"]:
+            self.show()
+        return self.progress.meta["ended"]
+
+    def show(self, frozen: bool = False) -> Row:
+        """The row with what is known so far; frozen: another line has ended the session."""
+        meta = self.progress.meta
+        meta["frozen"] = frozen
+        self.row.raw, self.row.progress, self.row.lines = self.progress.text(meta if frozen else self.shown), meta, self.lines
+        return self.row
+
+
+def reduced(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """As few pairs that have the same effect, blocks apart: the last of each key that counts; milliseconds count until there is a time."""
+    last, ms = {}, None
+    for key, value in pairs:
+        if key == "out_time_ms":
+            if ms is None and Progress._int(value):
+                ms = value
+        elif key != "progress" and (key not in Progress.NUMBERS or Progress._int(value) is not None):
+            last[key] = value
+            if key == "out_time_us":
+                ms = None
+    return [*last.items()] + ([("out_time_ms", ms)] if ms else [])
+
+
+def segment(pairs: list[tuple[str, str]]) -> str:
+    """A part of a session in short, as JSON."""
+    first, rest = pairs[0], pairs[1:]
+    blocks = [i for i, p in enumerate(rest) if p[0] == "progress"]
+    cut = blocks[-1] + 1 if blocks else 0
+    return json.dumps({"first": first, "blocks": len(blocks), "ended": bool(blocks) and rest[blocks[-1]][1] == "end", "before": reduced(rest[:cut]), "after": reduced(rest[cut:]), "lines": len(pairs)})
+
+
+def joined(row: Row, segments: list[str]) -> Session:
+    """The session of parts in order."""
+    out = None
+    for s in map(json.loads, segments):
+        if out is None:
+            out = Session(row, tuple(s["first"]))
+        else:
+            out.add(tuple(s["first"]))
+        for p in s["before"]:
+            out.progress.add(*p)
+        if s["blocks"]:
+            out.progress.meta["block_count"] += s["blocks"] - 1
+            out.progress.add("progress", "end" if s["ended"] else "continue")
+            out.shown = dict(out.progress.meta)
+        for p in s["after"]:
+            out.progress.add(*p)
+        out.lines += s["lines"] - 1
+    return out
+
 
-    closed: nothing follows, so a session still open stays live (not frozen) with its text as of its last block.
+class Live:
+    """The pass over a stream that goes on: each line is read once, and rows are let go as soon as nothing can change them.
+
+    What may change is a row that a bracket still open in the last LOOK_BACK rows stands in or before, a row that may turn
+    out to be a table's header, and an open session's. state() and Live(state) carry all of it, as JSON.
     """
-    def close(progress: Progress, row: Row, shown: dict) -> None:
-        row.raw, row.progress = progress.text(shown), progress.meta
 
-    ids = ids or Ids()
-    diff, table, rows, session = Diff(ids), Table(ids), [], None
+    def __init__(self, state: str | None = None, held: list[str] | None = None, progress: bool = True) -> None:
+        self.machine, self.session, self.next, self.detect = Machine(), None, 0, progress
+        self.open: dict[str, list[int]] = {"{": [], "[": []}  # rows of the brackets that are open, by number
+        if state:
+            v, m = json.loads(state), self.machine
+            self.next, self.open, m.before, m.ids.last = v["next"], v["open"], v["before"], v["ids"]
+            m.rows = [Row(**json.loads(r)) for r in held or []]
+            m.diff.state, m.diff.lead, m.diff.group = v["diff"]
+            m.table.count, m.table.group, m.table.header = v["table"]
+            if v["last"]:
+                at, columns = v["last"]
+                m.table.before = (at, columns, m.rows[at - m.before] if at >= m.before else None)
+            if v["session"]:
+                meta, shown, lines = v["session"]
+                self.session = Session.__new__(Session)
+                self.session.row, self.session.progress, self.session.shown, self.session.lines = m.rows[-1], Progress(), shown, lines
+                self.session.progress.meta = meta
+
+    def state(self) -> tuple[str, list[str]]:
+        """The state, and the rows held, each as JSON."""
+        m, s = self.machine, self.session
+        last = m.table.before and [m.table.before[0], m.table.before[1]]
+        v = {
+            "next": self.next, "open": self.open, "before": m.before, "ids": m.ids.last, "diff": [m.diff.state, m.diff.lead, m.diff.group], "table": [m.table.count, m.table.group, m.table.header], "last": last,
+            "session": s and [s.progress.meta, s.shown, s.lines]}
+        return json.dumps(v), [json.dumps(r.__dict__) for r in m.rows]
+
+    def _brackets(self, row: Row) -> None:
+        """Counts the brackets of the last row."""
+        at = self.machine.before + len(self.machine.rows) - 1
+        for opening, closing in ("{}", "[]"):
+            if opening in row.raw or closing in row.raw:
+                stack = self.open[opening]
+                for c in row.raw:
+                    if c == opening:
+                        stack.append(at)
+                    elif c == closing and stack:
+                        stack.pop()
+
+    def _close(self, frozen: bool) -> None:
+        self._brackets(self.session.show(frozen))
+        self.session = None
+
+    def feed(self, no: int, raw: str, gaps: list[tuple[int, int]]) -> None:
+        pair = key_value(raw) if self.detect else None
+        if pair and self.session:
+            if self.session.add(pair):
+                self._close(False)
+        elif pair:
+            self.session = Session(Row(no, ""), pair)
+            self.machine.pass_by(self.session.row)
+            if self.session.progress.meta["ended"]:
+                self._close(False)
+        else:
+            if self.session:
+                self._close(True)
+            row = Row(no, raw)
+            self.machine.feed(row, gaps)
+            self._brackets(row)
+
+    def settled(self) -> list[Row]:
+        """The rows that nothing can change any more; they are let go."""
+        m = self.machine
+        end = m.before + len(m.rows)
+        for stack in self.open.values():
+            while stack and stack[0] <= end - LOOK_BACK:  # a next row sees LOOK_BACK - 1 rows before it
+                stack.pop(0)
+        # the last row may become a header as long as fewer than two rows have agreed
+        header = end - 1 if m.table.before and m.table.before[0] == end - 1 and m.table.count < 2 else end
+        upto = min([end - 1 if self.session else end, header, *(s[0] for s in self.open.values() if s)]) - m.before
+        out, m.rows = m.rows[:upto], m.rows[upto:]
+        m.before += upto
+        return out
+
+    def finish(self) -> list[Row]:
+        """All rows held: no more lines come, for now. Line numbers and ids go on."""
+        if self.session:
+            self.session.show()
+        m, self.session, self.open = self.machine, None, {"{": [], "[": []}
+        out, m.rows = m.rows, []
+        m.before += len(out)
+        m.diff.state = "idle"
+        m.table.reset()
+        return out
+
+
+def fold(lines: list[tuple[int, str, list[tuple[int, int]]]], ids: Ids | None = None, progress: bool = True) -> list[Row]:
+    """Rows of (line_no, raw, tab gaps) in order; progress pairs of a session share its first line's row.
+
+    A session still open at the end stays live (not frozen), with its text as of its last block.
+    """
+    machine, session = Machine(ids), None
     for no, raw, gaps in lines:
         pair = key_value(raw) if progress else None
-        if pair:
-            if session is None:
-                session = [Progress(), Row(no, "", "progress"), None]
-                rows.append(session[1])
-                opened = True
-            else:
-                session[1].lines += 1
-                opened = False
-            if session[0].add(*pair) or opened:
-                session[2] = dict(session[0].meta)  # the row's text is of then
-            if session[0].meta["ended"]:
-                close(*session)
-                session = None
-            continue
-        if session is not None:
-            session[0].meta["frozen"] = True
-            close(session[0], session[1], session[0].meta)
-            session = None
-        row = Row(no, raw)
-        rows.append(row)
-        if found := gotest(raw):
-            row.__dict__.update(found)
-            diff.gotest_seen()
-            row.styles = [s[3] for s in spans(raw) or ()]
-        elif kind := diff.feed(raw):
-            row.line_type, row.diff_kind, row.group_id, row.group_head = "diff", kind, diff.group, kind == "header-old"
-            row.expandable = row.group_head
-        elif level := warning(raw):
-            row.line_type, row.level = "warning", level
-            row.styles = [s[3] for s in spans(raw) or ()]
-        elif hit := jsonx.inline(raw):
-            row.line_type, row.json, row.level, row.expandable = "json", hit[0], jsonx.level(hit[1]), True
-        elif parts := jsonx.embedded(raw):
-            row.line_type, row.json, row.level, row.expandable = "json", parts[0][2], jsonx.level(parts[0][3]), True
-            ends = [0, *(x for p in parts for x in p[:2]), len(raw)]
-            row.styles = [s[3] for a, b in zip(ends[::2], ends[1::2], strict=True) for s in spans(raw[a:b]) or ()]
+        if pair and session:
+            session = None if session.add(pair) else session
+        elif pair:
+            session = Session(Row(no, ""), pair)
+            machine.pass_by(session.row)
+            session = None if session.progress.meta["ended"] else session
         else:
-            row.styles = [s[3] for s in spans(raw) or ()]
-            table.feed(len(rows) - 1, row, gaps)
-            row.status = status(row)
-            close_json(rows, ids)
-            continue
-        row.status = status(row)
-    if session is not None:
-        close(*session)
-    return rows
+            if session:
+                session.show(frozen=True)
+                session = None
+            machine.feed(Row(no, raw), gaps)
+    if session:
+        session.show()
+    return machine.rows

@@ -1,21 +1,33 @@
-"""The fold over DataFrames: streams are cut where nothing can reach across, and each stretch is folded by itself.
+"""The fold over DataFrames: a stream is many tasks, whatever its lines are, and the result is that of one pass over it.
 
-A line may begin a stretch if the line before it leaves every machine idle (no columns, diff mark or open progress
-session) and no bracket of the 200 lines before it is still open, so that no later line can close a JSON group that
-begins before it. Whole JSON lines are balanced, so a stream of them may be cut at each line. Chunks of CHUNK lines look
-for one such line each, with the lines before the chunk as context, so a long stream is many tasks.
+Three things reach from a chunk of lines into the next, and each is settled by itself:
+
+- Progress sessions. Which lines are pairs is known from the line alone, so sessions are numbered by counts in two levels;
+  a session that crosses chunks is put together from short summaries of its parts. Rows are numbered with sessions as one.
+- The state of a diff. In most chunks some line ends any diff; what stands behind the last such line tells the state at
+  the chunk's end. A chunk without such a line gives a map from each state before it to the one after, and the maps
+  of neighbouring chunks are composed.
+- Tables and multi-line JSON. Each chunk is folded with LOOK_BACK rows before and after it. JSON groups reach no further; of
+  a table that does only the columns of its header are not known, and they come from the chunk in which it began.
+
+Group ids count from 1 in each stream: the groups that begin in a chunk are numbered there, and chunks add up.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import json
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import rx
 from ..functions.clean import clean_lines
-from .fold import LOOK_BACK, Ids, Row, fold
+from ..sources.shared import written
+from .fold import EARLIER, LOOK_BACK, Ids, Machine, Row, Session, diff_after, diff_map, joined, key_value, segment
 
 CHUNK = 8192
 #: A progress pair (a known key right before the line's first `=`), and one that ends its session.
@@ -33,94 +45,227 @@ LINES = T.StructType([T.StructField(n, t) for n, t in (
     ("is_header", _B), ("tab_gaps", _GAPS), ("progress", _PROGRESS), ("styles", T.ArrayType(_S)), ("status", _I), ("lines", _I))])
 
 
-def _open_brackets(raw: Column, opening: str, closing: str) -> Column:
-    """struct<closes, opens>: brackets of a line that have no partner in it, in order."""
-    marks = F.split(F.translate(F.regexp_replace(raw, rf"[^\{opening}\{closing}]", ""), opening + closing, "()"), "")
-    none = F.struct(F.lit(0).alias("closes"), F.lit(0).alias("opens"))
+#: Rows before they are typed. gaps: "start:end,..." or null; meta: a session's progress, as JSON; _calm: no diff is open after it; _rows: of the stream.
+ROWS = T.StructType([T.StructField(n, t) for n, t in (("stream_id", _S), ("row_no", _L), ("line_no", _L), ("raw", _S), ("gaps", _S), ("lines", _I), ("meta", _S), ("_calm", _B), ("_rows", _L))])
+#: The same by chunk, with sessions in parts.
+_PARTS = T.StructType([T.StructField(n, t) for n, t in (
+    ("stream_id", _S), ("_home", _L), ("_pos", _L), ("line_no", _L), ("raw", _S), ("gaps", _S), ("lines", _I), ("meta", _S), ("_calm", _B), ("_part", _S), ("_lead", _B), ("_open", _B), ("_last", _L))])
+
 
-    def step(acc: Column, c: Column) -> Column:
-        closes, opens = acc["closes"], acc["opens"]
-        met = (c == ")") & (opens > 0)
-        return F.struct((closes + F.when((c == ")") & ~met, 1).otherwise(0)).alias("closes"), (opens + F.when(c == "(", 1).when(met, -1).otherwise(0)).alias("opens"))
+def arrow(values: list, kind: T.DataType) -> pa.Array:
+    return pa.array(values, to_arrow_type(kind))
 
-    return F.when(F.contains(raw, F.lit(opening)) | F.contains(raw, F.lit(closing)), F.aggregate(marks, none, step)).otherwise(none)
 
+def _table(columns: dict[str, list], schema: T.StructType) -> pa.Table:
+    return pa.table({f.name: arrow(columns[f.name], f.dataType) for f in schema.fields})
 
-def cut_points(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """lines with first_line, the first line of the stretch of each."""
+
+def _rows_of_chunk(key: tuple, t: pa.Table) -> pa.Table:
+    """The rows of a chunk of lines: lines that are no pair, sessions that begin and end within, and parts of the others.
+
+    A session that begins with the chunk's first line may go on from the chunk before (_lead); one that isn't over with
+    its last line may go on in the next (_open).
+    """
+    t = t.sort_by("line_no")
+    pair, n = np.asarray(t["_pair"]), t.num_rows
+    if not pair.any():
+        none = pa.nulls(n, pa.string())
+        no = pa.array(np.zeros(n, bool))
+        return pa.table({"stream_id": t["stream_id"], "_home": t["_home"], "_pos": pa.array(np.arange(n)), "line_no": t["line_no"], "raw": t["raw"], "gaps": t["gaps"], "lines": pa.array(np.ones(n, np.int32)), "meta": none, "_calm": t["_calm"], "_part": none, "_lead": no, "_open": no, "_last": t["line_no"]})
+    out, home = [], key[1].as_py()
+    number, raw, gaps, calm, pair = (t[c].to_pylist() for c in ("line_no", "raw", "gaps", "_calm", "_pair"))
+    a, stream = 0, key[0].as_py()
+    while a < n:
+        if not pair[a]:
+            made = (number[a], raw[a], gaps[a], 1, None, calm[a], None, False, False, number[a])
+            b = a + 1
+        else:
+            pairs, b = [], a
+            while b < n and pair[b]:
+                pairs.append(key_value(raw[b]))
+                b += 1
+                if pairs[-1] == ("progress", "end"):
+                    break
+            ended = pairs[-1] == ("progress", "end")
+            lead, is_open = a == 0, b == n and not ended
+            if lead or is_open:
+                made = (number[a], None, None, b - a, None, False, segment(pairs), lead, is_open, number[b - 1])
+            else:
+                session = Session(Row(number[a], ""), pairs[0])
+                for p in pairs[1:]:
+                    session.add(p)
+                row = session.show(frozen=not ended)
+                made = (number[a], row.raw, None, b - a, json.dumps(row.progress), False, None, False, False, number[b - 1])
+        out.append((stream, home, len(out), *made))
+        a = b
+    return _table(dict(zip(_PARTS.names, map(list, zip(*out, strict=True)), strict=True)), _PARTS)
+
+
+def _joined_parts(key: tuple, t: pa.Table) -> pa.Table:
+    t = t.sort_by("_last")
+    s = joined(Row(key[1].as_py(), ""), t["_part"].to_pylist())
+    row = s.show(frozen=not s.progress.meta["ended"] and t["_last"][-1].as_py() < t["_stream_last"][0].as_py())
+    return _table({"stream_id": [key[0].as_py()], "row_no": [t["row_no"][0].as_py()], "line_no": [row.line_no], "raw": [row.raw], "gaps": [None], "lines": [row.lines], "meta": [json.dumps(row.progress)], "_calm": [False], "_rows": [t["_rows"][0].as_py()]}, ROWS)
+
+
+def stream_rows(lines: DataFrame, detect_progress: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """ROWS of cleaned (stream_id, line_no, raw, gaps): one for each line that is no progress pair and one for each session, numbered without gaps. They are written once."""
     raw = F.col("raw")
+    d = lines.withColumn("_calm", _ends_diffs(raw))
+    if not detect_progress:
+        d = written(d)
+        ends = d.groupBy("stream_id").agg((F.max("line_no") + 1).alias("_rows"))
+        return d.join(ends, "stream_id").select("stream_id", F.col("line_no").alias("row_no"), "line_no", "raw", "gaps", F.lit(1).alias("lines"), F.lit(None).cast("string").alias("meta"), "_calm", "_rows")
+    d = d.withColumn("_home", F.expr(f"line_no div {chunk}")).withColumn("_pair", F.contains(raw, F.lit("=")) & F.regexp_like(raw, F.lit(PAIR)))
+    d = written(d.groupBy("stream_id", "_home").applyInArrow(_rows_of_chunk, _PARTS))
+    line, lead, is_open = F.col("line_no"), F.col("_lead"), F.col("_open")
+    chunks = d.groupBy("stream_id", "_home").agg(
+        F.count("*").alias("_n"), F.max(lead).alias("_lead"), F.max(is_open).alias("_open"), F.max(lead & is_open).alias("_through"), F.max(F.when(is_open & ~lead, line)).alias("_tail"), F.min("line_no").alias("_first"), F.max("_last").alias("_last"))
+    over = Window.partitionBy("stream_id").orderBy("_home")
+    earlier, all_of = over.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("stream_id")
+    chunks = chunks.withColumn("_goes_on", F.col("_lead") & F.coalesce(F.lag("_open").over(over), F.lit(False)))
+    chunks = chunks.withColumn("_n", F.col("_n") - F.col("_goes_on").cast("long")).withColumn("_begin", F.coalesce("_tail", F.when(F.col("_through") & ~F.col("_goes_on"), F.col("_first"))))
+    chunks = chunks.select(
+        "stream_id", "_home", "_goes_on", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_goes_on").cast("long")).alias("_before"), F.last("_begin", True).over(earlier).alias("_carried"),
+        F.sum("_n").over(all_of).alias("_rows"), F.max("_last").over(all_of).alias("_stream_last"))
+    d = d.join(chunks, ["stream_id", "_home"]).withColumn("row_no", F.col("_before") + F.col("_pos"))
+    whole = d.where("_part is null").select(*ROWS.names)
+    if not d.where("_part is not null").take(1):
+        return whole
+    parts = d.where("_part is not null").withColumn("_session", F.when(F.col("_lead") & F.col("_goes_on"), F.col("_carried")).otherwise(line))
+    return whole.unionByName(parts.select("stream_id", "_session", "row_no", "_part", "_last", "_stream_last", "_rows").groupBy("stream_id", "_session").applyInArrow(_joined_parts, ROWS))
+
+
+def _ends_diffs(raw: Column) -> Column:
+    """Whether no diff is open after a line, whatever came before it."""
     has = lambda p: F.regexp_like(raw, F.lit(rx.java(p)))
-    columns = F.regexp_like(raw, F.lit(r"(?U)\s{2}")) | (F.size("tab_gaps") > 0)
-    pair = F.contains(raw, F.lit("=")) & F.regexp_like(raw, F.lit(PAIR))
-    ends = F.regexp_like(raw, F.lit(SESSION_END))
-    idle = (raw != "") & ~F.regexp_like(raw, F.lit(r"^[-+@ \t\x{A0}]")) & ~columns & ~has(rx.DIFF_OLD) & ~has(rx.GOTEST_BARE) & ~has(rx.GOTEST_PACKAGE_OK) & ~has(rx.GOTEST_PACKAGE_FAIL)
-    home = F.expr(f"line_no div {chunk}")
-    near_end = (F.col("line_no") % chunk) >= chunk - LOOK_BACK - 1
-    seen = lines.select(
-        "stream_id", "line_no", F.when(~pair, idle).alias("_idle"), (pair & ends).alias("_ends"), _open_brackets(raw, "{", "}").alias("_b0"), _open_brackets(raw, "[", "]").alias("_b1"),
-        F.explode(F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))).alias("_chunk"))
-    order = Window.partitionBy("stream_id", "_chunk").orderBy("line_no")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    for k in (0, 1):
-        seen = seen.withColumn(f"_c{k}", F.sum(F.col(f"_b{k}.opens") - F.col(f"_b{k}.closes")).over(upto))
-    for k in (0, 1):  # brackets still open after the line, counted back to any line
-        seen = seen.withColumn(f"_o{k}", F.max(F.col(f"_b{k}.opens") - F.col(f"_c{k}")).over(upto) + F.col(f"_c{k}"))
-    # a pair passes the other machines by: after one that ends its session they are as the last other line left them,
-    # which may stand in an earlier chunk
-    left = F.last("_idle", True).over(upto)
-    seen = seen.withColumn("_left", left).withColumn("_safe", (F.col("_o0") <= 0) & (F.col("_o1") <= 0) & (F.col("_idle").isNotNull() | F.col("_ends")))
-    own = F.expr(f"line_no div {chunk}") == F.col("_chunk")
-    seen = seen.withColumn("_if_busy", own & F.lag(F.col("_safe") & F.coalesce("_left", F.lit(False))).over(order)).withColumn("_if_idle", own & F.lag(F.col("_safe") & F.coalesce("_left", F.lit(True))).over(order))
-    firsts = seen.groupBy("stream_id", "_chunk").agg(
-        *[F.min(F.when(F.col(c), F.col("line_no"))).alias(c) for c in ("_if_busy", "_if_idle")], F.max_by("_idle", F.when(own & F.col("_idle").isNotNull(), F.col("line_no"))).alias("_last"))
-    earlier = Window.partitionBy("stream_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = firsts.withColumn("_cut", F.when(F.coalesce(F.last("_last", True).over(earlier), F.lit(True)), F.col("_if_idle")).otherwise(F.col("_if_busy")))
-    firsts = firsts.select("stream_id", "_chunk", "_cut", F.coalesce(F.max("_cut").over(earlier), F.lit(0)).alias("_before"))
-    d = lines.withColumn("_chunk", home).join(firsts, ["stream_id", "_chunk"])
-    return d.withColumn("first_line", F.when(F.col("line_no") >= F.col("_cut"), F.col("_cut")).otherwise(F.col("_before"))).drop("_chunk", "_cut", "_before")
-
-
-def to_frame(stream_id: str, rows: list[Row], names: list[str] | None = None) -> pd.DataFrame:
-    """The named columns of LINES, all unless given."""
+    seen = F.regexp_like(raw, F.lit(r"(?U)^[^\s\p{Z}\p{C}+\-@]"))
+    test = has(rx.GOTEST_MARKER) | F.regexp_like(raw, F.lit(r"(?U)^(?:PASS|FAIL)\s*\z")) | has(rx.GOTEST_PACKAGE_OK) | has(rx.GOTEST_PACKAGE_FAIL)
+    return seen & ~has(rx.DIFF_OLD) & ~test
+
+
+def _map_of_chunk(key: tuple, t: pa.Table) -> pa.Table:
+    raws = t.sort_by("row_no")["raw"].to_pylist()
+    found = {"idle": diff_after("idle", diff_map(raws))} if t["_known"][0].as_py() else diff_map(raws)
+    return pa.table({"stream_id": [key[0].as_py()], "_chunk": [key[1].as_py()], "_map": [json.dumps(found)]})
+
+
+def _states(key: tuple, t: pa.Table) -> pa.Table:
+    """The state that each chunk of a run leaves to the next: the first one's is known, the others follow by their maps."""
+    t, state, out = t.sort_by("_chunk"), "idle", []
+    for known, found in zip(t["_known"].to_pylist(), t["_map"].to_pylist(), strict=True):
+        state = "idle" if known else state
+        state = diff_after(state, json.loads(found)) if found else state
+        out.append(state)
+    return pa.table({"stream_id": t["stream_id"], "_chunk": pa.array([c + 1 for c in t["_chunk"].to_pylist()], pa.int64()), "_state": pa.array(out, pa.string())})
+
+
+def diff_states(rows: DataFrame, chunk: int) -> DataFrame:
+    """(stream_id, _chunk, _state): the diff's state LOOK_BACK rows before a chunk's first row."""
+    d = rows.withColumn("_chunk", F.expr(f"(row_no + {LOOK_BACK}) div {chunk}"))
+    calm = d.groupBy("stream_id", "_chunk").agg(F.max(F.when(F.col("_calm"), F.col("row_no"))).alias("_upto"))
+    calm = calm.select("stream_id", "_chunk", F.col("_upto").isNotNull().alias("_known"), F.coalesce("_upto", F.lit(-1)).alias("_upto"))
+    rest = d.where("meta is null").select("stream_id", "_chunk", "row_no", "raw").join(calm, ["stream_id", "_chunk"]).where("row_no > _upto")
+    maps = rest.groupBy("stream_id", "_chunk").applyInArrow(_map_of_chunk, "stream_id string, _chunk long, _map string")
+    run = F.sum(F.col("_known").cast("long")).over(Window.partitionBy("stream_id").orderBy("_chunk"))
+    chunks = calm.join(maps, ["stream_id", "_chunk"], "left").withColumn("_run", run)
+    return chunks.select("stream_id", "_chunk", "_known", "_map", "_run").groupBy("stream_id", "_run").applyInArrow(_states, "stream_id string, _chunk long, _state string")
+
+
+#: Beside the wanted columns of LINES: what the ids and columns of groups that began elsewhere need.
+_EXTRA = T.StructType([T.StructField(n, t) for n, t in (("_chunk", _L), ("_kind", _S), ("_events", _L), ("_last_diff", _L), ("_last_table", _L), ("_header", T.ArrayType(_I)), ("_no_columns", _B))])
+
+
+def _gaps(text: str | None) -> list[tuple[int, int]]:
+    return [tuple(map(int, g.split(":"))) for g in text.split(",")] if text else []
+
+
+def row_columns(stream_id: str, rows: list[Row], names: list[str]) -> dict[str, list]:
+    """The named columns of LINES."""
     made = {}
-    for n in names or LINES.names:
+    for n in names:
         if n == "stream_id":
             made[n] = [stream_id] * len(rows)
         elif n == "tab_gaps":
             made[n] = [[{"start": a, "end": b} for a, b in r.tab_gaps] for r in rows]
         else:
             made[n] = [getattr(r, n) for r in rows]
-    return pd.DataFrame({n: pd.Series(v, dtype=None if n in NUMBERS else object) for n, v in made.items()})
+    return made
 
 
-#: Columns without nulls, which pandas may hold as numbers.
-NUMBERS = {"line_no", "depth", "group_id", "status", "lines"}
+def _fold_chunk(chunk: int, names: list[str]):
+    schema = T.StructType([*(LINES[n] for n in names), *_EXTRA.fields])
+    styled = bool({"styles", "status"} & set(names))
 
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t, k = t.sort_by("row_no"), key[1].as_py()
+        numbers, lo, hi = t["row_no"].to_pylist(), k * chunk, (k + 1) * chunk
+        machine = Machine(Ids(), t["_state"][0].as_py() or "idle", numbers[0] or None)
+        base = own = None
+        last_diff = last_table = header = None
+        for at, no, raw, gaps, lines, meta in zip(numbers, *(t[c].to_pylist() for c in ("line_no", "raw", "gaps", "lines", "meta")), strict=True):
+            base = machine.ids.last if at == lo else base
+            own = machine.ids.last - base if at == hi else own
+            row = Row(no, raw, lines=lines)
+            if meta:
+                row.line_type, row.progress = "progress", json.loads(meta)
+                machine.pass_by(row)
+                continue
+            began = machine.ids.last
+            machine.feed(row, _gaps(gaps), styled and lo <= at < hi)
+            if lo <= at < hi and machine.ids.last > began:
+                if machine.diff.group == machine.ids.last:
+                    last_diff = machine.ids.last
+                elif machine.table.group == machine.ids.last:
+                    last_table, header = machine.ids.last, machine.table.header
+        own = machine.ids.last - base if own is None else own
+        rows = machine.rows[lo - numbers[0] : hi - numbers[0]]
+        kinds, no_columns = [], []
+        for r in rows:
+            kind = None if not r.group_id else "own" if r.group_id > base else r.line_type
+            # a table that began earlier, also where its rows have become part of a JSON group
+            no_columns.append(r.columns is None and r.table_of == EARLIER)
+            r.group_id = max(0, r.group_id - base)
+            kinds.append(kind)
+        first = [None] * (len(rows) - 1)
+        out = row_columns(key[0].as_py(), rows, names) | {
+            "_chunk": [k] * len(rows), "_kind": kinds, "_events": [own, *first], "_last_diff": [last_diff and last_diff - base, *first], "_last_table": [last_table and last_table - base, *first], "_header": [header, *first], "_no_columns": no_columns}
+        return _table(out, schema)
 
-def fold_frame(pdf: pd.DataFrame, first: int, progress: bool) -> list[Row]:
-    pdf = pdf.sort_values("line_no", kind="stable")
-    pair = lambda g: tuple(map(int, g.split(":")))
-    gaps = [[pair(g) for g in x.split(",")] if x else [] for x in pdf["gaps"]]
-    return fold(list(zip(pdf["line_no"].tolist(), pdf["raw"].tolist(), gaps, strict=True)), Ids(2 * first), progress)
+    return run, schema
 
 
 def structure(lines: DataFrame, text: str = "text", detect_progress: bool = True, chunk: int = CHUNK, columns: list[str] | None = None) -> DataFrame:
     """Typed lines of raw ones (stream_id, line_no, text): one row per line, one per progress session.
 
-    Lines are numbered from 0 without gaps in each stream. Group ids count from 1 in a stream that is one stretch, and from
-    twice a stretch's first line otherwise, so they are unique in a stream. columns: those of LINES to be made, all unless given.
+    Lines are numbered from 0 without gaps in each stream. chunk: rows that a task folds at once, 2 * LOOK_BACK at least.
+    columns: those of LINES to be made, all unless given; ids and columns of groups cost one more exchange.
     """
-    d = cut_points(clean_lines(lines.select("stream_id", "line_no", text), text), chunk)
-
-    names = list(columns or LINES.names)
+    names, chunk = list(columns or LINES.names), max(chunk, 2 * LOOK_BACK)
+    d = clean_lines(lines.select("stream_id", "line_no", text), text)
     # text, and null for most lines: lists of structs are slow to hand over
     gaps = F.when(F.size("tab_gaps") > 0, F.array_join(F.transform("tab_gaps", lambda g: F.concat(g["start"], F.lit(":"), g["end"])), ","))
-    d = d.select("stream_id", "first_line", "line_no", "raw", gaps.alias("gaps"))
-
-    def run(key, pdf):
-        return to_frame(key[0], fold_frame(pdf, int(key[1]), detect_progress), names)
-
-    return d.groupBy("stream_id", "first_line").applyInPandas(run, T.StructType([LINES[n] for n in names]))
+    d = d.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("line_no").cast("long").alias("line_no"), "raw", gaps.alias("gaps"))
+    rows = stream_rows(d, detect_progress, chunk)
+    home, place = F.expr(f"row_no div {chunk}"), F.expr(f"row_no % {chunk}")
+    homes = F.when((place < LOOK_BACK) & (home > 0), F.array(home, home - 1)).when((place >= chunk - LOOK_BACK) & ((home + 1) * chunk < F.col("_rows")), F.array(home, home + 1)).otherwise(F.array(home))
+    d = rows.select("stream_id", "row_no", "line_no", "raw", "gaps", "lines", "meta", F.explode(homes).alias("_chunk"))
+    run, schema = _fold_chunk(chunk, ["stream_id", *(n for n in names if n != "stream_id")])
+    done = d.join(diff_states(rows, chunk), ["stream_id", "_chunk"], "left").groupBy("stream_id", "_chunk").applyInArrow(run, schema)
+    if not {"group_id", "columns"} & set(names):
+        return done.select(*names)
+    done = written(done)
+    over = Window.partitionBy("stream_id").orderBy("_chunk")
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    chunks = done.where("_events is not null").select("stream_id", "_chunk", F.coalesce(F.sum("_events").over(earlier), F.lit(0)).alias("_before"), "_last_diff", "_last_table", "_header")
+    for n in ("_last_diff", "_last_table"):
+        chunks = chunks.withColumn(n, F.last(F.col("_before") + F.col(n), True).over(earlier))
+    chunks = chunks.select("stream_id", "_chunk", "_before", F.col("_last_diff").alias("_of_diff"), F.col("_last_table").alias("_of_table"), F.last("_header", True).over(earlier).alias("_of_header"))
+    d = done.join(chunks, ["stream_id", "_chunk"])
+    made = {
+        "group_id": F.when(F.col("_kind") == "own", F.col("_before") + F.col("group_id")).when(F.col("_kind") == "diff", F.col("_of_diff")).when(F.col("_kind") == "table", F.col("_of_table")).otherwise(0),
+        "columns": F.when(F.col("_no_columns"), F.col("_of_header")).otherwise(F.col("columns")) if "columns" in names else None}
+    return d.select(*[made[n].alias(n) if n in made else F.col(n) for n in names])
 
 
 def group_widths(lines: DataFrame) -> DataFrame:

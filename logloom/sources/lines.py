@@ -6,9 +6,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.search import CHUNK_LINES
+from .shared import written
 
 
 def read_text(spark: SparkSession, path: str, stream_id: str | None = None, source: str = "stdin") -> DataFrame:
@@ -27,40 +27,39 @@ def read_text(spark: SparkSession, path: str, stream_id: str | None = None, sour
     return d.select((F.lit(stream_id) if stream_id else F.col("_file")).alias("stream_id"), (F.col("_before") + F.col("_k")).alias("line_no"), "text", F.lit(source).alias("source"))
 
 
-def _ranges(d: DataFrame, first: str, parts: int) -> Column:
-    """A number of the range that a row's first order column falls into, by approximate quantiles of it; one range for other than numbers and times."""
-    if not isinstance(d.schema[first].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)) or parts < 2:
-        return F.lit(0)
-    key = F.col(first)
-    key = F.unix_micros(key.cast("timestamp")) if not isinstance(d.schema[first].dataType, T.NumericType) else key
-    bounds = d.select(key.cast("double").alias("k")).where("not isnan(k)").agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
-    bounds = sorted(set(bounds or []))
-    if not bounds:
-        return F.lit(0)
-    at = F.array(*[F.lit(b) for b in bounds])
-    # nulls come first, NaN last, as in the order of the rows
-    return F.when(key.isNull(), 0).otherwise(F.size(F.filter(at, lambda b: b < key.cast("double"))))
+#: Bytes of input to a range of rows.
+RANGE_BYTES = 128 << 20
+
+
+def _parts(d: DataFrame) -> int | None:
+    """Ranges that d's size asks for; None: no more than the shuffle partitions, of which Spark joins small ones."""
+    size = int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = size // RANGE_BYTES if size < 1 << 56 else 0
+    return n if n > int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
 def lines_from_df(df: DataFrame, text: str | Column, order: list, stream: str | Column | None = None, source: str = "stdin", split: bool = False, ranges: int | None = None) -> DataFrame:
-    """Any DataFrame's text column as streams of lines, numbered by order; split: texts are cut at newlines first.
+    """Any DataFrame's text column as streams of lines, numbered by order (of any types); split: texts are cut at newlines first.
 
-    Numbers are made in two levels: within ranges of the first order column, and over the ranges' counts, so that no task
-    orders a whole stream. ranges: how many of them, the shuffle partitions (256 at most) unless given.
+    Rows are dealt out to ranges of (stream, order), sorted there, and written once with their place in the range; a stream's
+    lines before a range are the sum of its rows in earlier ones. No task holds more than a range, whatever a stream's
+    length. ranges: how many; by the input's size unless given.
     """
     stream = F.lit("stream") if stream is None else F.col(stream) if isinstance(stream, str) else stream
     d = df.select(stream.cast("string").alias("stream_id"), (F.col(text) if isinstance(text, str) else text).alias("text"), *[(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order)])
-    keys = [f"_o{i}" for i in range(len(order))]
-    parts = ranges if ranges is not None else min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    d = d.withColumn("_range", _ranges(d, "_o0", parts))
+    keys = ["stream_id", *(f"_o{i}" for i in range(len(order)))]
     if split:
-        d = d.select("stream_id", "_range", *keys, F.posexplode(F.split("text", "\n")).alias("_pos", "text"))
+        d = d.select(*keys, F.posexplode(F.split("text", "\n")).alias("_pos", "text"))
         keys.append("_pos")
-    counts = d.groupBy("stream_id", "_range").agg(F.count("*").alias("_n"))
+    parts = ranges or _parts(d)
+    d = d.repartitionByRange(*([parts] if parts else []), *keys).sortWithinPartitions(*keys)
+    # an id's lower 33 bits are the row's place in its partition, as it is written
+    d = written(d.select("stream_id", "text", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_place")))
+    counts = d.groupBy("stream_id", "_range").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
     before = F.sum("_n").over(Window.partitionBy("stream_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    no = F.row_number().over(Window.partitionBy("stream_id", "_range").orderBy(*keys)) - 1
-    d = d.withColumn("_no", no).join(counts.select("stream_id", "_range", F.coalesce(before, F.lit(0)).alias("_before")), ["stream_id", "_range"])
-    return d.select("stream_id", (F.col("_before") + F.col("_no")).cast("long").alias("line_no"), "text", F.lit(source).alias("source"))
+    counts = counts.select(F.col("stream_id").alias("_stream"), F.col("_range").alias("_own"), (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_add"))
+    d = d.join(counts, F.col("stream_id").eqNullSafe(F.col("_stream")) & (F.col("_range") == F.col("_own")))
+    return d.select("stream_id", (F.col("_add") + F.col("_place")).cast("long").alias("line_no"), "text", F.lit(source).alias("source"))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -1,101 +1,122 @@
 """The fold and the statistics over unbounded input, with the batch operators' results.
 
-The fold keeps, for each stream, the lines since the last one that may begin a stretch (see operators.sequence); they are
-folded again when more arrive, and handed out when a later stretch begins or the stream is closed. State is therefore as
-long as the open stretch, and no row that was handed out changes.
+The fold reads each line once. Its state, in the state store, is what the machines remember and the rows that may still change:
+LOOK_BACK of them at most, and as a rule none or one (see operators.fold.Live). Rows are handed out when they are
+final; with provisional set, those that may still change are handed out as they stand, too, and come again with a higher version.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions import rx
 from ..functions.clean import clean_lines
-from ..operators.fold import LOOK_BACK, Ids, fold, gotest, key_value, space_columns
-from ..operators.sequence import LINES, to_frame
-
-STATE = "next bigint, first bigint, raws array<string>, gaps array<array<int>>"
-_OLD = rx.python(rx.DIFF_OLD)
-
-
-def idle_after(raw: str, gaps: list) -> bool:
-    """Whether every machine is idle after a line that is no progress pair, whatever came before it, brackets apart."""
-    return bool(raw) and raw[0] not in "-+@ \t\xa0" and not gaps and len(space_columns(raw)) < 2 and not _OLD.search(raw) and gotest(raw) is None
-
-
-class OpenBrackets:
-    """Greatest number of brackets still open, counted back from the last line to any of the 200 before it."""
-
-    def __init__(self, opening: str, closing: str) -> None:
-        self.marks, self.sum, self.tops = (opening, closing), 0, deque()
-
-    def feed(self, at: int, raw: str) -> int:
-        opens = 0
-        if self.marks[0] in raw or self.marks[1] in raw:
-            for c in raw:
-                if c == self.marks[0]:
-                    opens, self.sum = opens + 1, self.sum + 1
-                elif c == self.marks[1]:
-                    opens, self.sum = max(0, opens - 1), self.sum - 1
-        top = opens - self.sum
-        while self.tops and self.tops[-1][1] <= top:
-            self.tops.pop()
-        self.tops.append((at, top))
-        while self.tops[0][0] < at - LOOK_BACK:
-            self.tops.popleft()
-        return self.tops[0][1] + self.sum
+from ..operators.fold import Live, Row
+from ..operators.sequence import LINES, row_columns
+
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Typed lines of a stream. version: grows with each batch of lines of the stream; final: the row won't change.
+LIVE_LINES = T.StructType([*LINES.fields, T.StructField("version", T.LongType()), T.StructField("final", T.BooleanType())])
+#: Columns of LINES without nulls, which pandas may hold as numbers.
+_NUMBERS = {"line_no", "depth", "group_id", "status", "lines"}
+
+
+class Fold(StatefulProcessor):
+    """One stream's fold. Value state: the machines and counters; list state: the rows held."""
+
+    def __init__(self, detect_progress: bool, idle_timeout_ms: int, ordered: bool, provisional: bool) -> None:
+        self.detect, self.timeout, self.ordered, self.provisional = detect_progress, idle_timeout_ms, ordered, provisional
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.machines = handle.getValueState("machines", "state string, version long")
+        self.held = handle.getListState("held", "row string")
+
+    def _load(self) -> tuple[Live, int]:
+        if not self.machines.exists():
+            return Live(progress=self.detect), 0
+        state, version = self.machines.get()
+        return Live(state, [r[0] for r in self.held.get()], self.detect), version
+
+    def _save(self, live: Live, version: int) -> None:
+        state, rows = live.state()
+        self.machines.update((state, version))
+        self.held.clear()
+        if rows:
+            self.held.put([(r,) for r in rows])
+
+    def _frame(self, stream_id: str, rows: list[Row], version: int, final: bool) -> pd.DataFrame:
+        made = row_columns(stream_id, rows, LINES.names) | {"version": [version] * len(rows), "final": [final] * len(rows)}
+        return pd.DataFrame({n: pd.Series(v, dtype=None if n in _NUMBERS or n in ("version", "final") else object) for n, v in made.items()})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        if self.ordered:
+            new = new.sort_values("line_no", kind="stable")
+        live, version = self._load()
+        version, settled = version + 1, []
+        for raw, gaps in zip(new["raw"], new["gaps"], strict=True):
+            live.feed(live.next, raw, [tuple(map(int, g.split(":"))) for g in gaps.split(",")] if gaps else [])
+            live.next += 1
+            settled += live.settled()
+        self._save(live, version)
+        if self.timeout:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout)
+        if settled:
+            yield self._frame(key[0], settled, version, True)
+        if self.provisional and live.machine.rows:
+            if live.session:
+                live.session.show()
+            yield self._frame(key[0], live.machine.rows, version, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        live, version = self._load()
+        rows = live.finish()
+        self._save(live, version + 1)
+        if rows:
+            yield self._frame(key[0], rows, version + 1, True)
+
+    def close(self) -> None:
+        pass
+
+
+def structure_stream(lines: DataFrame, text: str = "text", detect_progress: bool = True, idle_timeout_ms: int = 0, provisional: bool = False) -> DataFrame:
+    """Typed lines (LIVE_LINES) of a streaming (stream_id, text[, line_no]); lines are numbered in order of line_no in each batch, else of arrival.
+
+    idle_timeout_ms: a stream without new lines for so long is closed: rows held become final, and numbers go on if lines
+    come later. provisional: rows held are handed out, too, after each batch of their stream. The query needs the RocksDB
+    state store, which this sets for the session.
+    """
+    lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    order = ["line_no"] if "line_no" in lines.columns else []
+    gaps = F.when(F.size("tab_gaps") > 0, F.array_join(F.transform("tab_gaps", lambda g: F.concat(g["start"], F.lit(":"), g["end"])), ","))
+    d = clean_lines(lines, text).select(F.col("stream_id").cast("string").alias("stream_id"), "raw", gaps.alias("gaps"), *order)
+    fold = Fold(detect_progress, idle_timeout_ms, bool(order), provisional)
+    return d.groupBy("stream_id").transformWithStateInPandas(fold, LIVE_LINES, "Update" if provisional else "Append", "ProcessingTime" if idle_timeout_ms else "None")
 
 
-def last_cut(raws: list[str], gaps: list) -> int:
-    """Index of the last line that may begin a stretch, or 0."""
-    cut, idle, curly, square = 0, True, OpenBrackets("{", "}"), OpenBrackets("[", "]")
-    for i, (r, g) in enumerate(zip(raws, gaps, strict=True)):
-        still = max(curly.feed(i, r), square.feed(i, r))
-        pair = key_value(r)
-        idle = idle if pair else idle_after(r, g)  # a pair passes the other machines by
-        if still <= 0 and idle and i + 1 < len(raws) and (not pair or pair == ("progress", "end")):
-            cut = i + 1
-    return cut
+def write_revisions(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+    """Writes each batch of rows to a folder of its own, by batch id: a batch that runs again replaces what it wrote, so nothing counts twice."""
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
+    w = stream.writeStream.option("checkpointLocation", checkpoint).outputMode("update").foreachBatch(write)
+    return (w.trigger(availableNow=True) if available_now else w).start()
 
-def structure_stream(lines: DataFrame, text: str = "text", detect_progress: bool = True, idle_timeout_ms: int = 0) -> DataFrame:
-    """Typed lines of a streaming (stream_id, text[, line_no]); lines are numbered in order of line_no, else of arrival.
 
-    idle_timeout_ms: a stream without new lines for so long is closed, and its open stretch handed out.
-    """
-    order = "line_no" if "line_no" in lines.columns else None
-    d = clean_lines(lines, text)
-    d = d.select("stream_id", "raw", F.transform("tab_gaps", lambda g: F.array(g["start"], g["end"])).alias("gaps"), *([order] if order else []))
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        nxt, first, raws, gaps = state.get if state.exists else (0, 0, [], [])
-        raws, gaps = list(raws), [[tuple(g[i : i + 2]) for i in range(0, len(g), 2)] for g in gaps]
-        if state.hasTimedOut:
-            cut = len(raws)
-            state.remove()
-        else:
-            new = pd.concat(list(batches))
-            if order:
-                new = new.sort_values(order, kind="stable")
-            raws += new["raw"].tolist()
-            gaps += [[tuple(p) for p in g] for g in new["gaps"]]
-            nxt += len(new)
-            cut = last_cut(raws, gaps)
-            state.update((nxt, first + cut, raws[cut:], [[x for p in g for x in p] for g in gaps[cut:]]))
-            if idle_timeout_ms:
-                state.setTimeoutDuration(idle_timeout_ms)
-        if cut:
-            done = list(zip(range(first, first + cut), raws[:cut], gaps[:cut], strict=True))
-            yield to_frame(key[0], fold(done, Ids(2 * first), detect_progress))
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout
-    return d.groupBy("stream_id").applyInPandasWithState(run, LINES, STATE, "append", timeout)
+def current_lines(spark: SparkSession, path: str) -> DataFrame:
+    """What write_revisions has written, as it stands: for each line its row of the highest version."""
+    d = spark.read.schema(LIVE_LINES).parquet(path)
+    rest = [c for c in LIVE_LINES.names if c not in ("stream_id", "line_no")]
+    latest = d.groupBy("stream_id", "line_no").agg(F.max_by(F.struct(*rest), "version").alias("r"))
+    return latest.select("stream_id", "line_no", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
 def live_freq(labelled: DataFrame, rule_idx, label: str = "label") -> DataFrame:

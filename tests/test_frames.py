@@ -17,51 +17,6 @@ def lines(spark, texts, stream="s"):
 SAMPLE = ["plain"] * 3 + ['{"a": 1}', "--- a", "+++ b", "@@ -1 @@", "+x", "done", "A  B  C", "1  2  3", "4  5  6", "end", "{", '  "k": [', "  1", "  ]", "}", "frame=1", "progress=end", "ok"] + ["text line"] * 450
 
 
-def test_stretches_change_nothing(spark):
-    many = lines(spark, SAMPLE * 3)
-    pick = lambda d: sorted((r.line_no, r.line_type, r.raw, r.group_head, r.status) for r in d.collect())
-    whole, cut = sequence.structure(many, chunk=1 << 20), sequence.structure(many.repartition(7), chunk=300)
-    assert pick(whole) == pick(cut)
-    assert sequence.cut_points(clean.clean_lines(many), 300).select("first_line").distinct().count() > 1
-    assert cut.where("group_id > 0").select("group_id").distinct().count() == whole.where("group_id > 0").select("group_id").distinct().count()
-
-
-def test_json_and_progress_streams_are_many_stretches(spark):
-    """Whole JSON lines, progress sessions and multi-line JSON are cut, and give what one stretch gives."""
-    r = random.Random(5)
-    session = [f"frame={{}}", "speed=1x", "progress=continue", "fps=2", "progress=end"]
-    made = {
-        "json": [f'{{"a":{i},"b":[{{"c":"x=1"}}]}}' for i in range(3000)],
-        "progress": [x.format(i) for i in range(600) for x in session],
-        "nested": [x for i in range(700) for x in ("saved {", f'  "id": {i}', "}", "ok")],
-        "diff": [x.replace("{}", str(i)) for i in range(300) for x in ["--- a", "+++ b", "@@ -1 @@", "+x {}", *session, "+y", "end", "A  B  C", *session, "1  2  3", "]", "over"]],
-        "mixed": [r.choice(["{", "}", "[", "]", '{"k": 1}', "text", "A  B  C", "D  E  F", "+x", "--- a", "+++ b", "@@ -1 @@", "frame=1", "progress=end", "", "PASS", "a } b {"]) for _ in range(4000)],
-    }
-    d = lines(spark, made["json"], "json")
-    for k in made:
-        d = d if k == "json" else d.unionByName(lines(spark, made[k], k))
-    pick = lambda d: sorted((r.stream_id, r.line_no, r.line_type, r.raw, r.group_head, r.status, str(r.progress)) for r in d.collect())
-    assert pick(sequence.structure(d, chunk=1 << 20)) == pick(sequence.structure(d.repartition(7), chunk=256))
-    cuts = dict(sequence.cut_points(clean.clean_lines(d), 256).groupBy("stream_id").agg(F.countDistinct("first_line")).collect())
-    assert all(cuts[k] > 8 for k in ("json", "progress", "nested", "diff")), cuts
-
-
-def test_streaming_cuts_change_nothing():
-    from logloom.operators.fold import fold
-    from logloom.streaming.live import last_cut
-
-    r = random.Random(6)
-    words = ["{", "}", "[", "]", '{"k": 1}', "text", "A  B  C", "+x", "--- a", "+++ b", "@@ -1 @@", "frame=1", "progress=end", "", "a } b {", '  "k": 2']
-    for _ in range(300):
-        raws = [r.choice(words) for _ in range(r.randrange(1, 60))]
-        gaps = [[] for _ in raws]
-        cut = last_cut(raws, gaps)
-        view = lambda rows: [(x.line_no, x.line_type, x.raw, x.json, x.diff_kind, x.group_head) for x in rows]
-        rows = list(zip(range(len(raws)), raws, gaps, strict=True))
-        assert view(fold(rows[:cut])) + view(fold(rows[cut:])) == view(fold(rows))
-    assert last_cut(['{"a": 1}'] * 50, [[]] * 50) == 49
-
-
 @pytest.mark.parametrize("ranges", [1, 7, 64])
 def test_numbering_in_two_levels(spark, ranges):
     r = random.Random(3)
@@ -72,18 +27,6 @@ def test_numbering_in_two_levels(spark, ranges):
     assert got == list(enumerate(t for x in sorted(rows, key=key) for t in x[2].split("\n")))
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from logloom.streaming.live import run_available, structure_stream
-
-    for i in range(3):
-        lines(spark, SAMPLE, "s").select("stream_id", (F.col("line_no") + i * len(SAMPLE)).alias("line_no"), "text").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    d = spark.readStream.schema("stream_id string, line_no long, text string").parquet(f"{tmp_path}/in")
-    run_available(structure_stream(d), f"{tmp_path}/out", f"{tmp_path}/check")
-    got = {(r.line_no, r.line_type, r.raw) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    want = {(r.line_no, r.line_type, r.raw) for r in sequence.structure(lines(spark, SAMPLE * 3)).collect()}
-    assert got and got <= want and len(want - got) <= 460  # the open stretch waits
-
-
 def test_clean(spark):
     d = lines(spark, ["a\tb", "\x1b[31mred\x1b[0m\x07", "x\r", "[LLB:5] y", "[LLB:z] y"])
     assert [r.raw for r in clean.clean_lines(d, bench=True).orderBy("line_no").collect()] == ["a       b", "red?", "x", "y", "[LLB:z] y"]
