@@ -6,8 +6,10 @@ to their bounds. A word of a hashed symbol has in it the share that its count ha
 each, other symbols are classes by frequency; the probability of a class, and of a symbol in its class, given the two
 symbols before, is log-bilinear (context matrices times vectors, dotted with the class's or symbol's vector, plus a
 bias), normalised exactly by batched matrix products. Training is noise-contrastive, with exact shares as noise, over all
-training rows in ROUNDS parts: tasks begin each round with the averages of the round before, and a symbol's vector is
-averaged by how often each task has seen it.
+training rows in ROUNDS parts: trainers begin each round with the averages of the round before, and a symbol's vector is
+averaged by how often each trainer has seen it. Averages of trainers that each see little would stay near the start, so
+a trainer is given TRAINED tokens a round at least: how many there are follows from the tokens, not from the table's
+partitions, and rows go to them by a hash.
 
 Counts: those of the HEAD most frequent words go to all tasks. Occurrences of all other words meet in buckets of their
 hash, where they are counted and turned at once into sums for each document, which go back to it in packed rows. No
@@ -36,6 +38,8 @@ OWN, LEAST, REST = 12_288, 100, 4
 #: The end of a text (also what stands before it); then words by frequency, then hashed symbols.
 END = 0
 ROUNDS, BATCH, NOISE, INNER, RATE, SEED = 3, 2048, 48, 8, 0.05, 5
+#: Tokens a trainer sees in a round, and trainers at most (then each sees more).
+TRAINED, TRAINERS = 1 << 20, 1024
 #: Rows of parameters a record, tokens scored at once, words counted before a task hands them on.
 BLOCK, SCORED_AT_ONCE, COUNTED = 256, 512, 1 << 21
 _U = np.uint64
@@ -445,8 +449,10 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, held: int = HELD, flush: in
         other_kinds[r["s"]] += r["k"]
         n, kinds = n + r["n"], kinds + r["k"]
     model = LogBilinear(np.concatenate((counts[:own], other_n)))
+    trainers = max(1, min(TRAINERS, round(n / (ROUNDS * TRAINED))))
     for turn in range(ROUNDS):
-        some = learn.where(F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(ROUNDS)) == turn).select("text")
+        some = learn.select("text", F.xxhash64(F.lit(3), "doc_id", "text").alias("_k")).where(F.pmod("_k", F.lit(ROUNDS)) == turn)
+        some = some.repartition(trainers, "_k").sortWithinPartitions("_k").select("text")  # in an order that a rerun has, too
         for r in some.mapInArrow(partial(_trained, head=head, model=model), SCHEMA).groupBy("bucket").applyInArrow(_averaged, SCHEMA).collect():
             x = np.frombuffer(r["data"], "<f4").reshape(-1, DIM + 3)
             model.rows[r["bucket"] : r["bucket"] + len(x)] = x

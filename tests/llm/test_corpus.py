@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -321,6 +322,25 @@ def test_lm_beats_its_unigrams(spark):
     assert sum(x.score for x in out) > sum(x.base_score for x in out) * 0.9
 
 
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    """Trainers follow from the tokens: as many, with the same rows, whatever the table's partitions are."""
+    monkeypatch.setattr(lm, "TRAINED", 4000)
+    d = frame(spark, corpus(8, 300))
+    one, many = ({(r.doc_id, r.n_tokens): r.score for r in lm.op8(d.repartition(k)).collect()} for k in (2, 24))
+    assert one.keys() == many.keys() and max(abs(one[k] - many[k]) for k in one) < 1e-3
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_lm_gains_on_the_tables(spark):
+    """Held-out log10 a token, against the counts alone, with few and with many partitions."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    gain = []
+    for k in (4, 64):
+        r = lm.op8(docs.repartition(k)).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        gain.append((r[0] - r[1]) / r[2])
+    assert min(gain) > 0.045 and abs(gain[0] - gain[1]) < 0.1 * max(gain)
+
+
 def test_lm_learns_order():
     m = lm.LogBilinear(np.ones(6) * 100)
     seq = np.array([2, 3, 4, 5] * 4000)
