@@ -20,8 +20,19 @@ def line_time(raw: Column) -> Column:
     return out
 
 
-def since_line_before(lines: DataFrame, raw: str = "raw", by: tuple = ("stream_id",)) -> DataFrame:
-    """lines with time and seconds since the line before that shows a time."""
-    d = lines.withColumn("time", line_time(F.col(raw)))
-    before = F.last("time", True).over(Window.partitionBy(*by).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    return d.withColumn("seconds", F.timestamp_diff("MICROSECOND", before, F.col("time")) / 1e6)
+#: Lines of a chunk that one window orders.
+CHUNK = 8192
+
+
+def since_line_before(lines: DataFrame, raw: str = "raw", by: tuple = ("stream_id",), chunk: int = CHUNK) -> DataFrame:
+    """lines with time and seconds since the line before that shows a time.
+
+    In two levels: within chunks of lines, and from chunk to chunk by the last time that each shows.
+    """
+    d = lines.withColumn("time", line_time(F.col(raw))).withColumn("_chunk", F.expr(f"line_no div {chunk}"))
+    last = d.groupBy(*by, "_chunk").agg(F.max_by("time", F.when(F.col("time").isNotNull(), F.col("line_no"))).alias("_last"))
+    earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select(*by, "_chunk", F.last("_last", True).over(earlier).alias("_carried"))
+    inner = F.last("time", True).over(Window.partitionBy(*by, "_chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("_before", inner).join(last, [*by, "_chunk"])
+    return d.withColumn("seconds", F.timestamp_diff("MICROSECOND", F.coalesce("_before", "_carried"), F.col("time")) / 1e6).drop("_chunk", "_before", "_carried")

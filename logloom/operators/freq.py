@@ -82,18 +82,23 @@ def rule_index(label: Column, rules: list[Rule]) -> Column:
     return out
 
 
+def titled(counts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(label, is_rule, rule_idx, cnt) of (rule_idx, label, cnt): rules by their titles, also those that nothing matched."""
+    own = counts.where("rule_idx < 0").select("label", F.lit(False).alias("is_rule"), "rule_idx", "cnt")
+    if not rules:
+        return own
+    titles = counts.sparkSession.createDataFrame([(i, r.title) for i, r in enumerate(rules)], "rule_idx int, title string")
+    named = F.broadcast(titles).join(counts.where("rule_idx >= 0").select("rule_idx", "cnt"), "rule_idx", "left")
+    return named.select(F.col("title").alias("label"), F.lit(True).alias("is_rule"), "rule_idx", F.coalesce("cnt", F.lit(0)).alias("cnt")).unionByName(own)
+
+
 def freq(labelled: DataFrame, rules: list[Rule] = (), label: str = "label", order: bool = True) -> DataFrame:
     """(label, is_rule, rule_idx, cnt): rules by their titles, also those that nothing matched; other values by themselves. Rows with a null label don't count."""
     rules = list(rules)
     d = labelled.where(F.col(label).isNotNull())
     idx = rule_index(F.col(label), rules)
     counts = d.select(idx.alias("rule_idx"), F.when(idx < 0, F.col(label)).alias("label")).groupBy("rule_idx", "label").agg(F.count("*").alias("cnt"))
-    if not rules:
-        out = counts.select("label", F.lit(False).alias("is_rule"), "rule_idx", "cnt")
-    else:
-        titles = labelled.sparkSession.createDataFrame([(i, r.title) for i, r in enumerate(rules)], "rule_idx int, title string")
-        named = F.broadcast(titles).join(counts.where("rule_idx >= 0").select("rule_idx", "cnt"), "rule_idx", "left").select(F.col("title").alias("label"), F.lit(True).alias("is_rule"), "rule_idx", F.coalesce("cnt", F.lit(0)).alias("cnt"))
-        out = named.unionByName(counts.where("rule_idx < 0").select("label", F.lit(False).alias("is_rule"), "rule_idx", "cnt"))
+    out = titled(counts, rules)
     return out.orderBy(F.desc("cnt"), "label", "is_rule", "rule_idx") if order else out
 
 

@@ -2,30 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEEPING_UP_MS = 100.0
 LAG_TAG = r"^\[LLB:(\d+)\] "
 
 
-def _at(sorted_lags: Column, q: float) -> Column:
-    """The element at floor((n - 1) * q): no interpolation."""
-    return F.get(sorted_lags, F.floor((F.size(sorted_lags) - 1) * F.lit(q)).cast("int")) / 1e6
-
-
 def rate_windows(arrivals: DataFrame, seconds: float = 1.0, ts: str = "arrival_us", lag: str = "lag_ns", by: tuple = ("stream_id",)) -> DataFrame:
     """Lines, rate, tagged lines and lag percentiles (ms) of each bucket from the first arrival on. Empty buckets give no row.
 
-    ts is in microseconds, lag in nanoseconds or null. A bucket's lags are sorted together: they are bounded by its rate.
+    ts is in microseconds, lag in nanoseconds or null. A percentile is the element at floor((n - 1) * q) of the bucket's lags
+    in order, without interpolation. Lags are counted by value first, so a bucket's memory is bounded whatever its rate.
     """
     first = arrivals.groupBy(*by).agg(F.min(ts).alias("_first"))
     d = arrivals.join(first, list(by)) if by else arrivals.crossJoin(F.broadcast(first))
     width = int(seconds * 1e6)
     d = d.withColumn("bucket", F.expr(f"({ts} - _first) div {width}"))
-    g = d.groupBy(*by, "bucket").agg(F.count("*").alias("lines"), F.count(lag).alias("tagged"), F.array_sort(F.collect_list(lag)).alias("_lags"))
-    lags = F.col("_lags")
-    return g.select(*by, "bucket", "lines", (F.col("lines") / seconds).alias("rate"), "tagged", _at(lags, 0.5).alias("lag_p50_ms"), _at(lags, 0.95).alias("lag_p95_ms"), _at(lags, 0.99).alias("lag_p99_ms"), _at(lags, 1.0).alias("lag_max_ms"))
+    values = d.groupBy(*by, "bucket", F.col(lag).alias("_lag")).agg(F.count("*").alias("_n"))
+    bucket = Window.partitionBy(*by, "bucket")
+    tagged = F.when(F.col("_lag").isNotNull(), F.col("_n")).otherwise(0)  # a null lag comes first and moves nothing
+    values = values.withColumn("_upto", F.sum(tagged).over(bucket.orderBy(F.asc_nulls_first("_lag")))).withColumn("_tagged", F.sum(tagged).over(bucket))
+    at = lambda q: F.min(F.when(F.col("_upto") > F.floor((F.col("_tagged") - 1) * F.lit(q)), F.col("_lag"))) / 1e6
+    g = values.groupBy(*by, "bucket").agg(F.sum("_n").alias("lines"), F.max("_tagged").alias("tagged"), at(0.5).alias("lag_p50_ms"), at(0.95).alias("lag_p95_ms"), at(0.99).alias("lag_p99_ms"), (F.max("_lag") / 1e6).alias("lag_max_ms"))
+    return g.select(*by, "bucket", "lines", (F.col("lines") / seconds).alias("rate"), "tagged", "lag_p50_ms", "lag_p95_ms", "lag_p99_ms", "lag_max_ms")
+
+
+#: Size of the lags' sketches; a percentile's rank is off by about 2.3 / SKETCH ** 0.97 of the lags, 0.35 %.
+SKETCH = 800
+
+
+def lag_sketch(lag: Column, k: int = SKETCH) -> Column:
+    """An aggregate that keeps lags as a mergeable sketch of bounded size."""
+    return F.kll_sketch_agg_bigint(lag, F.lit(k))
+
+
+def sketch_percentiles(windows: DataFrame, sketch: str = "lags") -> DataFrame:
+    """windows with lag percentiles (ms) out of a sketch, which goes; null where no line had a lag."""
+    n = F.kll_sketch_get_n_bigint(sketch)
+    at = lambda q: F.when(n > 0, F.kll_sketch_get_quantile_bigint(F.col(sketch), F.lit(q)) / 1e6)
+    return windows.select("*", n.alias("tagged"), *[at(q / 100).alias(f"lag_p{q}_ms") for q in (50, 95, 99)]).drop(sketch)
 
 
 def run_totals(windows: DataFrame, by: tuple = ("stream_id",), keeping_up_ms: float = KEEPING_UP_MS) -> DataFrame:

@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean, columns, dates
 from ..operators import classify, freq, rates, search, sequence, silhouette, templates, tree
 from ..sources import generate
 from ..sources.lines import lines_from_df, merged, spread, write_chunked
+from ..sources.shared import shared_path
 from .queries import _arrivals, _event_lines, _table, _trees, query
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: below spark.checkpoint.dir, or the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _made(spark: SparkSession, sf_dir: str, table: str, key: str, stream: str, texts: list) -> DataFrame:
     """Lines of texts (expressions) for each row, in order of key and place."""
     d = _table(spark, sf_dir, table).select(F.expr(stream).alias("s"), F.col(key).alias("k"), F.posexplode(F.array(*[F.expr(t) for t in texts])).alias("p", "text"))
@@ -183,7 +176,7 @@ def span_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT (user_id % 4)::VARCHAR AS stream_id, count(*) AS lines, sum(strlen(event_type))::BIGINT AS bytes, 1 AS at_0, 0 AS at_end FROM events GROUP BY 1")
 def chunked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines written by chunk, read again, and looked up by number."""
-    path = _shared(spark, "chunked")
+    path = shared_path(spark)
     write_chunked(lines_from_df(_table(spark, sf_dir, "events"), "event_type", ["event_id"], F.col("user_id") % 4), path)
     d = spark.read.schema("line_no long, text string, source string, stream_id string, chunk_id long").parquet(path)
     found = lambda n, name: search.point(d, n).groupBy("stream_id").agg(F.count("*").cast("int").alias(name))
@@ -198,11 +191,19 @@ SELECT label, is_rule, rule_idx, cnt FROM (SELECT 'browse' AS label, true AS is_
 UNION ALL SELECT 'never', true, 1, 0 UNION ALL SELECT event_type, false, -1, count(*) FROM events WHERE event_id >= 400 AND event_type NOT IN ('click', 'view') GROUP BY 1)
 """)
 def statistic_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 300 lines before a cutoff, and all from it on, each counted once."""
+    """Registered after 700 lines: the last 300 of them from history, and the others as a stream, in two runs."""
+    from ..streaming.statistic import counts, follow, register
+
     s = freq.Stat(["type"], [freq.Rule("click|view", "browse"), freq.Rule("never")], last_n=300)
-    lines = _event_lines(spark, sf_dir).withColumn("line_type", F.lit("json")).withColumn("group_id", F.lit(0))
-    history, arriving = lines.where("line_no < 700"), lines.where("line_no >= 700")
-    return freq.merged(freq.statistic(history, s, 700, exact=False), freq.statistic(arriving, s, exact=False))
+    lines = _event_lines(spark, sf_dir).select(F.lit("events").alias("stream_id"), "line_no", F.lit("json").alias("line_type"), "json")
+    base = shared_path(spark)
+    write = lambda d: d.write.mode("append").parquet(f"{base}/lines")
+    write(lines.where("line_no < 700"))
+    register(spark, f"{base}/lines", s, f"{base}/stat", exact=False)
+    for part in ("line_no >= 700 and line_no % 2 = 0", "line_no >= 700 and line_no % 2 = 1"):
+        write(lines.where(part))
+        follow(spark, f"{base}/lines", s, f"{base}/stat", exact=False, available_now=True).awaitTermination()
+    return counts(spark, s, f"{base}/stat")
 
 
 @query("SELECT 1 AS stat_id, (SELECT count(*) FROM events) AS total, 0 AS dropped, 0 AS pending UNION ALL SELECT 2, (SELECT count(*) FROM events), 0, 0")
@@ -338,7 +339,7 @@ def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, d: DataFrame) -> tuple[DataFrame, str]:
-    base = _shared(spark, "stream")
+    base = shared_path(spark)
     d.write.parquet(f"{base}/in")
     return spark.readStream.schema(d.schema).parquet(f"{base}/in"), base
 
@@ -353,15 +354,29 @@ def stream_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").groupBy("line_type").agg(F.count("*").alias("cnt"))
 
 
-@query("SELECT user_id % 8 AS stream_id, epoch_us(date_trunc('hour', ts)) AS begin_us, count(*) AS lines, max((value * 1000000)::BIGINT) AS lag_max_ns FROM events GROUP BY 1, 2")
+_HOURS = "SELECT user_id % 8 AS stream_id, epoch_us(date_trunc('hour', ts)) AS begin_us, (value * 1000000)::BIGINT AS lag FROM events"
+
+
+@query(f"""
+SELECT stream_id, begin_us, count(*) AS lines, max(lag) AS lag_max_ns, count(*) AS tagged, true AS p50_near, true AS p99_near
+FROM ({_HOURS}) WHERE begin_us + 7200000000 <= (SELECT max(begin_us) FROM ({_HOURS})) GROUP BY 1, 2
+""")
 def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly rates over a stream with a watermark."""
+    """Hourly rates over a stream in time's order, handed out once the watermark has passed them; *_near: whether a percentile out of the sketch is of a rank within 1 % (or one line) of its own."""
     from ..streaming.live import live_rates, run_available
 
     e = _table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("stream_id"), F.timestamp_micros(_micros()).alias("arrival_ts"), F.round(F.col("value") * 1000000).cast("long").alias("lag_ns"))
     d, base = _stream(spark, e)
-    run_available(live_rates(d, 3600, "1 day"), f"{base}/out", f"{base}/check", "complete")
-    return spark.read.parquet(f"{base}/out").select("stream_id", F.unix_micros("window.start").alias("begin_us"), "lines", "lag_max_ns")
+    run_available(live_rates(d, 3600, "1 hour"), f"{base}/out", f"{base}/check")
+    done = rates.sketch_percentiles(spark.read.parquet(f"{base}/out")).withColumn("begin_us", F.unix_micros("window.start"))
+    own = e.withColumn("begin_us", F.unix_micros(F.date_trunc("hour", "arrival_ts")))
+    hour = Window.partitionBy("stream_id", "begin_us")
+    ranked = own.withColumn("_below", F.rank().over(hour.orderBy("lag_ns")) - 1).withColumn("_n", F.count("*").over(hour))
+    ranked = ranked.withColumn("_upto", F.count("*").over(hour.orderBy("lag_ns").rangeBetween(Window.unboundedPreceding, 0)))
+    top = own.groupBy().agg(F.max("begin_us").alias("_top"))
+    near = lambda q: F.max(F.when((F.col("lag_ns") / 1e6 == F.col(f"lag_p{q}_ms")) & (F.col("_below") <= q / 100 * F.col("_n") + F.greatest(F.lit(1.0), 0.01 * F.col("_n"))) & (F.col("_upto") >= q / 100 * F.col("_n") - F.greatest(F.lit(1.0), 0.01 * F.col("_n"))), True).otherwise(False))
+    d = done.join(ranked.select("stream_id", "begin_us", "lag_ns", "_below", "_upto", "_n"), ["stream_id", "begin_us"]).crossJoin(F.broadcast(top)).where("begin_us + 7200000000 <= _top")
+    return d.groupBy("stream_id", "begin_us").agg(F.max("lines").alias("lines"), F.max("lag_max_ns").alias("lag_max_ns"), F.max("tagged").alias("tagged"), near(50).alias("p50_near"), near(99).alias("p99_near"))
 
 
 def _micros() -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from ..functions.columns import json_child_rows, json_node_rows
 from ..operators import classify, freq, rates, search, sequence, silhouette, templates
 from ..sources import generate
 from ..sources.lines import lines_from_df, spread
+from ..sources.shared import shared_path
 
 RULES = [freq.Rule("click|view", "browse"), freq.Rule("purch.*", "buy"), freq.Rule("refund", "refund")]
 QUERIES: dict = {}
@@ -441,8 +440,7 @@ def stream_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A statistic over the events as a stream of files, run to its end."""
     from ..streaming.live import live_freq, run_available
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = shared_path(spark)
     _event_lines(spark, sf_dir).select("json").write.parquet(f"{base}/in")
     d = spark.readStream.schema("json string").parquet(f"{base}/in").select(freq.fast_label(F.col("json"), ["type"]).alias("label"))
     run_available(live_freq(d, F.lit(-1)), f"{base}/out", f"{base}/check", "complete")

@@ -13,10 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.clean import clean_lines
 from ..operators.fold import Live, Row
+from ..operators.rates import lag_sketch
 from ..operators.sequence import LINES, row_columns
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -125,14 +126,26 @@ def live_freq(labelled: DataFrame, rule_idx, label: str = "label") -> DataFrame:
 
 
 def live_rates(arrivals: DataFrame, seconds: int = 1, late: str = "10 seconds", ts: str = "arrival_ts") -> DataFrame:
-    """Lines of each second, with windows from the epoch (a batch run's are from its first arrival)."""
-    return arrivals.withWatermark(ts, late).groupBy("stream_id", F.window(ts, f"{seconds} seconds")).agg(F.count("*").alias("lines"), F.max("lag_ns").alias("lag_max_ns"))
+    """Lines, greatest lag and a sketch of the lags of each second, with windows from the epoch (a batch run's are from its first arrival).
+
+    For append output: a window comes once, when the watermark has passed it, and its state is freed; lines that are later
+    than `late` are dropped, and late_rows() tells how many. rates.sketch_percentiles() reads the sketches.
+    """
+    d = arrivals.withWatermark(ts, late).groupBy("stream_id", F.window(ts, f"{seconds} seconds"))
+    return d.agg(F.count("*").alias("lines"), F.max("lag_ns").alias("lag_max_ns"), lag_sketch(F.col("lag_ns")).alias("lags"))
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query's watermark has dropped, by its progress so far."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Processes what is there and stops; append goes to Parquet, other modes replace the table batch by batch."""
     w = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
     if mode == "append":
-        w.outputMode("append").format("parquet").option("path", path).start().awaitTermination()
+        q = w.outputMode("append").format("parquet").option("path", path).start()
     else:
-        w.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start().awaitTermination()
+        q = w.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
+    q.awaitTermination()
+    return q
