@@ -10,7 +10,7 @@ from ..operators import classify, freq, rates, search, sequence, silhouette, tem
 from ..sources import generate
 from ..sources.lines import lines_from_df, merged, spread, write_chunked
 from ..sources.shared import shared_path
-from .queries import _arrivals, _event_lines, _table, _trees, query
+from .queries import _arrivals, _event_lines, _json_lines, _table, _trees, query
 
 
 def _made(spark: SparkSession, sf_dir: str, table: str, key: str, stream: str, texts: list) -> DataFrame:
@@ -379,5 +379,112 @@ def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("stream_id", "begin_us").agg(F.max("lines").alias("lines"), F.max("lag_max_ns").alias("lag_max_ns"), F.max("tagged").alias("tagged"), near(50).alias("p50_near"), near(99).alias("p99_near"))
 
 
+@query("""
+SELECT shape, line_type, count(*) AS n, CASE WHEN line_type IN ('table', 'diff') THEN 1 ELSE 0 END AS groups, sum(lines)::BIGINT AS lines FROM (
+  SELECT 'two blanks' AS shape, 'table' AS line_type, 1 AS lines FROM lineitem UNION ALL SELECT 'indented', 'plain', 1 FROM lineitem UNION ALL SELECT 'open brace', 'plain', 1 FROM lineitem
+  UNION ALL SELECT 'tabs', 'table', 1 FROM lineitem UNION ALL SELECT 'session', 'progress', count(*) FROM lineitem UNION ALL SELECT 'diff', 'diff', 1 FROM lineitem UNION ALL SELECT 'diff', 'diff', 1 FROM range(3)) GROUP BY 1, 2
+""")
+def fold_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams that no line cuts, each of all line items: one table, one diff, one session, and lines that stay plain."""
+    texts = {
+        "two blanks": "concat('12:00  INFO  ', l_partkey)", "indented": "concat('    at ', l_partkey)", "open brace": "concat('x { ', l_partkey)", "tabs": "concat(l_orderkey, '\t', l_partkey, '\t', l_suppkey)",
+        "session": "concat('frame=', l_partkey)", "diff": "concat(case l_linenumber % 3 when 0 then '+' when 1 then '-' else ' ' end, l_partkey)"}
+    made = F.explode(F.array(*[F.struct(F.lit(k).alias("s"), F.expr(t).alias("text")) for k, t in texts.items()])).alias("m")
+    li = _table(spark, sf_dir, "lineitem").select(F.lit(3).alias("a"), F.xxhash64("*").alias("k"), made).select("a", "k", "m.s", "m.text")
+    head = spark.createDataFrame([(i, 0, "diff", t) for i, t in enumerate(("--- a", "+++ b", "@@ -1 @@"))], li.schema)
+    d = sequence.structure(lines_from_df(li.unionByName(head), "text", ["a", "k", "text"], "s"), columns=["stream_id", "line_type", "group_id", "lines"])
+    return d.groupBy(F.col("stream_id").alias("shape"), "line_type").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("group_id") > 0, F.col("group_id"))).alias("groups"), F.sum("lines").cast("long").alias("lines"))
+
+
+@query("SELECT c_nationkey::VARCHAR AS stream_id, line_type, final, count(*) AS n FROM (SELECT c_nationkey, unnest([struct_pack(line_type := 'json', final := true), struct_pack(line_type := 'json', final := true), struct_pack(line_type := 'json', final := true)], recursive := true) FROM customer) GROUP BY 1, 2, 3")
+def stream_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-line JSON that arrives line by line in three batches: each line is plain first, and JSON when its group has closed."""
+    from ..streaming.live import current_lines, structure_stream, write_revisions
+
+    c = _table(spark, sf_dir, "customer")
+    texts = F.array(F.lit("saved {"), F.concat(F.lit('"id": '), F.col("c_custkey").cast("string")), F.lit("}"))
+    lines = lines_from_df(c.select("c_nationkey", "c_custkey", F.posexplode(texts).alias("p", "text")), "text", ["c_custkey", "p"], "c_nationkey").drop("source")
+    base = shared_path(spark)
+    for part in ("line_no < 50", "line_no between 50 and 99", "line_no > 99"):  # a group's lines arrive in different batches
+        lines.where(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    d = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    write_revisions(structure_stream(d, provisional=True), f"{base}/out", f"{base}/check").awaitTermination()
+    return current_lines(spark, f"{base}/out").groupBy("stream_id", "line_type", "final").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH l AS (SELECT o_custkey % 4 AS s, row_number() OVER (PARTITION BY o_custkey % 4 ORDER BY o_orderkey) - 1 AS line_no, strlen(o_orderpriority) AS b FROM orders),
+c AS (SELECT s, line_no // 64 AS k, sum(b) AS b, count(*) AS n, max(line_no) AS last FROM l GROUP BY 1, 2),
+u AS (SELECT *, sum(b) OVER (PARTITION BY s ORDER BY k DESC) AS upto, row_number() OVER (PARTITION BY s ORDER BY k DESC) AS nth FROM c)
+SELECT s::VARCHAR AS stream_id, count(*) FILTER (WHERE upto > 5000 AND nth > 1) AS evicted, (sum(n) FILTER (WHERE NOT (upto > 5000 AND nth > 1)))::BIGINT AS lines, CASE WHEN bool_or(upto > 5000 AND nth > 1) THEN '[line evicted from disk cache]' END AS first_line FROM u GROUP BY 1
+""")
+def store_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of lines that evicts its oldest chunks: what is gone by the manifest, what is left, and what a look-up of the first line shows where it has gone."""
+    from ..sources.store import Store
+
+    o = _table(spark, sf_dir, "orders").select((F.col("o_custkey") % 4).alias("s"), "o_orderkey", "o_orderpriority")
+    store = Store(spark, shared_path(spark), 64)
+    store.append(lines_from_df(o, "o_orderpriority", ["o_orderkey"], "s"))
+    store.evict(5000)
+    gone = store.chunks().groupBy("stream_id").agg(F.sum(F.col("evicted").cast("long")).alias("evicted"))
+    first = store.get("0", 0)
+    for s in ("1", "2", "3"):
+        first = first.unionByName(store.get(s, 0))
+    first = first.select("stream_id", F.when(F.col("evicted"), F.col("text")).alias("first_line"))
+    left = store.lines().groupBy("stream_id").agg(F.count("*").alias("lines"))
+    return gone.join(left, "stream_id").join(first, "stream_id", "left")
+
+
+_TALL = "SELECT o_custkey % 2 AS s, row_number() OVER (PARTITION BY o_custkey % 2 ORDER BY o_orderkey) - 1 AS line_no, 1 + o_orderkey % 3 AS r FROM orders"
+
+
+@query(f"""
+WITH l AS (SELECT s, line_no, CASE WHEN line_no % 500 = 7 THEN r + 40 ELSE r END AS r FROM ({_TALL})), u AS (SELECT *, sum(r) OVER (PARTITION BY s ORDER BY line_no) AS upto FROM l)
+SELECT s::VARCHAR AS stream_id, t AS line_no, (sum(r) FILTER (WHERE line_no < t))::BIGINT AS rows_before, coalesce(min(line_no) FILTER (WHERE upto > 2 * t), max(line_no) + 1)::BIGINT AS line_at
+FROM u, (VALUES (8), (300), (5000)) v(t) GROUP BY 1, 2
+""")
+def prefix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index of rows in which some lines have been expanded since: rows before a line, and the line at a row (twice that number)."""
+    from ..operators.prefix import PrefixIndex
+
+    o = _table(spark, sf_dir, "orders").select((F.col("o_custkey") % 2).alias("s"), "o_orderkey")
+    d = lines_from_df(o, F.col("o_orderkey").cast("string"), ["o_orderkey"], "s").select("stream_id", "line_no", (F.col("text").cast("long") % 3 + 1).alias("rows"))
+    index = PrefixIndex.build(d, shared_path(spark))
+    index.change(d.where("line_no % 500 = 7").withColumn("rows", F.col("rows") + 40))
+    found = [(s, t, index.upto(s, t), index.find(s, 2 * t)) for s in ("0", "1") for t in (8, 300, 5000)]
+    return spark.createDataFrame(found, "stream_id string, line_no int, rows_before long, line_at long")
+
+
+@query("SELECT event_type AS text, count(*) AS n FROM events GROUP BY 1")
+def tail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growing files followed by byte offsets, in two runs; the shared folder must be mounted on all machines."""
+    from ..sources.tail import TailSource
+    from ..streaming.live import run_available
+
+    spark.dataSource.register(TailSource)
+    base = shared_path(spark).removeprefix("file://")
+    e = _table(spark, sf_dir, "events")
+    for part in (0, 1):
+        e.where(F.col("event_id") % 2 == part).select("event_type").write.mode("append").text(f"{base}/logs")
+        run_available(spark.readStream.format("tail").option("glob", f"{base}/logs/*.txt").load(), f"{base}/out", f"{base}/check")
+    return spark.read.parquet(f"{base}/out").groupBy("text").agg(F.count("*").alias("n"))
+
+
+@query("SELECT (o_custkey % 16)::VARCHAR AS stream_id, 3 * count(*) AS hidden, count(*) AS heads FROM orders GROUP BY 1")
+def hidden_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = sequence.structure(_json_lines(spark, sf_dir), columns=["stream_id", "hidden", "group_head"])
+    return d.groupBy("stream_id").agg(F.sum(F.col("hidden").cast("long")).alias("hidden"), F.sum(F.col("group_head").cast("long")).alias("heads"))
+
+
+@query("SELECT event_type AS label, count(*) AS n, (sum(user_id))::BIGINT AS users FROM events GROUP BY 1")
+def sql_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered names, used from SQL."""
+    from .sql import register
+
+    lines = _event_lines(spark, sf_dir).select(F.lit("events").alias("stream_id"), "line_no", F.col("json").alias("raw"), "json")
+    register(spark, lines)
+    return spark.sql("SELECT label, count(*) AS n, sum(user) AS users FROM (SELECT json_label(json, array('type')) AS label, cast(json_label(json, array('user')) AS bigint) AS user FROM lines) GROUP BY label")
+
+
 def _micros() -> Column:
     return F.expr("unix_micros(cast(ts as timestamp))")

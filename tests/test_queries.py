@@ -18,7 +18,7 @@ def test_oracle(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("region", "nation", "orders", "lineitem", "events", "documents"):
+    for t in ("region", "nation", "customer", "orders", "lineitem", "events", "documents"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = c.sql(own.ORACLES[name])
     names = sorted(want.columns)
