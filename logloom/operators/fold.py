@@ -41,6 +41,11 @@ class Row:
     status: int = 0
     lines: int = 1
     table_of: int = 0  # the table's group, which a JSON group may hide later
+    source: str | None = None
+
+    @property
+    def from_stderr(self) -> bool:
+        return self.source == "stderr"
 
     @property
     def hidden(self) -> bool:
@@ -482,20 +487,20 @@ class Live:
         self._brackets(self.session.show(frozen))
         self.session = None
 
-    def feed(self, no: int, raw: str, gaps: list[tuple[int, int]]) -> None:
+    def feed(self, no: int, raw: str, gaps: list[tuple[int, int]], source: str | None = None) -> None:
         pair = key_value(raw) if self.detect else None
         if pair and self.session:
             if self.session.add(pair):
                 self._close(False)
         elif pair:
-            self.session = Session(Row(no, ""), pair)
+            self.session = Session(Row(no, "", source=source), pair)
             self.machine.pass_by(self.session.row)
             if self.session.progress.meta["ended"]:
                 self._close(False)
         else:
             if self.session:
                 self._close(True)
-            row = Row(no, raw)
+            row = Row(no, raw, source=source)
             self.machine.feed(row, gaps)
             self._brackets(row)
 

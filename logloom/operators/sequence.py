@@ -42,14 +42,15 @@ _PROGRESS = T.StructType([T.StructField(n, t) for n, t in (
 LINES = T.StructType([T.StructField(n, t) for n, t in (
     ("stream_id", _S), ("line_no", _L), ("raw", _S), ("line_type", _S), ("depth", _I), ("group_id", _L), ("group_head", _B), ("hidden", _B), ("expandable", _B),
     ("json", _S), ("json_prefix", _S), ("level", _S), ("action", _S), ("test_name", _S), ("duration", _S), ("diff_kind", _S), ("columns", T.ArrayType(_I)),
-    ("is_header", _B), ("tab_gaps", _GAPS), ("progress", _PROGRESS), ("styles", T.ArrayType(_S)), ("status", _I), ("lines", _I))])
+    ("is_header", _B), ("tab_gaps", _GAPS), ("progress", _PROGRESS), ("styles", T.ArrayType(_S)), ("status", _I), ("lines", _I),
+    ("source", _S), ("from_stderr", _B))])
 
 
 #: Rows before they are typed. gaps: "start:end,..." or null; meta: a session's progress, as JSON; _calm: no diff is open after it; _rows: of the stream.
-ROWS = T.StructType([T.StructField(n, t) for n, t in (("stream_id", _S), ("row_no", _L), ("line_no", _L), ("raw", _S), ("gaps", _S), ("lines", _I), ("meta", _S), ("_calm", _B), ("_rows", _L))])
+ROWS = T.StructType([T.StructField(n, t) for n, t in (("stream_id", _S), ("row_no", _L), ("line_no", _L), ("raw", _S), ("gaps", _S), ("lines", _I), ("source", _S), ("meta", _S), ("_calm", _B), ("_rows", _L))])
 #: The same by chunk, with sessions in parts.
 _PARTS = T.StructType([T.StructField(n, t) for n, t in (
-    ("stream_id", _S), ("_home", _L), ("_pos", _L), ("line_no", _L), ("raw", _S), ("gaps", _S), ("lines", _I), ("meta", _S), ("_calm", _B), ("_part", _S), ("_lead", _B), ("_open", _B), ("_last", _L))])
+    ("stream_id", _S), ("_home", _L), ("_pos", _L), ("line_no", _L), ("raw", _S), ("gaps", _S), ("lines", _I), ("source", _S), ("meta", _S), ("_calm", _B), ("_part", _S), ("_lead", _B), ("_open", _B), ("_last", _L))])
 
 
 def arrow(values: list, kind: T.DataType) -> pa.Array:
@@ -71,13 +72,13 @@ def _rows_of_chunk(key: tuple, t: pa.Table) -> pa.Table:
     if not pair.any():
         none = pa.nulls(n, pa.string())
         no = pa.array(np.zeros(n, bool))
-        return pa.table({"stream_id": t["stream_id"], "_home": t["_home"], "_pos": pa.array(np.arange(n)), "line_no": t["line_no"], "raw": t["raw"], "gaps": t["gaps"], "lines": pa.array(np.ones(n, np.int32)), "meta": none, "_calm": t["_calm"], "_part": none, "_lead": no, "_open": no, "_last": t["line_no"]})
+        return pa.table({"stream_id": t["stream_id"], "_home": t["_home"], "_pos": pa.array(np.arange(n)), "line_no": t["line_no"], "raw": t["raw"], "gaps": t["gaps"], "lines": pa.array(np.ones(n, np.int32)), "source": t["source"], "meta": none, "_calm": t["_calm"], "_part": none, "_lead": no, "_open": no, "_last": t["line_no"]})
     out, home = [], key[1].as_py()
-    number, raw, gaps, calm, pair = (t[c].to_pylist() for c in ("line_no", "raw", "gaps", "_calm", "_pair"))
+    number, raw, gaps, calm, pair, source = (t[c].to_pylist() for c in ("line_no", "raw", "gaps", "_calm", "_pair", "source"))
     a, stream = 0, key[0].as_py()
     while a < n:
         if not pair[a]:
-            made = (number[a], raw[a], gaps[a], 1, None, calm[a], None, False, False, number[a])
+            made = (number[a], raw[a], gaps[a], 1, source[a], None, calm[a], None, False, False, number[a])
             b = a + 1
         else:
             pairs, b = [], a
@@ -89,13 +90,13 @@ def _rows_of_chunk(key: tuple, t: pa.Table) -> pa.Table:
             ended = pairs[-1] == ("progress", "end")
             lead, is_open = a == 0, b == n and not ended
             if lead or is_open:
-                made = (number[a], None, None, b - a, None, False, segment(pairs), lead, is_open, number[b - 1])
+                made = (number[a], None, None, b - a, source[a], None, False, segment(pairs), lead, is_open, number[b - 1])
             else:
                 session = Session(Row(number[a], ""), pairs[0])
                 for p in pairs[1:]:
                     session.add(p)
                 row = session.show(frozen=not ended)
-                made = (number[a], row.raw, None, b - a, json.dumps(row.progress), False, None, False, False, number[b - 1])
+                made = (number[a], row.raw, None, b - a, source[a], json.dumps(row.progress), False, None, False, False, number[b - 1])
         out.append((stream, home, len(out), *made))
         a = b
     return _table(dict(zip(_PARTS.names, map(list, zip(*out, strict=True)), strict=True)), _PARTS)
@@ -105,17 +106,17 @@ def _joined_parts(key: tuple, t: pa.Table) -> pa.Table:
     t = t.sort_by("_last")
     s = joined(Row(key[1].as_py(), ""), t["_part"].to_pylist())
     row = s.show(frozen=not s.progress.meta["ended"] and t["_last"][-1].as_py() < t["_stream_last"][0].as_py())
-    return _table({"stream_id": [key[0].as_py()], "row_no": [t["row_no"][0].as_py()], "line_no": [row.line_no], "raw": [row.raw], "gaps": [None], "lines": [row.lines], "meta": [json.dumps(row.progress)], "_calm": [False], "_rows": [t["_rows"][0].as_py()]}, ROWS)
+    return _table({"stream_id": [key[0].as_py()], "row_no": [t["row_no"][0].as_py()], "line_no": [row.line_no], "raw": [row.raw], "gaps": [None], "lines": [row.lines], "source": [t["source"][0].as_py()], "meta": [json.dumps(row.progress)], "_calm": [False], "_rows": [t["_rows"][0].as_py()]}, ROWS)
 
 
 def stream_rows(lines: DataFrame, detect_progress: bool = True, chunk: int = CHUNK) -> DataFrame:
-    """ROWS of cleaned (stream_id, line_no, raw, gaps): one for each line that is no progress pair and one for each session, numbered without gaps. They are written once."""
+    """ROWS of cleaned (stream_id, line_no, raw, gaps, source): one for each line that is no progress pair and one for each session, numbered without gaps. They are written once."""
     raw = F.col("raw")
     d = lines.withColumn("_calm", _ends_diffs(raw))
     if not detect_progress:
         d = written(d)
         ends = d.groupBy("stream_id").agg((F.max("line_no") + 1).alias("_rows"))
-        return d.join(ends, "stream_id").select("stream_id", F.col("line_no").alias("row_no"), "line_no", "raw", "gaps", F.lit(1).alias("lines"), F.lit(None).cast("string").alias("meta"), "_calm", "_rows")
+        return d.join(ends, "stream_id").select("stream_id", F.col("line_no").alias("row_no"), "line_no", "raw", "gaps", F.lit(1).alias("lines"), "source", F.lit(None).cast("string").alias("meta"), "_calm", "_rows")
     d = d.withColumn("_home", F.expr(f"line_no div {chunk}")).withColumn("_pair", F.contains(raw, F.lit("=")) & F.regexp_like(raw, F.lit(PAIR)))
     d = written(d.groupBy("stream_id", "_home").applyInArrow(_rows_of_chunk, _PARTS))
     line, lead, is_open = F.col("line_no"), F.col("_lead"), F.col("_open")
@@ -133,7 +134,7 @@ def stream_rows(lines: DataFrame, detect_progress: bool = True, chunk: int = CHU
     if not d.where("_part is not null").take(1):
         return whole
     parts = d.where("_part is not null").withColumn("_session", F.when(F.col("_lead") & F.col("_goes_on"), F.col("_carried")).otherwise(line))
-    return whole.unionByName(parts.select("stream_id", "_session", "row_no", "_part", "_last", "_stream_last", "_rows").groupBy("stream_id", "_session").applyInArrow(_joined_parts, ROWS))
+    return whole.unionByName(parts.select("stream_id", "_session", "row_no", "source", "_part", "_last", "_stream_last", "_rows").groupBy("stream_id", "_session").applyInArrow(_joined_parts, ROWS))
 
 
 def _ends_diffs(raw: Column) -> Column:
@@ -203,10 +204,10 @@ def _fold_chunk(chunk: int, names: list[str]):
         machine = Machine(Ids(), t["_state"][0].as_py() or "idle", numbers[0] or None)
         base = own = None
         last_diff = last_table = header = None
-        for at, no, raw, gaps, lines, meta in zip(numbers, *(t[c].to_pylist() for c in ("line_no", "raw", "gaps", "lines", "meta")), strict=True):
+        for at, no, raw, gaps, lines, source, meta in zip(numbers, *(t[c].to_pylist() for c in ("line_no", "raw", "gaps", "lines", "source", "meta")), strict=True):
             base = machine.ids.last if at == lo else base
             own = machine.ids.last - base if at == hi else own
-            row = Row(no, raw, lines=lines)
+            row = Row(no, raw, lines=lines, source=source)
             if meta:
                 row.line_type, row.progress = "progress", json.loads(meta)
                 machine.pass_by(row)
@@ -236,20 +237,21 @@ def _fold_chunk(chunk: int, names: list[str]):
 
 
 def structure(lines: DataFrame, text: str = "text", detect_progress: bool = True, chunk: int = CHUNK, columns: list[str] | None = None) -> DataFrame:
-    """Typed lines of raw ones (stream_id, line_no, text): one row per line, one per progress session.
+    """Typed lines of raw ones (stream_id, line_no, text[, source]): one row per line, one per progress session.
 
     Lines are numbered from 0 without gaps in each stream. chunk: rows that a task folds at once, 2 * LOOK_BACK at least.
     columns: those of LINES to be made, all unless given; ids and columns of groups cost one more exchange.
     """
     names, chunk = list(columns or LINES.names), max(chunk, 2 * LOOK_BACK)
-    d = clean_lines(lines.select("stream_id", "line_no", text), text)
+    source = (F.col("source") if "source" in lines.columns else F.lit(None)).cast("string").alias("source")
+    d = clean_lines(lines.select("stream_id", "line_no", text, source), text)
     # text, and null for most lines: lists of structs are slow to hand over
     gaps = F.when(F.size("tab_gaps") > 0, F.array_join(F.transform("tab_gaps", lambda g: F.concat(g["start"], F.lit(":"), g["end"])), ","))
-    d = d.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("line_no").cast("long").alias("line_no"), "raw", gaps.alias("gaps"))
+    d = d.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("line_no").cast("long").alias("line_no"), "raw", gaps.alias("gaps"), "source")
     rows = stream_rows(d, detect_progress, chunk)
     home, place = F.expr(f"row_no div {chunk}"), F.expr(f"row_no % {chunk}")
     homes = F.when((place < LOOK_BACK) & (home > 0), F.array(home, home - 1)).when((place >= chunk - LOOK_BACK) & ((home + 1) * chunk < F.col("_rows")), F.array(home, home + 1)).otherwise(F.array(home))
-    d = rows.select("stream_id", "row_no", "line_no", "raw", "gaps", "lines", "meta", F.explode(homes).alias("_chunk"))
+    d = rows.select("stream_id", "row_no", "line_no", "raw", "gaps", "lines", "source", "meta", F.explode(homes).alias("_chunk"))
     run, schema = _fold_chunk(chunk, ["stream_id", *(n for n in names if n != "stream_id")])
     done = d.join(diff_states(rows, chunk), ["stream_id", "_chunk"], "left").groupBy("stream_id", "_chunk").applyInArrow(run, schema)
     if not {"group_id", "columns"} & set(names):

@@ -338,6 +338,15 @@ def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged(*each).groupBy("source", "from_stderr").agg(F.count("*").alias("cnt"))
 
 
+@query("SELECT CASE WHEN event_type = 'error' THEN 'stderr' ELSE 'stdout' END AS source, event_type = 'error' AS from_stderr, 'json' AS line_type, count(*) AS cnt FROM events GROUP BY 1, 2")
+def typed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tagged channels, structured: each typed line tells where it came from."""
+    e = _event_lines(spark, sf_dir)
+    error = F.get_json_object("json", "$.type") == "error"
+    each = [lines_from_df(e.where(c), "json", ["line_no"], F.lit(s), s) for s, c in (("stdout", ~error), ("stderr", error))]
+    return sequence.structure(merged(*each), columns=["source", "from_stderr", "line_type"]).groupBy("source", "from_stderr", "line_type").agg(F.count("*").alias("cnt"))
+
+
 def _stream(spark: SparkSession, d: DataFrame) -> tuple[DataFrame, str]:
     base = shared_path(spark)
     d.write.parquet(f"{base}/in")

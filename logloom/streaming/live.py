@@ -61,8 +61,8 @@ class Fold(StatefulProcessor):
             new = new.sort_values("line_no", kind="stable")
         live, version = self._load()
         version, settled = version + 1, []
-        for raw, gaps in zip(new["raw"], new["gaps"], strict=True):
-            live.feed(live.next, raw, [tuple(map(int, g.split(":"))) for g in gaps.split(",")] if gaps else [])
+        for raw, gaps, source in zip(new["raw"], new["gaps"], new["source"], strict=True):
+            live.feed(live.next, raw, [tuple(map(int, g.split(":"))) for g in gaps.split(",")] if gaps else [], source)
             live.next += 1
             settled += live.settled()
         self._save(live, version)
@@ -89,7 +89,7 @@ class Fold(StatefulProcessor):
 
 
 def structure_stream(lines: DataFrame, text: str = "text", detect_progress: bool = True, idle_timeout_ms: int = 0, provisional: bool = False) -> DataFrame:
-    """Typed lines (LIVE_LINES) of a streaming (stream_id, text[, line_no]); lines are numbered in order of line_no in each batch, else of arrival.
+    """Typed lines (LIVE_LINES) of a streaming (stream_id, text[, line_no][, source]); lines are numbered in order of line_no in each batch, else of arrival.
 
     idle_timeout_ms: a stream without new lines for so long is closed: rows held become final, and numbers go on if lines
     come later. provisional: rows held are handed out, too, after each batch of their stream. The query needs the RocksDB
@@ -98,7 +98,8 @@ def structure_stream(lines: DataFrame, text: str = "text", detect_progress: bool
     lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     order = ["line_no"] if "line_no" in lines.columns else []
     gaps = F.when(F.size("tab_gaps") > 0, F.array_join(F.transform("tab_gaps", lambda g: F.concat(g["start"], F.lit(":"), g["end"])), ","))
-    d = clean_lines(lines, text).select(F.col("stream_id").cast("string").alias("stream_id"), "raw", gaps.alias("gaps"), *order)
+    source = (F.col("source") if "source" in lines.columns else F.lit(None)).cast("string").alias("source")
+    d = clean_lines(lines, text).select(F.col("stream_id").cast("string").alias("stream_id"), "raw", gaps.alias("gaps"), source, *order)
     fold = Fold(detect_progress, idle_timeout_ms, bool(order), provisional)
     return d.groupBy("stream_id").transformWithStateInPandas(fold, LIVE_LINES, "Update" if provisional else "Append", "ProcessingTime" if idle_timeout_ms else "None")
 

@@ -71,7 +71,7 @@ def test_any_shape_is_many_tasks(spark, chunk):
 def test_chunks_of_a_long_stream(spark):
     """Streams that no line cuts are dealt out, and their tasks are as long as a chunk."""
     made = {k: v for k, v in shapes(4000).items() if k in ("two blanks", "tabs", "indented", "bullets", "open braces", "diff")}
-    rows = sequence.stream_rows(sequence.clean_lines(frame(spark, made)).withColumn("gaps", F.lit(None).cast("string")), chunk=1000)
+    rows = sequence.stream_rows(sequence.clean_lines(frame(spark, made)).withColumn("gaps", F.lit(None).cast("string")).withColumn("source", F.lit("x")), chunk=1000)
     assert {r["n"] for r in rows.groupBy("stream_id").agg(F.max(F.expr("row_no div 1000")).alias("n")).collect()} == {3, 4}
 
 
@@ -84,6 +84,13 @@ def test_without_progress_and_with_some_columns(spark):
     assert [tuple(x) for x in got] == [(x.line_no, x.status) for x in want]
 
 
+def test_sources_stay(spark):
+    texts = ["text", "frame=1", "progress=end", "frame=2"] + ["x"] * 500 + ["frame=3"] * 600 + ["A  B  C", "D  E  F"]
+    d = spark.createDataFrame([("s", i, t, "stderr" if i % 3 == 1 else None if i % 3 else "stdout") for i, t in enumerate(texts)], "stream_id string, line_no long, text string, source string")
+    got = sequence.structure(d, chunk=400).collect()
+    assert {(x.source, x.from_stderr) for x in got} == {("stderr", True), (None, False), ("stdout", False)} and all((x.source == "stderr") == (x.line_no % 3 == 1) for x in got)
+
+
 def test_no_lines(spark):
     assert sequence.structure(spark.createDataFrame([], "stream_id string, line_no long, text string")).collect() == []
 
