@@ -28,16 +28,22 @@ def tokens(raw: Column) -> Column:
     return F.regexp_extract_all(raw, F.lit(TOKEN), F.lit(0))
 
 
+#: What a plain run lacks, looked for within the run itself.
+MIXES = ("[a-z].*[A-Z]|[A-Z].*[a-z]", "[a-zA-Z].*[0-9]|[0-9].*[a-zA-Z]", "[+/=]")
+
+
+def run_pattern() -> str:
+    bound = rx.java(r"\b")
+    return rf"{bound}{_RUN}{{16,}}{bound}"
+
+
 def _mixed_run(t: Column) -> Column:
     """Runs of 16 or more of [A-Za-z0-9+/=] between bounds go if they mix cases, have letters and digits, or a symbol."""
-    bound = rx.java(r"\b")
-    run = rf"{bound}{_RUN}{{16,}}{bound}"
-    # what a plain run lacks, looked for within the run itself
-    mixes = ["[a-z].*[A-Z]|[A-Z].*[a-z]", "[a-zA-Z].*[0-9]|[0-9].*[a-zA-Z]", "[+/=]"]
+    run = run_pattern()
 
     def covered(m: Column) -> Column:
         bad = F.lit(False)
-        for p in mixes:
+        for p in MIXES:
             bad = bad | F.regexp_like(m, F.lit(p))
         return F.when(bad, F.lit("*")).otherwise(m)
 
@@ -47,7 +53,7 @@ def _mixed_run(t: Column) -> Column:
 
 
 #: A token without any of these is as it was: every mask needs a digit, one of / = . %, or 16 characters.
-_MASKABLE = r"[0-9/=.%]|[^\n]{16}"
+MASKABLE = r"[0-9/=.%]|[^\n]{16}"
 
 
 def _chain(t: Column, rules: list[tuple[str, str | None]]) -> Column:
@@ -60,7 +66,7 @@ def masked(words: Column) -> Column:
     """An array of tokens, each masked by the rules in order. Three steps, so that no expression holds another twice."""
     at = [w for _, w in rx.MASKS].index(None)
     path = lambda t: F.regexp_like(t, F.lit(PATH))
-    some = lambda t, x: F.when(F.regexp_like(t, F.lit(_MASKABLE)), x).otherwise(t)
+    some = lambda t, x: F.when(F.regexp_like(t, F.lit(MASKABLE)), x).otherwise(t)
     out = F.transform(words, lambda t: some(t, F.when(path(t), F.lit("*")).otherwise(_chain(t, rx.MASKS[:at]))))
     out = F.transform(out, lambda t: F.when(F.length(t) >= 16, _mixed_run(t)).otherwise(t))
     return F.transform(out, lambda t: some(t, _chain(t, rx.MASKS[at + 1 :])))

@@ -485,14 +485,17 @@ def hidden_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("stream_id").agg(F.sum(F.col("hidden").cast("long")).alias("hidden"), F.sum(F.col("group_head").cast("long")).alias("heads"))
 
 
-@query("SELECT event_type AS label, count(*) AS n, (sum(user_id))::BIGINT AS users FROM events GROUP BY 1")
+@query("SELECT event_type AS label, 'id * of * at *' AS mask, count(*) AS n, (sum(user_id))::BIGINT AS users FROM events GROUP BY 1")
 def sql_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered names, used from SQL."""
     from .sql import register
 
     lines = _event_lines(spark, sf_dir).select(F.lit("events").alias("stream_id"), "line_no", F.col("json").alias("raw"), "json")
     register(spark, lines)
-    return spark.sql("SELECT label, count(*) AS n, sum(user) AS users FROM (SELECT json_label(json, array('type')) AS label, cast(json_label(json, array('user')) AS bigint) AS user FROM lines) GROUP BY label")
+    return spark.sql("""
+        SELECT label, mask, count(*) AS n, sum(user) AS users FROM (
+            SELECT json_label(json, array('type')) AS label, cast(json_label(json, array('user')) AS bigint) AS user, log_mask(log_clean(concat('id\\t', 10000 + line_no, ' of /x/', line_no, ' at 10.0.0.', line_no % 250, '\\r'))) AS mask FROM lines)
+        GROUP BY label, mask""")
 
 
 def _micros() -> Column:

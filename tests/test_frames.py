@@ -242,3 +242,19 @@ def test_merge_by_heap_is_merge_by_table():
         made = list(dict.fromkeys(" ".join(r.choice("abcdef*") for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(2, 30))))
         clusters = [(s, [i]) for i, s in enumerate(made)]
         assert templates.merge(clusters, len(made)) == plain(clusters, len(made))
+
+
+def test_sql_functions_are_expressions(spark):
+    """log_clean and log_mask mean what the DataFrame functions do, and put no Python into a plan."""
+    from logloom.functions.clean import clean_lines
+    from logloom.plans.sql import register
+
+    register(spark)
+    r = random.Random(11)
+    parts = ["a\tb", "\x1b[31mred\x1b[0m", "\x01", "é", "it's \"q\"", "\\x", "2024-01-02T03:04:05Z", "10.0.0.1:80", "/var/log/x", "abcdefghijk1mnopqrst", "(/p)", "99999", "k=1.5", "{a,b}", "%7Bab-1%7D", "W0425", "\r", "$1"]
+    texts = ["", None, *("".join(r.choice(parts) + r.choice(["", " ", "\t"]) for _ in range(r.randrange(9))) for _ in range(300))]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = d.selectExpr("i", "log_clean(text) AS c", "log_mask(log_clean(text)) AS m")
+    want = clean_lines(d).select("i", "raw", templates.skeleton(F.col("raw")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
