@@ -11,10 +11,11 @@ import math
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rx
+from ..sources.shared import written
 
 #: Similarity above which clusters merge: while there are more than the target, and after.
 LOOSE, STRICT = 0.6, 0.85
@@ -187,19 +188,105 @@ def visible_windows(lines: DataFrame, size: int = 4096, first: int = 0) -> DataF
     return d.where(F.col("line_no") >= first).withColumn("window_id", F.concat_ws("#", "stream_id", F.expr(f"(line_no - {first}) div {size}").cast("string")))
 
 
-def templates(lines: DataFrame, window: str = "window_id") -> DataFrame:
-    """(window, template, skeleton, n, first_line, skeletons) after merging; skeletons: those that a template stands for."""
-    found = skeletons(lines, window)
+#: Skeletons of a window that one task merges by itself; a window with more is merged in rounds over all tasks.
+MOST_IN_TASK = 4096
+#: Neighbours that a cluster is compared with in a bucket, to begin with.
+NEAR = 8
+CLUSTERS = "skeleton string, n long, first_line long, skeletons array<string>"
+
+
+def _numbered_words() -> Column:
+    """A skeleton's words, the k-th of equal ones with its k: sets of these have the similarity of the words' multisets."""
+    words = F.array_sort(F.filter(F.split("skeleton", " "), lambda w: w != ""))
+    return F.transform(words, lambda w, i: F.concat(w, F.lit("\0"), (i - F.array_position(words, w)).cast("string")))
+
+
+def _pairs(d: DataFrame, window: str, near: int) -> tuple[DataFrame, DataFrame]:
+    """(window, a, b) of clusters that may be alike enough, a the earlier one; and the sizes of the buckets in which they meet.
+
+    Sets that are more than LOOSE alike share one of their rarest words, as many as the bound leaves over. In the bucket of
+    such a word clusters stand in order, and each is paired with the `near` ones after it.
+    """
+    each = d.select(window, "first_line", F.size("_w").alias("_size"), F.explode("_w").alias("_t"))
+    frequency = each.groupBy(window, "_t").agg(F.count("*").alias("_f"))
+    rarest = F.row_number().over(Window.partitionBy(window, "first_line").orderBy("_f", "_t"))
+    first = each.join(frequency, [window, "_t"]).withColumn("_k", rarest).where(F.col("_k") <= F.col("_size") - F.ceil(F.col("_size") * LOOSE) + 1)
+    after = Window.partitionBy(window, "_t").orderBy("_size", "first_line").rowsBetween(1, near)
+    met = first.withColumn("_after", F.collect_list("first_line").over(after)).select(window, F.col("first_line").alias("_x"), F.explode("_after").alias("_y"))
+    pairs = met.select(window, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
+    return pairs, first.groupBy(window, "_t").agg(F.count("*").alias("_bucket"))
+
+
+def merge_in_rounds(clusters: DataFrame, window: str) -> DataFrame:
+    """merge() for windows of any number of skeletons: (window, skeleton, n, first_line, skeletons).
+
+    Each round merges the pairs that are each other's best, all at once, as long as a window has more clusters than it
+    should; below that number only pairs that are STRICT alike. A most alike pair is always among them, but others are
+    merged at the same time that merge() would have tried later, so results can differ where similarities are close. Pairs come from word buckets; when none is found, clusters are compared with twice as many neighbours,
+    until that is all of each bucket, so no pair that is alike enough is left at the end.
+    """
+    target = clusters.groupBy(window).agg(F.greatest(F.lit(2), F.ceil(F.sqrt(F.sum("n")))).alias("_target"))
+    target, near = written(target), NEAR
+    kept = written(clusters.select(window, *[c.split()[0] for c in CLUSTERS.split(", ")]))
+    schema = f"{window} {dict(clusters.dtypes)[window]}, {CLUSTERS}"
+
+    def merged(batches):
+        for pdf in batches:
+            pdf["skeleton"] = [merged_skeleton(x, y) for x, y in zip(pdf["skeleton"], pdf["_other"], strict=True)]
+            yield pdf[[window, "skeleton", "n", "first_line", "skeletons"]]
+
+    while True:
+        d = kept.withColumn("_w", _numbered_words())
+        pairs, buckets = _pairs(d, window, near)
+        side = lambda x: d.select(F.col(window).alias(f"_{x}"), F.col("first_line").alias(f"_{x}_id"), F.col("_w").alias(f"_{x}_w"))  # noqa: B023, E731
+        p = pairs.join(side("p"), (F.col(window) == F.col("_p")) & (F.col("a") == F.col("_p_id"))).join(side("q"), (F.col(window) == F.col("_q")) & (F.col("b") == F.col("_q_id")))
+        both = F.size(F.array_intersect("_p_w", "_q_w"))
+        p = p.select(window, "a", "b", (both / (F.size("_p_w") + F.size("_q_w") - both)).alias("sim")).where(F.col("sim") > LOOSE)
+        goal = kept.groupBy(window).count().join(target, window).select(window, (F.col("count") - F.col("_target")).alias("_over"))
+        nth = F.row_number().over(Window.partitionBy(window).orderBy(F.desc("sim"), "a", "b"))
+        # of equals by a hash of the pair: by number all would choose the first one, and a round would merge one pair
+        best = F.struct(F.col("sim"), F.xxhash64("a", "b").alias("h"), F.col("a"), F.col("b"))
+        ends = p.select(window, "a", "b", best.alias("_best"), F.explode(F.array("a", "b")).alias("_end"))
+        chosen = ends.groupBy(window, "_end").agg(F.max("_best").alias("_best"))
+        mutual = chosen.groupBy(window, "_best").agg(F.count("*").alias("_c")).where("_c = 2").select(window, "_best.a", "_best.b", "_best.sim")
+        mutual = written(mutual.join(goal, window).withColumn("_nth", nth).where((F.col("_nth") <= F.col("_over")) | (F.col("sim") > STRICT)).select(window, "a", "b"))
+        if not mutual.take(1):
+            open_ = kept.groupBy(window).count().join(target, window).where(F.col("count") > 1).select(window)
+            largest = buckets.join(open_, window, "left_semi").agg(F.max("_bucket")).first()[0] or 0
+            if largest <= near + 1:
+                return kept
+            near *= 2
+            continue
+        one, two = (mutual.select(window, F.col("a").alias("first_line")), mutual.select(window, F.col("b").alias("first_line")))
+        other = kept.select(F.col(window).alias("_v"), F.col("first_line").alias("_b"), F.col("skeleton").alias("_other"), F.col("n").alias("_n"), F.col("skeletons").alias("_more"))
+        joined = kept.join(mutual, (kept[window] == mutual[window]) & (kept["first_line"] == mutual["a"])).select(kept[window], "skeleton", "n", "first_line", "skeletons", F.col("b").alias("_b0"))
+        joined = joined.join(other, (F.col(window) == F.col("_v")) & (F.col("_b0") == F.col("_b"))).select(window, "skeleton", "_other", (F.col("n") + F.col("_n")).alias("n"), "first_line", F.concat("skeletons", "_more").alias("skeletons"))
+        rest = kept.join(one.unionByName(two), [window, "first_line"], "left_anti")
+        kept = written(rest.unionByName(joined.mapInPandas(merged, schema)))
+
+
+def templates(lines: DataFrame, window: str = "window_id", most_in_task: int | None = None, order: bool = True) -> DataFrame:
+    """(window_id, template, skeleton, n, first_line, skeletons) after merging; skeletons: those that a template stands for.
+
+    A window of up to most_in_task skeletons is merged by merge(), one with more by merge_in_rounds().
+    """
+    most = most_in_task or MOST_IN_TASK
+    found = written(skeletons(lines, window))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first_line", kind="stable")
         counts = dict(zip(pdf["skeleton"], zip(pdf["n"], pdf["first_line"], strict=True), strict=True))
         out = merge([(s, [s]) for s in pdf["skeleton"]], int(pdf["n"].sum()))
         rows = [(pdf[window].iloc[0], s, sum(int(counts[m][0]) for m in ms), min(int(counts[m][1]) for m in ms), ms) for s, ms in out]
-        return pd.DataFrame(rows, columns=["window_id", "skeleton", "n", "first_line", "skeletons"])
-
-    t = found.groupBy(window).applyInPandas(run, f"window_id {dict(found.dtypes)[window]}, skeleton string, n long, first_line long, skeletons array<string>")
-    return t.withColumn("template", collapsed(F.col("skeleton"))).orderBy("window_id", F.desc("n"), "first_line")
+        return pd.DataFrame(rows, columns=[window, "skeleton", "n", "first_line", "skeletons"])
+
+    large = found.groupBy(window).count().where(F.col("count") > most).select(window)
+    small = found.join(large, window, "left_anti") if (some := bool(large.take(1))) else found
+    t = small.groupBy(window).applyInPandas(run, f"{window} {dict(found.dtypes)[window]}, {CLUSTERS}")
+    if some:
+        t = t.unionByName(merge_in_rounds(found.join(large, window, "left_semi").withColumn("skeletons", F.array("skeleton")), window))
+    t = t.withColumnRenamed(window, "window_id").withColumn("template", collapsed(F.col("skeleton")))
+    return t.orderBy("window_id", F.desc("n"), "first_line") if order else t
 
 
 def lines_of(lines: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -258,3 +258,25 @@ def test_sql_functions_are_expressions(spark):
     want = clean_lines(d).select("i", "raw", templates.skeleton(F.col("raw")))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_windows_are_merged_in_rounds(spark):
+    """No pair that is alike enough is left, every line counts once, and clear cases give what one task gives."""
+    import math
+    from collections import Counter
+
+    r = random.Random(12)
+    kinds = ["job {} finished with code zero on host", "user {} logged in from {} at last", "a {} b {} c d e f g", "only {} x"]
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(4))
+    texts = [r.choice(kinds).format(word(), word()) for _ in range(70)] + ["", "same line"] * 5
+    d = spark.createDataFrame([(w, i, t) for w in ("x", "y") for i, t in enumerate(texts if w == "x" else texts[:20])], "window_id string, line_no long, raw string")
+    got = templates.templates(d, most_in_task=30).collect()
+    one = templates.templates(d).collect()
+    assert sorted((x.template, x.n) for x in got if x.window_id == "y") == sorted((x.template, x.n) for x in one if x.window_id == "y")
+    mine = [x for x in got if x.window_id == "x"]
+    assert sum(x.n for x in mine) == len(texts) and sorted(s for x in mine for s in x.skeletons) == sorted({" ".join(t.split()) for t in texts})
+    assert {x.template for x in mine} == {x.template for x in one if x.window_id == "x"}
+    target = max(2, math.ceil(math.sqrt(len(texts))))
+    limit = templates.STRICT if len(mine) <= target else templates.LOOSE
+    bags = [Counter(x.skeleton.split()) for x in mine]
+    assert all(templates.alike(a, b) <= limit for i, a in enumerate(bags) for b in bags[:i])
