@@ -30,22 +30,27 @@ MOST_LABELS, SALTS = 1 << 15, 16
 
 
 class Blocks:
-    """Sums of the blocks of vectors, and the norms of what their means leave."""
+    """The blocks of vectors: means and the norms of what they leave, scaled so that squared differences of rows are the bounds."""
 
     def __init__(self, v: np.ndarray, level: int) -> None:
         cuts = np.arange(level) * v.shape[1] // level
-        self.size = np.diff(np.append(cuts, v.shape[1])).astype(np.float64)
-        self.mean = np.add.reduceat(v, cuts, 1) / self.size
+        size = np.diff(np.append(cuts, v.shape[1])).astype(np.float64)
+        mean = np.add.reduceat(v, cuts, 1) / size
         square = np.add.reduceat(v * v, cuts, 1)
-        self.rest = np.sqrt(np.maximum(0, square - self.mean**2 * self.size))
+        self.rows = np.hstack((mean * np.sqrt(size), np.sqrt(np.maximum(0, square - mean**2 * size))))
+        self.norm = (self.rows**2).sum(1)
         self.slack = SLACK * (square.sum(1) + 1)
 
-    def bounds(self, other: Blocks, a, b) -> np.ndarray:
-        """At most the squared distances of own vectors a from the other's b."""
-        out = 0.0
-        for k, size in enumerate(self.size):
-            out = out + size * (self.mean[a, k] - other.mean[b, k]) ** 2 + (self.rest[a, k] - other.rest[b, k]) ** 2
-        return out * (1 - SLACK) - self.slack[a] - other.slack[b]
+    def bounds(self, other: Blocks) -> np.ndarray:
+        """At most the squared distances of own vectors from the other's."""
+        out = self.rows @ other.rows.T
+        out *= -2
+        out += self.norm[:, None]
+        out += other.norm
+        out *= 1 - SLACK
+        out -= self.slack[:, None]
+        out -= other.slack
+        return out
 
 
 class Codebook:
@@ -58,30 +63,25 @@ class Codebook:
 
     def nearest(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Index of the nearest entry of each row (the lowest of equally near ones), its squared distance, and how many entries were measured."""
-        n, k = len(v), len(self.entries)
-        if not self.levels:  # parts without an entry are all equal
+        n = len(v)
+        if not self.levels or not n:  # parts without an entry are all equal
             return np.zeros(n, np.int64), np.zeros(n, np.int64), 0
         apart = lambda a, b: ((v[a] - self.entries[b]) ** 2).sum(1)
-        row, entry, measured = np.repeat(np.arange(n), k), np.tile(np.arange(k), n), 0
-        best = np.full(n, np.iinfo(np.int64).max)
+        every, left, best, measured = np.arange(n), None, None, 0
         for level, theirs in self.levels:
-            own = Blocks(v, level)
-            if level == self.levels[0][0]:
-                low = own.bounds(theirs, np.arange(n)[:, None], np.arange(k)[None, :]).ravel()
-            else:
-                low = own.bounds(theirs, row, entry)
-            begin = np.searchsorted(row, np.arange(n))
-            least = np.flatnonzero(low == np.minimum.reduceat(low, begin)[row])
-            least = least[np.searchsorted(row[least], np.arange(n))]  # the entry with the least bound is measured
-            best = np.minimum(best, apart(row[least], entry[least]))
+            low = Blocks(v, level).bounds(theirs)
+            if left is not None:
+                low[~left] = np.inf
+            least = apart(every, low.argmin(1))  # the entry with the least bound is measured
+            best = least if best is None else np.minimum(best, least)
             measured += n
-            stay = low <= best[row]
-            row, entry = row[stay], entry[stay]
+            left = low <= best[:, None]
+        row, entry = np.nonzero(left)
         d = apart(row, entry)
-        begin = np.searchsorted(row, np.arange(n))
+        begin = np.searchsorted(row, every)
         best = np.minimum.reduceat(d, begin)
         hit = np.flatnonzero(d == best[row])
-        return entry[hit[np.searchsorted(row[hit], np.arange(n))]], best, measured + len(row)
+        return entry[hit[np.searchsorted(row[hit], every)]], best, measured + len(row)
 
 
 def widths(dim: int, parts: int) -> tuple[int, int]:
