@@ -111,27 +111,34 @@ def test_near_duplicates(spark):
 
 
 def test_recall_of_planted_edits(spark):
-    """Copies with 1 to 15 % of their words changed, half of them among texts that share a long passage: 0.9 of the links at least."""
+    """Copies with up to 20 % of their words changed at random, or 15 % spread evenly, half of them with a shared long passage: 0.9 of the links at least."""
     r = random.Random(8)
     vocab = [f"v{i}" for i in range(3000)]
     passage = [r.choice(vocab) for _ in range(60)]
     rows, pairs = [], {}
-    for share in (0.01, 0.05, 0.1, 0.15):
+    for share, even in ((0.01, False), (0.05, False), (0.1, False), (0.15, False), (0.2, False), (0.1, True), (0.15, True)):
+        n = round(120 * share)
         for i in range(60):
             w = [r.choice(vocab) for _ in range(120)]
             if i % 2:
                 w[30:90] = passage
             copy = list(w)
-            for k in r.sample(range(120), round(120 * share)):
+            for k in [int((j + 0.5) * 120 / n) for j in range(n)] if even else r.sample(range(120), n):
                 copy[k] = f"x{r.random()}"
-            pairs.setdefault(share, []).append((len(rows), len(rows) + 1))
+            pairs.setdefault((share, even), []).append((len(rows), len(rows) + 1))
             rows += [(len(rows), " ".join(w), "s"), (len(rows) + 1, " ".join(copy), "s")]
     got = {x.doc_id: x.class_id for x in minhash.op4(frame(spark, rows)).collect()}
-    for share, ps in pairs.items():
-        assert sum(got[a] == got[b] for a, b in ps) >= 0.9 * len(ps), share
+    for kind, ps in pairs.items():
+        assert sum(got[a] == got[b] for a, b in ps) >= 0.9 * len(ps), kind
     assert len(set(got.values())) >= len(rows) // 2  # texts that only share the passage stay apart
 
 
+def test_one_text_of_a_doc_id_stays(spark):
+    rows = [(1, "b " * 9, "s"), (1, "a " * 9, "t"), (1, None, "u"), (2, "c " * 9, "s"), (2, "d " * 9, "s")]
+    for n in (1, 3):
+        assert sorted((x.doc_id, x.text) for x in minhash.deduplicated(frame(spark, rows).repartition(n)).collect()) == [(1, None), (2, "c " * 9)]
+
+
 def test_large_group_of_near_copies(spark):
     """Hundreds of copies of one text, each edited by itself, beside texts that are not of them, are one class."""
     r = random.Random(9)
