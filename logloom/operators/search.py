@@ -66,6 +66,16 @@ def with_prefix(lines: DataFrame, rows: str = "rows", span: int = CHUNK_LINES) -
     return d.join(totals.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_total"), ["stream_id", "chunk_id"]).withColumn("upto", inner + F.col("_before")).drop("_before", "chunk_id")
 
 
+def with_peak(lines: DataFrame, value: str, span: int = CHUNK_LINES) -> DataFrame:
+    """lines with peak: the greatest value of the stream up to each line, in two levels as in with_prefix(). Null values don't count."""
+    d = with_chunks(lines, span)
+    order = Window.partitionBy("stream_id", "chunk_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    most = d.groupBy("stream_id", "chunk_id").agg(F.max(value).alias("_most"))
+    before = F.max("_most").over(Window.partitionBy("stream_id").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1))
+    out = d.join(most.withColumn("_before", before).drop("_most"), ["stream_id", "chunk_id"])
+    return out.withColumn("peak", F.greatest(F.max(value).over(order), "_before")).drop("_before", "chunk_id")
+
+
 def find_row(prefixed: DataFrame, target: int) -> DataFrame:
     """For each stream, the least line whose upto exceeds target; past the last line if none does."""
     return prefixed.groupBy("stream_id").agg(F.coalesce(F.min(F.when(F.col("upto") > target, F.col("line_no"))), F.max("line_no") + 1).alias("line_no"))

@@ -289,6 +289,11 @@ def templates(lines: DataFrame, window: str = "window_id", most_in_task: int | N
     return t.orderBy("window_id", F.desc("n"), "first_line") if order else t
 
 
+def placed(found: DataFrame, window: str = "window_id") -> DataFrame:
+    """skeletons() or templates() with place, from 1: each one's place in its window, by lines and then by the first line."""
+    return found.withColumn("place", F.row_number().over(Window.partitionBy(window).orderBy(F.desc("n"), "first_line")))
+
+
 def lines_of(lines: DataFrame, chosen: DataFrame) -> DataFrame:
     """The lines of chosen templates: a semi-join on the skeletons that they stand for."""
     keys = chosen.select(F.explode("skeletons").alias("_skeleton")).distinct()

@@ -447,4 +447,4 @@ def stream_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").select("label", "cnt")
 
 
-from . import line_queries  # noqa: E402, F401  (adds its own)
+from . import line_queries, value_queries  # noqa: E402, F401  (add their own)
