@@ -258,11 +258,27 @@ CLAUSES = [
     ("warranty-disclaimer", "warranty", 1, r"(?:absolutely no|there is no|no) warranty"),
     ("multi-license", "licensed", 1, r"(?:dual|triple|multi) licensed"),
     ("multi-license", "relicensed", 1, r"relicensed (?:under|from)"),
+    ("mit", "licen", 2, r"(?:mit|expat) licen[cs]ed"),
+    ("apache", "apache", 2, r"apache(?: 2(?: 0)?)? licen[cs]ed"),
+    ("bsd", "bsd", 2, r"bsd(?: [0234] clause)? licen[cs]ed"),
+    ("gpl", "gpl", 2, r"gpl(?: ?v?[123])? licen[cs]ed"),
+    ("isc", "isc", 2, r"isc licen[cs]ed"),
+    ("mit", "licen", 2, r"licen[cs]e (?:is )?(?:the )?(?:mit|expat)"),
+    ("apache", "apache", 2, r"licen[cs]e (?:is )?(?:the )?apache(?: 2(?: 0)?)?"),
+    ("bsd", "bsd", 2, r"licen[cs]e (?:is )?(?:the )?bsd(?: [0234] clause)?"),
+    ("gpl", "gpl", 2, r"licen[cs]e (?:is )?(?:the )?(?:gnu )?gpl(?: ?v?[123])?"),
+    ("isc", "isc", 2, r"licen[cs]e (?:is )?(?:the )?isc"),
+    ("mpl", "mpl", 2, r"licen[cs]e (?:is )?(?:the )?mpl(?: 1 1| 2 0)?"),
+    ("mit", "under", 2, r"(?:is|are|used|comes|shipped|offered) under (?:the )?mit"),
+    ("apache", "apache", 2, r"(?:is|are|used|comes|shipped|offered) under (?:the )?apache(?: 2(?: 0)?)?"),
+    ("bsd", "bsd", 2, r"(?:is|are|used|comes|shipped|offered) under (?:the )?bsd(?: [0234] clause)?"),
+    ("isc", "isc", 2, r"(?:is|are|used|comes|shipped|offered) under (?:the )?isc"),
+    ("mpl", "mpl", 2, r"(?:is|are|used|comes|shipped|offered) under (?:the )?mpl(?: 1 1| 2 0)?"),
 ]
-#: A text is looked at if any of these stands in it in some case, or `under` and one of the words before it. Each rule
+#: A text is looked at if any of these stands in it in some case, or `under` and one of the words beside it. Each rule
 #: implies one of them: single words, as any punctuation may part two.
 GATES = ["licen", "copyright", "gpl", "reserved", "domain", "warrant", "commons", "proprietary", "confidential", "wtfpl", "redistribut", "permission", "substantial", "endorse", "misrepresented", "merchantab", "commercial"]
-BEFORE_UNDER = ["released", "distributed", "published", "available", "provided"]
+BESIDE_UNDER = ["released", "distributed", "published", "available", "provided", "mit", "apache", "bsd", "isc", "mpl"]
 
 
 def rules() -> list[dict]:
@@ -308,7 +324,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     d = docs.drop("n_words", "base", "detections")
     low = F.lower("text")
     any_of = lambda words: reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in words])
-    gate = any_of(GATES) | (F.contains(low, F.lit("under")) & any_of(BEFORE_UNDER))
+    gate = any_of(GATES) | (F.contains(low, F.lit("under")) & any_of(BESIDE_UNDER))
     d = d.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long"))
     d = d.withColumn("_norm", F.when(gate, F.array_join(F.regexp_extract_all(F.translate("text", _UPPER, _UPPER.lower()), F.lit(WORD), 0), " ")))
     base = [{"rule": k, "label": v, "kw": k, "prio": 9, "rx": f"(?:^|(?<= )){k}(?= |$)"} for k, v in BASE.items()]
