@@ -27,15 +27,31 @@ def _aside(docs: DataFrame, used: tuple[str, ...], stage: Callable[[DataFrame],
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of docs whose toxicity is below 0.5.
+
+    Null and empty texts have the score of no words at all. Equal texts have equal scores and share their fate; a score
+    of exactly 0.5 goes. Without labels all scores are alike and below 0.5, and all stay.
+    Texts of any length are scored whole; an empty table stays empty.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _aside(docs, ("doc_id", "text"), lambda d: toxicity.score_toxicity(d, model).where("score < 0.5"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each near-duplicate class: the least doc_id's.
+
+    Null, empty and blank texts are copies of one another. Rows without doc_id stay. Of rows that share a doc_id the one
+    with the least text stays. An empty table stays empty.
+    """
     return _aside(docs, ("doc_id", "text"), minhash.deduplicated)
 
 
 def substring_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without the passages that documents of smaller ids hold; n_chars follows the text.
+
+    A document whose words are all removed goes; null and empty texts have no words and stay. Kept stretches of a text
+    are as they stood, joined by newlines. An empty table stays empty.
+    """
     def cut(d: DataFrame) -> DataFrame:
         d = substring_dedup.remove_repeats(d).where("n_removed = 0 or n_removed < n_words")
         return d.withColumn("text", F.col("kept_text"))
@@ -45,11 +61,20 @@ def substring_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of docs that the benchmark does not contaminate, as they are.
+
+    Null and empty texts have no words and stay; an empty benchmark contaminates nothing; an empty table stays empty.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _aside(docs, ("doc_id", "text"), lambda d: decontam.judged(d, items).where("not contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of docs of which the mix takes words, with size, source_size, target and taken.
+
+    Null and empty texts have size 0 and go; a null source is a source of its own, the last. Ties of equal length are
+    settled by a seeded hash of all columns. An empty table stays empty.
+    """
     return _aside(docs, ("doc_id", "text", "source"), lambda d: mixing.mix(d).where("taken > 0"), ("size", "source_size", "target", "taken"))
 
 
