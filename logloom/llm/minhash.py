@@ -13,6 +13,11 @@ all pairs are candidates. The texts of larger buckets are sorted again in ORDERS
 sketches, which brings the similar ones together, and each meets the NEXT ones after it. Histograms of words bound the
 edit distance from below and drop unlike pairs before any alignment, losslessly. Rounds of alignment begin with the pair
 of each text that most buckets propose, and spare pairs whose classes have met already.
+
+The orders only find most links of large buckets early. What is left is exact: of every large bucket whose texts are of
+more than one class by then, all pairs of texts of different classes meet, in pairs of blocks of BLOCK texts, one task's
+work each; those that the histograms allow are aligned like the others. So all links of texts that share a bucket count,
+whatever its size. Where a large bucket's texts are of many classes, the blocks' work grows with the square of its size.
 """
 
 from __future__ import annotations
@@ -34,6 +39,10 @@ SHINGLE, SIMILARITY, BANDS, DEPTH, SINGLES = 5, 0.8, 20, 2, 24
 NEAR, NEXT, ORDERS = 8, 1, 4
 #: Pairs of a text that the first rounds align; a last round aligns all that are left.
 TURNS = (1, 2)
+#: Texts of a large bucket in a block, and pairs of them measured at once.
+BLOCK, AT_ONCE = 2048, 1 << 16
+#: Edges that a task joins up before they meet others.
+EDGES = 1 << 18
 #: Counters of a text's histogram of words.
 CELLS = 128
 _U = np.uint64
@@ -190,6 +199,28 @@ def _large_buckets(batches, similarity: float, ahead: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def _blocks(key: tuple, t: pa.Table, similarity: float) -> pa.Table:
+    """(a, b) of texts of different classes in two blocks of a bucket (or one and the same) that may be near."""
+    t = t.sort_by("n")
+    text, n, comp, block = (t[c].to_numpy() for c in ("text", "n", "comp", "block"))
+    cells, same = _cells(t["hist"].to_numpy()), key[1] == key[2]
+    first = np.searchsorted(n, n - ((1 - similarity) * n + 1e-9))  # shorter ones differ by too many words
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, AT_ONCE // len(n))
+    for lo in range(0, len(n), step):
+        i, begin = np.arange(lo, min(len(n), lo + step)), first[lo]
+        j = np.arange(begin, i[-1] + 1)
+        ok = (j < i[:, None]) & (j >= first[i][:, None]) & (comp[j] != comp[i][:, None])
+        if not same:
+            ok &= block[j] != block[i][:, None]
+        x, y = np.nonzero(ok)
+        x, y = i[x], j[y]
+        ok = may_be_near(cells[x], cells[y], n[x], n[y], similarity)
+        a.append(np.minimum(text[x[ok]], text[y[ok]]))
+        b.append(np.maximum(text[x[ok]], text[y[ok]]))
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
 def _filtered(batches, similarity: float):
     for t in batches:
         ok = may_be_near(_cells(_column(t, "ha")), _cells(_column(t, "hb")), _column(t, "na"), _column(t, "nb"), similarity)
@@ -268,10 +299,41 @@ def _similar(batches, similarity: float):
         yield pa.RecordBatch.from_arrays([t.column(t.schema.get_field_index(c)).filter(pa.array(keep, pa.bool_())) for c in ("ra", "rb")], names=["a", "b"])
 
 
+def _stars(batches):
+    """Each EDGES edges (u, v) as stars: their nodes but the least of each component, and that."""
+    held, n = [], 0
+
+    def stars():
+        u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        ends, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+        u, v = at[: len(u)], at[len(u) :]
+        root = np.arange(len(ends))
+        while (root[u] != root[v]).any():
+            np.minimum.at(root, np.maximum(root[u], root[v]), np.minimum(root[u], root[v]))
+            while (root[root] != root).any():
+                root = root[root]
+        other = np.flatnonzero(root != np.arange(len(ends)))
+        return pa.RecordBatch.from_arrays([pa.array(ends[other]), pa.array(ends[root[other]])], names=["u", "v"])
+
+    for t in batches:
+        held.append((_column(t, "u"), _column(t, "v")))
+        n += len(t)
+        if n >= EDGES:
+            yield stars()
+            held, n = [], 0
+    if n:
+        yield stars()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of the nodes of edges (a, b), comp the least node of each component: large-star and small-star until only stars are left."""
+    """(node, comp) of the nodes of edges (a, b), comp the least node of each component.
+
+    Each task turns its EDGES edges into stars; where tasks' stars share nodes, rounds of large-star and small-star follow
+    until only stars are left. There are as many tasks as edges ask for: few edges need no round.
+    """
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
+        e = written(e.coalesce(max(1, -(-e.count() // EDGES))).mapInArrow(_stars, "u long, v long"))
         ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         if not ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").limit(1).count():
             return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
@@ -287,8 +349,11 @@ def components(edges: DataFrame) -> DataFrame:
 NEW = [T.StructField(n, T.LongType()) for n in ("_h1", "_h2", "_n")] + [T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_hist", T.BinaryType())]
 
 
-def candidates(texts: DataFrame, similarity: float, near: int = NEAR, ahead: int = NEXT, orders: int = ORDERS) -> DataFrame:
-    """(a, b, times): pairs of texts that may be near, and how many buckets propose each. texts: (text, n, bands, hist)."""
+def candidates(texts: DataFrame, similarity: float, near: int = NEAR, ahead: int = NEXT, orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
+    """(a, b, times): pairs of texts that may be near, and how many buckets propose each; (text, key): the large buckets, for rest().
+
+    texts: (text, n, bands, hist).
+    """
     rows = texts.select("text", "n", F.explode("bands").alias("key"))
     found = rows.repartitionByRange("key", "n", "text").sortWithinPartitions("key", "n", "text").select("key", "text", "n").mapInArrow(partial(_small_buckets, similarity=similarity, near=near), SMALL)
     found = written(found)
@@ -296,14 +361,30 @@ def candidates(texts: DataFrame, similarity: float, near: int = NEAR, ahead: int
     for side in "ab":
         few = few.join(texts.select(F.col("text").alias(side), F.col("n").alias(f"n{side}"), F.col("hist").alias(f"h{side}")), side)
     few = few.mapInArrow(partial(_filtered, similarity=similarity), "a long, b long, times long")
-    hot = found.where("key is not null").select(F.col("a").alias("text"), "key").join(texts, "text")
-    hot = hot.select("text", "key", "n", "hist", "bands", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("turn"))
+    large = found.where("key is not null").select(F.col("a").alias("text"), "key")
+    hot = large.join(texts, "text").select("text", "key", "n", "hist", "bands", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("turn"))
     by = [F.expr(f"element_at(bands, cast(pmod(xxhash64(key, turn, {i}), size(bands)) as int) + 1)").alias(f"by{i}") for i in range(2)]
     hot = written(hot.select("key", "turn", *by, "n", "text", "hist"))
     order = ["key", "turn", "by0", "by1", "n", "text"]
     many = hot.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "turn", "text", "n", "hist")
     many = many.mapInArrow(partial(_large_buckets, similarity=similarity, ahead=ahead), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("times"))
-    return few.unionByName(many).groupBy("a", "b").agg(F.sum("times").alias("times"))
+    return few.unionByName(many).groupBy("a", "b").agg(F.sum("times").alias("times")), large
+
+
+def rest(large: DataFrame, texts: DataFrame, comps: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): all pairs of texts of different classes in a large bucket that may be near.
+
+    large: (text, key); texts: (text, rep, n, hist); comps: (node, comp) of reps. Texts are dealt out to blocks by a hash, and
+    a task holds two blocks; buckets of one class take no part.
+    """
+    of = texts.select("text", "rep", "n", "hist").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    own = large.join(of.select("text", "comp"), "text")
+    mixed = own.groupBy("key").agg(F.count("*").alias("_m"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
+    n = F.ceil(F.col("_m") / block)
+    d = large.join(mixed.select("key", n.alias("_n")), "key").withColumn("block", F.pmod(F.xxhash64("text"), F.col("_n")))
+    d = d.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).join(of, "text")
+    d = d.select("key", F.least("block", "_j").alias("_one"), F.greatest("block", "_j").alias("_two"), "block", "text", "comp", "n", "hist")
+    return d.groupBy("key", "_one", "_two").applyInArrow(lambda k, t: _blocks(k, t, similarity), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, depth: int = DEPTH,
@@ -328,7 +409,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
 
 def _linked(docs: DataFrame, texts: DataFrame, similarity: float, **search: int) -> DataFrame:
     """(node, comp): components of the reps of linked texts."""
-    pairs = written(candidates(texts.select("text", "n", "bands", "hist"), similarity, **search))
+    pairs, large = candidates(texts.select("text", "n", "bands", "hist"), similarity, **search)
+    pairs = written(pairs)
+    comps = _aligned(docs, texts, pairs, None, similarity)
+    left = written(rest(large, texts, comps, similarity).join(pairs, ["a", "b"], "left_anti").withColumn("times", F.lit(1).cast("long")))
+    return _aligned(docs, texts, left, comps, similarity) if left.limit(1).count() else comps
+
+
+def _aligned(docs: DataFrame, texts: DataFrame, pairs: DataFrame, comps: DataFrame | None, similarity: float) -> DataFrame:
+    """(node, comp): the classes comps, if any, joined by those of the pairs (a, b, times) of texts that are links."""
     reps = written(pairs.select(F.explode(F.array("a", "b")).alias("text")).distinct().join(texts.select("text", "rep"), "text"))
     for side in "ab":
         pairs = pairs.join(reps.select(F.col("text").alias(side), F.col("rep").alias(f"r{side}")), side)
@@ -336,7 +425,6 @@ def _linked(docs: DataFrame, texts: DataFrame, similarity: float, **search: int)
     own = docs.select(F.col("doc_id").alias("rep"), F.col("text").alias("_text")).join(reps.select("rep").distinct().hint("merge"), "rep")  # the same plan at every size
     own = arrow_map(own, NEW[:2] + [T.StructField("words", T.BinaryType())], lambda: _identified, "_text").drop("_text")
     own = written(own.select(F.col("_h1").bitwiseXOR(F.col("_h2")).alias("text"), "words").join(reps.select("text"), "text", "left_semi").dropDuplicates(["text"]))
-    comps = None
     for turn in [*TURNS, 0]:
         if comps is not None:
             now = pairs

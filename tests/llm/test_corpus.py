@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,43 @@ def test_recall_of_planted_edits(spark):
     assert len(set(got.values())) >= len(rows) // 2  # texts that only share the passage stay apart
 
 
+@pytest.mark.parametrize("block", [16, 2048])
+def test_all_links_of_large_buckets(spark, monkeypatch, block):
+    """With one part and one order, all pairs of texts that share a bucket count, however many texts it holds."""
+    monkeypatch.setattr(minhash.rest, "__defaults__", (block,))
+    r = random.Random(5)
+    say = lambda k: [f"v{r.randrange(3000)}" for _ in range(k)]
+    passage, texts = say(60), []
+    for _ in range(60):
+        w = say(30) + passage + say(30)
+        copy = w[: 120 - r.randrange(12)]
+        for k in r.sample(range(100), 6):
+            copy[k] = f"x{r.random()}"
+        texts += [w, copy]
+    r.shuffle(texts)
+    parts = minhash._sketched(5, 0, 0, 1)(pa.array([" ".join(w) for w in texts]))[3].to_pylist()
+    links = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if parts[i] == parts[j] and minhash.within(tc_words(a), tc_words(b), int(0.2 * max(len(a), len(b)) + 1e-9))]
+    assert max(Counter(map(tuple, parts)).values()) > 30 and len(links) > 40
+    got = minhash.near_duplicates(frame(spark, [(i, " ".join(w), "s") for i, w in enumerate(texts)]), bands=0, depth=0, singles=1, orders=1)
+    assert {(x.doc_id, x.class_id) for x in got.collect()} == set(enumerate(classes(len(texts), links)))
+
+
+def tc_words(w):
+    return [zlib.crc32(x.encode()) for x in w]
+
+
+@pytest.mark.parametrize("edges", [1, 7, 1 << 18])
+def test_components(spark, monkeypatch, edges):
+    """Chains, stars and single edges, joined up by tasks of few edges or many."""
+    r = random.Random(6)
+    links = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)]
+    r.shuffle(links)
+    monkeypatch.setattr(minhash, "EDGES", edges)
+    of = classes(300, links)
+    got = minhash.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    assert {(x.node, x.comp) for x in got} == {(i, c) for i, c in enumerate(of) if i != c} and len(got) == len({x.node for x in got})
+
+
 def test_one_text_of_a_doc_id_stays(spark):
     rows = [(1, "b " * 9, "s"), (1, "a " * 9, "t"), (1, None, "u"), (2, "c " * 9, "s"), (2, "d " * 9, "s")]
     for n in (1, 3):
