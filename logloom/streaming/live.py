@@ -23,6 +23,8 @@ from ..operators.sequence import LINES, row_columns
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Typed lines of a stream. version: grows with each batch of lines of the stream; final: the row won't change.
 LIVE_LINES = T.StructType([*LINES.fields, T.StructField("version", T.LongType()), T.StructField("final", T.BooleanType())])
+#: Settled rows of a stream that are handed on at once.
+HANDED_ON = 4096
 #: Columns of LINES without nulls, which pandas may hold as numbers.
 _NUMBERS = {"line_no", "depth", "group_id", "status", "lines"}
 
@@ -56,15 +58,18 @@ class Fold(StatefulProcessor):
         return pd.DataFrame({n: pd.Series(v, dtype=None if n in _NUMBERS or n in ("version", "final") else object) for n, v in made.items()})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
         if self.ordered:
-            new = new.sort_values("line_no", kind="stable")
+            rows = [pd.concat(list(rows)).sort_values("line_no", kind="stable")]
         live, version = self._load()
         version, settled = version + 1, []
-        for raw, gaps, source in zip(new["raw"], new["gaps"], new["source"], strict=True):
-            live.feed(live.next, raw, [tuple(map(int, g.split(":"))) for g in gaps.split(",")] if gaps else [], source)
-            live.next += 1
-            settled += live.settled()
+        for new in rows:
+            for raw, gaps, source in zip(new["raw"], new["gaps"], new["source"], strict=True):
+                live.feed(live.next, raw, [tuple(map(int, g.split(":"))) for g in gaps.split(",")] if gaps else [], source)
+                live.next += 1
+                settled += live.settled()
+                if len(settled) >= HANDED_ON:
+                    yield self._frame(key[0], settled, version, True)
+                    settled = []
         self._save(live, version)
         if self.timeout:
             for t in list(self.handle.listTimers()):
@@ -92,8 +97,9 @@ def structure_stream(lines: DataFrame, text: str = "text", detect_progress: bool
     """Typed lines (LIVE_LINES) of a streaming (stream_id, text[, line_no][, source]); lines are numbered in order of line_no in each batch, else of arrival.
 
     idle_timeout_ms: a stream without new lines for so long is closed: rows held become final, and numbers go on if lines
-    come later. provisional: rows held are handed out, too, after each batch of their stream. The query needs the RocksDB
-    state store, which this sets for the session.
+    come later. provisional: rows held are handed out, too, after each batch of their stream. A task holds a stream's raw
+    lines of one batch, to order them, so the source must bound its batches; typed rows go on as they settle. The query
+    needs the RocksDB state store, which this sets for the session.
     """
     lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     order = ["line_no"] if "line_no" in lines.columns else []

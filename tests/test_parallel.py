@@ -2,12 +2,14 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_fold import tabbed
 
 from logloom.operators import sequence
 from logloom.operators.fold import Live, Machine, Row, diff_after, diff_map, fold, joined, key_value, segment
+from logloom.plans import line_queries
 from logloom.streaming import live
 
 WORDS = [
@@ -165,6 +167,35 @@ def test_stream_equals_batch_for_all_types(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == n
 
 
+def test_stream_hands_on_settled_rows():
+    """A batch's typed rows leave the fold in pieces, in order, and the state goes on after the last."""
+    class Cell:
+        value, rows = None, []
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value or self.rows
+        update = lambda self, v: setattr(self, "value", v)
+        clear = lambda self: setattr(self, "rows", [])
+        put = lambda self, v: setattr(self, "rows", v)
+
+    f = live.Fold(False, 0, True, False)
+    f.machines, f.held = Cell(), Cell()
+    lines = lambda lo, hi: pd.DataFrame({"raw": [f'{{"a": {i}}}' for i in range(lo, hi)], "gaps": None, "source": None, "line_no": range(lo, hi)})[::-1]
+    for lo in (0, 20_000):
+        out = list(f.handleInputRows(("s",), iter([lines(lo + 10_000, lo + 20_000), lines(lo, lo + 10_000)]), None))
+        assert max(map(len, out)) <= live.HANDED_ON and [n for x in out for n in x["line_no"]] == list(range(lo, lo + 20_000))
+
+
+def test_stream_structure_bounds_batches(spark, tmp_path, monkeypatch):
+    """Each batch holds BATCH_LINES lines at most, the stream's next ones, whatever the keys are."""
+    monkeypatch.setattr(line_queries, "BATCH_LINES", 40)
+    monkeypatch.setattr(line_queries, "shared_path", lambda _: f"{tmp_path}/base")
+    spark.range(90).selectExpr("id * 1000 + 7 AS event_id", "id AS user_id", "'view' AS event_type", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in line_queries.stream_structure(spark, f"{tmp_path}").collect()] == [("json", 90)]
+    files = sorted((p for p in (tmp_path / "base/in").glob("*.parquet")), key=lambda p: p.stat().st_mtime_ns)
+    assert [sorted(r.line_no for r in spark.read.parquet(str(p)).collect()) for p in files] == [list(range(40)), list(range(40, 80)), list(range(80, 90))]
+    assert len(list((tmp_path / "base/check/commits").glob("[0-9]*"))) == 3
+
+
 def test_revisions_while_lines_arrive(spark, tmp_path):
     """A table's header and the lines of a JSON group are plain first, and come again."""
     batches = [["text", "A  B  C"], ["4  5  6", "saved {"], ['  "a": 1', "}"], ["frame=1"], ["frame=2", "over"]]
