@@ -187,3 +187,14 @@ def test_times_between_lines_over_chunks(spark):
         want.append((now - last).total_seconds() if now and last else None)
         last = now or last
     assert got == want
+
+
+def test_tables_between_steps_are_small(spark):
+    from pathlib import Path
+
+    from logloom.sources import shared
+
+    d = shared.written(spark.range(200_000).selectExpr("id AS line_no", "concat('12:00  INFO  ', hash(id) % 20000) AS raw").coalesce(1))
+    size = sum(p.stat().st_size for p in Path(shared._WRITTEN[-1]).glob("*.parquet"))
+    spark.read.parquet(shared._WRITTEN[-1]).write.option("compression", "snappy").parquet(f"{shared._WRITTEN[-1]}/snappy")
+    assert size < 0.8 * sum(p.stat().st_size for p in Path(f"{shared._WRITTEN[-1]}/snappy").glob("*.parquet")) and d.count() == 200_000
