@@ -162,10 +162,10 @@ def _small_buckets(batches, similarity: float, near: int):
     for (key, text, n), lo, hi, last in _numbers(batches, ["key", "text", "n"], near + 1):
         edge = key[0] if edge is None else edge
         i = np.arange(lo, hi)
-        large = np.zeros(len(i), bool)
-        for step in (-near - 1, near + 1):
-            j = np.clip(i + step, 0, len(key) - 1)
-            large |= (key[j] == key[i]) & (j == i + step)
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        of = np.searchsorted(begin, i, "right") - 1
+        first, last_one = begin[of], np.append(begin[1:], len(key))[of] - 1
+        large = np.minimum(last_one, i + near + 1) - np.maximum(first, i - near - 1) > near  # more than near + 1 texts, any of the bucket's
         again = large | (key[lo:hi] == edge) | (last & (key[lo:hi] == key[-1]))
         a, b = [], []
         for w in range(1, near + 1):

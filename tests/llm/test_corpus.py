@@ -155,6 +155,21 @@ def test_all_links_of_large_buckets(spark, monkeypatch, block):
     assert {(x.doc_id, x.class_id) for x in got.collect()} == set(enumerate(classes(len(texts), links)))
 
 
+@pytest.mark.parametrize("step", [3, 1000])
+def test_buckets_a_little_above_the_small_ones(step):
+    """All pairs of a bucket come of it, as pairs or by its texts that are handed on, whatever its size."""
+    near = 8
+    rows = [(-1, -1)] + [(m, 100 * m + i) for m in range(1, 30) for i in range(m)] + [(99, 9999)]
+    cols = [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([100] * len(rows))]
+    t = pa.RecordBatch.from_arrays(cols, names=["key", "text", "n"])
+    got = [r for b in minhash._small_buckets((t.slice(i, step) for i in range(0, len(t), step)), 0.8, near) for r in b.to_pylist()]
+    pairs = {(r["a"], r["b"]) for r in got if r["key"] is None}
+    for m in range(1, 30):
+        on = {r["a"] for r in got if r["key"] == m}
+        lost = [(a, b) for b in range(100 * m, 101 * m) for a in range(100 * m, b) if (a, b) not in pairs and not {a, b} <= on]
+        assert not lost and bool(on) == (m > near + 1), m
+
+
 def tc_words(w):
     return [zlib.crc32(x.encode()) for x in w]
 
