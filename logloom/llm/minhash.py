@@ -16,8 +16,9 @@ of each text that most buckets propose, and spare pairs whose classes have met a
 
 The orders only find most links of large buckets early. What is left is exact: of every large bucket whose texts are of
 more than one class by then, all pairs of texts of different classes meet, in pairs of blocks of BLOCK texts, one task's
-work each; those that the histograms allow are aligned like the others. So all links of texts that share a bucket count,
-whatever its size. Where a large bucket's texts are of many classes, the blocks' work grows with the square of its size.
+work each; those that the histograms allow are aligned there, and only links leave the task. So all links of texts that
+share a bucket count, whatever its size. Where a large bucket's texts are of many classes, the blocks' work grows with the
+square of its size; the rows that are written and joined don't, but for one copy of a text for each block of its bucket.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ SHINGLE, SIMILARITY, BANDS, DEPTH, SINGLES = 5, 0.8, 20, 2, 24
 NEAR, NEXT, ORDERS = 8, 1, 4
 #: Pairs of a text that the first rounds align; a last round aligns all that are left.
 TURNS = (1, 2)
-#: Texts of a large bucket in a block, and pairs of them measured at once.
-BLOCK, AT_ONCE = 2048, 1 << 16
+#: Texts of a large bucket in a block, words of them, and pairs of them measured at once.
+BLOCK, BLOCK_WORDS, AT_ONCE = 2048, 1 << 21, 1 << 16
 #: Edges that a task joins up before they meet others.
 EDGES = 1 << 18
 #: Counters of a text's histogram of words.
@@ -199,13 +200,14 @@ def _large_buckets(batches, similarity: float, ahead: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def _blocks(key: tuple, t: pa.Table, similarity: float) -> pa.Table:
-    """(a, b) of texts of different classes in two blocks of a bucket (or one and the same) that may be near."""
-    t = t.sort_by("n")
-    text, n, comp, block = (t[c].to_numpy() for c in ("text", "n", "comp", "block"))
-    cells, same = _cells(t["hist"].to_numpy()), key[1] == key[2]
+def _pairs(key: tuple, t: pa.Table, similarity: float):
+    """Rows (x, y) of texts of different classes in two blocks of a bucket (or one and the same) that may be near.
+
+    Pairs that share a bucket below this one are left to that. t is sorted by n.
+    """
+    n, comp, block = (t[c].to_numpy() for c in ("n", "comp", "block"))
+    cells, below, same = _cells(t["hist"].to_numpy()), [frozenset(x) for x in t["below"].to_pylist()], key[1] == key[2]
     first = np.searchsorted(n, n - ((1 - similarity) * n + 1e-9))  # shorter ones differ by too many words
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     step = max(1, AT_ONCE // len(n))
     for lo in range(0, len(n), step):
         i, begin = np.arange(lo, min(len(n), lo + step)), first[lo]
@@ -215,10 +217,39 @@ def _blocks(key: tuple, t: pa.Table, similarity: float) -> pa.Table:
             ok &= block[j] != block[i][:, None]
         x, y = np.nonzero(ok)
         x, y = i[x], j[y]
-        ok = may_be_near(cells[x], cells[y], n[x], n[y], similarity)
-        a.append(np.minimum(text[x[ok]], text[y[ok]]))
-        b.append(np.maximum(text[x[ok]], text[y[ok]]))
-    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        ok = np.flatnonzero(may_be_near(cells[x], cells[y], n[x], n[y], similarity))
+        ok = [k for k, a, b in zip(ok.tolist(), x[ok].tolist(), y[ok].tolist(), strict=True) if below[a].isdisjoint(below[b])]
+        yield x[ok], y[ok]
+
+
+def _meeting(key: tuple, t: pa.Table, similarity: float) -> pa.Table:
+    """The rows of texts that have a pair."""
+    t = t.sort_by("n")
+    has = np.zeros(len(t), bool)
+    for x, y in _pairs(key, t, similarity):
+        has[x] = has[y] = True
+    return t.filter(pa.array(has))
+
+
+def _links(key: tuple, t: pa.Table, similarity: float) -> pa.Table:
+    """(a, b) of classes that a link joins, no more of them than join up what belongs together: pairs of classes that have met by then are spared."""
+    t = t.sort_by("n")
+    words = [np.frombuffer(x.as_buffer(), "<u4") for c in t["words"].chunks for x in c]
+    comp, out = t["comp"].to_pylist(), []
+    root = {c: c for c in comp}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for x, y in _pairs(key, t, similarity):
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            one, two = top(comp[i]), top(comp[j])
+            if one != two and within(words[i], words[j], int((1 - similarity) * max(len(words[i]), len(words[j])) + 1e-9)):
+                root[max(one, two)] = min(one, two)
+                out.append((comp[i], comp[j]))
+    return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate("ab")})
 
 
 def _filtered(batches, similarity: float):
@@ -371,20 +402,27 @@ def candidates(texts: DataFrame, similarity: float, near: int = NEAR, ahead: int
     return few.unionByName(many).groupBy("a", "b").agg(F.sum("times").alias("times")), large
 
 
-def rest(large: DataFrame, texts: DataFrame, comps: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """(a, b): all pairs of texts of different classes in a large bucket that may be near.
+def rest(docs: DataFrame, large: DataFrame, texts: DataFrame, comps: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): classes that links between texts of a large bucket join, of all its pairs of texts of different classes.
 
     large: (text, key); texts: (text, rep, n, hist); comps: (node, comp) of reps. Texts are dealt out to blocks by a hash, and
-    a task holds two blocks; buckets of one class take no part.
+    a task holds two blocks; buckets of one class take no part. A pair that shares several buckets is tried in the first
+    of them. Pairs stay in the task: one pass finds the texts that have any by the histograms, and another, with the words
+    of these only, aligns them. So the rows are as many as texts in buckets (and blocks), however many pairs there are.
     """
     of = texts.select("text", "rep", "n", "hist").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    own = large.join(of.select("text", "comp"), "text")
-    mixed = own.groupBy("key").agg(F.count("*").alias("_m"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
-    n = F.ceil(F.col("_m") / block)
-    d = large.join(mixed.select("key", n.alias("_n")), "key").withColumn("block", F.pmod(F.xxhash64("text"), F.col("_n")))
-    d = d.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).join(of, "text")
-    d = d.select("key", F.least("block", "_j").alias("_one"), F.greatest("block", "_j").alias("_two"), "block", "text", "comp", "n", "hist")
-    return d.groupBy("key", "_one", "_two").applyInArrow(lambda k, t: _blocks(k, t, similarity), "a long, b long").distinct()
+    of = written(of.join(large.select("text").distinct(), "text", "left_semi"))
+    own = large.join(of.select("text", "comp", "n"), "text")
+    mixed = own.groupBy("key").agg(F.count("*").alias("_m"), F.sum("n").alias("_w"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
+    met = written(large.join(mixed.select("key", F.ceil(F.greatest(F.col("_m") / block, F.col("_w") / BLOCK_WORDS)).alias("_n")), "key"))
+    d = met.join(of.join(met.groupBy("text").agg(F.collect_list("key").alias("_keys")), "text"), "text")
+    d = d.withColumn("below", F.expr("filter(_keys, k -> k < key)")).withColumn("block", F.pmod(F.xxhash64("text"), F.col("_n")))
+    d = d.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    d = d.select("key", F.least("block", "_j").alias("_one"), F.greatest("block", "_j").alias("_two"), "block", "text", "comp", "n", "hist", "below")
+    by = ["key", "_one", "_two"]
+    some = written(d.groupBy(*by).applyInArrow(lambda k, t: _meeting([x.as_py() for x in k], t, similarity), d.schema))
+    words = _words(docs, texts.select("text", "rep").join(some.select("text").distinct(), "text", "left_semi"))
+    return some.join(words, "text").groupBy(*by).applyInArrow(lambda k, t: _links([x.as_py() for x in k], t, similarity), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, depth: int = DEPTH,
@@ -410,21 +448,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
 def _linked(docs: DataFrame, texts: DataFrame, similarity: float, **search: int) -> DataFrame:
     """(node, comp): components of the reps of linked texts."""
     pairs, large = candidates(texts.select("text", "n", "bands", "hist"), similarity, **search)
-    pairs = written(pairs)
-    comps = _aligned(docs, texts, pairs, None, similarity)
-    left = written(rest(large, texts, comps, similarity).join(pairs, ["a", "b"], "left_anti").withColumn("times", F.lit(1).cast("long")))
-    return _aligned(docs, texts, left, comps, similarity) if left.limit(1).count() else comps
+    comps = _aligned(docs, texts, written(pairs), similarity)
+    links = written(rest(docs, large, texts, comps, similarity))
+    return components(links.unionByName(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")))) if links.limit(1).count() else comps
+
+
+def _words(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(text, words): packed words of the texts of reps (text, rep)."""
+    reps = written(reps)
+    own = docs.select(F.col("doc_id").alias("rep"), F.col("text").alias("_text")).join(reps.select("rep").distinct().hint("merge"), "rep")  # the same plan at every size
+    own = arrow_map(own, NEW[:2] + [T.StructField("words", T.BinaryType())], lambda: _identified, "_text").drop("_text")
+    return written(own.select(F.col("_h1").bitwiseXOR(F.col("_h2")).alias("text"), "words").join(reps.select("text"), "text", "left_semi").dropDuplicates(["text"]))
 
 
-def _aligned(docs: DataFrame, texts: DataFrame, pairs: DataFrame, comps: DataFrame | None, similarity: float) -> DataFrame:
-    """(node, comp): the classes comps, if any, joined by those of the pairs (a, b, times) of texts that are links."""
+def _aligned(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """(node, comp): components of the reps of those pairs (a, b, times) of texts that are links."""
     reps = written(pairs.select(F.explode(F.array("a", "b")).alias("text")).distinct().join(texts.select("text", "rep"), "text"))
     for side in "ab":
         pairs = pairs.join(reps.select(F.col("text").alias(side), F.col("rep").alias(f"r{side}")), side)
     pairs = pairs.where("ra <> rb")
-    own = docs.select(F.col("doc_id").alias("rep"), F.col("text").alias("_text")).join(reps.select("rep").distinct().hint("merge"), "rep")  # the same plan at every size
-    own = arrow_map(own, NEW[:2] + [T.StructField("words", T.BinaryType())], lambda: _identified, "_text").drop("_text")
-    own = written(own.select(F.col("_h1").bitwiseXOR(F.col("_h2")).alias("text"), "words").join(reps.select("text"), "text", "left_semi").dropDuplicates(["text"]))
+    own, comps = _words(docs, reps), None
     for turn in [*TURNS, 0]:
         if comps is not None:
             now = pairs
@@ -432,8 +475,6 @@ def _aligned(docs: DataFrame, texts: DataFrame, pairs: DataFrame, comps: DataFra
                 now = now.join(comps.select(F.col("node").alias(f"r{side}"), F.col("comp").alias(f"c{side}")), f"r{side}", "left")
             pairs = now.where(F.coalesce("ca", "ra") != F.coalesce("cb", "rb")).select("a", "b", "ra", "rb", "times")
         pairs = written(pairs)
-        if comps is not None and not pairs.limit(1).count():
-            break
         best = Window.partitionBy("b").orderBy(F.desc("times"), "a")
         ranked = pairs.withColumn("_r", F.row_number().over(best)) if turn else pairs.withColumn("_r", F.lit(0))
         ranked = written(ranked) if turn else ranked

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -170,6 +171,26 @@ def test_buckets_a_little_above_the_small_ones(step):
         assert not lost and bool(on) == (m > near + 1), m
 
 
+def test_pairs_of_large_buckets_stay_in_tasks(spark):
+    """Of texts with the same words in other orders all pairs are tried and none is a link; of others one link for each class that joins."""
+    r = random.Random(12)
+    common = [f"v{i}" for i in range(120)]
+    texts = [r.sample(common, 120) for _ in range(300)]
+    for w in texts[:20]:
+        texts.append(w[:50] + ["x"] + w[51:])
+    docs = frame(spark, [(i, " ".join(w), "s") for i, w in enumerate(texts)])
+    made = common_of(docs)
+    large = made.select("text", F.explode(F.expr("array(1L, 2L)")).alias("key"))
+    none = spark.createDataFrame([], "node long, comp long")
+    got = [sorted(x) for x in minhash.rest(docs, large, made, none, 0.8).collect()]
+    assert sorted(got) == [[i, 300 + i] for i in range(20)]
+
+
+def common_of(docs):
+    made = common.arrow_map(docs, minhash.NEW, partial(minhash._sketched, 5, 0, 0, 1))
+    return made.select(F.col("_h1").bitwiseXOR(F.col("_h2")).alias("text"), F.col("doc_id").alias("rep"), F.col("_n").alias("n"), F.col("_hist").alias("hist"))
+
+
 def tc_words(w):
     return [zlib.crc32(x.encode()) for x in w]
 
