@@ -171,12 +171,21 @@ class LogBilinear:
                 which = np.repeat(np.arange(len(own)), sizes[g:])
                 rz, ri = p[z], p[wi]
                 ht = sigmoid(np.einsum("bd,bd->b", qi, ri) - log_inner[wi]) - 1
-                near = rz[which]
-                hn = sigmoid(np.matmul(near, qi[:, :, None])[:, :, 0] - log_inner[z][which])
+                # the tokens of a class in groups of INNER places, the last one filled up with zeros
+                groups = -(-sizes[g:] // INNER)
+                begins = np.cumsum(groups) - groups
+                place = (begins * INNER - (cut[g:] - i))[which] + np.arange(len(wi))
+                qs = np.zeros((groups.sum(), INNER, DIM + 1), np.float32)
+                qs.reshape(-1, DIM + 1)[place] = qi
+                near = rz[np.repeat(np.arange(len(own)), groups)]
+                hn = sigmoid(np.matmul(qs, near.transpose(0, 2, 1)).reshape(-1, INNER)[place] - log_inner[z][which])
+                hs = np.zeros((len(qs), INNER, INNER), np.float32)
+                hs.reshape(-1, INNER)[place] = hn
                 ri *= ht[:, None]
-                dq[i:] += ri + np.matmul(hn[:, None, :], near)[:, 0]
+                ri += np.matmul(hs, near).reshape(-1, DIM + 1)[place]
+                dq[i:] += ri
                 at += [wi, z.ravel()]
-                grads += [ht[:, None] * qi, np.add.reduceat(hn[:, :, None] * qi[:, None, :], cut[g:] - i, axis=0).reshape(-1, DIM + 1)]
+                grads += [ht[:, None] * qi, np.add.reduceat(np.matmul(hs.transpose(0, 2, 1), qs).reshape(len(qs), -1), begins, axis=0).reshape(-1, DIM + 1)]
             dq = dq[:, :DIM]
             back = np.zeros((2, len(w), DIM + 1), np.float32)
             np.matmul(dq, c0.T, out=back[0, :, :DIM])
@@ -224,9 +233,28 @@ class LogBilinear:
                 out[odd] = np.log(np.exp(z[odd] - top[:, None]).sum(1)) + top
             return out
 
+        def scaled(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Exponentials of the rows of v without their largest, and that."""
+            most = v.max(1)
+            v -= most[:, None]
+            return np.exp(v, out=v), most
+
+        # exp(q s) of the sum q = r1 + r2 is a product, so that a sum over classes is one of two tables' rows
+        e1, most1 = scaled(r1 @ s.T)
+        e2, most2 = scaled(r2 @ s.T)
+
+        def between(q: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+            """Logs of the sums over classes."""
+            sums = np.einsum("ij,ij->i", e1[one], e2[two])
+            out = np.log(np.maximum(sums, 1e-37)) + most1[one] + most2[two]
+            odd = np.flatnonzero(sums < 1e-6)  # both have their largest in other classes: little is left of single precision
+            if len(odd):
+                out[odd] = total(q[odd], s)
+            return out
+
         def score(w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
             q = r1[one] + r2[two]
-            sums = np.concatenate([total(q[lo : lo + SCORED_AT_ONCE], s) for lo in range(0, len(q), SCORED_AT_ONCE)] or [np.zeros(0, np.float32)])
+            sums = np.concatenate([between(*(x[lo : lo + SCORED_AT_ONCE] for x in (q, one, two))) for lo in range(0, len(q), SCORED_AT_ONCE)] or [np.zeros(0, np.float32)])
             cls = self.of[w]
             out = np.einsum("ij,ij->i", q, s[cls]) - sums
             inner = np.flatnonzero(cls >= self.singles)

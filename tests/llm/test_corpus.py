@@ -348,6 +348,23 @@ def test_lm_is_normalised():
     assert np.allclose((10.0 ** m.log10().astype(np.float64)).sum(-1), 1, atol=1e-4)
 
 
+@pytest.mark.parametrize("scale", [1, 40])
+def test_scores_against_double_precision(scale):
+    """Probabilities sum to 1, also where the two words before favour different classes by far."""
+    m = lm.LogBilinear(np.arange(30, 0, -1.0), singles=4)
+    m.rows[: len(m.of) + m.k, : lm.DIM] *= scale
+    r, b, s, sb, c0, c1 = (x.astype(float) for x in m.parts())
+    q = r[None] @ c0 + (r @ c1)[:, None]
+    z, x = q @ s.T + sb, q @ r.T + b
+    want = np.take_along_axis(z - np.logaddexp.reduce(z, 2)[:, :, None], m.of[None, None], 2)
+    for c in range(m.singles, m.k):
+        lo, hi = m.begin[c : c + 2]
+        want[:, :, lo:hi] += x[:, :, lo:hi] - np.logaddexp.reduce(x[:, :, lo:hi], 2)[:, :, None]
+    assert np.abs(m.log10() - want / np.log(10)).max() < 1e-5 * scale
+    most1, most2 = (r @ c0 @ s.T + sb).argmax(1), (r @ c1 @ s.T).argmax(1)
+    assert (most1[None] != most2[:, None]).any()
+
+
 def test_lm_classes_are_normalised():
     m = lm.LogBilinear(np.arange(30, 0, -1.0), singles=4)
     seq = np.random.default_rng(1).integers(0, 30, 5000)
