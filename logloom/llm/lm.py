@@ -38,6 +38,8 @@ OWN, LEAST, REST = 12_288, 100, 4
 #: The end of a text (also what stands before it); then words by frequency, then hashed symbols.
 END = 0
 ROUNDS, BATCH, NOISE, INNER, RATE, SEED = 3, 2048, 48, 8, 0.05, 5
+#: Tokens of a class that are multiplied at a time; bits of a hash that its search among the head words begins with.
+GROUP, FIRST_BITS = 16, 17
 #: Tokens a trainer sees in a round, and trainers at most (then each sees more).
 TRAINED, TRAINERS = 1 << 20, 1024
 #: Rows of parameters a record, tokens scored at once, words counted before a task hands them on.
@@ -70,11 +72,19 @@ class Head:
         self.order = np.argsort(self.words)
         self.sorted = self.words[self.order]
         self.own, self.rest = own, rest
+        self.first = None  # made in the task: where the hashes of each value of the FIRST_BITS highest bits begin
 
     def places(self, h: np.ndarray) -> np.ndarray:
         """-1 for words outside."""
-        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == h, self.order[at], -1)
+        shift = _U(64 - FIRST_BITS)
+        if self.first is None:
+            first = np.append(np.searchsorted(self.sorted, np.arange(1 << FIRST_BITS, dtype=_U) << shift), len(self.sorted)).astype(np.int32)
+            self.first, self.most = first, int(np.diff(first).max())
+            self.bounded, self.place = np.append(self.sorted, ~_U(0)), np.append(self.order, -1)
+        at = self.first.take((h >> shift).astype(np.int64))
+        for _ in range(self.most):
+            at += self.bounded.take(at) < h
+        return np.where(self.bounded.take(at) == h, self.place.take(at), -1)
 
     def symbols(self, places: np.ndarray, h: np.ndarray) -> np.ndarray:
         return np.where((places >= 0) & (places < self.own), places, self.own + hashed(h, self.rest))
@@ -91,6 +101,41 @@ def contexts(symbols: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return one, two
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and their lengths."""
+    edge = np.flatnonzero(x[1:] != x[:-1]) + 1
+    cut = np.zeros(len(edge) + 1, np.int64)
+    cut[1:] = edge
+    sizes = np.empty_like(cut)
+    sizes[:-1] = edge - cut[:-1]
+    sizes[-1] = len(x) - cut[-1]
+    return cut, sizes
+
+
+def _sums(g: np.ndarray, cut: np.ndarray, sizes: np.ndarray, order: np.ndarray | None = None, layers: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of g's rows (of g[order]'s) over runs, longest runs first, and which run each is of.
+
+    Most runs are short: the first rows of all runs are added, then the second ones, and so on for `layers` rows. Only
+    what longer runs have beyond is reduced run by run.
+    """
+    which = np.argsort(-sizes, kind="stable")
+    cut, sizes = cut.take(which), sizes.take(which)
+    longer = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, layers + 1), "right")
+
+    def rows(i: np.ndarray) -> np.ndarray:
+        return g.take(i if order is None else order.take(i), axis=0)
+
+    out = rows(cut)
+    for k, m in enumerate(longer[:-1].tolist(), 1):
+        out[:m] += rows(cut[:m] + k)
+    m = longer[-1]
+    if m:
+        n = sizes[:m] - layers
+        end = np.cumsum(n)
+        out[:m] += np.add.reduceat(rows(np.repeat(cut[:m] + layers - (end - n), n) + np.arange(end[-1])), end - n, axis=0)
+    return which, out
+
+
 class LogBilinear:
     """Symbols in order of frequency; the first `singles` are a class each, the others classes of about the root of their number.
 
@@ -136,78 +181,93 @@ class LogBilinear:
         small = np.uint16 if len(p) < 1 << 16 else np.int32  # sorts faster
         c = p[n + self.k :].reshape(2, DIM, DIM + 1)
 
-        def sigmoid(x: np.ndarray) -> np.ndarray:
-            np.negative(x, out=x)
+        def noisy(z: np.ndarray) -> np.ndarray:
+            """The logistic function of -z, in place."""
             with np.errstate(over="ignore"):
-                np.exp(x, out=x)
-            x += 1
-            return np.reciprocal(x, out=x)
-
-        def step(w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-            c0, c1 = c[0, :, :DIM].copy(), c[1, :, :DIM].copy()
-            cls = of[w]
+                np.exp(z, out=z)
+            z += 1
+            return np.reciprocal(z, out=z)
+
+        def step(stream: np.ndarray, at: np.ndarray) -> None:
+            first = at[0] - 2
+            near = stream[first : at[-1] + 1]  # the batch's symbols with those before them
+            place, v = at - first, p.take(near, axis=0)
+            m = np.zeros((2, DIM + 1, DIM + 1), np.float32)
+            m[:, :DIM, :DIM] = c[:, :, :DIM]
+            context = v[1:-1] @ m[0]
+            context += v[:-2] @ m[1]
+            context[:, DIM] = 1
+            cls = of.take(near.take(place))
             order = np.argsort(cls.astype(small), kind="stable")
-            w, one, two, cls = w[order], one[order], two[order], cls[order]
-            x1, x2 = p[one, :DIM], p[two, :DIM]
-            q = np.ones((len(w), DIM + 1), np.float32)
-            q[:, :DIM] = x1 @ c0 + x2 @ c1
+            place, cls = place.take(order), cls.take(order)
+            q = context.take(place - 2, axis=0)
             noise = np.minimum(np.searchsorted(between, rng.random(NOISE) * between[-1], "right"), self.k - 1)
-            cut = np.flatnonzero(np.diff(cls, prepend=-1))
-            sizes = np.diff(np.append(cut, len(cls)))
-            target, other = p[n + cls], p[n + noise]
-            gt = sigmoid(np.einsum("bd,bd->b", q, target) - log_class[cls]) - 1
-            gn = sigmoid(q @ other.T - log_class[noise])
+            cut, sizes = _runs(cls)
+            target, other = p.take(n + cls, axis=0), p.take(n + noise, axis=0)
+            gt = noisy(log_class.take(cls) - np.einsum("bd,bd->b", q, target)) - 1
             target *= gt[:, None]
-            dq = target + gn @ other
-            at, grads = [n + cls[cut], n + noise], [np.add.reduceat(gt[:, None] * q, cut, axis=0), gn.T @ q]
+            shifted = -other
+            shifted[:, DIM] += log_class[noise]
+            gn = noisy(q @ shifted.T)
+            dq = gn @ other
+            dq += target
+            keys, grads = [near, n + cls[cut], n + noise, c_rows], [np.add.reduceat(gt[:, None] * q, cut, axis=0), gn.T @ q]
+            g = np.zeros((len(near), DIM + 1), np.float32)
             i = int(np.searchsorted(cls, self.singles))
-            if i < len(w):
-                wi, qi = w[i:], q[i:]
-                g = np.searchsorted(cut, i)  # the first class with symbols of its own
-                own = cls[cut[g:]]
+            if i < len(cls):
+                pi, qi = place[i:], q[i:]
+                wi = near.take(pi)
+                k = np.searchsorted(cut, i)  # the first class with symbols of its own
+                own = cls[cut[k:]]
                 lo, hi = begin[own], begin[own + 1]
                 z = within[lo][:, None] + (within[hi] - within[lo])[:, None] * rng.random((len(own), INNER))
                 z = np.clip(np.searchsorted(within, z, "right") - 1, lo[:, None], hi[:, None] - 1)
-                which = np.repeat(np.arange(len(own)), sizes[g:])
-                rz, ri = p[z], p[wi]
-                ht = sigmoid(np.einsum("bd,bd->b", qi, ri) - log_inner[wi]) - 1
-                # the tokens of a class in groups of INNER places, the last one filled up with zeros
-                groups = -(-sizes[g:] // INNER)
+                ri, rz = v.take(pi, axis=0), p.take(z, axis=0)
+                ht = noisy(log_inner.take(wi) - np.einsum("bd,bd->b", qi, ri)) - 1
+                # the tokens of a class in groups of GROUP places, the last one filled up with zeros
+                groups = -(-sizes[k:] // GROUP)
                 begins = np.cumsum(groups) - groups
-                place = (begins * INNER - (cut[g:] - i))[which] + np.arange(len(wi))
-                qs = np.zeros((groups.sum(), INNER, DIM + 1), np.float32)
-                qs.reshape(-1, DIM + 1)[place] = qi
-                near = rz[np.repeat(np.arange(len(own)), groups)]
-                hn = sigmoid(np.matmul(qs, near.transpose(0, 2, 1)).reshape(-1, INNER)[place] - log_inner[z][which])
-                hs = np.zeros((len(qs), INNER, INNER), np.float32)
-                hs.reshape(-1, INNER)[place] = hn
+                spot = np.repeat(begins * GROUP - (cut[k:] - i), sizes[k:]) + np.arange(len(wi))
+                qs = np.zeros((groups.sum(), GROUP, DIM + 1), np.float32)
+                qs.reshape(-1, DIM + 1)[spot] = qi
+                group = np.repeat(np.arange(len(own)), groups)
+                rs = -rz
+                rs[:, :, DIM] += log_inner.take(z)
+                hn = noisy(np.matmul(qs, rs.take(group, axis=0).transpose(0, 2, 1)))
+                g[pi] = ht[:, None] * qi
                 ri *= ht[:, None]
-                ri += np.matmul(hs, near).reshape(-1, DIM + 1)[place]
+                ri += np.matmul(hn, rz.take(group, axis=0)).reshape(-1, DIM + 1).take(spot, axis=0)
                 dq[i:] += ri
-                at += [wi, z.ravel()]
-                grads += [ht[:, None] * qi, np.add.reduceat(np.matmul(hs.transpose(0, 2, 1), qs).reshape(len(qs), -1), begins, axis=0).reshape(-1, DIM + 1)]
-            dq = dq[:, :DIM]
-            back = np.zeros((2, len(w), DIM + 1), np.float32)
-            np.matmul(dq, c0.T, out=back[0, :, :DIM])
-            np.matmul(dq, c1.T, out=back[1, :, :DIM])
-            at += [one, two, c_rows]
-            grads += [back[0], back[1], np.pad(np.concatenate((x1.T @ dq, x2.T @ dq)), ((0, 0), (0, 1)))]
-            at, g = np.concatenate(at), np.concatenate(grads)
-            order = np.argsort(at.astype(small), kind="stable")
-            at = at[order]
-            cut = np.flatnonzero(np.diff(at, prepend=-1))
-            at, g = at[cut], np.add.reduceat(g[order], cut, axis=0)
-            g *= np.float32(1 / len(w))
-            new = sums[at] + g * g
-            sums[at] = new
+                which, inner = _sums(np.matmul(hn.transpose(0, 2, 1), qs).reshape(len(qs), -1), begins, groups)
+                keys.append(z[which].ravel())
+                grads.append(inner.reshape(-1, DIM + 1))
+            d = np.zeros_like(context)  # in the stream's order again
+            d[place - 2] = dq
+            g[1:-1] += d @ m[0].T
+            g[:-2] += d @ m[1].T
+            of_c = np.stack((v[1:-1].T @ d, v[:-2].T @ d))[:, :DIM]
+            of_c[:, :, DIM] = 0
+            keys, g = np.concatenate(keys), np.concatenate([g, *grads[:2], of_c.reshape(2 * DIM, DIM + 1), *grads[2:]])
+            order = np.argsort(keys.astype(small), kind="stable")
+            keys = keys.take(order)
+            cut, sizes = _runs(keys)
+            which, g = _sums(g, cut, sizes, order)
+            keys = keys.take(cut.take(which))
+            g *= np.float32(1 / len(place))
+            new = sums.take(keys, axis=0)
+            new += g * g
+            sums[keys] = new
             g *= np.float32(RATE)
-            g /= np.sqrt(new)
-            p[at] -= g
+            g /= np.sqrt(new, out=new)
+            p[keys] = np.subtract(p.take(keys, axis=0), g, out=g)
 
         def run(symbols: np.ndarray, off: np.ndarray) -> None:
-            one, two = contexts(symbols, off)
+            # two ENDs stand before each text
+            at = np.arange(len(symbols)) + 2 * np.repeat(np.arange(1, len(off)), np.diff(off))
+            stream = np.full(len(symbols) + 2 * (len(off) - 1), END)
+            stream[at] = symbols
             for lo in range(0, len(symbols), BATCH):
-                step(symbols[lo : lo + BATCH], one[lo : lo + BATCH], two[lo : lo + BATCH])
+                step(stream, at[lo : lo + BATCH])
             self.rows[:, : DIM + 1] = p
             self.rows[:, DIM + 1], self.rows[:, DIM + 2] = sums[:, :DIM].mean(1), sums[:, DIM]
 
@@ -225,12 +285,13 @@ class LogBilinear:
             """Logs of sums of exponentials; q ends in a 1, v in the biases."""
             z = q @ v.T
             with np.errstate(over="ignore"):
-                sums = np.exp(z) @ np.ones(z.shape[1], np.float32)
+                sums = np.exp(z, out=z) @ np.ones(z.shape[1], np.float32)
             out = np.log(np.maximum(sums, 1e-37))
             odd = np.flatnonzero(~((sums > 1e-30) & (sums < 1e30)))
             if len(odd):  # beyond single precision's range
-                top = z[odd].max(1)
-                out[odd] = np.log(np.exp(z[odd] - top[:, None]).sum(1)) + top
+                z = q[odd] @ v.T
+                top = z.max(1)
+                out[odd] = np.log(np.exp(z - top[:, None]).sum(1)) + top
             return out
 
         def scaled(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,29 +304,39 @@ class LogBilinear:
         e1, most1 = scaled(r1 @ s.T)
         e2, most2 = scaled(r2 @ s.T)
 
+        small = np.uint16 if n < 1 << 16 else np.int32  # sorts faster
+
         def between(q: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
             """Logs of the sums over classes."""
-            sums = np.einsum("ij,ij->i", e1[one], e2[two])
-            out = np.log(np.maximum(sums, 1e-37)) + most1[one] + most2[two]
-            odd = np.flatnonzero(sums < 1e-6)  # both have their largest in other classes: little is left of single precision
-            if len(odd):
-                out[odd] = total(q[odd], s)
+            out = np.empty(len(q), np.float32)
+            order = np.argsort(two.astype(small), kind="stable")  # equal rows of the second table follow each other
+            for lo in range(0, len(q), SCORED_AT_ONCE):
+                at = order[lo : lo + SCORED_AT_ONCE]
+                i, j = one.take(at), two.take(at)
+                sums = np.einsum("ij,ij->i", e1.take(i, axis=0), e2.take(j, axis=0))
+                logs = np.log(np.maximum(sums, 1e-37)) + most1.take(i) + most2.take(j)
+                odd = np.flatnonzero(sums < 1e-6)  # both have their largest in other classes: little is left of single precision
+                if len(odd):
+                    logs[odd] = total(q[at[odd]], s)
+                out[at] = logs
             return out
 
         def score(w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-            q = r1[one] + r2[two]
-            sums = np.concatenate([between(*(x[lo : lo + SCORED_AT_ONCE] for x in (q, one, two))) for lo in range(0, len(q), SCORED_AT_ONCE)] or [np.zeros(0, np.float32)])
+            q = r1.take(one, axis=0)
+            q += r2.take(two, axis=0)
             cls = self.of[w]
-            out = np.einsum("ij,ij->i", q, s[cls]) - sums
+            out = np.einsum("ij,ij->i", q, s.take(cls, axis=0)) - between(q, one, two)
             inner = np.flatnonzero(cls >= self.singles)
-            order = inner[np.argsort(cls[inner], kind="stable")]
+            order = inner[np.argsort(cls[inner].astype(small), kind="stable")]
             edge = np.searchsorted(cls[order], np.arange(self.singles, self.k + 1))
+            x = q.take(order, axis=0)
+            logs = np.einsum("ij,ij->i", x, r.take(w[order], axis=0))
             for c, lo, hi in zip(range(self.singles, self.k), edge[:-1], edge[1:], strict=True):
-                begin, end = self.begin[c : c + 2]
-                for at in range(lo, hi, 4 * SCORED_AT_ONCE):
-                    i = order[at : min(hi, at + 4 * SCORED_AT_ONCE)]
-                    x = q[i]
-                    out[i] += np.einsum("ij,ij->i", x, r[w[i]]) - total(x, r[begin:end])
+                v = r[self.begin[c] : self.begin[c + 1]]
+                for at in range(lo, hi, SCORED_AT_ONCE):
+                    end = min(hi, at + SCORED_AT_ONCE)
+                    logs[at:end] -= total(x[at:end], v)
+            out[order] += logs
             return out / np.float32(np.log(10))
 
         return score

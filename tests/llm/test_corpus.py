@@ -405,6 +405,70 @@ def test_lm_scores_by_plain_sums():
         assert abs(got[k] - p / np.log(10)) < 1e-4
 
 
+def test_lm_training_step_by_plain_gradients():
+    """One batch of several texts against the gradients of each token and its noise, one by one, in double precision."""
+    r = np.random.default_rng(4)
+    m = lm.LogBilinear(np.arange(40, 0, -1.0), singles=5)
+    m.rows[:, : lm.DIM] += r.normal(size=(len(m.rows), lm.DIM)) * 0.2
+    n, off = len(m.of), np.array([0, 0, 30, 31, 33, 400])
+    w = np.minimum(r.geometric(0.1, 400) - 1, 39)
+    w[[29, 30, 32, 399]] = lm.END
+    p = m.rows[:, : lm.DIM + 1].astype(float)
+    c0, c1 = p[n + m.k : n + m.k + lm.DIM, : lm.DIM], p[n + m.k + lm.DIM :, : lm.DIM]
+    draw, bounds = np.random.default_rng(lm.SEED), np.concatenate(([0], np.cumsum(m.share)))
+    total = np.cumsum(m.classes)
+    noise = np.searchsorted(total, draw.random(lm.NOISE) * total[-1], "right")
+    own = sorted({c for c in m.of[w].tolist() if c >= m.singles})
+    u = draw.random((len(own), lm.INNER))
+    within = {c: np.searchsorted(bounds, bounds[m.begin[c]] + (bounds[m.begin[c + 1]] - bounds[m.begin[c]]) * x, "right") - 1 for c, x in zip(own, u, strict=True)}
+    grad = np.zeros_like(p)
+    for lo, hi in zip(off[:-1], off[1:], strict=True):
+        for t in range(lo, hi):
+            one, two, c = w[t - 1] if t > lo else lm.END, w[t - 2] if t > lo + 1 else lm.END, m.of[w[t]]
+            q = np.append(p[one, : lm.DIM] @ c0 + p[two, : lm.DIM] @ c1, 1)
+            at = [(n + c, lm.NOISE * m.classes[c], 1)] + [(n + x, lm.NOISE * m.classes[x], 0) for x in noise]
+            if c >= m.singles:
+                at += [(w[t], lm.INNER * m.inner[w[t]], 1)] + [(x, lm.INNER * m.inner[x], 0) for x in within[c]]
+            dq = np.zeros(lm.DIM + 1)
+            for row, expected, true in at:
+                g = 1 / (1 + expected * np.exp(-q @ p[row])) - true
+                grad[row] += g * q
+                dq += g * p[row]
+            dq = dq[: lm.DIM]
+            grad[one, : lm.DIM] += c0 @ dq
+            grad[two, : lm.DIM] += c1 @ dq
+            grad[n + m.k :, : lm.DIM] += np.concatenate((np.outer(p[one, : lm.DIM], dq), np.outer(p[two, : lm.DIM], dq)))
+    grad /= len(w)
+    m.trainer()(w, off)
+    assert np.abs(m.rows[:, : lm.DIM + 1] - (p - lm.RATE * grad / np.sqrt(1e-6 + grad**2))).max() < 1e-4
+
+
+def test_lm_sums_over_runs():
+    r = np.random.default_rng(5)
+    for n in (1, 7, 900):
+        keys = np.minimum(r.geometric(0.02, n), r.integers(1, 300, n))
+        g, order = r.normal(size=(n, 3)), np.argsort(keys, kind="stable")
+        want = np.zeros((300, 3))
+        np.add.at(want, keys, g)
+        cut, sizes = lm._runs(keys[order])
+        assert sizes.sum() == n and (keys[order][cut] == np.unique(keys)).all()
+        for which, out in (lm._sums(g, cut, sizes, order), lm._sums(g[order], cut, sizes)):
+            assert np.allclose(out, want[keys[order][cut[which]]]) and len(which) == len(np.unique(keys))
+
+
+def test_lm_places_of_head_words():
+    """Also of hashes that share their highest bits, and the least and the largest one."""
+    r = np.random.default_rng(6)
+    words = np.unique(np.concatenate((r.integers(0, 1 << 64, 3000, dtype=np.uint64), np.arange(20, dtype=np.uint64) + np.uint64(77 << 40), np.array([0, (1 << 64) - 1], np.uint64))))
+    words = r.permutation(words)
+    for known in (words, words[:1], words[:0], words[1:2000]):
+        head = lm.Head(known, 10, 5)
+        want = {x: i for i, x in enumerate(head.words.tolist())}
+        asked = np.concatenate((words, words + np.uint64(1), head.words))
+        assert head.places(asked).tolist() == [want.get(x, -1) for x in asked.tolist()]
+        assert (head.places(asked[:0]).tolist(), head.places(head.words).tolist()) == ([], list(range(len(head.words))))
+
+
 def test_lm_beats_its_unigrams(spark):
     """Held-out texts of a source with order are likelier than under the counts alone."""
     r = random.Random(31)
