@@ -38,8 +38,9 @@ OWN, LEAST, REST = 12_288, 100, 4
 #: The end of a text (also what stands before it); then words by frequency, then hashed symbols.
 END = 0
 ROUNDS, BATCH, NOISE, INNER, RATE, SEED = 3, 2048, 48, 8, 0.05, 5
-#: Tokens of a class that are multiplied at a time; bits of a hash that its search among the head words begins with.
-GROUP, FIRST_BITS = 16, 17
+#: Tokens of a class that are multiplied at a time; bits of a hash that its search among the head words begins with;
+#: symbols whose pairs have their sums over classes in a table.
+GROUP, FIRST_BITS, PAIRS = 16, 17, 1024
 #: Tokens a trainer sees in a round, and trainers at most (then each sees more).
 TRAINED, TRAINERS = 1 << 20, 1024
 #: Rows of parameters a record, tokens scored at once, words counted before a task hands them on.
@@ -203,25 +204,31 @@ class LogBilinear:
             q = context.take(place - 2, axis=0)
             noise = np.minimum(np.searchsorted(between, rng.random(NOISE) * between[-1], "right"), self.k - 1)
             cut, sizes = _runs(cls)
-            target, other = p.take(n + cls, axis=0), p.take(n + noise, axis=0)
-            gt = noisy(log_class.take(cls) - np.einsum("bd,bd->b", q, target)) - 1
-            target *= gt[:, None]
+            other = p.take(n + noise, axis=0)
             shifted = -other
             shifted[:, DIM] += log_class[noise]
             gn = noisy(q @ shifted.T)
             dq = gn @ other
-            dq += target
-            keys, grads = [near, n + cls[cut], n + noise, c_rows], [np.add.reduceat(gt[:, None] * q, cut, axis=0), gn.T @ q]
+            keys, grads = [near, n + noise], [gn.T @ q]
             g = np.zeros((len(near), DIM + 1), np.float32)
             i = int(np.searchsorted(cls, self.singles))
+            k = int(np.searchsorted(cut, i))  # the first class with symbols of its own
+            if i:
+                target = p.take(n + cls[:i], axis=0)
+                gt = noisy(log_class.take(cls[:i]) - np.einsum("bd,bd->b", q[:i], target)) - 1
+                target *= gt[:, None]
+                dq[:i] += target
+                keys.append(n + cls[cut[:k]])
+                grads.append(np.add.reduceat(gt[:, None] * q[:i], cut[:k], axis=0))
             if i < len(cls):
                 pi, qi = place[i:], q[i:]
                 wi = near.take(pi)
-                k = np.searchsorted(cut, i)  # the first class with symbols of its own
                 own = cls[cut[k:]]
                 lo, hi = begin[own], begin[own + 1]
                 z = within[lo][:, None] + (within[hi] - within[lo])[:, None] * rng.random((len(own), INNER))
                 z = np.clip(np.searchsorted(within, z, "right") - 1, lo[:, None], hi[:, None] - 1)
+                expected = np.concatenate((log_inner.take(z), log_class.take(own)[:, None]), 1)
+                z = np.concatenate((z, n + own[:, None]), 1)  # the class stands behind its noise
                 ri, rz = v.take(pi, axis=0), p.take(z, axis=0)
                 ht = noisy(log_inner.take(wi) - np.einsum("bd,bd->b", qi, ri)) - 1
                 # the tokens of a class in groups of GROUP places, the last one filled up with zeros
@@ -232,8 +239,9 @@ class LogBilinear:
                 qs.reshape(-1, DIM + 1)[spot] = qi
                 group = np.repeat(np.arange(len(own)), groups)
                 rs = -rz
-                rs[:, :, DIM] += log_inner.take(z)
+                rs[:, :, DIM] += expected
                 hn = noisy(np.matmul(qs, rs.take(group, axis=0).transpose(0, 2, 1)))
+                hn[:, :, INNER] -= 1
                 g[pi] = ht[:, None] * qi
                 ri *= ht[:, None]
                 ri += np.matmul(hn, rz.take(group, axis=0)).reshape(-1, DIM + 1).take(spot, axis=0)
@@ -247,7 +255,7 @@ class LogBilinear:
             g[:-2] += d @ m[1].T
             of_c = np.stack((v[1:-1].T @ d, v[:-2].T @ d))[:, :DIM]
             of_c[:, :, DIM] = 0
-            keys, g = np.concatenate(keys), np.concatenate([g, *grads[:2], of_c.reshape(2 * DIM, DIM + 1), *grads[2:]])
+            keys, g = np.concatenate([*keys, c_rows]), np.concatenate([g, *grads, of_c.reshape(2 * DIM, DIM + 1)])
             order = np.argsort(keys.astype(small), kind="stable")
             keys = keys.take(order)
             cut, sizes = _runs(keys)
@@ -304,13 +312,20 @@ class LogBilinear:
         e1, most1 = scaled(r1 @ s.T)
         e2, most2 = scaled(r2 @ s.T)
 
+        # these sums for all pairs of the first PAIRS symbols, but those that single precision does not hold
+        pairs = e1[:PAIRS] @ e2[:PAIRS].T
+        pairs[pairs < 1e-6] = np.nan
+        pairs = np.log(pairs, out=pairs) + most1[:PAIRS, None] + most2[:PAIRS]
         small = np.uint16 if n < 1 << 16 else np.int32  # sorts faster
 
         def between(q: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
             """Logs of the sums over classes."""
-            out = np.empty(len(q), np.float32)
-            order = np.argsort(two.astype(small), kind="stable")  # equal rows of the second table follow each other
-            for lo in range(0, len(q), SCORED_AT_ONCE):
+            out = np.full(len(q), np.nan, np.float32)
+            often = np.flatnonzero((one < len(pairs)) & (two < len(pairs)))
+            out[often] = pairs[one.take(often), two.take(often)]
+            order = np.flatnonzero(np.isnan(out))
+            order = order.take(np.argsort(two.take(order).astype(small), kind="stable"))  # equal rows of the second table follow each other
+            for lo in range(0, len(order), SCORED_AT_ONCE):
                 at = order[lo : lo + SCORED_AT_ONCE]
                 i, j = one.take(at), two.take(at)
                 sums = np.einsum("ij,ij->i", e1.take(i, axis=0), e2.take(j, axis=0))
