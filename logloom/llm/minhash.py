@@ -15,15 +15,20 @@ edit distance from below and drop unlike pairs before any alignment, losslessly.
 of each text that most buckets propose, and spare pairs whose classes have met already.
 
 The orders only find most links of large buckets early. What is left is exact: of every large bucket whose texts are of
-more than one class by then, all pairs of texts of different classes meet, in pairs of blocks of BLOCK texts, one task's
-work each; those that the histograms allow are aligned there, and only links leave the task. So all links of texts that
-share a bucket count, whatever its size. Where a large bucket's texts are of many classes, the blocks' work grows with the
-square of its size; the rows that are written and joined don't, but for one copy of a text for each block of its bucket.
+more than one class by then, all pairs of texts of different classes meet that may be links. An edit changes k k-mers at
+most, so a link's texts share a part of their k-mers; texts that don't have so many k-mers in common with texts of other
+classes at all are in no link. They are told by one sort of k-mers, in proportion to the texts, and go: most texts of a
+large bucket share a line or a passage only. The others meet in pairs of blocks of BLOCK texts, one task's work each;
+those pairs that the histograms and the k-mers allow are aligned there, and only links leave the task. So all links of
+texts that share a bucket count, whatever its size. Where a large bucket has many texts of different classes that share
+much, the blocks' work grows with the square of their number; the rows that are written and joined don't, but for one
+copy of a text for each block of its bucket.
 """
 
 from __future__ import annotations
 
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +51,10 @@ BLOCK, BLOCK_WORDS, AT_ONCE = 2048, 1 << 21, 1 << 16
 EDGES = 1 << 18
 #: Counters of a text's histogram of words.
 CELLS = 128
+#: Words of the k-mers that tell which texts may be in a link, for texts of FEW words or more and for others: first of all texts, then of those that are left.
+PASSES, FEW = ((4, 2), (3, 3)), 40
+#: k-mers of a bucket, words of texts whose k-mers are dealt out to buckets at once, and words of texts whose counts are summed up in a task.
+BUCKET, DEALT, SUMMED = 1 << 20, 1 << 20, 1 << 22
 _U = np.uint64
 _MAX = _U(0xFFFFFFFFFFFFFFFF)
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 62, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
@@ -57,18 +66,23 @@ def shingles(w: tc.Words, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
     return w.windows(h, k)[fits], w.doc()[: len(fits)][fits]
 
 
-def sketch(grams: np.ndarray, doc: np.ndarray, n: int, bands: int, depth: int, singles: int = 0) -> np.ndarray:
-    """Values of the parts (n x (bands + singles)); 0 for texts without k-mers."""
-    out = np.zeros((n, bands + singles), np.int64)
-    if not out.size or not len(grams):
-        return out
+def labelled(grams: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hashes of k-mers together with how many equal ones stand before them in their text."""
     order = np.argsort(tc.mix(grams ^ tc.mix(doc.astype(_U) + _U(1))), kind="stable")
     g, d = grams[order], doc[order]
     new = np.concatenate(([True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])))
     first = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
     nth = np.zeros(len(g), _U)
     nth[order] = (np.arange(len(g)) - first).astype(_U)
-    label = tc.mix(grams + nth * _U(0x9E3779B97F4A7C15))
+    return tc.mix(grams + nth * _U(0x9E3779B97F4A7C15))
+
+
+def sketch(grams: np.ndarray, doc: np.ndarray, n: int, bands: int, depth: int, singles: int = 0) -> np.ndarray:
+    """Values of the parts (n x (bands + singles)); 0 for texts without k-mers."""
+    out = np.zeros((n, bands + singles), np.int64)
+    if not out.size or not len(grams):
+        return out
+    label = labelled(grams, doc)
     begin = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     has = doc[begin]
     place = np.arange(len(doc)).astype(_U)
@@ -231,11 +245,132 @@ def _meeting(key: tuple, t: pa.Table, similarity: float) -> pa.Table:
     return t.filter(pa.array(has))
 
 
+def packed_grams(words: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled hashes of the k-mers of texts of packed words (off: where each begins, then the total), and the text of each."""
+    n, count = max(0, len(words) - k + 1), np.diff(off)
+    fits = np.arange(n) + k <= np.repeat(off[1:], count)[:n]
+    doc = np.repeat(np.arange(len(count)), count)[:n][fits]
+    w, v = words.astype(_U), np.full(n, k, _U)
+    for i in range(k):
+        v = tc.mix(v * _U(31) + w[i : i + n])
+    return (labelled(v[fits], doc) if len(doc) else v[fits]), doc
+
+
+def least_shared(n, k: int, similarity: float):
+    """k-mers that a text of n words shares with any it is linked to, at least: of the longer one's N - k + 1, each of its (1 - similarity) N edits changes k at most."""
+    return (1 - k * (1 - similarity)) * n - k + 1 - 1e-6
+
+
+OWNER = np.dtype([("text", "<i8"), ("comp", "<i8")])
+DEALT_ROWS = "bucket int, grams binary, owners binary, texts binary"
+
+
+def _dealt(batches, long: int, short: int, similarity: float, buckets: int):
+    """The k-mers of texts (text, comp, words), dealt out to buckets: 32 bits of each, the place of its owner among the row's texts and whether it is for his test (the lowest bit), and the texts."""
+    def rows(held: list):
+        owner = np.array([x[:2] for x in held], OWNER)
+        off = np.cumsum([0, *(len(x[2]) for x in held)])
+        words, n = np.concatenate([x[2] for x in held]), np.diff(off)
+        grams, of = [], []
+        for k, tested, needed in ((long, n >= FEW, n >= similarity * FEW - 1), (short, n < FEW, n * similarity < FEW + 1)):
+            g, d = packed_grams(words, off, k)
+            g, d = g[needed[d]], d[needed[d]]
+            grams.append(g)
+            of.append(2 * d + tested[d])
+        grams, of = np.concatenate(grams), np.concatenate(of)
+        to = ((grams >> _U(32)) % _U(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        grams, of = (grams[order] & _U(0xFFFFFFFF)).astype("<u4"), of[order]
+        out = []
+        for b, (lo, hi) in enumerate(pairwise(np.searchsorted(to[order], np.arange(buckets + 1)))):
+            if lo < hi:
+                own, place = np.unique(of[lo:hi] >> 1, return_inverse=True)
+                out.append((b, grams[lo:hi].tobytes(), (2 * place + (of[lo:hi] & 1)).astype("<u4").tobytes(), owner[own].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "grams", "owners", "texts"])
+
+    held, size = [], 0
+    for t in batches:
+        for text, comp, words in zip(_column(t, "text").tolist(), _column(t, "comp").tolist(), t.column(t.schema.get_field_index("words")), strict=True):
+            held.append((text, comp, np.frombuffer(words.as_buffer(), "<u4")))
+            size += len(held[-1][2])
+            if size >= DEALT:
+                yield rows(held)
+                held, size = [], 0
+    if held:
+        yield rows(held)
+
+
+COUNT = np.dtype([("text", "<i8"), ("shared", "<u4")])
+
+
+def _in_common(t: pa.Table, parts: int) -> pa.Table:
+    """Packed counts (text, shared) of a bucket's k-mers that texts have in common with texts of other classes, a row for each part of the texts. Equal 32 bits of different k-mers count, too: they keep a text."""
+    gram, of, owner, before = [], [], [], 0
+    for g, o, x in zip(t["grams"], t["owners"], t["texts"], strict=True):
+        gram.append(np.frombuffer(g.as_buffer(), "<u4"))
+        owner.append(np.frombuffer(x.as_buffer(), OWNER))
+        of.append(np.frombuffer(o.as_buffer(), "<u4").astype(np.int64) + 2 * before)
+        before += len(owner[-1])
+    gram, of, owner = np.concatenate(gram), np.concatenate(of), np.concatenate(owner)
+    order = np.argsort(gram)
+    gram, of = gram[order], of[order]
+    comp, begin = owner["comp"][of >> 1], np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+    several = np.repeat(np.minimum.reduceat(comp, begin) < np.maximum.reduceat(comp, begin), np.diff(np.append(begin, len(gram))))
+    shared = np.bincount(of[several & (of & 1 == 1)] >> 1, minlength=len(owner))
+    found = np.zeros(np.count_nonzero(shared), COUNT)
+    found["text"], found["shared"] = owner["text"][shared > 0], shared[shared > 0]
+    part = (tc.mix(found["text"].view(_U)) % _U(parts)).astype(np.int64)
+    some = np.unique(part)
+    return pa.table({"part": pa.array(some, pa.int32()), "counts": pa.array([found[part == x].tobytes() for x in some], pa.binary())})
+
+
+def _summed(t: pa.Table) -> pa.Table:
+    """(text, shared) of a part of the texts."""
+    counts = np.concatenate([np.frombuffer(x.as_buffer(), COUNT) for x in t["counts"]])
+    text, at = np.unique(counts["text"], return_inverse=True)
+    return pa.table({"text": text, "shared": np.bincount(at, counts["shared"]).astype(np.int64)})
+
+
+def sharing(texts: DataFrame, long: int, short: int, similarity: float) -> DataFrame:
+    """Those of texts (text, n, comp, words) that may be in a link with a text of another class, by k-mers; lossless."""
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    dealt = texts.select("text", "comp", "words").mapInArrow(partial(_dealt, long=long, short=short, similarity=similarity, buckets=buckets), DEALT_ROWS)
+    parts = max(1, -(-total // SUMMED))
+    found = dealt.groupBy("bucket").applyInArrow(lambda t: _in_common(t, parts), "part int, counts binary")
+    found = found.groupBy("part").applyInArrow(_summed, "text long, shared long")
+    n = F.col("n")
+    least = F.when(n >= FEW, least_shared(n, long, similarity)).otherwise(least_shared(n, short, similarity))
+    return texts.join(found, "text", "left").where(F.coalesce("shared", F.lit(0)) >= least).select(*texts.columns)
+
+
+class _Grams:
+    """Whether pairs of packed texts share as many k-mers as a link needs; lossless. Each text's are made once."""
+
+    def __init__(self, words: list[np.ndarray], similarity: float) -> None:
+        self.words, self.similarity, self.made = words, similarity, {}
+
+    def of(self, i: int, k: int) -> np.ndarray:
+        if (i, k) not in self.made:
+            self.made[i, k] = np.sort(packed_grams(self.words[i], np.array([0, len(self.words[i])]), k)[0])
+        return self.made[i, k]
+
+    def allow(self, i: int, j: int) -> bool:
+        n = max(len(self.words[i]), len(self.words[j]))
+        k = PASSES[0][n < FEW]
+        least = least_shared(n, k, self.similarity)
+        if least <= 0:
+            return True
+        a, b = self.of(i, k), self.of(j, k)
+        at = np.searchsorted(a, b)
+        return len(a) and np.count_nonzero(a[np.minimum(at, len(a) - 1)] == b) >= least
+
+
 def _links(key: tuple, t: pa.Table, similarity: float) -> pa.Table:
     """(a, b) of classes that a link joins, no more of them than join up what belongs together: pairs of classes that have met by then are spared."""
     t = t.sort_by("n")
     words = [np.frombuffer(x.as_buffer(), "<u4") for c in t["words"].chunks for x in c]
-    comp, out = t["comp"].to_pylist(), []
+    comp, out, grams = t["comp"].to_pylist(), [], _Grams(words, similarity)
     root = {c: c for c in comp}
 
     def top(c: int) -> int:
@@ -246,7 +381,7 @@ def _links(key: tuple, t: pa.Table, similarity: float) -> pa.Table:
     for x, y in _pairs(key, t, similarity):
         for i, j in zip(x.tolist(), y.tolist(), strict=True):
             one, two = top(comp[i]), top(comp[j])
-            if one != two and within(words[i], words[j], int((1 - similarity) * max(len(words[i]), len(words[j])) + 1e-9)):
+            if one != two and grams.allow(i, j) and within(words[i], words[j], int((1 - similarity) * max(len(words[i]), len(words[j])) + 1e-9)):
                 root[max(one, two)] = min(one, two)
                 out.append((comp[i], comp[j]))
     return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate("ab")})
@@ -405,24 +540,34 @@ def candidates(texts: DataFrame, similarity: float, near: int = NEAR, ahead: int
 def rest(docs: DataFrame, large: DataFrame, texts: DataFrame, comps: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
     """(a, b): classes that links between texts of a large bucket join, of all its pairs of texts of different classes.
 
-    large: (text, key); texts: (text, rep, n, hist); comps: (node, comp) of reps. Texts are dealt out to blocks by a hash, and
-    a task holds two blocks; buckets of one class take no part. A pair that shares several buckets is tried in the first
-    of them. Pairs stay in the task: one pass finds the texts that have any by the histograms, and another, with the words
-    of these only, aligns them. So the rows are as many as texts in buckets (and blocks), however many pairs there are.
+    large: (text, key); texts: (text, rep, n, hist); comps: (node, comp) of reps. Buckets of one class take no part, nor do
+    texts that sharing() rules out. The others are dealt out to blocks by a hash, and a task holds two blocks. A pair that
+    shares several buckets is tried in the first of them. Pairs stay in the task: one pass finds the texts that have any
+    by the histograms, and another, with the words of these only, aligns them. So the rows are as many as texts in
+    buckets (and blocks), however many pairs there are.
     """
     of = texts.select("text", "rep", "n", "hist").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     of = written(of.join(large.select("text").distinct(), "text", "left_semi"))
-    own = large.join(of.select("text", "comp", "n"), "text")
-    mixed = own.groupBy("key").agg(F.count("*").alias("_m"), F.sum("n").alias("_w"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
-    met = written(large.join(mixed.select("key", F.ceil(F.greatest(F.col("_m") / block, F.col("_w") / BLOCK_WORDS)).alias("_n")), "key"))
+    met = _mixed(large, of, block).select("text", "key")
+    own = of.join(met.select("text").distinct(), "text", "left_semi")
+    words = _words(docs, own.select("text", "rep"))
+    near = written(own.select("text", "n", "comp").join(words, "text"))
+    for long, short in PASSES:
+        near = written(sharing(near, long, short, similarity))
+    met = _mixed(met.join(near.select("text"), "text", "left_semi"), of, block)
     d = met.join(of.join(met.groupBy("text").agg(F.collect_list("key").alias("_keys")), "text"), "text")
     d = d.withColumn("below", F.expr("filter(_keys, k -> k < key)")).withColumn("block", F.pmod(F.xxhash64("text"), F.col("_n")))
     d = d.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     d = d.select("key", F.least("block", "_j").alias("_one"), F.greatest("block", "_j").alias("_two"), "block", "text", "comp", "n", "hist", "below")
     by = ["key", "_one", "_two"]
     some = written(d.groupBy(*by).applyInArrow(lambda k, t: _meeting([x.as_py() for x in k], t, similarity), d.schema))
-    words = _words(docs, texts.select("text", "rep").join(some.select("text").distinct(), "text", "left_semi"))
-    return some.join(words, "text").groupBy(*by).applyInArrow(lambda k, t: _links([x.as_py() for x in k], t, similarity), "a long, b long")
+    return some.join(near.select("text", "words"), "text").groupBy(*by).applyInArrow(lambda k, t: _links([x.as_py() for x in k], t, similarity), "a long, b long")
+
+
+def _mixed(large: DataFrame, of: DataFrame, block: int) -> DataFrame:
+    """Rows (text, key) of large whose bucket has texts of more than one class, with its number of blocks _n."""
+    sizes = large.join(of.select("text", "comp", "n"), "text").groupBy("key").agg(F.count("*").alias("_m"), F.sum("n").alias("_w"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
+    return written(large.join(sizes.select("key", F.ceil(F.greatest(F.col("_m") / block, F.col("_w") / BLOCK_WORDS)).alias("_n")), "key"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, depth: int = DEPTH,

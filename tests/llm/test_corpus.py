@@ -186,6 +186,48 @@ def test_pairs_of_large_buckets_stay_in_tasks(spark):
     assert sorted(got) == [[i, 300 + i] for i in range(20)]
 
 
+def test_unlike_texts_of_large_buckets_are_not_aligned(monkeypatch):
+    """Texts of the same words in other orders, with a line in common, share too few k-mers for a link: none of their pairs is aligned."""
+    r = random.Random(3)
+    words, line, tried = [f"v{i}" for i in range(120)], [f"l{i}" for i in range(12)], []
+    texts = [line + r.sample(words, 120) for _ in range(60)]
+    texts.append(texts[0][:70] + ["x"] + texts[0][71:])
+    packed = [np.array([zlib.crc32(x.encode()) for x in w], "<u4") for w in texts]
+    n = len(texts)
+    t = pa.table({"n": [132] * n, "comp": range(n), "block": [0] * n, "hist": pa.array([bytes(minhash.CELLS)] * n), "below": pa.array([[]] * n, pa.list_(pa.int64())), "words": [w.tobytes() for w in packed]})
+    within = minhash.within
+    monkeypatch.setattr(minhash, "within", lambda a, b, most: tried.append(1) or within(a, b, most))
+    assert minhash._links([1, 0, 0], t, 0.8).to_pylist() == [{"a": n - 1, "b": 0}]
+    assert len(tried) == 1
+
+
+@pytest.mark.parametrize("passes", [((4, 2),), ((3, 3),), ((4, 2), (3, 3))])
+def test_texts_that_may_be_in_links(spark, passes):
+    """No text with a link to another class goes, at lengths on both sides of the k-mers' limit and with repeated words; texts that only share a line do."""
+    r = random.Random(4)
+    line, texts = [f"l{i}" for i in range(8)], []
+    for length in (5, 6, 9, 15, 31, 32, 33, 39, 40, 41, 48, 49, 50, 51, 100, 160):
+        for _ in range(4):
+            w = [f"v{r.randrange(length if r.random() < 0.5 else 3000)}" for _ in range(length)]
+            copy = list(w)
+            for k in range(4, length, 5) if r.random() < 0.5 else r.sample(range(length), length // 5):
+                copy[k] = f"x{r.random()}"
+            texts += [w, copy if r.random() < 0.7 else w[: length - length // 5]]
+    alone = len(texts)
+    texts += [line + [f"w{r.random()}" for _ in range(80)] for _ in range(40)]
+    packed = [np.array([zlib.crc32(x.encode()) for x in w], "<u4") for w in texts]
+    rows = [(i, len(w), i, bytearray(w.tobytes())) for i, w in enumerate(packed)]
+    left = spark.createDataFrame(rows, "text long, n long, comp long, words binary").repartition(3)
+    for long, short in passes:
+        left = minhash.sharing(left, long, short, 0.8)
+    left = {x.text for x in left.collect()}
+    linked = {i for a in range(alone) for b in range(a) if minhash.within(packed[a], packed[b], int(0.2 * max(len(packed[a]), len(packed[b])) + 1e-9)) for i in (a, b)}
+    assert len(linked) > 60 and linked <= left
+    assert not any(i >= alone for i in left)
+    one = spark.createDataFrame([(i, n, 7, w) for i, n, _, w in rows], "text long, n long, comp long, words binary")
+    assert {x.n for x in minhash.sharing(one, *passes[0], 0.8).collect()} <= {4, 5}  # one class has nothing to join
+
+
 def common_of(docs):
     made = common.arrow_map(docs, minhash.NEW, partial(minhash._sketched, 5, 0, 0, 1))
     return made.select(F.col("_h1").bitwiseXOR(F.col("_h2")).alias("text"), F.col("doc_id").alias("rep"), F.col("_n").alias("n"), F.col("_hist").alias("hist"))
